@@ -20,6 +20,12 @@ def md5_int(*parts) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
 
 
+def md5_wide(*parts) -> Column:
+    """First 52 bits of the same hash: still exact as a double, and practically free of collisions."""
+    digest = F.md5(F.concat_ws(":", *[_text(p) for p in parts]))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint")
+
+
 def hash_unit(*parts) -> Column:
     """Uniform double in [0, 1) from the same hash."""
     return md5_int(*parts) / F.lit(4294967296.0)

@@ -16,6 +16,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terraloom.session import materialize
+
 
 def bucket_count(df: DataFrame) -> int:
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -23,29 +25,29 @@ def bucket_count(df: DataFrame) -> int:
 
 
 class _Cuts:
-    """Cut points of one numeric column and the two-level search of a value among them."""
+    """Cut points of numeric columns (one aggregate, one subquery) and the two-level search of a value among them."""
 
-    def __init__(self, df: DataFrame, value: Column, buckets: int):
+    def __init__(self, df: DataFrame, values: list[Column], buckets: int):
         probs = [i / buckets for i in range(1, buckets)]
         self.step = max(2, math.isqrt(buckets))
-        self.coarse_len = (buckets - 1) // self.step
-        fine = df.agg(F.percentile_approx(value, probs, 20 * buckets).alias("fine"))
-        if self.coarse_len:
-            coarse = F.array(*[F.element_at("fine", (j + 1) * self.step) for j in range(self.coarse_len)])
-        else:
-            coarse = F.slice("fine", 1, 0)
-        self.table = fine.select(F.struct(F.col("fine"), coarse.alias("coarse")).alias("cuts")).scalar()
-
-    def _count(self, column: str, test) -> Column:
-        jump = F.size(F.filter(F.col(column)["coarse"], test)) * self.step
-        near = F.slice(F.col(column)["fine"], jump + 1, self.step)
+        coarse_len = (buckets - 1) // self.step
+        fine = df.agg(*[F.percentile_approx(v, probs, 20 * buckets).alias(f"f{i}") for i, v in enumerate(values)])
+        parts = []
+        for i in range(len(values)):
+            coarse = F.array(*[F.element_at(f"f{i}", (j + 1) * self.step) for j in range(coarse_len)]) if coarse_len else F.slice(f"f{i}", 1, 0)
+            parts += [F.col(f"f{i}"), coarse.alias(f"c{i}")]
+        self.table = fine.select(F.struct(*parts).alias("cuts")).scalar()
+
+    def _count(self, column: str, i: int, test) -> Column:
+        jump = F.size(F.filter(F.col(column)[f"c{i}"], test)) * self.step
+        near = F.slice(F.col(column)[f"f{i}"], jump + 1, self.step)
         return jump + F.size(F.filter(near, test))
 
-    def below(self, column: str, value: Column) -> Column:
-        return self._count(column, lambda cut: cut < value)
+    def below(self, column: str, value: Column, i: int = 0) -> Column:
+        return self._count(column, i, lambda cut: cut < value)
 
-    def at_most(self, column: str, value: Column) -> Column:
-        return self._count(column, lambda cut: cut <= value)
+    def at_most(self, column: str, value: Column, i: int = 0) -> Column:
+        return self._count(column, i, lambda cut: cut <= value)
 
 
 def _keyed(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
@@ -59,7 +61,7 @@ def running_totals(df: DataFrame, keys: list[str], order: str, sums: list[str],
     """
     cols = df.columns
     df, by = _keyed(df, keys)
-    cuts = _Cuts(df, F.col(order), buckets or bucket_count(df))
+    cuts = _Cuts(df, [F.col(order)], buckets or bucket_count(df))
     tagged = df.withColumn("_cuts", cuts.table).withColumn("_bucket", cuts.below("_cuts", F.col(order))).drop("_cuts")
     totals = tagged.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_sum_{c}") for c in sums])
     earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -79,6 +81,9 @@ def running_totals(df: DataFrame, keys: list[str], order: str, sums: list[str],
     )
 
 
+PLAIN_WINDOW_ROWS = 500_000
+
+
 def ranked_rows(
     df: DataFrame, keys: list[str], lead: Column, tie: Column, rank: str = "rank", size: str | None = None,
     buckets: int | None = None,
@@ -90,26 +95,41 @@ def ranked_rows(
     cols = df.columns
     df, by = _keyed(df, keys)
     df = df.withColumn("_lead", lead).withColumn("_tie", tie)
-    n = buckets or bucket_count(df)
-    lead_cuts, tie_cuts = _Cuts(df, F.col("_lead"), n), _Cuts(df, F.col("_tie"), n)
+    cuts = _Cuts(df, [F.col("_lead"), F.col("_tie")], buckets or bucket_count(df))
     tagged = (
-        df.withColumn("_lc", lead_cuts.table).withColumn("_tc", tie_cuts.table)
-        .withColumn("_lo", lead_cuts.below("_lc", F.col("_lead")))
-        .withColumn("_hi", lead_cuts.at_most("_lc", F.col("_lead")))
+        df.withColumn("_cuts", cuts.table)
+        .withColumn("_lo", cuts.below("_cuts", F.col("_lead")))
+        .withColumn("_hi", cuts.at_most("_cuts", F.col("_lead")))
         .withColumn("_b1", F.col("_lo") + F.col("_hi"))
-        .withColumn("_b2", F.when(F.col("_hi") - F.col("_lo") >= 2, tie_cuts.below("_tc", F.col("_tie"))).otherwise(0))
-        .drop("_lc", "_tc", "_lo", "_hi")
+        .withColumn("_b2", F.when(F.col("_hi") - F.col("_lo") >= 2, cuts.below("_cuts", F.col("_tie"), 1)).otherwise(0))
+        .drop("_cuts", "_lo", "_hi")
     )
-    totals = tagged.groupBy(*by, "_b1", "_b2").agg(F.count(F.lit(1)).alias("_n"))
+    totals = tagged.groupBy(*by, "_b1", "_b2").agg(F.count(F.lit(1)).alias("_rows"))
     earlier = Window.partitionBy(*by).orderBy("_b1", "_b2").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *by, "_b1", "_b2", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"),
-        F.sum("_n").over(Window.partitionBy(*by)).alias("_size"),
+        *by, "_b1", "_b2", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_skip"),
+        F.sum("_rows").over(Window.partitionBy(*by)).alias("_whole"),
     )
     inside = Window.partitionBy(*by, "_b1", "_b2").orderBy("_lead", "_tie")
     joined = tagged.withColumn("_in", F.row_number().over(inside)).join(offsets, [*by, "_b1", "_b2"])
-    out = [*cols, (F.col("_off") + F.col("_in")).cast("bigint").alias(rank)]
-    return joined.select(*out, *([F.col("_size").alias(size)] if size else []))
+    out = [*cols, (F.col("_skip") + F.col("_in")).cast("bigint").alias(rank)]
+    return joined.select(*out, *([F.col("_whole").alias(size)] if size else []))
+
+
+def ranked_summary(
+    df: DataFrame, keys: list[str], lead: Column, tie: Column, rank: str = "rank", size: str | None = None
+) -> DataFrame:
+    """`ranked_rows` for a summary table, one row per block or tile.
+
+    The table is stored in the shared checkpoint folder and counted. Up to PLAIN_WINDOW_ROWS rows a plain window
+    is cheaper than bucketing; a larger table takes the bucketed path. Both give the same ranks.
+    """
+    stored = materialize(df)
+    if stored.count() > PLAIN_WINDOW_ROWS:
+        return ranked_rows(stored, keys, lead, tie, rank, size)
+    by = keys or [F.lit(1)]
+    out = stored.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(lead, tie)).cast("bigint"))
+    return out.withColumn(size, F.count(F.lit(1)).over(Window.partitionBy(*by))) if size else out
 
 
 def exact_quantiles(

@@ -23,6 +23,22 @@ def sql_md5(text: str) -> str:
     return f"CAST(('0x' || substr(md5({text}), 1, 8)) AS UBIGINT)::BIGINT"
 
 
+def sql_md5_wide(text: str) -> str:
+    return f"CAST(('0x' || substr(md5({text}), 1, 13)) AS UBIGINT)::BIGINT"
+
+
+def pool(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidate rows for the samplers: sample_id, class_id, block, p."""
+    key = F.col("o_orderkey")
+    return table(spark, folder, "orders").select(
+        key.alias("sample_id"), (md5_int("y", key) % 3 == 0).cast("bigint").alias("class_id"),
+        (F.col("o_custkey") % 60).alias("block"), (F.col("o_totalprice") / 500000.0).alias("p"))
+
+
+POOL = f"""pool AS (SELECT o_orderkey AS sample_id, CAST({sql_md5("'y:' || o_orderkey")} % 3 = 0 AS BIGINT) AS class_id,
+  o_custkey % 60 AS block, o_totalprice / 500000e0 AS p FROM orders)"""
+
+
 # ---- labelled samples -------------------------------------------------------------------------------
 
 def samples(spark: SparkSession, folder: str) -> DataFrame:
