@@ -136,10 +136,10 @@ def _(spark, d):
     return S.group_folds(pool(spark, d), "block", 5)
 
 
-@query("e20_pseudo_label_selection", SQL_P + f"SELECT sample_id, CAST(p >= 0.5e0 AS BIGINT) AS pseudo, {R('conf')} AS confidence FROM (SELECT *, greatest(p, 1 - p) AS conf, row_number() OVER (ORDER BY -greatest(p, 1 - p), {ORDER(13)}, sample_id) AS k FROM pool WHERE greatest(p, 1 - p) >= 0.95e0) WHERE k <= 850")
+@query("e20_pseudo_label_selection", SQL_P + f"SELECT sample_id, CAST(p >= 0.5e0 AS BIGINT) AS pseudo, {R('conf', 9)} AS confidence FROM (SELECT *, greatest(p, 1 - p) AS conf, row_number() OVER (ORDER BY -greatest(p, 1 - p), {ORDER(13)}, sample_id) AS k FROM pool WHERE greatest(p, 1 - p) >= 0.95e0) WHERE k <= 850")
 def _(spark, d):
     out = S.confident_rows(pool(spark, d), "p", "sample_id", 0.95, 850, 13)
-    return out.select("sample_id", "pseudo", r("confidence").alias("confidence"))
+    return out.select("sample_id", "pseudo", r("confidence", 9).alias("confidence"))
 
 
 @query("e20_pseudo_label_per_class", with_ctes(POOL, "c AS (SELECT *, CASE WHEN p >= 0.9e0 THEN 1 WHEN p <= 1 - 0.9e0 THEN 0 END::BIGINT AS pseudo FROM pool)",
@@ -251,9 +251,9 @@ def _(spark, d):
     return pool(spark, d).groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.sum("class_id").alias("pos")).orderBy(F.desc("pos"), "n", "block").limit(10)
 
 
-@query("f02_top_three_per_class", SQL_P + f"SELECT class_id, sample_id, {R('p')} AS p FROM (SELECT *, row_number() OVER (PARTITION BY class_id ORDER BY -p, sample_id) AS k FROM pool) WHERE k <= 3")
+@query("f02_top_three_per_class", SQL_P + f"SELECT class_id, sample_id, {R('p', 9)} AS p FROM (SELECT *, row_number() OVER (PARTITION BY class_id ORDER BY -p, sample_id) AS k FROM pool) WHERE k <= 3")
 def _(spark, d):
-    return top_rows(pool(spark, d), ["class_id"], -F.col("p"), F.col("sample_id"), 3).select("class_id", "sample_id", r("p").alias("p"))
+    return top_rows(pool(spark, d), ["class_id"], -F.col("p"), F.col("sample_id"), 3).select("class_id", "sample_id", r("p", 9).alias("p"))
 
 
 @query("f03_good_and_bad_exemplar", with_ctes(POOL, f"b AS (SELECT block, {R('avg(p)')} AS m, count(*) AS n FROM pool GROUP BY block)") + """
