@@ -106,14 +106,24 @@ def grid20(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("o_custkey") % 17 != 0, F.col("o_totalprice") / 500000.0).alias("p"),
         (F.col("o_custkey") % 3 == 0).cast("bigint").alias("ref"),
         (md5_int("lc", F.col("o_orderkey")) % 9).alias("lc"),
-    )
+    ).withColumn("lcw", _patchy_cover())
+
+
+def _patchy_cover() -> Column:
+    """Land cover that is mostly constant inside 7 x 11 patches, with code 4 over-represented."""
+    key = F.col("row") * GRID_WIDTH + F.col("col")
+    patch = md5_int("patch", F.floor(F.col("row") / 7), F.floor(F.col("col") / 11)) % 12
+    return F.when(md5_int("mix", key) % 100 < 75, F.when(patch > 8, 4).otherwise(patch)).otherwise(F.col("lc")).cast("bigint")
 
 
+_KEY = f"(row * {GRID_WIDTH} + col)"
+_PATCH = sql_md5("concat_ws(':', 'patch', row // 7, col // 11)") + " % 12"
 GRID20 = f"""grid20 AS (
+  SELECT *, CAST(CASE WHEN {sql_md5(f"'mix:' || {_KEY}")} % 100 < 75 THEN CASE WHEN {_PATCH} > 8 THEN 4 ELSE {_PATCH} END ELSE lc END AS BIGINT) AS lcw FROM (
   SELECT o_orderkey // {GRID_WIDTH} AS row, o_orderkey % {GRID_WIDTH} AS col,
     CASE WHEN o_custkey % 17 <> 0 THEN o_totalprice / 500000e0 END AS p,
     CAST(o_custkey % 3 = 0 AS BIGINT) AS ref, {sql_md5("'lc:' || o_orderkey")} % 9 AS lc
-  FROM orders)"""
+  FROM orders))"""
 
 
 def grid10(spark: SparkSession, folder: str) -> DataFrame:
@@ -145,7 +155,6 @@ def parcel_cells(spark: SparkSession, folder: str) -> DataFrame:
     versions = F.explode(F.array(
         F.struct(F.lit("A").alias("v"), F.lit(0).alias("dr"), F.lit(0).alias("dc"), F.lit(0).alias("dt")),
         F.struct(F.lit("B").alias("v"), F.lit(3).alias("dr"), F.lit(5).alias("dc"), F.lit(1).alias("dt"))))
-    tile_row, tile_col = F.floor(F.col("row") / 25), F.floor(F.col("col") / 50) + F.col("s.dt")
     pr, pc = F.floor((F.col("row") + F.col("s.dr")) / 7), F.floor((F.col("col") + F.col("s.dc")) / 11)
     cells = pixel.withColumn("s", versions).select(
         "row", "col", F.concat_ws("_", F.col("s.v"), pr.cast("string"), pc.cast("string")).alias("parcel_id"),
