@@ -156,6 +156,15 @@ def exact_quantiles(
     return agg.select(*keys, *value_of)
 
 
+def summary_quantiles(df: DataFrame, value: str, probs: dict[str, float]) -> DataFrame:
+    """Ungrouped `exact_quantiles` for a summary table: stored, counted, and aggregated directly if short."""
+    stored = materialize(df.select(value))
+    if stored.count() > PLAIN_WINDOW_ROWS:
+        return exact_quantiles(stored, [], value, probs)
+    ends = stored.agg(F.percentile(value, F.array(*[F.lit(float(q)) for q in probs.values()])).alias("_e"))
+    return ends.select(*[F.col("_e")[i].alias(name) for i, name in enumerate(probs)])
+
+
 def top_rows(df: DataFrame, keys: list[str], lead: Column, tie: Column, k: int, rank: str = "rank") -> DataFrame:
     """First k rows per key in (lead, tie) order.
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from terraloom.operators.attach import attach
 from terraloom.operators.graph import components
-from terraloom.operators.ordering import exact_quantiles
+from terraloom.operators.ordering import exact_quantiles, summary_quantiles
+from terraloom.session import materialize
 
 # fixed values: land-cover class names by code
 COVER = ("water", "trees", "grass", "flooded_vegetation", "crops", "shrub_and_scrub", "built", "bare", "snow_and_ice")
@@ -209,10 +210,11 @@ TILE_LIMITS = {
 
 
 def robust_limit(df: DataFrame, value: str, name: str) -> DataFrame:
-    """One row: median + 3 * max(median absolute deviation, 1)."""
-    middle = exact_quantiles(df, [], value, {"_m": 0.5})
-    spread = attach(df, middle, []).withColumn("_d", F.abs(F.col(value) - F.col("_m")))
-    mad = exact_quantiles(spread, [], "_d", {"_mad": 0.5})
+    """One row: median + 3 * max(median absolute deviation, 1). `df` has one row per tile."""
+    stored = materialize(df.select(value))
+    middle = summary_quantiles(stored, value, {"_m": 0.5})
+    spread = attach(stored, middle, []).select(F.abs(F.col(value) - F.col("_m")).alias("_d"))
+    mad = summary_quantiles(spread, "_d", {"_mad": 0.5})
     return attach(middle, mad, []).select((F.col("_m") + 3 * F.greatest("_mad", F.lit(1.0))).alias(name))
 
 
@@ -223,6 +225,7 @@ def tile_quality(parcels: DataFrame, retained: DataFrame) -> DataFrame:
     tiles = parcels.groupBy("tile").agg(
         F.count(F.lit(1)).alias("parcel_count"), *[share(f) for f in names], F.count_if(F.col("very_large")).alias("very_large_count"),
         F.count_if(F.col("cross_tile")).alias("cross_tile_count")).join(retained, "tile", "left")
+    tiles = materialize(tiles)
     rows = attach(tiles, robust_limit(tiles, "cross_tile_count", "cross_limit"), [])
     lim = TILE_LIMITS
     warns = {
@@ -247,8 +250,6 @@ def deduplicate_instances(cells: DataFrame, confidence: DataFrame, iou: float =
     A still undecided instance is kept once no undecided rival beats it; rivals of kept instances join the most
     confident kept one. The result equals the sequential order on the same pair graph.
     """
-    from terraloom.session import materialize
-
     pairs = overlap_pairs(cells, cross_tile=False).where((F.col("iou") >= iou) | (F.col("ratio") >= containment)).select("a", "b")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     key = lambda p: F.struct((-F.col(f"{p}conf")).alias("c"), F.col(f"{p}id").alias("i"))

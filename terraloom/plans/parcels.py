@@ -123,10 +123,10 @@ def _(spark, d):
 ZON = "zon AS (SELECT parcel_id, count(p) AS n, avg(p) AS mean, quantile_cont(p, 0.5) AS median, stddev_pop(p) AS std, avg(CASE WHEN p IS NOT NULL THEN CASE WHEN p >= 0.5e0 THEN 1e0 ELSE 0e0 END END) AS positive_share FROM parcel_cells c JOIN grid20 g USING (row, col) GROUP BY parcel_id)"
 
 
-@query("d17_zonal_statistics", with_ctes(*CELLS, ZON) + f"SELECT parcel_id, n, {R('mean')} AS mean, {R('median')} AS median, {R('std')} AS std, {R('positive_share')} AS positive_share FROM zon")
+@query("d17_zonal_statistics", with_ctes(*CELLS, ZON) + f"SELECT parcel_id, n, {R('mean')} AS mean, {R('median', 9)} AS median, {R('std')} AS std, {R('positive_share')} AS positive_share FROM zon")
 def _(spark, d):
     out = P.zonal(parcel_cells(spark, d), grid20(spark, d), "p")
-    return out.select("parcel_id", "n", *[r(c).alias(c) for c in ("mean", "median", "std", "positive_share")])
+    return out.select("parcel_id", "n", *[r(c, 9 if c == "median" else 6).alias(c) for c in ("mean", "median", "std", "positive_share")])
 
 
 LCF = "lcf AS (SELECT parcel_id, " + ", ".join(f"avg(CASE WHEN lcw = {i} THEN 1e0 ELSE 0e0 END) AS {n}" for i, n in enumerate(P.COVER)) + " FROM parcel_cells JOIN grid20 USING (row, col) GROUP BY parcel_id)"
