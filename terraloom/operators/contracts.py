@@ -75,3 +75,74 @@ def nonempty_splits(df: DataFrame, split: str, names: list[str]) -> DataFrame:
         F.least(*[F.col(f"_n{i}") for i in range(len(names))] or [F.lit(1)], F.lit(1).cast("bigint")).alias("_least"))
     return attach(kept, seen, []).where(
         F.when(F.col("_least") < 1, F.raise_error(F.lit("a requested split is empty")).cast("boolean")).otherwise(True)).drop("_least")
+
+
+def unique_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join that fails when a key repeats on either side."""
+    from terraloom.operators.attach import attach
+
+    repeats = lambda df: df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"))
+    worst = repeats(left).unionByName(repeats(right)).agg(F.max("n").alias("_most"))
+    ok = F.when(F.coalesce("_most", F.lit(0)) <= 1, True).otherwise(F.raise_error(F.lit("join key is not one to one")).cast("boolean"))
+    return attach(left.join(right, keys), worst, []).where(ok).drop("_most")
+
+
+def agreement(new: DataFrame, old: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:
+    """Recomputed against saved values: matched rows, largest difference, and whether it is within tolerance."""
+    both = new.select(*keys, F.col(value).alias("_a")).join(old.select(*keys, F.col(value).alias("_b")), keys, "full_outer")
+    gap = F.abs(F.col("_a") - F.col("_b"))
+    return both.agg(F.count(gap).alias("matched"), F.count_if(F.col("_a").isNull() | F.col("_b").isNull()).alias("unmatched"),
+                    F.max(gap).alias("max_difference"), (F.coalesce(F.max(gap), F.lit(0.0)) <= tolerance).alias("within"))
+
+
+def ledger_check(ledger: DataFrame, current: DataFrame, key: str, digest: str) -> DataFrame:
+    """verified / changed / missing / unexpected per file of a recorded ledger and the current inventory."""
+    both = ledger.select(key, F.col(digest).alias("_old")).join(current.select(key, F.col(digest).alias("_new")), key, "full_outer")
+    state = F.when(F.col("_old").isNull(), "unexpected").when(F.col("_new").isNull(), "missing").when(F.col("_old") == F.col("_new"), "verified").otherwise("changed")
+    return both.select(key, state.alias("state"))
+
+
+def inventory_difference(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """Rows only expected ("missing") or only found ("unexpected"), duplicates counted."""
+    return expected.exceptAll(actual).withColumn("kind", F.lit("missing")).unionByName(actual.exceptAll(expected).withColumn("kind", F.lit("unexpected")))
+
+
+def chunk_contract(chunk: DataFrame, manifest: DataFrame, row: str, region: str, numbers: list[str], start: int, stop: int) -> DataFrame:
+    """Exact integral keys start..stop-1, once each, with the manifest's region, and finite numbers."""
+    key = F.col(row)
+    per_key = chunk.withColumn("_k", F.floor(key).cast("bigint")).withColumn("_frac", key != F.floor(key)).groupBy("_k").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("_frac")).alias("frac"), F.min(region).alias("_lo"), F.max(region).alias("_hi"),
+        F.count_if(F.greatest(*[F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf")) for c in numbers], F.lit(False))).alias("bad"))
+    wanted = manifest.where((F.col(row) >= start) & (F.col(row) < stop)).select(F.col(row).cast("bigint").alias("_k"), F.lower(region).alias("_want"))
+    joined = per_key.join(wanted, "_k", "full_outer")
+    wide = joined.agg(
+        F.count_if(F.col("n").isNull()).alias("missing"), F.count_if(F.col("_want").isNull()).alias("foreign"), F.count_if(F.col("n") > 1).alias("dup"),
+        F.coalesce(F.sum("frac"), F.lit(0)).alias("frac"), F.count_if((F.lower("_lo") != F.col("_want")) | (F.lower("_hi") != F.col("_want"))).alias("region"),
+        F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    names = {"no_missing_keys": "missing", "no_foreign_keys": "foreign", "no_duplicate_keys": "dup", "integral_keys": "frac", "region_identity": "region", "finite_values": "bad"}
+    return check_table(wide, {n: (F.col(c) == 0, F.col(c)) for n, c in names.items()})
+
+
+def grid_alignment(profiles: DataFrame, reference: DataFrame) -> DataFrame:
+    """Per product: which of shape, transform and CRS differ from the reference grid."""
+    from terraloom.operators.attach import attach
+
+    names = ["crs", "shape", "transform"]
+    ref = reference.select(*[F.col(c).alias(f"_{c}") for c in names])
+    issues = F.array_join(F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"_{c}")), F.lit(c)) for c in names])), ";")
+    return attach(profiles, ref, []).select("product", issues.alias("mismatches"), (issues == "").alias("aligned"))
+
+
+def curve_invariants(curve: DataFrame, keys: list[str]) -> DataFrame:
+    """Per curve: coverage grid exact, last coverage 1, first and last k."""
+    n = F.count(F.lit(1))
+    return curve.groupBy(*keys).agg(
+        n.alias("points"), (F.min("k") == 1).alias("starts_at_one"), ((F.max("k") == n) & (F.countDistinct("k") == n)).alias("grid_complete"),
+        F.max_by("coverage", "k").alias("last_coverage"), F.max_by("risk", "k").alias("last_risk"), F.avg("risk").alias("aurc"))
+
+
+def same_config(configs: DataFrame, retired: list[str]) -> DataFrame:
+    """Compare two config maps per row after dropping retired keys."""
+    live = lambda c: F.map_filter(c, lambda k, v: ~k.isin(retired))
+    text = lambda c: F.to_json(F.array_sort(F.map_entries(live(c))))
+    return configs.withColumn("same", text(F.col("a")) == text(F.col("b")))

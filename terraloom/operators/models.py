@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.functions.hashing import md5_int
+from terraloom.functions.hashing import md5_int, row_digest, table_digest
 from terraloom.functions.scalars import clipped_logit, density_odds
 from terraloom.operators.attach import attach
 from terraloom.operators.metrics import confusion_counts, count_metrics, rank_metrics
@@ -224,9 +224,11 @@ def few_shot_grid(spark, folder: str, pool: DataFrame, evaluation: DataFrame, so
                   grid: list[dict], trees: int, threads: int = 4) -> DataFrame:
     """One fit per (regime, seed, budget, method); predictions are stored per key so an interrupted study resumes.
 
+    The key covers the settings and a digest of the pool, so changed data is never answered from an old result.
+
     Threads only submit Spark jobs; the fits and the scoring run on the executors.
     """
-    from pyspark import InheritableThread  # noqa: F401  (documents that jobs keep their own properties)
+    content = table_digest(pool.select(row, label, x), [], row_digest(row, label, F.to_json(x))).first().digest
 
     def run(setting: dict) -> DataFrame:
         def build() -> DataFrame:
@@ -236,7 +238,7 @@ def few_shot_grid(spark, folder: str, pool: DataFrame, evaluation: DataFrame, so
             model = fit_forest(train, label, x, trees, setting["seed"])
             return _positive(model, evaluation, x, "p").select(row, F.col(label).alias("y"), block, "p", *[F.lit(v).alias(k) for k, v in setting.items()])
 
-        return cached_table(spark, folder, {**setting, "trees": trees}, build)
+        return cached_table(spark, folder, {**setting, "trees": trees, "content": content}, build)
 
     from terraloom.operators.contracts import union_all
 

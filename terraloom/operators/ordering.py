@@ -133,10 +133,14 @@ def ranked_summary(
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], buckets: int | None = None
+    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], buckets: int | None = None, weight: str | None = None
 ) -> DataFrame:
-    """Interpolated quantiles per key, one output column per entry of `probs`; nulls are ignored."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    """Interpolated quantiles per key, one output column per entry of `probs`; nulls are ignored.
+
+    With `weight` each row stands for that many equal values (a stored histogram).
+    """
+    size = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(size.alias("_n"))
     run = running_totals(counts, keys, value, ["_n"], buckets)
     first, after = F.col("before__n"), F.col("before__n") + F.col("_n")
     picks = []

@@ -218,3 +218,23 @@ def window_scores(df: DataFrame, code: str, block: int, width: int) -> DataFrame
              + 0.8 * F.least(mixed, F.lit(0.15)) + 0.03 * diversity)
     return full.select((F.col("wi") * block).alias("row"), (F.col("wj") * block).alias("col"), share("n4").alias("crop_share"), edge.alias("edge_density"),
                        diversity.cast("bigint").alias("diversity"), eligible.alias("eligible"), score.alias("score"))
+
+
+def label_aided_scores(spread: DataFrame, keys: list[str], mask: Column, p: str, pixels: int, label) -> DataFrame:
+    """Window scores that use a reference: class mix, boundary density, probability spread, components of 9+ pixels.
+
+    `spread` repeats each pixel for every window that holds it, so components are those of the window itself.
+    """
+    on = mask & F.col(p).isNotNull()
+    stats = spread.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_all"), F.count(p).alias("n"), F.count_if(on).alias("pos"), F.stddev_pop(p).alias("spread"), F.avg(F.col(p).between(0.2, 0.8).cast("double")).alias("mid"))
+    cells = spread.where(on).select(*keys, "row", "col")
+    around = cells.withColumn("_o", offsets(CROSS)).select(*keys, (F.col("row") + F.col("_o.dr")).alias("row"), (F.col("col") + F.col("_o.dc")).alias("col"))
+    inner = around.groupBy(*keys, "row", "col").agg(F.count(F.lit(1)).alias("_n")).where("_n = 4").join(cells, [*keys, "row", "col"], "left_semi")
+    inner = inner.groupBy(*keys).agg(F.count(F.lit(1)).alias("_inner"))
+    parts = label(cells, keys).where("size >= 9").groupBy(*keys).agg(F.countDistinct("comp").alias("_parts"))
+    rows = stats.where(F.col("n_all") == pixels).join(inner, keys, "left").join(parts, keys, "left")
+    share, edge = F.col("pos") / F.col("n"), (F.col("pos") - F.coalesce("_inner", F.lit(0))) / F.col("n")
+    score = 2.0 * 4.0 * share * (1 - share) + 12.0 * edge + 0.8 * F.col("spread") + 0.4 * F.col("mid") + 0.002 * F.least(F.coalesce("_parts", F.lit(0)), F.lit(250))
+    eligible = (F.col("n") / F.col("n_all") >= 0.98) & share.between(0.12, 0.70)
+    return rows.select(*keys, share.alias("share"), edge.alias("boundary_density"), F.coalesce("_parts", F.lit(0)).alias("components"), eligible.alias("eligible"), score.alias("score"))

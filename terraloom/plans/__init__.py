@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import ModuleType
 
-TOPICS: tuple[str, ...] = ("metrics", "sampling", "temporal", "raster", "parcels", "models")
+TOPICS: tuple[str, ...] = ("metrics", "sampling", "temporal", "raster", "parcels", "models", "ingest")
 
 
 def load() -> ModuleType:
