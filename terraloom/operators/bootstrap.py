@@ -13,6 +13,7 @@ from terraloom.functions.hashing import md5_int
 from terraloom.operators.attach import attach
 from terraloom.operators.metrics import ratio
 from terraloom.operators.ordering import ranked_summary
+from terraloom.session import materialize
 
 
 def block_draws(blocks: DataFrame, block: str, reps: int, seed: int) -> DataFrame:
@@ -21,7 +22,7 @@ def block_draws(blocks: DataFrame, block: str, reps: int, seed: int) -> DataFram
     Every block also stands for one draw slot, so the slot table is the block table itself expanded by the
     replicates; the drawn index comes from the hash of (seed, rep, slot).
     """
-    indexed = ranked_summary(blocks.select(block).distinct(), [], F.col(block), F.col(block), "_i", "_n")
+    indexed = materialize(ranked_summary(blocks.select(block).distinct(), [], F.col(block), F.col(block), "_i", "_n"))
     slots = indexed.withColumn("replicate", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(reps).cast("bigint"))))
     drawn = slots.select("replicate", (md5_int(seed, F.col("replicate"), F.col("_i")) % F.col("_n") + 1).alias("_i"))
     weights = drawn.groupBy("replicate", "_i").agg(F.count(F.lit(1)).alias("weight"))

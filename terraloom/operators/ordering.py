@@ -1,7 +1,8 @@
-"""Order statistics without a single-task window.
+"""Order statistics that never sort a large group in one task.
 
-A window over a whole table, or over a group that holds a third of it, would sort that group in one task.
-These operators cut the value range into as many buckets as there are shuffle partitions, using approximate
+A window over a whole table, or over a group that holds a third of it, would sort that group in one task. That is
+the fastest plan for a table the optimizer measures as small, and it is used there (see `fits_one_task`). For
+anything larger these operators cut the value range into as many buckets as there are shuffle partitions, using approximate
 quantiles of the whole table (a bounded array, delivered as a scalar subquery of the same plan). Work inside
 a bucket is a normal window; bucket totals are a table of at most `buckets` rows per key, and their running
 sums are joined back. A group holding share s of the rows owns about s * buckets of the buckets, so no bucket
@@ -24,6 +25,31 @@ def bucket_count(df: DataFrame) -> int:
     return max(4, min(partitions, 16384))
 
 
+ONE_TASK_BYTES = 64 * 1024 * 1024
+PLAIN_WINDOW_ROWS = 500_000
+
+
+def fits_one_task(df: DataFrame) -> bool:
+    """Whether the optimizer's size estimate of the input is small enough to sort in a single task.
+
+    The estimate starts from file sizes and multiplies at joins, so it errs on the large side; a window spills
+    to disk if it errs the other way. No job is run.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= ONE_TASK_BYTES
+
+
+def settled(df: DataFrame) -> tuple[DataFrame, bool]:
+    """(df, plain): small inputs as they are; others stored in the shared folder and counted.
+
+    Storing means the cuts, the bucket totals and the ranks all read finished rows instead of repeating the plan.
+    """
+    if fits_one_task(df):
+        return df, True
+    stored = materialize(df)
+    return stored, stored.count() <= PLAIN_WINDOW_ROWS
+
+
 class _Cuts:
     """Cut points of numeric columns (one aggregate, one subquery) and the two-level search of a value among them."""
 
@@ -60,7 +86,13 @@ def running_totals(df: DataFrame, keys: list[str], order: str, sums: list[str],
     `order` must be numeric and unique within the key: aggregate ties first.
     """
     cols = df.columns
+    df, plain = settled(df)
     df, by = _keyed(df, keys)
+    if plain:
+        past = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        whole = Window.partitionBy(*by)
+        return df.select(*cols, *[F.coalesce(F.sum(c).over(past), F.lit(0)).alias(f"before_{c}") for c in sums],
+                         *[F.sum(c).over(whole).alias(f"total_{c}") for c in sums])
     cuts = _Cuts(df, [F.col(order)], buckets or bucket_count(df))
     tagged = df.withColumn("_cuts", cuts.table).withColumn("_bucket", cuts.below("_cuts", F.col(order))).drop("_cuts")
     totals = tagged.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_sum_{c}") for c in sums])
@@ -81,7 +113,11 @@ def running_totals(df: DataFrame, keys: list[str], order: str, sums: list[str],
     )
 
 
-PLAIN_WINDOW_ROWS = 500_000
+def _plain_ranks(df: DataFrame, keys: list[str], lead: Column, tie: Column, rank: str, size: str | None) -> DataFrame:
+    cols = df.columns
+    df, by = _keyed(df, keys)
+    out = [*cols, F.row_number().over(Window.partitionBy(*by).orderBy(lead, tie)).cast("bigint").alias(rank)]
+    return df.select(*out, *([F.count(F.lit(1)).over(Window.partitionBy(*by)).alias(size)] if size else []))
 
 
 def ranked_rows(
@@ -92,6 +128,8 @@ def ranked_rows(
 
     A lead value so frequent that it fills whole buckets becomes a bucket of its own and is subdivided by `tie`.
     """
+    if fits_one_task(df):
+        return _plain_ranks(df, keys, lead, tie, rank, size)
     cols = df.columns
     df, by = _keyed(df, keys)
     df = df.withColumn("_lead", lead).withColumn("_tie", tie)
@@ -119,17 +157,9 @@ def ranked_rows(
 def ranked_summary(
     df: DataFrame, keys: list[str], lead: Column, tie: Column, rank: str = "rank", size: str | None = None
 ) -> DataFrame:
-    """`ranked_rows` for a summary table, one row per block or tile.
-
-    The table is stored in the shared checkpoint folder and counted. Up to PLAIN_WINDOW_ROWS rows a plain window
-    is cheaper than bucketing; a larger table takes the bucketed path. Both give the same ranks.
-    """
-    stored = materialize(df)
-    if stored.count() > PLAIN_WINDOW_ROWS:
-        return ranked_rows(stored, keys, lead, tie, rank, size)
-    by = keys or [F.lit(1)]
-    out = stored.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(lead, tie)).cast("bigint"))
-    return out.withColumn(size, F.count(F.lit(1)).over(Window.partitionBy(*by))) if size else out
+    """`ranked_rows` for a summary table, one row per block or tile, whose estimate is often far too large."""
+    df, plain = settled(df)
+    return (_plain_ranks if plain else ranked_rows)(df, keys, lead, tie, rank, size)
 
 
 def exact_quantiles(
@@ -139,6 +169,10 @@ def exact_quantiles(
 
     With `weight` each row stands for that many equal values (a stored histogram).
     """
+    if fits_one_task(df):
+        ends = F.percentile(value, F.array(*[F.lit(float(q)) for q in probs.values()]), *([F.col(weight)] if weight else []))
+        grouped = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(ends.alias("_e"))
+        return grouped.select(*keys, *[F.col("_e")[i].alias(name) for i, name in enumerate(probs)])
     size = F.sum(weight) if weight else F.count(F.lit(1))
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(size.alias("_n"))
     run = running_totals(counts, keys, value, ["_n"], buckets)
@@ -161,9 +195,9 @@ def exact_quantiles(
 
 
 def summary_quantiles(df: DataFrame, value: str, probs: dict[str, float]) -> DataFrame:
-    """Ungrouped `exact_quantiles` for a summary table: stored, counted, and aggregated directly if short."""
-    stored = materialize(df.select(value))
-    if stored.count() > PLAIN_WINDOW_ROWS:
+    """Ungrouped `exact_quantiles` for a summary table whose estimate is often far too large."""
+    stored, plain = settled(df.select(value))
+    if not plain:
         return exact_quantiles(stored, [], value, probs)
     ends = stored.agg(F.percentile(value, F.array(*[F.lit(float(q)) for q in probs.values()])).alias("_e"))
     return ends.select(*[F.col("_e")[i].alias(name) for i, name in enumerate(probs)])
