@@ -174,7 +174,7 @@ def _(spark, d):
     return G.boundary_clearance(grid20(spark, d), F.col("ref") == 1)
 
 
-@query("g13_tile_positions", with_ctes(GRID20, "s AS (SELECT max(row) + 1 AS nr, max(col) + 1 AS nc FROM grid20)", "a AS (SELECT 'row' AS axis, unnest(list_distinct(list_append(range(0, nr - 64 + 1, 48), nr - 64))) AS start FROM s UNION ALL SELECT 'col', unnest(list_distinct(list_append(range(0, nc - 64 + 1, 48), nc - 64))) FROM s)") + "SELECT axis, start FROM a")
+@query("g13_tile_positions", with_ctes(GRID20, "s AS (SELECT max(row) + 1 AS nr, max(col) + 1 AS nc FROM grid20)", "a AS (SELECT 'row' AS axis, unnest(CASE WHEN nr <= 64 THEN [0::BIGINT] ELSE list_distinct(list_append(range(0, nr - 64 + 1, 48), nr - 64)) END) AS start FROM s UNION ALL SELECT 'col', unnest(list_distinct(list_append(range(0, nc - 64 + 1, 48), nc - 64))) FROM s)") + "SELECT axis, start FROM a")
 def _(spark, d):
     shape = G.grid_shape(grid20(spark, d))
     axes = shape.select(F.explode(F.array(F.struct(F.lit("row").alias("axis"), F.col("n_rows").alias("n")), F.struct(F.lit("col").alias("axis"), F.col("n_cols").alias("n")))).alias("a")).select("a.*")

@@ -45,11 +45,11 @@ def _(spark, d):
 
 
 @query("e13_weak_label_sample", SQL_P + f"""SELECT class_id, sample_id FROM (SELECT *, row_number() OVER (PARTITION BY class_id ORDER BY {ORDER(9)}, sample_id) AS m FROM (
-  SELECT *, row_number() OVER (PARTITION BY class_id ORDER BY {ORDER(8)}, sample_id) AS n FROM pool) WHERE n <= 1500 AND p > 0.15e0) WHERE m <= 1000""")
+  SELECT *, row_number() OVER (PARTITION BY class_id ORDER BY {ORDER(8)}, sample_id) AS n FROM pool) WHERE n <= 300 AND p > 0.15e0) WHERE m <= 200""")
 def _(spark, d):
-    rows = top_rows(pool(spark, d), ["class_id"], md5_int(8, F.col("sample_id")), F.col("sample_id"), 1500).drop("rank")
-    kept = top_rows(rows.where(F.col("p") > 0.15), ["class_id"], md5_int(9, F.col("sample_id")), F.col("sample_id"), 1000)
-    return S.require_rows(kept.select("class_id", "sample_id"), "class_id", 1000)
+    rows = top_rows(pool(spark, d), ["class_id"], md5_int(8, F.col("sample_id")), F.col("sample_id"), 300).drop("rank")
+    kept = top_rows(rows.where(F.col("p") > 0.15), ["class_id"], md5_int(9, F.col("sample_id")), F.col("sample_id"), 200)
+    return S.require_rows(kept.select("class_id", "sample_id"), "class_id", 200)
 
 
 STRATA = """cand AS (SELECT row, col, row * 150 + col AS cell, (row // 20) || '_' || (col // 20) AS block, CAST(p >= 0.5e0 AS BIGINT) AS map_class,
