@@ -203,17 +203,24 @@ def summary_quantiles(df: DataFrame, value: str, probs: dict[str, float]) -> Dat
     return ends.select(*[F.col("_e")[i].alias(name) for i, name in enumerate(probs)])
 
 
+SALTS = 64
+
+
 def top_rows(df: DataFrame, keys: list[str], lead: Column, tie: Column, k: int, rank: str = "rank") -> DataFrame:
     """First k rows per key in (lead, tie) order.
 
-    For small k Spark trims every map-side partition to k rows per key before the shuffle (window group
-    limit), so a hot key ships at most k rows per task. Beyond that limit the bucketed rank is used.
+    For small k Spark trims every map-side partition to k rows per key before the shuffle (window group limit).
+    A hot key of a large table still meets k rows from every partition, so there the key is first trimmed inside
+    SALTS slices; one task then sees at most SALTS * k rows of it. Beyond the limit the bucketed rank is used.
     """
     limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if k <= limit:
-        spec = Window.partitionBy(*(keys or [F.lit(1)])).orderBy(lead, tie)
-        return df.withColumn(rank, F.row_number().over(spec)).where(F.col(rank) <= k).withColumn(rank, F.col(rank).cast("bigint"))
-    return ranked_rows(df, keys, lead, tie, rank).where(F.col(rank) <= k)
+    if k > limit:
+        return ranked_rows(df, keys, lead, tie, rank).where(F.col(rank) <= k)
+    first = lambda rows, by: rows.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(lead, tie))).where(F.col(rank) <= k)
+    if not fits_one_task(df):
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(tie), F.lit(SALTS)))
+        df = first(salted, [*keys, "_salt"]).drop("_salt", rank)
+    return first(df, keys or [F.lit(1)]).withColumn(rank, F.col(rank).cast("bigint"))
 
 
 def mid_ranks(df: DataFrame, keys: list[str], value: str, extra: list[Column] | None = None) -> DataFrame:

@@ -41,7 +41,7 @@ def blocks_first(df: DataFrame, keys: list[str], block: str, row: str, need: int
 
 def distributed(df: DataFrame, keys: list[str], block: str, row: str, need: int, seed: int) -> DataFrame:
     """Round-robin over hash-ordered blocks: round i takes each block's i-th row."""
-    ranked = ranked_rows(df, [*keys, block], md5_int(seed, F.col(row)), F.col(row), "_round").where(F.col("_round") <= need)
+    ranked = top_rows(df, [*keys, block], md5_int(seed, F.col(row)), F.col(row), need, "_round")
     lead = F.col("_round") * HIGH + md5_int(seed, "block", F.col(block))
     return top_rows(ranked, keys, lead, F.col(row), need).drop("_round")
 
@@ -105,7 +105,7 @@ def proportional_allocation(df: DataFrame, group: str, n: int) -> DataFrame:
 
 def proportional_sample(df: DataFrame, group: str, row: str, n: int, seed: int) -> DataFrame:
     takes = proportional_allocation(df, group, n)
-    ranked = ranked_rows(df, [group], md5_int(seed, F.col(row)), F.col(row), "_k")
+    ranked = top_rows(df, [group], md5_int(seed, F.col(row)), F.col(row), n, "_k")
     return ranked.join(takes, group).where(F.col("_k") <= F.col("take")).drop("_k", "take")
 
 

@@ -296,11 +296,24 @@ def _(spark, d):
     return rows.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "user_id", r("median", 9).alias("median"), "n_obs")
 
 
-@query("g05_label_aided_window_scores")
+SPREAD = """sp AS (SELECT g.row, g.col, g.ref, g.p, wi, wj, (wi * 1000 + wj) * 1000000 + row * 150 + col AS id FROM grid20 g, (SELECT unnest(range(0, (SELECT max(row) // 10 + 1 FROM grid20))) AS wi), (SELECT unnest(range(0, 15)) AS wj)
+  WHERE row // 10 BETWEEN wi AND wi + 2 AND col // 10 BETWEEN wj AND wj + 2),
+cel AS (SELECT * FROM sp WHERE ref = 1 AND p IS NOT NULL),
+adj AS (SELECT a.id AS a, b.id AS b FROM (SELECT * FROM cel, (SELECT unnest([-1, 0, 1]) AS dr), (SELECT unnest([-1, 0, 1]) AS dc)) a JOIN cel b ON b.wi = a.wi AND b.wj = a.wj AND b.row = a.row + a.dr AND b.col = a.col + a.dc),
+rch(id, o) AS (SELECT id, id FROM cel UNION SELECT r.id, j.b FROM rch r JOIN adj j ON j.a = r.o),
+cmp AS (SELECT id, min(o) AS comp, count(*) AS size FROM rch GROUP BY id),
+prt AS (SELECT wi, wj, count(DISTINCT comp) AS parts FROM cel JOIN cmp USING (id) WHERE size >= 9 GROUP BY ALL),
+inn AS (SELECT wi, wj, count(*) AS inner_ FROM (SELECT a.wi, a.wj, a.id FROM (SELECT * FROM cel, (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) AS o(dr, dc)) a JOIN cel b ON b.wi = a.wi AND b.wj = a.wj AND b.row = a.row + a.dr AND b.col = a.col + a.dc GROUP BY ALL HAVING count(*) = 4) GROUP BY ALL),
+stt AS (SELECT wi, wj, count(*) AS n_all, count(p)::DOUBLE AS n, count(*) FILTER (ref = 1 AND p IS NOT NULL) AS pos, stddev_pop(p) AS spread, avg(CASE WHEN p IS NOT NULL THEN CASE WHEN p BETWEEN 0.2e0 AND 0.8e0 THEN 1e0 ELSE 0e0 END END) AS mid FROM sp GROUP BY ALL HAVING count(*) = 900),
+lab AS (SELECT wi, wj, pos / n AS share, (pos - coalesce(inner_, 0)) / n AS edge, coalesce(parts, 0) AS components, n / n_all >= 0.98e0 AND pos / n BETWEEN 0.12e0 AND 0.70e0 AS eligible, spread, mid FROM stt LEFT JOIN inn USING (wi, wj) LEFT JOIN prt USING (wi, wj))"""
+
+
+@query("g05_label_aided_window_scores", "WITH RECURSIVE " + GRID20 + ", " + SPREAD + f"SELECT wi, wj, {R('share')} AS share, {R('edge')} AS boundary_density, components, eligible, {R('8 * share * (1 - share) + 12 * edge + 0.8e0 * spread + 0.4e0 * mid + 0.002e0 * least(components, 250)')} AS score FROM lab")
 def _(spark, d):
     from terraloom.operators.graph import cell_components
 
     block, width = 10, 3
     axis = lambda c: F.explode(F.filter(F.sequence(F.floor(F.col(c) / block) - (width - 1), F.floor(F.col(c) / block)), lambda i: i >= 0))
     spread = grid20(spark, d).withColumn("wi", axis("row")).withColumn("wj", axis("col"))
-    return G.label_aided_scores(spread, ["wi", "wj"], F.col("ref") == 1, "p", (block * width) ** 2, cell_components)
+    out = G.label_aided_scores(spread, ["wi", "wj"], F.col("ref") == 1, "p", (block * width) ** 2, cell_components)
+    return out.select("wi", "wj", r("share").alias("share"), r("boundary_density").alias("boundary_density"), "components", "eligible", r("score").alias("score"))

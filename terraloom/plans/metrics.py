@@ -8,7 +8,7 @@ from terraloom.functions.hashing import hash_unit, md5_int
 from terraloom.operators import bootstrap as B
 from terraloom.operators import metrics as M
 from terraloom.operators.attach import attach
-from terraloom.operators.ordering import exact_quantiles, mid_ranks, ranked_rows
+from terraloom.operators.ordering import exact_quantiles, mid_ranks, ranked_rows, top_rows
 from terraloom.plans.registry import R, query, r, with_ctes
 from terraloom.sources.tables import SEEDS, scored, scored_sql, sql_md5, table
 
@@ -461,3 +461,22 @@ def _(spark, d):
     strata = mapped.groupBy("cls").agg(F.count(F.lit(1)).alias("total"))
     out = B.stratified_area(strata, sample, "cls", "y", "slot", 0.04, REPS, 12)
     return out.select(*[r(c).alias(c) for c in out.columns])
+
+
+@query("d31_area_sample_weights", with_ctes(scored_sql(), "map_ AS (SELECT sample_id, CAST(p >= 0.5e0 AS BIGINT) AS cls FROM scored WHERE seed = 42)",
+       f"smp AS (SELECT *, count(*) OVER (PARTITION BY cls) AS total FROM (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY {sql_md5('concat_ws(chr(58), 11, sample_id)')}, sample_id) AS slot FROM map_))") + f"""
+  SELECT cls, sample_id, {R('least(300, total) / total::DOUBLE')} AS inclusion_probability, {R('total / least(300, total)::DOUBLE')} AS sample_weight, 'map_class_' || cls AS stratum FROM smp WHERE slot <= 300""")
+def _(spark, d):
+    mapped = scored(spark, d, seeds=(42,)).select("sample_id", PRED.cast("bigint").alias("cls"))
+    drawn = top_rows(mapped, ["cls"], md5_int(11, F.col("sample_id")), F.col("sample_id"), 300)
+    rows = attach(drawn, mapped.groupBy("cls").agg(F.count(F.lit(1)).alias("total")), ["cls"])
+    n = F.least(F.lit(300), F.col("total"))
+    return rows.select("cls", "sample_id", r(n / F.col("total")).alias("inclusion_probability"), r(F.col("total") / n).alias("sample_weight"),
+                       F.concat(F.lit("map_class_"), F.col("cls").cast("string")).alias("stratum"))
+
+
+@query("d32_spearman_deciles", with_ctes(scored_sql(), qbin_sql("risk", 10, "scored")) + f"""SELECT seed, {R('corr(ra, rb)')} AS spearman FROM (SELECT seed, {MIDRANK.format(k='seed', v='bin')} AS ra, {MIDRANK.format(k='seed', v='e')} AS rb FROM (
+  SELECT seed, bin, round(avg(CASE WHEN (p >= 0.5e0) <> (y = 1) THEN 1e0 ELSE 0e0 END), 9) AS e FROM binned GROUP BY ALL)) GROUP BY seed""")
+def _(spark, d):
+    deciles = M.quantile_bins(scored(spark, d), ["seed"], "risk", 10).groupBy("seed", "bin").agg(F.round(F.avg((PRED != REF).cast("double")), 9).alias("e"))
+    return M.spearman(deciles, ["seed"], "bin", "e").select("seed", r("spearman").alias("spearman"))

@@ -10,6 +10,7 @@ from terraloom.operators import raster as G
 from terraloom.operators.attach import attach
 from terraloom.operators.graph import cell_components
 from terraloom.plans.registry import R, query, r, with_ctes
+from terraloom.session import materialize
 from terraloom.sources.tables import GRID20, PARCEL_CELLS, RINGS, grid20, parcel_cells, rings, sql_md5
 
 CELLS = [GRID20, PARCEL_CELLS]
@@ -66,7 +67,8 @@ own AS (SELECT parcel_id, tile, n_cells, rep_row, rep_col, rep_row // 25 = tr AN
 
 
 def owned(spark, d):
-    return P.ownership(parcel_cells(spark, d), G.grid_shape(grid20(spark, d)), 25, 50, 3)
+    """One row per parcel, stored because most parcel steps read it several times."""
+    return materialize(P.ownership(parcel_cells(spark, d), G.grid_shape(grid20(spark, d)), 25, 50, 3))
 
 
 @query("c15_core_ownership", with_ctes(*CELLS, OWN) + "SELECT parcel_id, tile, rep_row, rep_col, owned, halo_distance FROM own")
@@ -159,11 +161,11 @@ PARCELS = [*CELLS, OWN, ZON, LCF, f"dis AS (SELECT parcel_id, avg(CASE WHEN {sql
            f"flg AS (SELECT *, NOT (class_by_mean = class_by_median AND class_by_median = class_by_share) AS summary_disagreement, {' + '.join(f'CAST({f} AS BIGINT)' for f in FLAGS)} AS base_flags FROM cls)"]
 
 
-def parcels(spark, d):
+def parcels(spark, d, own=None):
     """Parcels with zonal values, cover shares, disagreement, edge context and quality flags."""
     cells, grid = parcel_cells(spark, d), grid20(spark, d)
     dis = cells.groupBy("parcel_id").agg(F.avg((md5_int(8, F.col("row"), F.col("col")) % 100 < 6).cast("double")).alias("tile_disagreement"))
-    base = owned(spark, d).join(P.zonal(cells, grid, "p"), "parcel_id").join(P.zonal_shares(cells, grid, "lcw"), "parcel_id").join(dis, "parcel_id")
+    base = (own or owned(spark, d)).join(P.zonal(cells, grid, "p"), "parcel_id").join(P.zonal_shares(cells, grid, "lcw"), "parcel_id").join(dis, "parcel_id")
     base = base.withColumn("area", F.col("n_cells") * AREA).withColumn("reconciled", F.col("core_crossing"))
     return base.select("*", *[c.alias(n) for n, c in P.class_by_summary().items()], *[c.alias(n) for n, c in P.quality_flags().items()])
 
@@ -194,7 +196,7 @@ def safeguarded(spark, d):
     left = P.repair_overlaps(cells, o).groupBy("parcel_id").agg(F.count(F.lit(1)).alias("_left"))
     pairs = P.overlap_pairs(cells)
     part = pairs.select(F.col("a").alias("parcel_id")).unionByName(pairs.select(F.col("b").alias("parcel_id"))).distinct().withColumn("_part", F.lit(True))
-    rows = parcels(spark, d).join(left, "parcel_id", "left").join(part, "parcel_id", "left")
+    rows = parcels(spark, d, o).join(left, "parcel_id", "left").join(part, "parcel_id", "left")
     rows = rows.withColumn("repaired_area", F.coalesce("_left", F.lit(0)) * AREA).withColumn("participant", F.coalesce("_part", F.lit(False)))
     rows = rows.select("*", *[c.alias(n) for n, c in P.safeguard_reasons().items()])
     return rows.withColumn("mapping_status", P.mapping_status())
@@ -215,6 +217,22 @@ def _(spark, d):
     return P.reason_counts(safeguarded(spark, d), "exclusion")
 
 
+@query("d38_dominant_cover_before_after", with_ctes(*PARCELS, REP, SAFE) + " UNION ALL ".join(f"""SELECT '{c}' AS cover, count(*) AS before_count, {R('coalesce(sum(area), 0) / 10000')} AS before_ha, count(*) FILTER (mapping_status <> 'excluded') AS after_count,
+  {R("coalesce(sum(repaired_area) FILTER (mapping_status <> 'excluded'), 0) / 10000")} AS after_ha FROM sta WHERE {c}_dominant""" for c in ("water", "built", "tree")))
+def _(spark, d):
+    rows = safeguarded(spark, d)
+    kept = F.col("mapping_status") != "excluded"
+    named = F.explode(F.array_compact(F.array(*[F.when(F.col(f"{c}_dominant"), F.lit(c)) for c in ("water", "built", "tree")])))
+    found = rows.withColumn("cover", named).groupBy("cover").agg(
+        F.count(F.lit(1)).alias("before_count"), r(F.sum("area") / 10000).alias("before_ha"), F.count_if(kept).alias("after_count"),
+        r(F.coalesce(F.sum(F.when(kept, F.col("repaired_area"))), F.lit(0.0)) / 10000).alias("after_ha"))
+    covers = rows.select(F.explode(F.array(F.lit("water"), F.lit("built"), F.lit("tree"))).alias("cover")).distinct()
+    zero = F.lit(0).cast("bigint")
+    return covers.join(found, "cover", "left").select(
+        "cover", F.coalesce("before_count", zero).alias("before_count"), F.coalesce("before_ha", F.lit(0.0)).alias("before_ha"),
+        F.coalesce("after_count", zero).alias("after_count"), F.coalesce("after_ha", F.lit(0.0)).alias("after_ha"))
+
+
 RET = "ret AS (SELECT (row // 25) || '_' || (col // 50) AS tile, avg(CASE WHEN f.row IS NOT NULL AND (row // 7 + col // 11) % 3 <> 0 THEN 1e0 ELSE 0e0 END) AS retained_share FROM grid20 f GROUP BY ALL)"
 TSH = ["built_dominant", "tree_dominant", "water_dominant", "large", "very_large", "disagreement", "summary_disagreement"]
 TQ = f"""tq AS (SELECT tile, count(*) AS parcel_count, {', '.join(f'count(*) FILTER ({f})::DOUBLE / greatest(count(*), 1) AS {f}_share' for f in TSH)}, count(*) FILTER (very_large) AS very_large_count, count(*) FILTER (cross_tile) AS cross_tile_count FROM flg GROUP BY tile),
@@ -310,7 +328,13 @@ def confidences(spark, d):
     return parcel_cells(spark, d).select("parcel_id").distinct().withColumn("confidence", hash_unit("conf", F.col("parcel_id")))
 
 
-@query("g11_instance_deduplication")
+@query("g11_instance_deduplication", REC + ",\n".join([*CELLS, SIZES, PAIRS.replace(" AND a.tile <> b.tile", ""),
+       f"cf AS (SELECT parcel_id AS id, row_number() OVER (ORDER BY {sql_md5(chr(39) + 'conf:' + chr(39) + ' || parcel_id')} DESC, parcel_id) AS k FROM sz)",
+       "rv AS (SELECT a AS id, b AS rival FROM pairs WHERE iou >= 0.15e0 OR ratio >= 0.3e0 UNION SELECT b, a FROM pairs WHERE iou >= 0.15e0 OR ratio >= 0.3e0)",
+       "ls AS (SELECT cf.id, cf.k, coalesce(list(rival) FILTER (rival IS NOT NULL), []) AS rivals FROM cf LEFT JOIN rv USING (id) GROUP BY ALL)",
+       "st(i, kept) AS (SELECT 0::BIGINT, []::VARCHAR[] UNION ALL SELECT i + 1, CASE WHEN len(list_intersect(kept, rivals)) > 0 THEN kept ELSE list_append(kept, id) END FROM st JOIN ls ON k = i + 1)",
+       "fin AS (SELECT unnest(kept) AS id FROM st WHERE i = (SELECT max(k) FROM cf))"]) + """
+  SELECT parcel_id, kept FROM (SELECT id AS parcel_id, id AS kept FROM fin UNION ALL SELECT id, arg_min(rival, r.k) FROM rv JOIN fin ON fin.id = rv.rival JOIN (SELECT id AS rid, k FROM cf) r ON rid = rival WHERE rv.id NOT IN (SELECT id FROM fin) GROUP BY rv.id)""".replace("SELECT id, arg_min(rival, r.k) FROM rv", "SELECT rv.id, arg_min(rival, r.k) FROM rv"))
 def _(spark, d):
     return P.deduplicate_instances(parcel_cells(spark, d), confidences(spark, d), 0.15, 0.30)
 

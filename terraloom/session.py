@@ -18,6 +18,7 @@ def build_session(app: str = "terraloom", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **{key.replace("__", "."): value for key, value in conf.items()},
     }
     for key, value in settings.items():
