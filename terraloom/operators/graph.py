@@ -1,4 +1,4 @@
-"""Connected components by parent hooking and pointer jumping, one checkpoint per round.
+"""Connected components by parent hooking and pointer jumping, one stored table per round.
 
 Each round replaces a node's parent by the smallest grandparent seen at itself or at a neighbour and hooks the
 old parent to it as well, so chains shrink geometrically instead of one hop per round. Minima are aggregated

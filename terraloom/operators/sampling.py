@@ -112,7 +112,7 @@ def proportional_sample(df: DataFrame, group: str, row: str, n: int, seed: int)
 def priority_strata(df: DataFrame, group: str, row: str, strata: list[tuple[str, Column, int]], total: int, seed: int) -> DataFrame:
     """Take each stratum in turn from the rows not taken before, then fill to `total` from all rows.
 
-    A step's selection has at most its requested size; it is written to the shared checkpoint folder so the
+    A step's selection has at most its requested size; it is written to the shared folder so the
     next step starts from stored rows.
     """
     taken = None

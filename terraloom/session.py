@@ -1,8 +1,9 @@
-"""Session settings and reliable lineage cuts."""
+"""Session settings and lineage cuts in shared storage."""
 
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,7 +19,6 @@ def build_session(app: str = "terraloom", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **{key.replace("__", "."): value for key, value in conf.items()},
     }
     for key, value in settings.items():
@@ -38,10 +38,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _materialized_root(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/materialized-{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and continue from the written rows."""
+    """Write `df` as a table in the shared folder and continue from the written rows.
+
+    Unlike a checkpointed RDD the table has real file sizes, so later joins and `fits_one_task` see how large it is,
+    and it is read column by column. Executors can be lost without repeating what came before.
+    """
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{_materialized_root(spark)}/{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_materialized(spark: SparkSession) -> None:
+    """Delete the tables this application has materialized, once no result depends on them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_materialized_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

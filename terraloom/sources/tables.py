@@ -19,6 +19,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on a table whose files yield fewer scan tasks than there are cores.
+
+    The test tables are single row groups, so every derived column would be computed in one task. Tables with
+    enough splits are returned as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < min(cores, 64) else df
+
+
 def sql_md5(text: str) -> str:
     return f"CAST(('0x' || substr(md5({text}), 1, 8)) AS UBIGINT)::BIGINT"
 
@@ -71,7 +81,7 @@ SAMPLES = """samples AS (
 
 def scored(spark: SparkSession, folder: str, reps=("a",), seeds=SEEDS) -> DataFrame:
     """rep, seed, sample_id, block, y, p, risk. p and risk sit on a 1/1000 grid, so ties are common."""
-    base = table(spark, folder, "orders").select(
+    base = spread(table(spark, folder, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").select(
         F.col("o_orderkey").alias("sample_id"), (F.col("o_custkey") % 36).alias("block"),
         (md5_int("y", F.col("o_orderkey")) % 3 == 0).cast("bigint").alias("y"),
         (F.floor(hash_unit("risk", F.col("o_orderkey")) * 1000.0) / 1000.0).alias("risk"),
