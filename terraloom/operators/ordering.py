@@ -29,14 +29,21 @@ ONE_TASK_BYTES = 64 * 1024 * 1024
 PLAIN_WINDOW_ROWS = 500_000
 
 
+EXPANSION = 16
+
+
 def fits_one_task(df: DataFrame) -> bool:
     """Whether the optimizer's size estimate of the input is small enough to sort in a single task.
 
-    The estimate starts from file sizes and multiplies at joins, so it errs on the large side; a window spills
-    to disk if it errs the other way. No job is run.
+    The estimate starts from file sizes and multiplies at joins, so it errs on the large side, except that it takes no
+    account of exploded arrays: plans with a generator are charged EXPANSION times as much. A window spills to disk
+    if the estimate is still too low. No job is run.
     """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= ONE_TASK_BYTES
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    if "Generate " in plan.toString():
+        size *= EXPANSION
+    return size <= ONE_TASK_BYTES
 
 
 def settled(df: DataFrame) -> tuple[DataFrame, bool]:

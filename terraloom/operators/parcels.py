@@ -48,7 +48,7 @@ def overlap_pairs(cells: DataFrame, cross_tile: bool = True) -> DataFrame:
     if cross_tile:
         met = met.where("tile_a <> tile_b")
     shared = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    size = parcel_sizes(cells)
+    size = materialize(parcel_sizes(cells))  # one row per parcel, read twice
     sized = shared.join(size.select(F.col("parcel_id").alias("a"), F.col("n_cells").alias("n_a")), "a").join(
         size.select(F.col("parcel_id").alias("b"), F.col("n_cells").alias("n_b")), "b")
     union = F.col("n_a") + F.col("n_b") - F.col("shared")

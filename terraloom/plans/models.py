@@ -217,7 +217,7 @@ def _(spark, d):
 
 def few_shot(spark, d, grid, evaluation="target_val"):
     pool, source = materialize(part(spark, d, "target_pool")), materialize(part(spark, d, "source_train"))
-    folder = f"{shared_folder(spark)}/few-shot-{spark.sparkContext.applicationId}-{abs(hash(d))}"
+    folder = f"{shared_folder(spark)}/few-shot"
     return L.few_shot_grid(spark, folder, pool, part(spark, d, evaluation), source, "sample_id", "class_id", "block", "x", grid, TREES)
 
 

@@ -21,12 +21,14 @@ def ingest_chunks(spark: SparkSession, incoming: str, schema: T.StructType, row:
     tagged = stream.withColumn("chunk", F.regexp_extract(F.col("_metadata.file_path"), r"chunk=(c\d+)", 1))
 
     def land(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()  # read for the counts, the digest and the rows
         expected = F.format_string("c%03d", F.floor(F.col(row) / size))
         stats = batch.groupBy("chunk").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("chunk") != expected).alias("misplaced"))
         digest = table_digest(batch, ["chunk"], row_digest(*schema.names)).select("chunk", "digest")
         ledger = stats.join(digest, "chunk").withColumn("accepted", F.col("misplaced") == 0)
         ledger.write.mode("overwrite").parquet(f"{out}/ledger/batch={number}")
         batch.join(ledger.where("accepted").select("chunk"), "chunk", "left_semi").write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+        batch.unpersist()
 
     tagged.writeStream.foreachBatch(land).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 

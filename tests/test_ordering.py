@@ -62,3 +62,18 @@ def test_top_rows_beyond_the_group_limit(spark, path):
     order = frame.sort_values(["key", "value", "id"])
     assert set(small["id"]) == set(order.groupby("key").head(5)["id"])
     assert set(large["id"]) == set(order.groupby("key").head(1500)["id"])
+
+
+def test_any_bucket_count_gives_the_same_ranks(spark, monkeypatch):
+    from terraloom.operators import ordering
+
+    monkeypatch.setattr(ordering, "ONE_TASK_BYTES", -1)
+    monkeypatch.setattr(ordering, "PLAIN_WINDOW_ROWS", -1)
+    frame, df = skewed(spark, 1500)
+    want = frame.sort_values(["key", "value", "id"]).groupby("key").cumcount().sort_index() + 1
+    expected = dict(zip(frame["id"], want.reindex(frame.index)))
+    for buckets in (2, 3, 5, 37, 200):
+        got = ranked_rows(df, ["key"], F.col("value"), F.col("id"), buckets=buckets).select("id", "rank").collect()
+        assert {r.id: r["rank"] for r in got} == expected
+        q = exact_quantiles(df, [], "value", {"m": 0.61}, buckets=buckets).first().m
+        assert abs(q - np.quantile(frame["value"], 0.61)) < 1e-12
