@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,3 +60,17 @@ def clear_materialized(spark: SparkSession) -> None:
     """Delete the tables this application has materialized, once no result depends on them."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_materialized_root(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers once per application, whatever folder the driver runs in."""
+    context = spark.sparkContext
+    if getattr(context, "_terraloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / "terraloom.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._terraloom_shipped = True
