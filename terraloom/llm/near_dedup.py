@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from terraloom.llm.components import components
 from terraloom.llm.text import parts, shingle_sets
-from terraloom.session import materialize
+from terraloom.session import materialize, ship_package
 
 #: 32 bands of 4 rows miss a pair of similarity 0.75 with probability (1 - 0.75^4)^32 < 6e-6.
 BANDS, ROWS = 32, 4
@@ -71,6 +71,7 @@ def signatures(docs: DataFrame, n: int = BANDS * ROWS, size: int = 5) -> DataFra
                     pa.array([signature(x, a, b).tobytes() if len(x) else None for x in sets], pa.binary())],
                     ["doc_id", "text_hash", "n_shingles", "class_id", "sig"])
 
+    ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, n_shingles bigint, class_id binary, sig binary")
 
