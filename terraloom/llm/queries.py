@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraloom.llm import near_dedup
+from terraloom.llm import near_dedup, packing, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +30,15 @@ def query(name: str, sql: str | None = None):
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate component of every document at five-word shingles and a similarity of 0.75."""
     return near_dedup.near_duplicates(table(spark, folder, "documents")).drop("text_hash")
+
+
+@query("op6_token_files")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Index of the token files of all documents, read back from them."""
+    return token_files.encode_and_index(table(spark, folder, "documents"))
+
+
+@query("op10_mixture_packing")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all documents in windows of 2048 tokens that follow the sources' shares."""
+    return packing.pack(table(spark, folder, "documents"))
