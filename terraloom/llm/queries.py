@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraloom.llm import near_dedup, packing, token_files
+from terraloom.llm import mixing, near_dedup, packing, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +42,9 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of all documents in windows of 2048 tokens that follow the sources' shares."""
     return packing.pack(table(spark, folder, "documents"))
+
+
+@query("op4_source_mixing", mixing.ORACLE)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents, epochs and tokens that fill the budget of every domain-language-source leaf."""
+    return mixing.mixture(table(spark, folder, "documents")).drop("text_hash")
