@@ -23,7 +23,7 @@ BATCH = 16
 #: Chosen probability of pruning a pair that is similar enough, per look.
 MISS = 1e-7
 #: Rounds that test bucket members against one drawn member before the remaining pairs of a bucket are all tested.
-ROUNDS = 3
+ROUNDS = 1
 
 
 def signature(shingles: np.ndarray, multipliers: np.ndarray, shifts: np.ndarray) -> np.ndarray:
@@ -77,7 +77,7 @@ def signatures(docs: DataFrame, n: int = BANDS * ROWS, size: int = 5) -> DataFra
 
 
 def band_rows(classes: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(bucket, node): one row per band of each class."""
+    """(bucket, node, band): one row per band of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,9 +86,10 @@ def band_rows(classes: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataF
             sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(batch.num_rows, bands, rows)
             keys = np.array([xxhash.xxh64_intdigest(sigs[i, k].tobytes(), seed=k) for i in range(len(sigs)) for k in range(bands)], np.uint64)
             nodes = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes)], ["bucket", "node"])
+            order = np.tile(np.arange(bands, dtype=np.int32), len(sigs))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes), pa.array(order)], ["bucket", "node", "band"])
 
-    return classes.select("node", "sig").mapInArrow(run, "bucket bigint, node bigint")
+    return classes.select("node", "sig").mapInArrow(run, "bucket bigint, node bigint, band int")
 
 
 def unpruned(pairs: DataFrame, sigs: DataFrame, percent: int, miss: float = MISS, batch_size: int = BATCH) -> DataFrame:
@@ -135,7 +136,7 @@ def links_between_classes(classes: DataFrame, docs: DataFrame, percent: int, ban
     Pairs inside a component need no test once the component is known. First every bucket member is tested against the
     bucket's smallest node; then, for a few rounds, members of other components against one drawn member; at last (or as
     soon as that is no more than a few pairs per row) all remaining pairs of a bucket that cross components are tested,
-    those not in its largest component against every member. A group of copies so costs a multiple of its size, and no pair that shares a bucket goes untested
+    those not in its largest component against every member, each in the first bucket that it shares. A group of copies so costs a multiple of its size, and no pair that shares a bucket goes untested
     unless both are known to be in one component.
     """
     spark = classes.sparkSession
@@ -145,16 +146,16 @@ def links_between_classes(classes: DataFrame, docs: DataFrame, percent: int, ban
     nodes = members.select("node").distinct()
     sigs = materialize(classes.join(nodes, "node", "left_semi").select("node", "sig"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    texts = materialize(texts.join(classes.join(nodes, "node", "left_semi").select("node", "text_hash"), ["node", "text_hash"])
-                        .dropDuplicates(["node"]).select("node", "text"))
+    wanted = classes.join(nodes, "node", "left_semi").select("node", "text_hash")
+    texts = materialize(texts.join(wanted.hint("merge"), ["node", "text_hash"]).dropDuplicates(["node"]).select("node", "text"))
 
     def test(pairs: DataFrame) -> DataFrame:
-        return materialize(confirmed(materialize(unpruned(pairs, sigs, percent, miss)), texts, percent, size))
+        return materialize(confirmed(unpruned(pairs, sigs, percent, miss), texts, percent, size))
 
     links = test(_ordered(members, "node", "head"))
     for turn in range(rounds + 1):
         labels = components(links)
-        labelled = materialize(members.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")))
+        labelled = materialize(members.drop("head").join(labels, "node", "left").select("bucket", "node", "band", F.coalesce("label", "node").alias("label")))
         sizes = labelled.groupBy("bucket", "label").agg(
             F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("drawn"))
         mixed = sizes.groupBy("bucket").agg(F.max_by(F.struct("label", "drawn", "n"), F.struct("n", F.xxhash64("label"))).alias("main"),
@@ -167,8 +168,11 @@ def links_between_classes(classes: DataFrame, docs: DataFrame, percent: int, ban
         strays = open_rows.where("label <> main.label")
         last = turn == rounds or cost[1] <= 8 * cost[0]
         if last:
-            other = open_rows.select("bucket", F.col("node").alias("drawn"), F.col("label").alias("other_label"))
-            pairs = strays.select("bucket", "node", "label").join(other, "bucket").where("label <> other_label").select("node", "drawn")
+            keys = open_rows.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("band", "bucket"))).alias("keys"))
+            keyed = open_rows.join(keys, "node")
+            other = keyed.select("bucket", F.col("node").alias("drawn"), F.col("label").alias("other_label"), F.col("keys").alias("other_keys"))
+            new = F.expr("label <> other_label AND NOT exists(map_keys(keys), k -> k < band AND keys[k] <=> other_keys[k])")
+            pairs = strays.join(keys, "node").join(other, "bucket").where(new).select("node", "drawn")
         else:
             pairs = strays.select("node", F.col("main.drawn").alias("drawn"))
         links = links.union(test(_ordered(pairs, "node", "drawn")))

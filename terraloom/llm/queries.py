@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraloom.llm import mixing, near_dedup, packing, token_files
+from terraloom.llm import decision_list, mixing, near_dedup, packing, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +48,15 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     """Documents, epochs and tokens that fill the budget of every domain-language-source leaf."""
     return mixing.mixture(table(spark, folder, "documents")).drop("text_hash")
+
+
+@query("op7_quality_rules")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of every document, the base rule and the verdict of the learned decision list."""
+    return decision_list.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document by the learned lexicon."""
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
