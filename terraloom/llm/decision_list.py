@@ -131,10 +131,12 @@ def learn(labelled: DataFrame, precision: float = 0.95, support: int = 10, longe
             top = max(found_gains)[0]
             if top <= 0:
                 break
-            ties = [t for g, t in found_gains if g == top]  # equal splits: take the middle of their range
-            rule.append(Condition(f, above, (min(ties) + max(ties)) / 2))
+            rule.append(Condition(f, above, next(t for g, t in found_gains if g == top)))
         if not rule:
             return rules
+        sides = values.agg(*[F.expr(f"{agg}({FEATURES[c.feature]}) FILTER (WHERE {FEATURES[c.feature]} {sign} {c.threshold!r}D)")
+                             for c in rule for agg, sign in (("max", "<="), ("min", ">"))]).first()
+        rule = [Condition(c.feature, c.above, (sides[2 * k] + sides[2 * k + 1]) / 2) for k, c in enumerate(rule)]  # widest margin
         tails = [rule[:k + 1] for k in range(len(rule))]
         sums = rest.where("NOT grow").agg(*[F.count_if(F.expr(f"bad = {v} AND {conjunction(r)}")) for r in tails for v in (1, 0)]).first()
         scores = [((sums[2 * k] - sums[2 * k + 1]) / max(1, sums[2 * k] + sums[2 * k + 1]), k) for k in range(len(tails))]
