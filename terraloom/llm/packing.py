@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -62,17 +62,19 @@ class Schedule:
         return place, hi - lo
 
 
-def cut(place: np.ndarray, length: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Runs joined where they touch and cut at window ends."""
+def cut(place: np.ndarray, length: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start (counted along the runs) and place of every piece: runs joined where they touch, then cut at window ends and at `bounds`."""
     ends = place + length
     opens = np.flatnonzero(np.append(True, place[1:] != ends[:-1]))
+    along = (np.cumsum(length) - length)[opens]
     place, ends = place[opens], ends[np.append(opens[1:] - 1, len(ends) - 1)]
     pieces = (ends - 1) // window - place // window + 1
     which = np.repeat(np.arange(len(place)), pieces)
     step = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    lo = np.maximum(place[which], (place[which] // window + step) * window)
-    hi = np.minimum(ends[which], (place[which] // window + step + 1) * window)
-    return lo, hi - lo
+    at = along[which] + np.maximum(place[which], (place[which] // window + step) * window) - place[which]
+    at = np.union1d(at, bounds)
+    which = np.searchsorted(along, at, side="right") - 1
+    return at, place[which] + at - along[which]
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int, seed: int) -> DataFrame:
@@ -91,7 +93,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int, seed: int) -> DataFrame:
                     sent[queue] = before[-1] + len(x)
                 yield pa.RecordBatch.from_arrays([
                     *(batch.column(k).slice(s, e - s) for k in range(3)), pa.array(before, pa.int64()), pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], ["range_id", "doc_id", "queue", "before", "n_tokens", "ids"])
+                    pa.array([x.astype(encoder.width).tobytes() for x in ids], pa.binary())], ["range_id", "doc_id", "queue", "before", "n_tokens", "ids"])
 
     few = docs.select("source").distinct().limit(QUEUES + 1).count() <= QUEUES
     source = F.col("source").cast("string")
@@ -128,22 +130,29 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, window: int
     shares = np.array([(weights or {}).get(q[1:], totals[q] / sum(totals.values())) for q in queues], float)
     plan = Schedule(np.array([totals[q] for q in queues], np.int64), shares, window, granule)
     index = {q: i for i, q in enumerate(queues)}
+    width = coder(path, False, end_id).width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[] for _ in range(7)]
-            for range_id, doc_id, queue, before, n, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                place, length = cut(*plan.segments(index[queue], offsets[range_id, queue] + before, n), window)
-                start = np.cumsum(length) - length
-                body = memoryview(ids)
-                sums = [zlib.crc32(body[4 * a:4 * (a + m)]) for a, m in zip(start.tolist(), length.tolist())]
-                for column, values in zip(out, ([doc_id] * len(place), start.tolist(), length.tolist(), sums, [n] * len(place),
-                                                (place // window).tolist(), (place % window).tolist())):
-                    column.extend(values)
-                if len(out[0]) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], NAMES)
-                    out = [[] for _ in range(7)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], NAMES)
+            range_ids, queues_of = batch.column(0).to_numpy(), np.array([index[q] for q in batch.column(2).to_pylist()])
+            before, sizes = (batch.column(k).to_numpy() for k in (3, 4))
+            breaks = np.flatnonzero((np.diff(range_ids) != 0) | (np.diff(queues_of) != 0)) + 1
+            for s, e in zip([0, *breaks.tolist()], [*breaks.tolist(), len(sizes)]):
+                if s == e:
+                    continue
+                # documents that follow each other in a queue are one run of its tokens
+                run_of, k = sizes[s:e], queues_of[s]
+                total = int(run_of.sum())
+                starts = np.cumsum(run_of) - run_of
+                at, place = cut(*plan.segments(k, offsets[int(range_ids[s]), queues[k]] + int(before[s]), total), starts, window)
+                length = np.append(at[1:], total) - at
+                doc = np.searchsorted(starts, at, side="right") - 1
+                ids = np.frombuffer(b"".join(batch.column(5).slice(s, e - s).to_pylist()), width).astype("<u4")
+                body = memoryview(ids).cast("B")
+                sums = [crc32(body[4 * a:4 * (a + m)]) for a, m in zip(at.tolist(), length.tolist())]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(1).slice(s, e - s).take(pa.array(doc)), pa.array(at - starts[doc]), pa.array(length), pa.array(sums, pa.int64()),
+                    pa.array(run_of[doc]), pa.array(place // window), pa.array(place % window)], NAMES)
 
     return coded.mapInArrow(run, ", ".join(f"{name} bigint" for name in NAMES))
 

@@ -11,8 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct strings whose ids a worker remembers between batches.
-REMEMBERED = 400_000
+#: Distinct pieces, and distinct strings that merges see, whose ids a worker remembers between batches.
+REMEMBERED = 300_000
 #: Texts where a blank touches other white space, or a separator other than the line feed, are encoded in one go.
 IRREGULAR = r"^[\s\v\x1c-\x1f\x85\p{Z}]|[\s\v\x1c-\x1f\x85\p{Z}]$|[\s\v\x1c-\x1f\x85\p{Z}] | [\s\v\x1c-\x1f\x85\p{Z}]"
 #: Marks that end a word, and the first code point past the Latin letters whose class every Unicode version agrees on.
@@ -52,6 +52,8 @@ class Coder:
         self.tokenizer.encode_special_tokens = True
         self.joined, self.end_id = joined, end_id
         self.known: dict[str, bytes] = {}
+        self.seen: dict[str, bytes] = {}
+        self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
@@ -76,20 +78,24 @@ class Coder:
         return [x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)]
 
     def pieces(self, words: list[str]) -> list[bytes]:
-        known, new, fresh, tokenize, out = self.known, {}, {}, self.tokenizer.model.tokenize, []
+        known, seen, tokenize, out = self.known, self.seen, self.tokenizer.model.tokenize, []
+        new, fresh = {}, {}
         for word in words:
             coded = known.get(word)
             if coded is None:
                 coded = b""
                 for x in self.pretokens(word):
-                    ids = fresh.get(x)
+                    ids = seen.get(x)
                     if ids is None:
-                        ids = fresh[x] = array("i", [t.id for t in tokenize(x)]).tobytes()
+                        ids = fresh.get(x)
+                        if ids is None:
+                            ids = fresh[x] = array("i", [t.id for t in tokenize(x)]).tobytes()
                     coded += ids
                 new[word] = coded
             out.append(coded)
-        if (room := REMEMBERED - len(known)) > 0:
-            known.update(islice(new.items(), room))
+        for kept, found in ((known, new), (seen, fresh)):
+            if (room := REMEMBERED - len(kept)) > 0:
+                kept.update(islice(found.items(), room))
         return out
 
     def encode(self, column: pa.Array) -> list[np.ndarray]:
