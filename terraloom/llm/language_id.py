@@ -43,7 +43,8 @@ def grams(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts = at[:-1] + 3 * np.arange(len(sizes)) + 1
     opened[np.arange(len(body)) + np.repeat(3 * np.arange(len(sizes)) + 1, sizes)] = LETTERS[body]
     x = opened.astype(np.uint32)
-    one, two = np.append(x[1:], 32), np.append(x[2:], (32, 32))[:len(x)]
+    one, two = np.full_like(x, 32), np.full_like(x, 32)
+    one[:-1], two[:-2] = x[1:], x[2:]
     codes = np.stack([x, x << 8 | one | 1 << 24, x << 16 | one << 8 | two | 2 << 24], axis=1)
     use = (x != 32) | (one != 32)
     hashed = (codes * np.uint32(2654435761) >> np.uint32(19)).astype(np.int32)[use]
@@ -84,12 +85,14 @@ def train(x: np.ndarray, y: np.ndarray, cost: float = 1.0, passes: int = 30) ->
 
 @dataclass
 class Model:
-    """Columns of `weights` score, in order, each family against the rest, then each pair of languages of each family."""
+    """Columns of `weights` score, in order, each family against the rest, then each pair of languages of each family; n-gram
+    shares count by `scale` and as a direction (divided by their norm)."""
 
     families: list[str]
     members: dict[str, list[str]]
     pairs: list[tuple[str, str]]
     weights: np.ndarray
+    scale: np.ndarray
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
@@ -104,7 +107,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     for lang in sorted(counts):  # one bounded top-k of ids per language; their texts follow by a join with the few ids
         taken.append(usable.where(F.col("lang") == lang).select("doc_id", "_order").orderBy("_order", "doc_id").limit(sample))
     if not taken:
-        return Model([], {}, [], np.zeros((BUCKETS, 0)))
+        return Model([], {}, [], np.zeros((BUCKETS, 0)), np.ones(BUCKETS))
     ids = taken[0]
     for more in taken[1:]:
         ids = ids.union(more)
@@ -122,7 +125,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     for a, b in pairs:
         use = (langs == a) | (langs == b)
         columns.append(train(x[use], np.where(langs[use] == a, 1, -1)))
-    return Model(families, members, pairs, (np.stack(columns, axis=1) * scale[:, None]).astype(np.float32))
+    return Model(families, members, pairs, np.stack(columns, axis=1) * scale[:, None], scale)
 
 
 def decide(model: Model, sums: np.ndarray, norms: np.ndarray) -> tuple[list[str], list[float]]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraloom.llm import decision_list, mixing, near_dedup, packing, token_files, toxicity
+from terraloom.llm import decision_list, language_id, mixing, near_dedup, packing, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +60,9 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document by the learned lexicon."""
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op1_language_id")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from the labelled ones that are not held out."""
+    return language_id.identify(table(spark, folder, "documents"))
