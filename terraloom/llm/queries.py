@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraloom.llm import decision_list, language_id, mixing, near_dedup, packing, token_files, toxicity
+from terraloom.llm import decision_list, language_id, licenses, mixing, near_dedup, packing, token_files, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +66,15 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document, learned from the labelled ones that are not held out."""
     return language_id.identify(table(spark, folder, "documents"))
+
+
+@query("op8_warc_round_trip")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of the archives written from all pages, read back."""
+    return warc.archive_round_trip(table(spark, folder, "pages"))
+
+
+@query("op9_license_scan", licenses.ORACLE)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence that each document is, and notices among its lines."""
+    return licenses.scan(table(spark, folder, "documents"))
