@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraloom.llm import decision_list, language_id, licenses, mixing, near_dedup, packing, token_files, toxicity, warc
+from terraloom.llm import decision_list, fingerprints, language_id, licenses, mixing, near_dedup, packing, token_files, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Licence that each document is, and notices among its lines."""
     return licenses.scan(table(spark, folder, "documents"))
+
+
+@query("op5_fingerprints")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document, of its edited text, and how like they are."""
+    return fingerprints.fingerprints(table(spark, folder, "documents"))
