@@ -9,10 +9,10 @@ from terraloom.llm.tables import let, parallelism
 
 #: Words per paragraph piece: a line is a paragraph, and a longer one is cut, so that an edit changes few digests.
 PIECE = 16
-#: Digests per shard that a fingerprint is laid out for, cells per hash function in a shard, and times a shard is doubled.
-SHARD, CELLS, DOUBLINGS = 10, 4, 6
+#: Digests per shard that a fingerprint is laid out for, cells per hash function in a shard, and times a failed shard is enlarged.
+SHARD, CELLS, RETRIES = 10, 4, 5
 #: Peeling passes over a shard's cells before it counts as failed.
-PASSES = 10
+PASSES = 6
 EMPTY = "named_struct('c', 0, 'k', 0L, 'h', 0L)"
 
 
@@ -33,18 +33,17 @@ def shards_for(count: str) -> str:
 
 
 def table_of(keys: str, t: str) -> str:
-    """Cells (count, XOR of digests, XOR of their check hashes) of a shard's digests, doubled t times: one cell per hash function."""
-    size = f"shiftleft({CELLS}, {t})"
-    place = ", ".join(f"{j} * {size} + CAST(shiftrightunsigned(xxhash64(x, {t}), {16 * j}) & ({size} - 1) AS INT) AS p{j}" for j in range(3))
+    """Cells (count, XOR of digests, XOR of their check hashes) of a shard's digests in attempt t: one cell per hash function."""
+    place = ", ".join(f"CAST(shiftrightunsigned(xxhash64(x, {t}), {16 * j}) & {CELLS - 1} AS INT) AS p{j}" for j in range(3))
     entries = f"transform({keys}, x -> struct(x AS k, xxhash64(x, 99) & 4294967295L AS h, {place}))"
-    add = "IF(i = e.p0 OR i = e.p1 OR i = e.p2, named_struct('c', a.c + 1, 'k', a.k ^ e.k, 'h', a.h ^ e.h), a)"
-    return f"transform(array({entries}), es -> transform(sequence(0, 3 * {size} - 1), i -> aggregate(es, {EMPTY}, (a, e) -> {add})))[0]"
+    add = "named_struct('c', a.c + 1, 'k', a.k ^ e.k, 'h', a.h ^ e.h)"
+    parts = ", ".join(f"transform(sequence(0, {CELLS - 1}), i -> aggregate(es, {EMPTY}, (a, e) -> IF(i = e.p{j}, {add}, a)))" for j in range(3))
+    return f"transform(array({entries}), es -> concat({parts}))[0]"
 
 
 def peeled(cells: str, t: str) -> str:
     """(ok, plus, minus): digests of the first and of the second version recovered from subtracted cells."""
-    size = f"shiftleft({CELLS}, {t})"
-    place = ", ".join(f"{j} * {size} + CAST(shiftrightunsigned(xxhash64(c.k, {t}), {16 * j}) & ({size} - 1) AS INT) AS p{j}" for j in range(3))
+    place = ", ".join(f"{j * CELLS} + CAST(shiftrightunsigned(xxhash64(c.k, {t}), {16 * j}) & {CELLS - 1} AS INT) AS p{j}" for j in range(3))
     single = "filter(s.cells, c -> abs(c.c) = 1 AND c.h = xxhash64(c.k, 99) & 4294967295L)"
     found = f"array_distinct(transform({single}, c -> struct(c.c AS c, c.k AS k, c.h AS h, {place})))"
     less = "IF(i = p.p0 OR i = p.p1 OR i = p.p2, named_struct('c', a.c - p.c, 'k', a.k ^ p.k, 'h', a.h ^ p.h), a)"
@@ -66,11 +65,15 @@ def shard_lists(keys: str, shards: str) -> str:
 def difference(one: str, two: str, shards: str) -> str:
     """(plus, minus): how many digests only the first, only the second version has, recovered shard by shard.
 
-    Both versions' cells are subtracted and peeled; a shard that does not peel to nothing is built again at twice the
-    size with other places, up to DOUBLINGS times (then, for less than one shard in 10^9, its lists are compared).
+    Both versions' cells are subtracted and peeled. A shard that does not peel to nothing is laid out again, four times as
+    large and by other hashes, up to RETRIES times (then, for less than one shard in 10^9, its lists are compared).
     """
-    cells = f"zip_with({table_of('z.one', 't')}, {table_of('z.two', 't')}, (x, y) -> named_struct('c', x.c - y.c, 'k', x.k ^ y.k, 'h', x.h ^ y.h))"
-    tries = f"""aggregate(sequence(0, {DOUBLINGS}), named_struct('ok', false, 'plus', 0, 'minus', 0), (st, t) -> IF(st.ok, st, {peeled(cells, 't')}),
+    own = "filter({}, x -> (shiftrightunsigned(xxhash64(x, t), 52) & (shiftleft(1, 2 * t) - 1)) = b)"
+    first = [f"IF(t = 0, {z}, {own.format(z)})" for z in ("z.one", "z.two")]
+    cells = f"zip_with({table_of(first[0], 't')}, {table_of(first[1], 't')}, (x, y) -> named_struct('c', x.c - y.c, 'k', x.k ^ y.k, 'h', x.h ^ y.h))"
+    attempt = f"""aggregate(transform(sequence(0, shiftleft(1, 2 * t) - 1), b -> {peeled(cells, 't')}), named_struct('ok', true, 'plus', 0, 'minus', 0),
+        (a, d) -> named_struct('ok', a.ok AND d.ok, 'plus', a.plus + d.plus, 'minus', a.minus + d.minus))"""
+    tries = f"""aggregate(sequence(0, {RETRIES}), named_struct('ok', false, 'plus', 0, 'minus', 0), (st, t) -> IF(st.ok, st, {attempt}),
         st -> IF(st.ok, named_struct('plus', st.plus, 'minus', st.minus), named_struct('plus', size(array_except(z.one, z.two)), 'minus', size(array_except(z.two, z.one)))))"""
     pairs = f"zip_with({shard_lists(one, shards)}, {shard_lists(two, shards)}, (x, y) -> named_struct('one', x, 'two', y))"
     return f"aggregate(transform({pairs}, z -> {tries}), named_struct('plus', 0, 'minus', 0), (a, d) -> named_struct('plus', a.plus + d.plus, 'minus', a.minus + d.minus))"

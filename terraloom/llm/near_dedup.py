@@ -130,19 +130,45 @@ def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
 
 
+def reach(nodes: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """(node, n, most): size of each node's set and the most that its and a partner's size may add up to for a link among `nodes`.
+
+    A link needs 100 * shared >= percent * (n + m - shared), and no more can be shared than the shingles that any other
+    of the nodes has too. So a copy with many edits of its own is known to have no partner without pairing it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s, e in parts(batch.column(1), 4_000_000):
+                sets = shingle_sets(batch.column(1).slice(s, e - s), size)
+                sizes = np.array([len(x) for x in sets], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(batch.column(0).slice(s, e - s).to_numpy(), sizes))],
+                                                 ["shingle", "node"])
+
+    rows = texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(run, "shingle bigint, node bigint")
+    single = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"), F.min("node").alias("node"))
+    own = single.where("holders = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    most = F.expr(f"floor(({100 + percent} * (n - coalesce(own, 0))) / {percent})").cast("bigint")
+    return counts.join(own, "node", "left").select("node", "n", most.alias("most"))
+
+
 def links_between_classes(classes: DataFrame, docs: DataFrame, percent: int, bands: int, rows: int, miss: float, size: int, rounds: int) -> DataFrame:
     """Links that span every component of the classes' similarity graph.
 
     Pairs inside a component need no test once the component is known. First every bucket member is tested against the
-    bucket's smallest node; then, for a few rounds, members of other components against one drawn member; at last (or as
+    bucket's hub, the member with the most company over all its buckets (of edited copies the least edited one); then, for a few rounds, members of other components against one drawn member; at last (or as
     soon as that is no more than a few pairs per row) all remaining pairs of a bucket that cross components are tested,
-    those not in its largest component against every member, each in the first bucket that it shares. A group of copies so costs a multiple of its size, and no pair that shares a bucket goes untested
+    those not in its largest component against every member, each in the first bucket that it shares and only if both
+    texts' `reach` allows a link. A group of copies so costs a multiple of its size, and no pair that shares a bucket goes untested
     unless both are known to be in one component.
     """
     spark = classes.sparkSession
     banded = materialize(band_rows(classes, bands, rows))
-    heads = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head")).where("n > 1").drop("n")
-    members = materialize(banded.join(heads, "bucket"))
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = materialize(banded.join(shared, "bucket"))
+    company = members.groupBy("node").agg(F.sum("n").alias("company"))
+    hubs = members.join(company, "node").groupBy("bucket").agg(F.max_by("node", F.struct("company", F.expr("-node"))).alias("hub"))
     nodes = members.select("node").distinct()
     sigs = materialize(classes.join(nodes, "node", "left_semi").select("node", "sig"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
@@ -152,10 +178,10 @@ def links_between_classes(classes: DataFrame, docs: DataFrame, percent: int, ban
     def test(pairs: DataFrame) -> DataFrame:
         return materialize(confirmed(unpruned(pairs, sigs, percent, miss), texts, percent, size))
 
-    links = test(_ordered(members, "node", "head"))
+    links = test(_ordered(members.join(hubs, "bucket"), "node", "hub"))
     for turn in range(rounds + 1):
         labels = components(links)
-        labelled = materialize(members.drop("head").join(labels, "node", "left").select("bucket", "node", "band", F.coalesce("label", "node").alias("label")))
+        labelled = materialize(members.drop("n").join(labels, "node", "left").select("bucket", "node", "band", F.coalesce("label", "node").alias("label")))
         sizes = labelled.groupBy("bucket", "label").agg(
             F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("drawn"))
         mixed = sizes.groupBy("bucket").agg(F.max_by(F.struct("label", "drawn", "n"), F.struct("n", F.xxhash64("label"))).alias("main"),
@@ -168,11 +194,15 @@ def links_between_classes(classes: DataFrame, docs: DataFrame, percent: int, ban
         strays = open_rows.where("label <> main.label")
         last = turn == rounds or cost[1] <= 8 * cost[0]
         if last:
+            open_rows = materialize(open_rows)
             keys = open_rows.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("band", "bucket"))).alias("keys"))
-            keyed = open_rows.join(keys, "node")
-            other = keyed.select("bucket", F.col("node").alias("drawn"), F.col("label").alias("other_label"), F.col("keys").alias("other_keys"))
-            new = F.expr("label <> other_label AND NOT exists(map_keys(keys), k -> k < band AND keys[k] <=> other_keys[k])")
-            pairs = strays.join(keys, "node").join(other, "bucket").where(new).select("node", "drawn")
+            keyed = open_rows.join(keys.join(reach(open_rows.select("node").distinct(), texts, percent, size), "node"), "node")
+            smallest = open_rows.select("bucket", "node").join(keyed.select("node", "n").distinct(), "node").groupBy("bucket").agg(F.min("n").alias("least_n"))
+            keyed = keyed.join(smallest, "bucket").where("n + least_n <= most")
+            other = keyed.select("bucket", F.col("node").alias("drawn"), F.col("label").alias("other_label"), F.col("keys").alias("other_keys"),
+                                 F.col("n").alias("other_n"), F.col("most").alias("other_most"))
+            new = F.expr("label <> other_label AND n + other_n <= least(most, other_most) AND NOT exists(map_keys(keys), k -> k < band AND keys[k] <=> other_keys[k])")
+            pairs = keyed.where("label <> main.label").join(other, "bucket").where(new).select("node", "drawn")
         else:
             pairs = strays.select("node", F.col("main.drawn").alias("drawn"))
         links = links.union(test(_ordered(pairs, "node", "drawn")))
