@@ -85,7 +85,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, sent = coder(path, False, end_id), {}
         for batch in batches:
-            for s, e in parts(batch.column(3), 8_000_000):
+            for s, e in parts(batch.column(3), 16_000_000):
                 ids = encoder.encode(batch.column(3).slice(s, e - s))
                 before = []
                 for queue, x in zip(batch.column(2).slice(s, e - s).to_pylist(), ids):

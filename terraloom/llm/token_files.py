@@ -37,7 +37,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = coder(path, True, end_id)
         for batch in batches:
-            for s, e in parts(batch.column(1), 8_000_000):
+            for s, e in parts(batch.column(1), 16_000_000):
                 ids = encoder.encode(batch.column(1).slice(s, e - s))
                 sizes = np.array([len(x) for x in ids], np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.concatenate(ids)))

@@ -51,46 +51,46 @@ class Coder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.joined, self.end_id = joined, end_id
-        self.known: dict[str, bytes] = {}
+        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
         self.seen: dict[str, bytes] = {}
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
 
-    def pretokens(self, piece: str) -> list[str]:
-        """The strings that the tokenizer's merges see.
+    def pretokens(self, word: str, opened: bool) -> list[str]:
+        """The strings that the tokenizer's merges see, of a piece that a blank opens or not.
 
         A Latin word, also with marks after it, is cut here; anything else by the tokenizer itself.
         """
-        opening = piece[:1] == " "
-        word = (piece[1:] if opening else piece).rstrip(MARKS)
-        if word and word.isalpha() and max(word) < LATIN_END:
-            marks = piece[len(word) + opening:]
-            if not self.joined:
-                word = word.lower()
-            if word.isalpha():
-                if not word.isascii():
-                    word = word.encode().decode("latin-1").translate(BYTE_NAMES)
-                return [BLANK + word if opening else word, marks] if marks else [BLANK + word if opening else word]
+        base = word.rstrip(MARKS)
+        if base.isalpha() and (base.isascii() or max(base) < LATIN_END):
+            x = base if self.joined else base.lower()
+            if x.isascii() or x.isalpha():
+                if not x.isascii():
+                    x = x.encode().decode("latin-1").translate(BYTE_NAMES)
+                if opened:
+                    x = BLANK + x
+                return [x] if base == word else [x, word[len(base):]]
+        piece = " " + word if opened else word
         if self.tokenizer.normalizer is not None:
             piece = self.tokenizer.normalizer.normalize_str(piece)
         return [x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)]
 
-    def pieces(self, words: list[str]) -> list[bytes]:
-        known, seen, tokenize, out = self.known, self.seen, self.tokenizer.model.tokenize, []
+    def pieces(self, words: list[str], opened: bool) -> list[bytes]:
+        known, seen, tokenize, pretokens, out = self.known[opened], self.seen, self.tokenizer.model.tokenize, self.pretokens, []
         new, fresh = {}, {}
         for word in words:
             coded = known.get(word)
             if coded is None:
                 coded = b""
-                for x in self.pretokens(word):
+                for x in pretokens(word, opened):
                     ids = seen.get(x)
                     if ids is None:
                         ids = fresh.get(x)
                         if ids is None:
                             ids = fresh[x] = array("i", [t.id for t in tokenize(x)]).tobytes()
-                    coded += ids
+                    coded = coded + ids if coded else ids
                 new[word] = coded
             out.append(coded)
         for kept, found in ((known, new), (seen, fresh)):
@@ -105,28 +105,27 @@ class Coder:
         split = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        kinds = len(words)
-        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
         ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))
         firsts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+        forms = self.pieces(words, self.joined)
         if self.joined:
             opening = np.unique(index[firsts])
-            forms = self.pieces([" " + w for w in words] + [words[i] for i in opening])
-            index[firsts] = kinds + np.searchsorted(opening, index[firsts])
-        else:
-            forms = self.pieces(words)
+            forms += self.pieces([words[i] for i in opening], False)
+            index[firsts] = len(words) + np.searchsorted(opening, index[firsts])
         sizes = np.fromiter(map(len, forms), np.int64, len(forms)) // 4
         table = np.frombuffer(b"".join(forms), np.int32)
         at = np.cumsum(sizes) - sizes
-        counts = sizes[index]
-        total = np.cumsum(counts)
-        flat = table[np.repeat(at[index] - (total - counts), counts) + np.arange(total[-1] if len(total) else 0)]
-        bounds = total[ends - 1] if len(ends) else ends
-        out, before = [], 0
-        for i, bound in enumerate(bounds):
-            body = self.whole(texts[i].as_py()) if odd[i] else flat[before:bound]
-            out.append(np.append(body, np.int32(self.end_id)))
-            before = bound
+        out, end = [], np.int32(self.end_id)
+        for s in range(0, len(ends), 256):  # a few documents at a time, so that the gathered positions stay small
+            piece = index[firsts[s]:ends[min(s + 256, len(ends)) - 1]]
+            counts = sizes[piece]
+            total = np.cumsum(counts)
+            flat = table[np.repeat(at[piece] - (total - counts), counts) + np.arange(total[-1])]
+            before = 0
+            for i, bound in enumerate(total[ends[s:s + 256] - 1 - firsts[s]].tolist(), s):
+                out.append(np.append(self.whole(texts[i].as_py()) if odd[i] else flat[before:bound], end))
+                before = bound
         return out
 
 
