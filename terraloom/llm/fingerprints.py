@@ -32,13 +32,17 @@ def shards_for(count: str) -> str:
     return f"CAST(shiftleft(1, CAST(ceil(log2(greatest(1, ({count}) / {SHARD}D))) AS INT)) AS INT)"
 
 
-def table_of(keys: str, t: str) -> str:
-    """Cells (count, XOR of digests, XOR of their check hashes) of a shard's digests in attempt t: one cell per hash function."""
+def table_of(plus: str, minus: str | None, t: str) -> str:
+    """Cells of a shard's table in attempt t: (count, XOR of digests, XOR of their check hashes), one cell per hash function.
+
+    A cell only sums up its digests, so the tables of two versions are subtracted by adding the second with count -1.
+    """
     place = ", ".join(f"CAST(shiftrightunsigned(xxhash64(x, {t}), {16 * j}) & {CELLS - 1} AS INT) AS p{j}" for j in range(3))
-    entries = f"transform({keys}, x -> struct(x AS k, xxhash64(x, 99) & 4294967295L AS h, {place}))"
-    add = "named_struct('c', a.c + 1, 'k', a.k ^ e.k, 'h', a.h ^ e.h)"
+    entries = lambda keys, c: f"transform({keys}, x -> struct({c} AS c, x AS k, xxhash64(x, 99) & 4294967295L AS h, {place}))"
+    both = entries(plus, 1) if minus is None else f"concat({entries(plus, 1)}, {entries(minus, -1)})"
+    add = "named_struct('c', a.c + e.c, 'k', a.k ^ e.k, 'h', a.h ^ e.h)"
     parts = ", ".join(f"transform(sequence(0, {CELLS - 1}), i -> aggregate(es, {EMPTY}, (a, e) -> IF(i = e.p{j}, {add}, a)))" for j in range(3))
-    return f"transform(array({entries}), es -> concat({parts}))[0]"
+    return f"transform(array({both}), es -> concat({parts}))[0]"
 
 
 def peeled(cells: str, t: str) -> str:
@@ -69,8 +73,7 @@ def difference(one: str, two: str, shards: str) -> str:
     large and by other hashes, up to RETRIES times (then, for less than one shard in 10^9, its lists are compared).
     """
     own = "filter({}, x -> (shiftrightunsigned(xxhash64(x, t), 52) & (shiftleft(1, 2 * t) - 1)) = b)"
-    first = [f"IF(t = 0, {z}, {own.format(z)})" for z in ("z.one", "z.two")]
-    cells = f"zip_with({table_of(first[0], 't')}, {table_of(first[1], 't')}, (x, y) -> named_struct('c', x.c - y.c, 'k', x.k ^ y.k, 'h', x.h ^ y.h))"
+    cells = table_of(*[f"IF(t = 0, {z}, {own.format(z)})" for z in ("z.one", "z.two")], "t")
     attempt = f"""aggregate(transform(sequence(0, shiftleft(1, 2 * t) - 1), b -> {peeled(cells, 't')}), named_struct('ok', true, 'plus', 0, 'minus', 0),
         (a, d) -> named_struct('ok', a.ok AND d.ok, 'plus', a.plus + d.plus, 'minus', a.minus + d.minus))"""
     tries = f"""aggregate(sequence(0, {RETRIES}), named_struct('ok', false, 'plus', 0, 'minus', 0), (st, t) -> IF(st.ok, st, {attempt}),
@@ -89,7 +92,7 @@ def likeness(one: str, two: str) -> str:
 def fingerprint(keys: str) -> str:
     """Text form: number of digests and shards, then count, digests and checks of every cell in hexadecimal."""
     hexed = "concat(lpad(hex(c.c & 255), 2, '0'), lpad(hex(c.k), 16, '0'), lpad(hex(c.h), 8, '0'))"
-    shown = f"concat_ws('', transform(flatten(transform({shard_lists(keys, 'm')}, z -> {table_of('z', '0')})), c -> {hexed}))"
+    shown = f"concat_ws('', transform(flatten(transform({shard_lists(keys, 'm')}, z -> {table_of('z', None, '0')})), c -> {hexed}))"
     return f"transform(array({shards_for(f'size({keys})')}), m -> concat('iblt1:', size({keys}), ':', m, ':', {shown}))[0]"
 
 
