@@ -47,7 +47,7 @@ class Schedule:
 
     def round_of(self, granule: np.ndarray, k: int) -> np.ndarray:
         """The round in which queue k sends a granule."""
-        r = np.maximum(0, (granule / self.rate[k]).astype(np.int64) - 2)
+        r = np.maximum(0, ((granule + 1) / self.rate[k]).astype(np.int64) - 3)
         for _ in range(6):
             r += self.granules(r + 1, k) <= granule
         return r
