@@ -24,6 +24,8 @@ BATCH = 16
 MISS = 1e-7
 #: Rounds that test bucket members against one drawn member before the remaining pairs of a bucket are all tested.
 ROUNDS = 1
+#: Members beyond which a bucket's remaining pairs are first ruled out by their shingles, and holders up to which a shingle is rare.
+CROWD, RARE = 64, 16
 
 
 def signature(shingles: np.ndarray, multipliers: np.ndarray, shifts: np.ndarray) -> np.ndarray:
@@ -130,12 +132,8 @@ def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
 
 
-def reach(nodes: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """(node, n, most): size of each node's set and the most that its and a partner's size may add up to for a link among `nodes`.
-
-    A link needs 100 * shared >= percent * (n + m - shared), and no more can be shared than the shingles that any other
-    of the nodes has too. So a copy with many edits of its own is known to have no partner without pairing it.
-    """
+def shingle_rows(texts: DataFrame, size: int) -> DataFrame:
+    """(shingle, node): one row per shingle of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,25 +143,54 @@ def reach(nodes: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(batch.column(0).slice(s, e - s).to_numpy(), sizes))],
                                                  ["shingle", "node"])
 
-    rows = texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(run, "shingle bigint, node bigint")
-    single = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"), F.min("node").alias("node"))
-    own = single.where("holders = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
-    counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    most = F.expr(f"floor(({100 + percent} * (n - coalesce(own, 0))) / {percent})").cast("bigint")
-    return counts.join(own, "node", "left").select("node", "n", most.alias("most"))
+    return texts.select("node", "text").mapInArrow(run, "shingle bigint, node bigint")
+
+
+def pairs_in_buckets(rows: DataFrame, reach: DataFrame | None = None) -> DataFrame:
+    """Pairs of different labels in each bucket of `rows` (bucket, node, band, label, main), one of them outside the bucket's
+    main label, each in the first bucket that it shares; with `reach` (node, n, most) only pairs with n + m <= both `most`."""
+    keys = rows.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("band", "bucket"))).alias("keys"))
+    keyed, fits = rows.join(keys, "node"), "true"
+    if reach is not None:
+        keyed, fits = keyed.join(reach, "node"), "n + other_n <= least(most, other_most)"
+        least = rows.select("bucket", "node").join(reach, "node").groupBy("bucket").agg(F.min("n").alias("least_n"))
+        keyed = keyed.join(least, "bucket").where("n + least_n <= most")
+    other = keyed.select("bucket", F.col("node").alias("drawn"), F.col("label").alias("other_label"), F.col("keys").alias("other_keys"),
+                         *([F.col("n").alias("other_n"), F.col("most").alias("other_most")] if reach is not None else []))
+    new = F.expr(f"label <> other_label AND {fits} AND NOT exists(map_keys(keys), k -> k < band AND keys[k] <=> other_keys[k])")
+    return keyed.where("label <> main.label").join(other, "bucket").where(new).select("node", "drawn")
+
+
+def pairs_in_crowds(rows: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """Pairs of different labels that may be similar enough, in buckets too full to pair everyone.
+
+    A shingle is rare here if at most RARE of the texts have it. Two texts share a rare shingle, and then meet at it, or
+    all that they share is common; then 100 * shared >= percent * (n + m - shared) bounds the sum of their sizes by what
+    each has of common shingles. So a copy with many edits of its own is not paired with the whole crowd, and no link is lost.
+    """
+    shingles = materialize(shingle_rows(texts.join(rows.select("node").distinct(), "node", "left_semi"), size))
+    holders = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"))
+    known = materialize(shingles.join(holders, "shingle"))
+    most = F.expr(f"floor({100 + percent} * count_if(holders > {RARE}) / {percent})").cast("bigint")
+    reach = materialize(known.groupBy("node").agg(F.count(F.lit(1)).alias("n"), most.alias("most")))
+    labels = rows.groupBy("node").agg(F.min("label").alias("label"), F.max(F.expr("label <> main.label")).alias("stray"))
+    meeting = known.where(f"holders BETWEEN 2 AND {RARE}").select("shingle", "node").join(labels, "node")
+    other = meeting.select("shingle", F.col("node").alias("drawn"), F.col("label").alias("other_label"))
+    met = meeting.where("stray").join(other, "shingle").where("label <> other_label").select("node", "drawn")
+    return met.union(pairs_in_buckets(rows, reach))
 
 
 def links_between_classes(classes: DataFrame, docs: DataFrame, percent: int, bands: int, rows: int, miss: float, size: int, rounds: int) -> DataFrame:
     """Links that span every component of the classes' similarity graph.
 
     Pairs inside a component need no test once the component is known. First every bucket member is tested against the
-    bucket's hub, the member with the most company over all its buckets (of edited copies the least edited one); then, for a few rounds, members of other components against one drawn member; at last (or as
-    soon as that is no more than a few pairs per row) all remaining pairs of a bucket that cross components are tested,
-    those not in its largest component against every member, each in the first bucket that it shares and only if both
-    texts' `reach` allows a link. A group of copies so costs a multiple of its size, and no pair that shares a bucket goes untested
-    unless both are known to be in one component.
+    bucket's hub, the member with the most company over all its buckets (of edited copies the least edited one). Then, for
+    a few rounds, members of other components are tested against one drawn member of the bucket's largest component. At
+    last (or as soon as that is no more than a few pairs per row) all pairs of a bucket that still cross components are
+    tested; in buckets of more than CROWD members only those that `pairs_in_crowds` cannot rule out. A group of copies so
+    costs a multiple of its size, and no pair that shares a bucket goes untested unless both are known to be in one
+    component or to be no link.
     """
-    spark = classes.sparkSession
     banded = materialize(band_rows(classes, bands, rows))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialize(banded.join(shared, "bucket"))
@@ -190,19 +217,15 @@ def links_between_classes(classes: DataFrame, docs: DataFrame, percent: int, ban
         cost = mixed.agg(F.sum("n"), F.sum(F.expr("n * (n - main.n)"))).first()
         if not cost[0]:
             break
-        open_rows = labelled.join(mixed.select("bucket", "main"), "bucket")
+        open_rows = labelled.join(mixed, "bucket")
         strays = open_rows.where("label <> main.label")
         last = turn == rounds or cost[1] <= 8 * cost[0]
         if last:
             open_rows = materialize(open_rows)
-            keys = open_rows.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("band", "bucket"))).alias("keys"))
-            keyed = open_rows.join(keys.join(reach(open_rows.select("node").distinct(), texts, percent, size), "node"), "node")
-            smallest = open_rows.select("bucket", "node").join(keyed.select("node", "n").distinct(), "node").groupBy("bucket").agg(F.min("n").alias("least_n"))
-            keyed = keyed.join(smallest, "bucket").where("n + least_n <= most")
-            other = keyed.select("bucket", F.col("node").alias("drawn"), F.col("label").alias("other_label"), F.col("keys").alias("other_keys"),
-                                 F.col("n").alias("other_n"), F.col("most").alias("other_most"))
-            new = F.expr("label <> other_label AND n + other_n <= least(most, other_most) AND NOT exists(map_keys(keys), k -> k < band AND keys[k] <=> other_keys[k])")
-            pairs = keyed.where("label <> main.label").join(other, "bucket").where(new).select("node", "drawn")
+            pairs = pairs_in_buckets(open_rows.where(f"n <= {CROWD}").drop("n"))
+            crowds = open_rows.where(f"n > {CROWD}").drop("n")
+            if not crowds.isEmpty():
+                pairs = pairs.union(pairs_in_crowds(crowds, texts, percent, size))
         else:
             pairs = strays.select("node", F.col("main.drawn").alias("drawn"))
         links = links.union(test(_ordered(pairs, "node", "drawn")))

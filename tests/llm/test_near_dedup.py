@@ -38,12 +38,14 @@ def edited(words, n, draw):
     return " ".join(out)
 
 
-@pytest.mark.parametrize("rounds", [0, 1])
-def test_groups_of_edited_copies_match_brute_force(spark, rounds):
+@pytest.mark.parametrize("rounds, crowd", [(0, 64), (1, 4)])
+def test_groups_of_edited_copies_match_brute_force(spark, monkeypatch, rounds, crowd):
+    monkeypatch.setattr(near_dedup, "CROWD", crowd)
+    monkeypatch.setattr(near_dedup, "RARE", 3)
     draw, rows = random.Random(4), []
     for group in range(6):
         words = [f"w{draw.randrange(400)}" for _ in range(120)]
-        rows += [(len(rows) + k, edited(words, draw.randrange(0, 5), draw)) for k in range(40)]
+        rows += [(len(rows) + k, edited(words, draw.randrange(0, 7), draw)) for k in range(40)]
     draw.shuffle(rows)
     assert answer(spark.createDataFrame(rows, "doc_id bigint, text string"), rounds=rounds) == brute(rows)
 
