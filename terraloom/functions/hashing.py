@@ -32,9 +32,10 @@ def hash_unit(*parts) -> Column:
 
 
 def row_digest(*columns) -> Column:
-    """sha-256 of the row's values joined by '|', nulls written as an empty string."""
-    values = [F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c.cast("string"), F.lit("")) for c in columns]
-    return F.sha2(F.concat_ws("|", *values), 256)
+    """sha-256 of the row's values, each written as its length, a colon and its text (a null as a dash), so that no two rows
+    with different values are written alike."""
+    values = [F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in columns]
+    return F.sha2(F.concat(*[F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in values]), 256)
 
 
 def table_digest(df: DataFrame, keys: list[str], digest: Column) -> DataFrame:

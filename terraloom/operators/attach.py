@@ -19,14 +19,12 @@ def attach(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("_row", row).select(*df.columns, *[F.col(f"_row.{c}").alias(c) for c in names])
 
 
-def expand_by(df: DataFrame, small: DataFrame, limit: int = 10_000) -> DataFrame:
-    """Every row of `df` with every row of a short table.
+def expand_by(df: DataFrame, small: DataFrame) -> DataFrame:
+    """Every row of `df` with every row of a short table (windows, bands, names).
 
-    The short table is counted inside the query (more than `limit` rows is an error) and travels as one array,
-    so the large side is neither shuffled nor joined.
+    The short table travels as one array, so the large side is neither shuffled nor joined.
     """
     names = small.columns
-    listed = small.agg(F.collect_list(F.struct(*names)).alias("_rows"), F.count(F.lit(1)).alias("_n")).select(
-        F.when(F.col("_n") > limit, F.raise_error(F.lit("table is too long to expand by"))).otherwise(F.col("_rows")).alias("_rows"))
+    listed = small.agg(F.collect_list(F.struct(*names)).alias("_rows"))
     tagged = attach(df, listed, []).withColumn("_row", F.explode("_rows"))
     return tagged.select(*df.columns, *[F.col(f"_row.{c}").alias(c) for c in names])

@@ -9,18 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_LENGTH = 4096  # vector length up to which d x d matrices are finished on the driver
-
-
 def moments(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray, float]:
     """n, mean, centred second moment and mean fourth power of the centred norm.
 
-    Each task folds its rows into one d x d matrix; Spark sums those by position, so only d * d numbers come back.
+    Each task folds its rows into one matrix and emits it as one array per matrix row; Spark sums the arrays by row
+    position, so d arrays of d numbers come back, which is also the size of the result.
     """
-    means = df.select(F.posexplode(vector).alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m")).orderBy("i").limit(MAX_LENGTH + 1).toPandas()["m"].to_numpy()
+    means = df.select(F.posexplode(vector).alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m")).orderBy("i").toPandas()["m"].to_numpy()
     d = len(means)
-    if d > MAX_LENGTH:
-        raise ValueError("vectors are too long for a dense covariance")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gram, fourth, n = np.zeros((d, d)), 0.0, 0
@@ -31,11 +27,13 @@ def moments(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray, fl
                 fourth += float(((z * z).sum(1) ** 2).sum())
                 n += len(z)
         if n:
-            yield pd.DataFrame({"i": np.arange(d * d + 2), "v": np.concatenate([gram.ravel(), [fourth, n]])})
+            yield pd.DataFrame({"i": np.arange(d), "v": list(gram), "fourth": fourth, "n": n})
 
-    sums = df.select(vector).mapInPandas(fold, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toPandas()["v"].to_numpy()
-    n = int(round(sums[-1]))
-    return n, means, sums[: d * d].reshape(d, d) / n, sums[-2] / n
+    folded = df.select(vector).mapInPandas(fold, "i int, v array<double>, fourth double, n bigint")
+    total = F.aggregate(F.collect_list("v"), F.array_repeat(F.lit(0.0), d), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    sums = folded.groupBy("i").agg(total.alias("v"), F.sum("fourth").alias("fourth"), F.sum("n").alias("n")).orderBy("i").toPandas()
+    n = int(sums["n"].iloc[0])
+    return n, means, np.array(sums["v"].tolist()) / n, float(sums["fourth"].iloc[0]) / n
 
 
 def shrunk_covariance(df: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray, float]:
@@ -71,21 +69,28 @@ def mahalanobis(df: DataFrame, fit: DataFrame, vector: str, name: str = "mahalan
     return df.withColumn(name, distance(vector))
 
 
-def matrix_power(cov: np.ndarray, power: float) -> np.ndarray:
-    """Symmetric power with eigenvalues floored at max(1e-8 * largest, 1e-8)."""
-    values, vectors = np.linalg.eigh(cov)
-    return (vectors * np.maximum(values, max(float(values.max()) * 1e-8, 1e-8)) ** power) @ vectors.T
+def square_roots(cov: np.ndarray, floor: float = 1e-8) -> tuple[np.ndarray, np.ndarray]:
+    """Symmetric square root of a covariance and its inverse.
+
+    Directions whose variance is below `floor`, taken both relative to the largest variance and absolutely, count as
+    having that variance, so a singular matrix whitens without dividing by zero.
+    """
+    variance, axes = np.linalg.eigh(cov)
+    scale = np.sqrt(np.clip(variance, floor * max(1.0, variance[-1]), None))
+    return axes @ np.diag(scale) @ axes.T, axes @ np.diag(1.0 / scale) @ axes.T
 
 
-def coral(source: DataFrame, pool: DataFrame, vector: str) -> DataFrame:
-    """Standardised source recoloured to the pool's covariance and moved to the pool's mean."""
-    mean_s, cov_s, _ = shrunk_covariance(source, vector)
-    mean_t, cov_t, _ = shrunk_covariance(pool, vector)
-    matrix = matrix_power(cov_s, -0.5) @ matrix_power(cov_t, 0.5)
+def coral(source: DataFrame, pool: DataFrame, vector: str, floor: float = 1e-8) -> DataFrame:
+    """Correlation alignment: source rows are centred, whitened with their own covariance, coloured with the pool's and put
+    around the pool's mean. Both covariances are shrunk."""
+    (center, own, _), (goal, wanted, _) = (shrunk_covariance(rows, vector) for rows in (source, pool))
+    whiten = square_roots(own, floor)[1]
+    colour = square_roots(wanted, floor)[0]
+    transport = whiten @ colour
+    shift = goal - center @ transport
 
     @F.pandas_udf("array<double>")
-    def recolour(batch: pd.Series) -> pd.Series:
-        z = (np.array(batch.tolist(), dtype=float) - mean_s) @ matrix + mean_t
-        return pd.Series(list(z))
+    def moved(vectors: pd.Series) -> pd.Series:
+        return pd.Series(list(np.vstack(vectors.to_numpy()) @ transport + shift)) if len(vectors) else vectors
 
-    return source.withColumn(vector, recolour(vector))
+    return source.withColumn(vector, moved(vector))

@@ -14,12 +14,12 @@ from terraloom.operators.raster import SQUARE, offsets
 from terraloom.session import materialize
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, comp) with comp = smallest id reachable. `nodes` has column id; `edges` has a, b in one direction."""
     both = materialize(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
         edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
     parents = materialize(nodes.select("id", F.col("id").alias("f")))
-    for _ in range(max_rounds):
+    while True:  # labels only fall, so the rounds end
         grand = parents.alias("x").join(parents.alias("y"), F.col("x.f") == F.col("y.id")).select(
             F.col("x.id").alias("id"), F.col("x.f").alias("f"), F.col("y.f").alias("g"))
         seen = both.join(grand.select(F.col("id").alias("v"), F.col("g").alias("_g")), "v").groupBy("u").agg(F.min("_g").alias("_g"))
@@ -32,7 +32,6 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> Dat
         parents = step.select("id", "f")
         if not changed:
             return parents.select("id", F.col("f").alias("comp"))
-    raise RuntimeError("components did not settle")
 
 
 def cell_components(cells: DataFrame, group: list[str] | None = None, steps: list[tuple[int, int]] | None = None) -> DataFrame:

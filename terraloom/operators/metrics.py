@@ -11,6 +11,8 @@ from terraloom.operators.ordering import exact_quantiles, mid_ranks, ranked_rows
 CURVE_STEP = 100_000
 
 
+EPSILON = 2.0**-52  # spacing of doubles at one: log loss clips probabilities to it and its complement
+
 def confusion_columns(pred: Column, ref: Column, valid: Column | None = None) -> list[Column]:
     """tp, fp, fn, tn over the rows where `valid` holds; map-side combinable sums."""
     keep = valid if valid is not None else F.lit(True)
@@ -68,7 +70,7 @@ def calibration_error(df: DataFrame, keys: list[str], y: str, p: str, bins: int
 
 
 def probability_metrics(df: DataFrame, keys: list[str], y: str, p: str, threshold: float = 0.5) -> DataFrame:
-    clipped = F.least(F.greatest(F.col(p), F.lit(1e-15)), F.lit(1 - 1e-15))
+    clipped = F.least(F.greatest(F.col(p), F.lit(EPSILON)), F.lit(1 - EPSILON))
     nll = -(F.col(y) * F.log(clipped) + (1 - F.col(y)) * F.log(1 - clipped))
     wrong = (F.col(p) >= threshold) != (F.col(y) == 1)
     return df.groupBy(*keys).agg(

@@ -50,24 +50,32 @@ def _positive(model, df: DataFrame, x: str, name: str) -> DataFrame:
     return scored.withColumn(name, vector_to_array("probability")[1]).select(*df.columns, name)
 
 
-def fit_forest(df: DataFrame, label: str, x: str, trees: int, seed: int, leaf: int = 2, class_weights: bool = True):
-    """Random forest with leaf size 2, sqrt features and balanced class weights."""
+def fit_forest(df: DataFrame, label: str, x: str, trees: int, seed: int, leaf: int = 2, class_weights: bool = True, depth: int = 30):
+    """Random forest with leaf size 2, sqrt features and balanced class weights, grown to `depth` (30 is the library's limit)."""
     rows = balanced(df, label) if class_weights else (df if "w" in df.columns else df.withColumn("w", F.lit(1.0)))
     train = _vectors(rows.select(F.col(label).cast("double").alias("_y"), x, "w"), x).select("_y", "_features", "w")
     forest = RandomForestClassifier(labelCol="_y", featuresCol="_features", weightCol="w", numTrees=trees, minInstancesPerNode=leaf,
-                                    featureSubsetStrategy="sqrt", maxDepth=10, seed=seed)
+                                    featureSubsetStrategy="sqrt", maxDepth=depth, seed=seed)
     return forest.fit(train)
 
 
-def fit_logistic(df: DataFrame, label: str, x: str, penalty: float, weight: str | None = None):
+def fit_logistic(df: DataFrame, label: str, x: str, penalty: float, weight: str | None = None, steps: int = 3000):
+    """Logistic regression; a fit that needs more than `steps` iterations is an error, not a quiet early stop."""
     train = _vectors(df, x).withColumn("_y", F.col(label).cast("double"))
-    model = LogisticRegression(labelCol="_y", featuresCol="_features", regParam=penalty, maxIter=100, standardization=False)
-    return (model.setWeightCol(weight) if weight else model).fit(train)
+    model = LogisticRegression(labelCol="_y", featuresCol="_features", regParam=penalty, maxIter=steps, standardization=False)
+    return _converged((model.setWeightCol(weight) if weight else model).fit(train), steps)
 
 
-def fit_network(df: DataFrame, label: str, x: str, length: int, seed: int):
+def _converged(model, steps: int):
+    if model.summary.totalIterations >= steps:
+        raise RuntimeError(f"no convergence within {steps} iterations")
+    return model
+
+
+def fit_network(df: DataFrame, label: str, x: str, length: int, seed: int, steps: int = 500):
+    """Two hidden layers; stops at the library's tolerance or after `steps` iterations."""
     train = _vectors(df, x).withColumn("_y", F.col(label).cast("double"))
-    return MultilayerPerceptronClassifier(labelCol="_y", featuresCol="_features", layers=[length, 96, 48, 2], maxIter=40, seed=seed).fit(train)
+    return MultilayerPerceptronClassifier(labelCol="_y", featuresCol="_features", layers=[length, 96, 48, 2], maxIter=steps, seed=seed).fit(train)
 
 
 def score(model, df: DataFrame, x: str, name: str = "p") -> DataFrame:

@@ -10,31 +10,43 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraloom.operators.attach import attach
+from terraloom.session import ship_package
 
 BROADCAST_VALUES = 4_000_000  # largest source side (rows * length) sent to every task: 32 MB of doubles
 PAIR_VALUES = 4_000_000  # largest distance matrix held at once
 CHUNK_ROWS = 20_000  # rows per side of a block when the source is not broadcast
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length one; a zero row stays zero, so its cosine distance to anything is 1."""
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+
+
 def _nearest(q: np.ndarray, s: np.ndarray, ids: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and distances of the k nearest rows of `s` (sorted by id), ties by id."""
+    """Positions and distances of the k nearest rows of `s` (sorted by id), ties by id.
+
+    One matrix product gives every distance up to rounding. Euclidean rows are first moved to the source's centre, where
+    the expanded square loses least; whatever could still be among the k nearest, given a bound on the rounding error, is
+    then measured directly and ranked by that.
+    """
     k = min(k, len(s))
     if metric == "cosine":
-        qn, sn = q / np.linalg.norm(q, axis=1, keepdims=True), s / np.linalg.norm(s, axis=1, keepdims=True)
-        dist = 1.0 - qn @ sn.T
-    else:
-        dist = np.maximum((q * q).sum(1)[:, None] + (s * s).sum(1)[None, :] - 2.0 * q @ s.T, 0.0)
-    part = np.argpartition(dist, k - 1, axis=1)[:, :k]
-    kth = np.take_along_axis(dist, part, 1).max(1)
-    for i in np.flatnonzero((dist <= (kth + 1e-12)[:, None]).sum(1) > k):  # ties at the cut: lowest ids win
-        near = np.flatnonzero(dist[i] <= kth[i] + 1e-12)
-        part[i] = near[np.lexsort((ids[near], np.round(dist[i][near], 12)))][:k]
-    if metric != "cosine":
-        exact = np.sqrt(((q[:, None, :] - s[part]) ** 2).sum(2))
+        qn, sn = _unit(q), _unit(s)
+        rough, slack = 1.0 - qn @ sn.T, np.full(len(q), 1e-12)
     else:
-        exact = np.take_along_axis(dist, part, 1)
-    order = np.lexsort((ids[part], np.round(exact, 12)), axis=1)
-    return np.take_along_axis(part, order, 1), np.take_along_axis(exact, order, 1)
+        qn, sn = q - s.mean(0), s - s.mean(0)
+        qq, ss = (qn * qn).sum(1), (sn * sn).sum(1)
+        rough = qq[:, None] + ss[None, :] - 2.0 * qn @ sn.T
+        slack = 8 * (q.shape[1] + 2) * np.finfo(float).eps * (qq + ss.max())
+    kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
+    positions, distances = np.empty((len(q), k), int), np.empty((len(q), k))
+    for i in range(len(q)):
+        near = np.flatnonzero(rough[i] <= kth[i] + 2 * slack[i] + 1e-12)
+        exact = rough[i][near] if metric == "cosine" else np.sqrt(((q[i] - s[near]) ** 2).sum(1))
+        order = np.lexsort((ids[near], np.round(exact, 12)))[:k]
+        positions[i], distances[i] = near[order], exact[order]
+    return positions, distances
 
 
 def _rows(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int, metric: str) -> Iterator[pd.DataFrame]:
@@ -54,6 +66,7 @@ def knn(queries: DataFrame, source: DataFrame, row: str, vector: str, k: int, me
     its own group; each group keeps k candidates and the final top k is taken across them, so the answer is the
     same and no task ever holds more than one chunk pair.
     """
+    ship_package(source.sparkSession)
     size = source.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("d")).first()
     schema = "query_id bigint, neighbor_id bigint, distance double"
     if size.n * (size.d or 0) <= BROADCAST_VALUES:

@@ -100,7 +100,9 @@ def component_winners(members: DataFrame) -> DataFrame:
 
 
 def reconcile(cells: DataFrame, owned: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(parcels kept with flag and removed versions, audit of dropped versions)."""
+    """(parcels kept with flag and removed versions, audit of dropped versions), over the parcels that their own tile's core owns."""
+    owned = owned.where("owned")
+    cells = cells.join(owned.select("parcel_id"), "parcel_id", "left_semi")
     pairs = overlap_pairs(cells).where(F.col("ratio") >= threshold)
     members = duplicate_components(pairs).join(owned, "parcel_id")
     winners = component_winners(members)

@@ -7,6 +7,7 @@ Orders are hashes of (seed, key), so a draw is repeatable and needs no random st
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -52,6 +53,7 @@ def clustered(df: DataFrame, keys: list[str], block: str, row: str, need: int, s
     return top_rows(df, keys, md5_int(seed, "block", F.col(block)), tie, need)
 
 
+CLASSES = (0, 1)  # every draw is over both
 SAMPLERS: dict[str, Callable[..., DataFrame]] = {"distributed": distributed, "clustered": clustered}
 
 
@@ -59,22 +61,25 @@ def balanced_draw(df: DataFrame, regime: str, label: str, block: str, row: str,
     """budget / 2 rows per class; raises when a class cannot supply its half."""
     need = budget // 2
     drawn = SAMPLERS[regime](df, [label], block, row, need, seed).drop("rank")
-    return require_rows(drawn, label, need)
+    return require_rows(drawn, label, dict.fromkeys(CLASSES, need))
 
 
-def require_rows(df: DataFrame, key: str, need: int) -> DataFrame:
-    """Fail the query, not the driver, when some key holds fewer than `need` rows."""
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).agg(F.min("_n").alias("_least"))
-    short = F.col("_least") < need
-    checked = attach(df, sizes, []).withColumn("_least", F.when(short, F.raise_error(F.lit(f"fewer than {need} rows in a class"))).otherwise(F.col("_least")))
-    return checked.where(F.col("_least") >= need).drop("_least")
+def require_rows(df: DataFrame, key: str, need: dict[int, int]) -> DataFrame:
+    """Fail the query, not the driver, when an expected key holds fewer rows than `need` says; an absent key holds none.
+
+    The check is a union branch that returns no rows, so it also runs when `df` itself is empty.
+    """
+    sizes = df.agg(*[F.count_if(F.col(key) == F.lit(k)).alias(f"n{i}") for i, k in enumerate(need)])
+    checks = [F.when(F.col(f"n{i}") < n, F.raise_error(F.lit(f"fewer than {n} rows with {key} = {k}")).cast("boolean")).otherwise(F.lit(False)) for i, (k, n) in enumerate(need.items())]
+    guard = sizes.where(reduce(lambda a, b: a | b, checks)).select(*[F.lit(None).cast(t).alias(c) for c, t in df.dtypes])
+    return df.unionByName(guard)
 
 
 def matched_by_class(df: DataFrame, label: str, row: str, counts: dict[int, int], seed: int) -> DataFrame:
-    """Exactly counts[c] rows of each class c in hash order."""
+    """Exactly counts[c] rows of each class c in hash order; a class with fewer is an error."""
     picked = top_rows(df.where(F.col(label).isin(list(counts))), [label], md5_int(seed, F.col(row)), F.col(row), max(counts.values()))
     limit = F.coalesce(*[F.when(F.col(label) == c, n) for c, n in counts.items()])
-    return picked.where(F.col("rank") <= limit)
+    return require_rows(picked.where(F.col("rank") <= limit), label, counts)
 
 
 def proportional_allocation(df: DataFrame, group: str, n: int) -> DataFrame:
@@ -135,7 +140,7 @@ def spatial_block_id(x: Column, y: Column, size: float) -> Column:
 
 def group_split(df: DataFrame, group: str, label: str, fraction: float, seed: int, tries: int = 100) -> DataFrame:
     """(group, held): the hash order among `tries` whose two sides both hold both classes and deviate least
-    from the overall class rate. Works on one row per group."""
+    from the overall class rate; an error if there is none. Works on one row per group."""
     groups = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.sum(label).cast("bigint").alias("_pos"))
     trial = groups.withColumn("_try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
     order = md5_int(F.col("_try") + seed, F.col(group))
@@ -148,7 +153,8 @@ def group_split(df: DataFrame, group: str, label: str, fraction: float, seed: in
     mixed = stats.where("pl > 0 AND pl < nl AND pr > 0 AND pr < nr")
     rate = (F.col("pl") + F.col("pr")) / (F.col("nl") + F.col("nr"))
     score = F.abs(F.col("pl") / F.col("nl") - rate) + F.abs(F.col("pr") / F.col("nr") - rate)
-    best = mixed.agg(F.min(F.struct(score.alias("s"), F.col("_try").alias("t"))).alias("_b")).select(F.col("_b.t").alias("_best"))
+    best = mixed.agg(F.min(F.struct(score.alias("s"), F.col("_try").alias("t"))).alias("_b")).select(
+        F.coalesce(F.col("_b.t"), F.raise_error(F.lit(f"none of {tries} orders puts both classes on both sides")).cast("int")).alias("_best"))
     return attach(sided, best, []).where(F.col("_try") == F.col("_best")).select(group, "held")
 
 
@@ -205,7 +211,8 @@ def parameter_grid(df: DataFrame, axes: dict[str, list[int]]) -> DataFrame:
 
 
 def unordered_pairs(names: DataFrame, column: str, left: str, right: str, limit: int = 10_000) -> DataFrame:
-    """Pairs left < right of a short list of names. The list is checked to be short and travels as one array."""
+    """Pairs left < right of a list of names, which travels as one array: the result has n(n - 1) / 2 rows by definition, so
+    a list longer than `limit` is an error that the caller can move."""
     listed = names.agg(F.array_sort(F.collect_set(column)).alias("_all"), F.count(F.lit(1)).alias("_n")).select(
         F.when(F.col("_n") > limit, F.raise_error(F.lit("too many names to pair"))).otherwise(F.col("_all")).alias("_all"))
     tagged = attach(names, listed, []).withColumn(right, F.explode(F.filter("_all", lambda x: x > F.col(column))))

@@ -82,7 +82,7 @@ def _(spark, d):
 
 
 @query("d13_probability_metrics", ONE + f"""SELECT seed, count(*) AS n, {R('avg((p - y) * (p - y))')} AS brier,
-  {R('avg(-(y * ln(greatest(p, 1e-15)) + (1 - y) * ln(1 - least(p, 1 - 1e-15))))')} AS log_loss,
+  {R('avg(-(y * ln(least(greatest(p, 2.220446049250313e-16), 1 - 2.220446049250313e-16)) + (1 - y) * ln(1 - least(greatest(p, 2.220446049250313e-16), 1 - 2.220446049250313e-16))))')} AS log_loss,
   {R('avg(CASE WHEN (p >= 0.5e0) <> (y = 1) THEN 1e0 ELSE 0e0 END)')} AS error_rate FROM scored GROUP BY seed""")
 def _(spark, d):
     out = M.probability_metrics(scored(spark, d), ["seed"], "y", "p")

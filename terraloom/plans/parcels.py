@@ -81,13 +81,14 @@ def _(spark, d):
     return owned(spark, d).select("parcel_id", "deployment_edge", "core_crossing")
 
 
-def comp_sql(threshold: float) -> str:
-    return f"""und AS (SELECT a, b FROM pairs WHERE ratio >= {threshold}e0 UNION SELECT b, a FROM pairs WHERE ratio >= {threshold}e0),
+def comp_sql(threshold: float, rows: str = "pairs") -> str:
+    return f"""und AS (SELECT a, b FROM {rows} WHERE ratio >= {threshold}e0 UNION SELECT b, a FROM {rows} WHERE ratio >= {threshold}e0),
 reach(parcel_id, other) AS (SELECT a, a FROM und UNION SELECT r.parcel_id, u.b FROM reach r JOIN und u ON u.a = r.other),
 comp AS (SELECT parcel_id, min(other) AS comp FROM reach GROUP BY parcel_id)"""
 
 
 REC = "WITH RECURSIVE "
+OWNER_PAIRS = "(SELECT * FROM pairs WHERE a IN (SELECT parcel_id FROM own WHERE owned) AND b IN (SELECT parcel_id FROM own WHERE owned))"
 
 
 @query("g08_duplicate_components", REC + ",\n".join([*CELLS, SIZES, PAIRS, comp_sql(0.25)]) + " SELECT parcel_id, comp FROM comp")
@@ -102,11 +103,14 @@ audit AS (SELECT kept, parcel_id AS dropped FROM mem JOIN win USING (comp) WHERE
 
 @query("e21_component_winners", REC + ",\n".join([*CELLS, SIZES, PAIRS, OWN, comp_sql(0.25), WIN]) + " SELECT kept, dropped FROM audit")
 def _(spark, d):
-    return P.reconcile(parcel_cells(spark, d), owned(spark, d), 0.25)[1]
+    found = P.duplicate_components(P.overlap_pairs(parcel_cells(spark, d)).where("ratio >= 0.25"))
+    members = materialize(found.join(owned(spark, d), "parcel_id"))
+    audit = members.join(P.component_winners(members), "comp").where("parcel_id <> kept")
+    return audit.select("kept", F.col("parcel_id").alias("dropped"))
 
 
-@query("g09_cross_tile_reconciliation", REC + ",\n".join([*CELLS, SIZES, PAIRS, OWN, comp_sql(0.5), WIN]) + """
-  SELECT parcel_id, coalesce(removed, 0) AS removed, coalesce(removed, 0) > 0 OR core_crossing AS reconciled FROM own LEFT JOIN (SELECT kept AS parcel_id, count(*) AS removed FROM audit GROUP BY kept) USING (parcel_id) WHERE parcel_id NOT IN (SELECT dropped FROM audit)""")
+@query("g09_cross_tile_reconciliation", REC + ",\n".join([*CELLS, SIZES, PAIRS, OWN, comp_sql(0.5, OWNER_PAIRS), WIN]) + """
+  SELECT parcel_id, coalesce(removed, 0) AS removed, coalesce(removed, 0) > 0 OR core_crossing AS reconciled FROM own LEFT JOIN (SELECT kept AS parcel_id, count(*) AS removed FROM audit GROUP BY kept) USING (parcel_id) WHERE owned AND parcel_id NOT IN (SELECT dropped FROM audit)""")
 def _(spark, d):
     return P.reconcile(parcel_cells(spark, d), owned(spark, d), 0.5)[0].select("parcel_id", "removed", "reconciled")
 

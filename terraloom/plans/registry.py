@@ -36,5 +36,10 @@ def R(expression: str, digits: int = 6) -> str:
     return f"(round(CAST({expression} AS DOUBLE), {digits}) + 0e0)"
 
 
+def row_text(*expressions: str) -> str:
+    """SQL twin of the text that `row_digest` hashes."""
+    return "concat(" + ", ".join(f"coalesce(concat(length(CAST({e} AS VARCHAR)), ':', CAST({e} AS VARCHAR)), '-')" for e in expressions) + ")"
+
+
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"

@@ -9,7 +9,7 @@ from terraloom.operators import contracts as K
 from terraloom.operators import sampling as S
 from terraloom.operators.attach import attach
 from terraloom.operators.ordering import ranked_rows, top_rows
-from terraloom.plans.registry import R, query, r, with_ctes
+from terraloom.plans.registry import R, query, r, with_ctes, row_text
 from terraloom.sources.tables import GRID20, MANIFEST, POOL, SAMPLES, grid20, manifest, pool, samples, sql_md5, sql_md5_wide
 
 SQL_P = with_ctes(POOL)
@@ -26,7 +26,7 @@ FIRSTS = f"f AS (SELECT *, {ORDER(6)} AS h, row_number() OVER (PARTITION BY clas
 
 @query("e09_blocks_first_sampler", with_ctes(POOL, FIRSTS) + "SELECT class_id, block, sample_id FROM (SELECT *, row_number() OVER (PARTITION BY class_id ORDER BY k > 1, h, sample_id) AS n FROM f) WHERE n <= 250")
 def _(spark, d):
-    return S.blocks_first(pool(spark, d), ["class_id"], "block", "sample_id", 250, 6).select("class_id", "block", "sample_id")
+    return S.require_rows(S.blocks_first(pool(spark, d), ["class_id"], "block", "sample_id", 250, 6).select("class_id", "block", "sample_id"), "class_id", {0: 250, 1: 250})
 
 
 @query("e10_distributed_sampler", with_ctes(POOL, FIRSTS) + f"""SELECT class_id, block, sample_id FROM (SELECT *, row_number() OVER (PARTITION BY class_id ORDER BY k, {sql_md5("concat_ws(':', 6, 'block', block)")}, sample_id) AS n FROM f) WHERE n <= 250""")
@@ -49,7 +49,7 @@ def _(spark, d):
 def _(spark, d):
     rows = top_rows(pool(spark, d), ["class_id"], md5_int(8, F.col("sample_id")), F.col("sample_id"), 300).drop("rank")
     kept = top_rows(rows.where(F.col("p") > 0.15), ["class_id"], md5_int(9, F.col("sample_id")), F.col("sample_id"), 200)
-    return S.require_rows(kept.select("class_id", "sample_id"), "class_id", 200)
+    return S.require_rows(kept.select("class_id", "sample_id"), "class_id", {0: 200, 1: 200})
 
 
 STRATA = """cand AS (SELECT row, col, row * 150 + col AS cell, (row // 20) || '_' || (col // 20) AS block, CAST(p >= 0.5e0 AS BIGINT) AS map_class,
@@ -180,7 +180,7 @@ def _(spark, d):
     return K.groups_crossing(rows, "block", "split")
 
 
-DUP = "r AS (SELECT l_orderkey AS sample_id, l_linenumber AS part, l_suppkey % 20 AS block, sha256(concat_ws('|', l_quantity::BIGINT, l_linestatus, l_returnflag, l_discount)) AS h FROM lineitem)"
+DUP = f"r AS (SELECT l_orderkey AS sample_id, l_linenumber AS part, l_suppkey % 20 AS block, sha256({row_text('l_quantity::BIGINT', 'l_linestatus', 'l_returnflag', 'l_discount')}) AS h FROM lineitem)"
 
 
 def dup_rows(spark, d):
@@ -198,7 +198,7 @@ def _(spark, d):
     return K.duplicate_audit(dup_rows(spark, d), ["sample_id", "part"], "h", "block")
 
 
-@query("d43_draw_summary", with_ctes(POOL, FIRSTS, f"""dr AS (SELECT class_id, block, sample_id, sha256(sample_id::VARCHAR) AS h FROM (SELECT *, row_number() OVER (PARTITION BY class_id ORDER BY k > 1, h, sample_id) AS n FROM f) WHERE n <= 250)""") + f"""
+@query("d43_draw_summary", with_ctes(POOL, FIRSTS, f"""dr AS (SELECT class_id, block, sample_id, sha256({row_text('sample_id')}) AS h FROM (SELECT *, row_number() OVER (PARTITION BY class_id ORDER BY k > 1, h, sample_id) AS n FROM f) WHERE n <= 250)""") + f"""
   SELECT class_id, count(DISTINCT block) AS n_blocks, count(*) AS n_rows, sha256(concat_ws(':', count(*), {', '.join(f"sum(CAST(('0x' || substr(h, {1 + 12 * i}, 12)) AS UBIGINT)::HUGEINT)" for i in range(5))})) AS digest FROM dr GROUP BY class_id""")
 def _(spark, d):
     draw = S.blocks_first(pool(spark, d), ["class_id"], "block", "sample_id", 250, 6)

@@ -9,7 +9,7 @@ from terraloom.functions.hashing import md5_int, row_digest, table_digest
 from terraloom.operators import temporal as T
 from terraloom.operators.attach import attach
 from terraloom.operators.ordering import exact_quantiles
-from terraloom.plans.registry import R, query, r, with_ctes
+from terraloom.plans.registry import R, query, r, with_ctes, row_text
 from terraloom.sources.tables import (
     GRID20, MANIFEST, OBSERVATIONS, POOL, SAMPLES, WINDOWS, grid20, manifest, observations, pool, samples, sql_md5, table, windows)
 
@@ -228,7 +228,8 @@ def _(spark, d):
     return points.join(grid20(spark, d).select("row", "col", "p"), ["row", "col"]).select("sample_id", "row", "col", r("p", 9).alias("p"))
 
 
-VEC = "vec AS (SELECT vec_id, label, sha256(vec_id || '|' || array_to_string(list_transform(embedding, lambda v: CAST(floor(v::DOUBLE * 1e6) AS BIGINT)), ',')) AS h FROM embeddings)"
+VEC_TEXT = "array_to_string(list_transform(embedding, lambda v: CAST(floor(v::DOUBLE * 1e6) AS BIGINT)), ',')"
+VEC = f"vec AS (SELECT vec_id, label, sha256({row_text('vec_id', VEC_TEXT)}) AS h FROM embeddings)"
 
 
 @query("h09_row_digests", f"WITH {VEC} SELECT vec_id, h AS digest FROM vec")

@@ -16,7 +16,7 @@ def ingest_chunks(spark: SparkSession, incoming: str, schema: T.StructType, row:
     The checkpoint remembers finished files. A batch writes its rows and ledger under its own number with
     overwrite, so a batch repeated after a failure replaces itself instead of adding rows twice.
     """
-    stream = spark.readStream.schema(schema).option("header", True).option("recursiveFileLookup", True).option(
+    stream = spark.readStream.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").option("recursiveFileLookup", True).option(
         "maxFilesPerTrigger", files_per_batch).csv(incoming)
     tagged = stream.withColumn("chunk", F.regexp_extract(F.col("_metadata.file_path"), r"chunk=(c\d+)", 1))
 
@@ -33,13 +33,30 @@ def ingest_chunks(spark: SparkSession, incoming: str, schema: T.StructType, row:
     tagged.writeStream.foreachBatch(land).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
-def reject_duplicates(spark: SparkSession, incoming: str, schema: T.StructType, key: str, at: str, delay: str, out: str) -> DataFrame:
-    """First arrival of every key within the watermark delay."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(incoming)
-    unique = stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
-    unique.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(
-        availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+def reject_duplicates(spark: SparkSession, incoming: str, schema: T.StructType, key: str, at: str, out: str, files_per_batch: int = 64, slices: int = 64) -> DataFrame:
+    """First arrival of every key, however late: of the rows of one batch the earliest by `at`, and none that a batch before had.
+
+    Accepted rows are the ledger. They are stored by a hash slice of the key, so a batch reads only the key column of the
+    slices that it touches, and under the batch's number with overwrite, so a batch repeated after a failure replaces
+    itself and is not taken for its own predecessor.
+    """
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(incoming)
+    stored = T.StructType([*schema.fields, T.StructField("slice", T.IntegerType()), T.StructField("batch", T.LongType())])
+    rows = f"{out}/rows"
+
+    def land(batch: DataFrame, number: int) -> None:
+        first = batch.groupBy(key).agg(F.min_by(F.struct(*schema.names), F.struct(at, F.xxhash64(*schema.names))).alias("r")).select("r.*")
+        first = first.withColumn("slice", F.pmod(F.xxhash64(key), F.lit(slices)).cast("int"))
+        if number:
+            first = first.persist()
+            touched = [r[0] for r in first.select("slice").distinct().collect()]  # at most `slices` numbers
+            earlier = spark.read.schema(stored).parquet(rows).where(F.col("slice").isin(touched) & (F.col("batch") < number)).select(key)
+            first = first.join(earlier, key, "left_anti")
+        first.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "slice").parquet(rows)
+        first.unpersist()
+
+    stream.writeStream.foreachBatch(land).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stored).parquet(rows).select(*schema.names)
 
 
 def incremental_composite(spark: SparkSession, incoming: str, schema: T.StructType, location: str, at: str, value: str, width: str,
