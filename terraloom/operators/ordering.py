@@ -1,31 +1,25 @@
 """Order statistics that never sort a large group in one task.
 
 A window over a whole table, or over a group that holds a third of it, would sort that group in one task. That is
-the fastest plan for a table the optimizer measures as small, and it is used there (see `fits_one_task`). For
-anything larger these operators cut the value range into as many buckets as there are shuffle partitions, using approximate
-quantiles of the whole table (a bounded array, delivered as a scalar subquery of the same plan). Work inside
-a bucket is a normal window; bucket totals are a table of at most `buckets` rows per key, and their running
-sums are joined back. A group holding share s of the rows owns about s * buckets of the buckets, so no bucket
-exceeds rows / buckets whatever the skew of the keys. The results are exact: the approximation only decides
-where the cuts fall.
+the fastest plan for a small table, and it is used there (see `fits_one_task`). Anything larger is written once,
+range-partitioned on the keys and the order, so a hot key is spread over as many ranges as its share of the rows.
+Work inside a range is a normal window; the totals of the ranges (one row per range and key) are summed up and joined
+back. Both plans give the same numbers, bit for bit.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraloom.session import materialize
 
 
-def bucket_count(df: DataFrame) -> int:
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(4, min(partitions, 16384))
+def range_count(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-ONE_TASK_BYTES = 64 * 1024 * 1024
+ONE_TASK_BYTES = 16 * 1024 * 1024
 PLAIN_WINDOW_ROWS = 500_000
 
 
@@ -35,9 +29,9 @@ EXPANSION = 16
 def fits_one_task(df: DataFrame) -> bool:
     """Whether the optimizer's size estimate of the input is small enough to sort in a single task.
 
-    The estimate starts from file sizes and multiplies at joins, so it errs on the large side, except that it takes no
-    account of exploded arrays: plans with a generator are charged EXPANSION times as much. A window spills to disk
-    if the estimate is still too low. No job is run.
+    The estimate starts from file sizes, which are compressed: at the limit the input may hold tens of millions of short
+    rows, which a window sorts with spilling. It multiplies at joins and takes no account of exploded arrays: plans with a
+    generator are charged EXPANSION times as much. No job is run.
     """
     plan = df._jdf.queryExecution().optimizedPlan()
     size = int(str(plan.stats().sizeInBytes()))
@@ -57,30 +51,9 @@ def settled(df: DataFrame) -> tuple[DataFrame, bool]:
     return stored, stored.count() <= PLAIN_WINDOW_ROWS
 
 
-class _Cuts:
-    """Cut points of numeric columns (one aggregate, one subquery) and the two-level search of a value among them."""
-
-    def __init__(self, df: DataFrame, values: list[Column], buckets: int):
-        probs = [i / buckets for i in range(1, buckets)]
-        self.step = max(2, math.isqrt(buckets))
-        coarse_len = (buckets - 1) // self.step
-        fine = df.agg(*[F.percentile_approx(v, probs, 20 * buckets).alias(f"f{i}") for i, v in enumerate(values)])
-        parts = []
-        for i in range(len(values)):
-            coarse = F.array(*[F.element_at(f"f{i}", (j + 1) * self.step) for j in range(coarse_len)]) if coarse_len else F.slice(f"f{i}", 1, 0)
-            parts += [F.col(f"f{i}"), coarse.alias(f"c{i}")]
-        self.table = fine.select(F.struct(*parts).alias("cuts")).scalar()
-
-    def _count(self, column: str, i: int, test) -> Column:
-        jump = F.size(F.filter(F.col(column)[f"c{i}"], test)) * self.step
-        near = F.slice(F.col(column)[f"f{i}"], jump + 1, self.step)
-        return jump + F.size(F.filter(near, test))
-
-    def below(self, column: str, value: Column, i: int = 0) -> Column:
-        return self._count(column, i, lambda cut: cut < value)
-
-    def at_most(self, column: str, value: Column, i: int = 0) -> Column:
-        return self._count(column, i, lambda cut: cut <= value)
+def _ranged(df: DataFrame, by: list[str], order: list[str], ranges: int | None) -> DataFrame:
+    """`df` stored in ranges of (keys, order), each row with the number of its range."""
+    return materialize(df.repartitionByRange(ranges or range_count(df), *by, *order).withColumn("_range", F.spark_partition_id()))
 
 
 def _keyed(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
@@ -100,19 +73,18 @@ def running_totals(df: DataFrame, keys: list[str], order: str, sums: list[str],
         whole = Window.partitionBy(*by)
         return df.select(*cols, *[F.coalesce(F.sum(c).over(past), F.lit(0)).alias(f"before_{c}") for c in sums],
                          *[F.sum(c).over(whole).alias(f"total_{c}") for c in sums])
-    cuts = _Cuts(df, [F.col(order)], buckets or bucket_count(df))
-    tagged = df.withColumn("_cuts", cuts.table).withColumn("_bucket", cuts.below("_cuts", F.col(order))).drop("_cuts")
-    totals = tagged.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_sum_{c}") for c in sums])
-    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    rows = _ranged(df, by, [order], buckets)
+    totals = rows.groupBy("_range", *by).agg(*[F.sum(c).alias(f"_sum_{c}") for c in sums])
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
     offsets = totals.select(
-        *by, "_bucket",
+        "_range", *by,
         *[F.coalesce(F.sum(f"_sum_{c}").over(earlier), F.lit(0)).alias(f"_off_{c}") for c in sums],
         *[F.sum(f"_sum_{c}").over(whole).alias(f"total_{c}") for c in sums],
     )
-    inside = Window.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    local = tagged.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_in_{c}") for c in sums])
-    joined = local.join(offsets, [*by, "_bucket"])
+    inside = Window.partitionBy("_range", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_in_{c}") for c in sums])
+    joined = local.join(offsets, ["_range", *by])
     return joined.select(
         *cols,
         *[(F.col(f"_off_{c}") + F.col(f"_in_{c}")).alias(f"before_{c}") for c in sums],
@@ -133,30 +105,21 @@ def ranked_rows(
 ) -> DataFrame:
     """Exact row number of every row in (lead, tie) order within its key, both numeric, tie unique.
 
-    A lead value so frequent that it fills whole buckets becomes a bucket of its own and is subdivided by `tie`.
+    A lead value that many rows share is spread over several ranges by `tie`.
     """
     if fits_one_task(df):
         return _plain_ranks(df, keys, lead, tie, rank, size)
     cols = df.columns
     df, by = _keyed(df, keys)
-    df = df.withColumn("_lead", lead).withColumn("_tie", tie)
-    cuts = _Cuts(df, [F.col("_lead"), F.col("_tie")], buckets or bucket_count(df))
-    tagged = (
-        df.withColumn("_cuts", cuts.table)
-        .withColumn("_lo", cuts.below("_cuts", F.col("_lead")))
-        .withColumn("_hi", cuts.at_most("_cuts", F.col("_lead")))
-        .withColumn("_b1", F.col("_lo") + F.col("_hi"))
-        .withColumn("_b2", F.when(F.col("_hi") - F.col("_lo") >= 2, cuts.below("_cuts", F.col("_tie"), 1)).otherwise(0))
-        .drop("_cuts", "_lo", "_hi")
-    )
-    totals = tagged.groupBy(*by, "_b1", "_b2").agg(F.count(F.lit(1)).alias("_rows"))
-    earlier = Window.partitionBy(*by).orderBy("_b1", "_b2").rowsBetween(Window.unboundedPreceding, -1)
+    rows = _ranged(df.withColumn("_lead", lead).withColumn("_tie", tie), by, ["_lead", "_tie"], buckets)
+    totals = rows.groupBy("_range", *by).agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *by, "_b1", "_b2", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_skip"),
+        "_range", *by, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_skip"),
         F.sum("_rows").over(Window.partitionBy(*by)).alias("_whole"),
     )
-    inside = Window.partitionBy(*by, "_b1", "_b2").orderBy("_lead", "_tie")
-    joined = tagged.withColumn("_in", F.row_number().over(inside)).join(offsets, [*by, "_b1", "_b2"])
+    inside = Window.partitionBy("_range", *by).orderBy("_lead", "_tie")
+    joined = rows.withColumn("_in", F.row_number().over(inside)).join(offsets, ["_range", *by])
     out = [*cols, (F.col("_skip") + F.col("_in")).cast("bigint").alias(rank)]
     return joined.select(*out, *([F.col("_whole").alias(size)] if size else []))
 
@@ -194,10 +157,9 @@ def exact_quantiles(
             F.max(spot - low).alias(f"_f{i}"),
         ]
     agg = run.groupBy(*keys).agg(*picks)
-    value_of = [
-        (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).cast("double").alias(name)
-        for i, name in enumerate(probs)
-    ]
+    # the built-in percentile's own interpolation, so that both plans agree to the last bit
+    mixed = lambda i: (1 - F.col(f"_f{i}")) * F.col(f"_lo{i}").cast("double") + F.col(f"_f{i}") * F.col(f"_hi{i}").cast("double")
+    value_of = [F.when(F.col(f"_f{i}") == 0, F.col(f"_lo{i}").cast("double")).otherwise(mixed(i)).alias(name) for i, name in enumerate(probs)]
     return agg.select(*keys, *value_of)
 
 
@@ -218,7 +180,7 @@ def top_rows(df: DataFrame, keys: list[str], lead: Column, tie: Column, k: int,
 
     For small k Spark trims every map-side partition to k rows per key before the shuffle (window group limit).
     A hot key of a large table still meets k rows from every partition, so there the key is first trimmed inside
-    SALTS slices; one task then sees at most SALTS * k rows of it. Beyond the limit the bucketed rank is used.
+    SALTS slices; one task then sees at most SALTS * k rows of it. Beyond the limit the exact rank of all rows is used.
     """
     limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     if k > limit:
