@@ -22,8 +22,8 @@ BANDS, ROWS = 32, 4
 BATCH = 16
 #: Chosen probability of pruning a pair that is similar enough, per look.
 MISS = 1e-7
-#: Rounds that test bucket members against one drawn member before the remaining pairs of a bucket are all tested.
-ROUNDS = 1
+#: Rounds that test bucket members against one drawn member, after the hubs, before the remaining pairs of a bucket are all tested.
+ROUNDS = 0
 #: Members beyond which a bucket's remaining pairs are first ruled out by their shingles, and holders up to which a shingle is rare.
 CROWD, RARE = 64, 16
 
@@ -184,8 +184,8 @@ def links_between_classes(classes: DataFrame, docs: DataFrame, percent: int, ban
     """Links that span every component of the classes' similarity graph.
 
     Pairs inside a component need no test once the component is known. First every bucket member is tested against the
-    bucket's hub, the member with the most company over all its buckets (of edited copies the least edited one). Then, for
-    a few rounds, members of other components are tested against one drawn member of the bucket's largest component. At
+    bucket's hub, the member with the most company over all its buckets (of edited copies the least edited one). Then, for `rounds`
+    rounds (none by default), members of other components are tested against one drawn member of the bucket's largest component. At
     last (or as soon as that is no more than a few pairs per row) all pairs of a bucket that still cross components are
     tested; in buckets of more than CROWD members only those that `pairs_in_crowds` cannot rule out. A group of copies so
     costs a multiple of its size, and no pair that shares a bucket goes untested unless both are known to be in one
