@@ -133,17 +133,17 @@ def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def shingle_rows(texts: DataFrame, size: int) -> DataFrame:
-    """(shingle, node): one row per shingle of each text."""
+    """(shingle, node, label, stray): one row per shingle of each text of `texts` (node, label, stray, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s, e in parts(batch.column(1), 4_000_000):
-                sets = shingle_sets(batch.column(1).slice(s, e - s), size)
-                sizes = np.array([len(x) for x in sets], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(batch.column(0).slice(s, e - s).to_numpy(), sizes))],
-                                                 ["shingle", "node"])
+            for s, e in parts(batch.column(3), 4_000_000):
+                sets = shingle_sets(batch.column(3).slice(s, e - s), size)
+                which = pa.array(np.repeat(np.arange(s, e), [len(x) for x in sets]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), *(batch.column(k).take(which) for k in range(3))],
+                                                 ["shingle", "node", "label", "stray"])
 
-    return texts.select("node", "text").mapInArrow(run, "shingle bigint, node bigint")
+    return texts.select("node", "label", "stray", "text").mapInArrow(run, "shingle bigint, node bigint, label bigint, stray boolean")
 
 
 def pairs_in_buckets(rows: DataFrame, reach: DataFrame | None = None) -> DataFrame:
@@ -164,19 +164,22 @@ def pairs_in_buckets(rows: DataFrame, reach: DataFrame | None = None) -> DataFra
 def pairs_in_crowds(rows: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
     """Pairs of different labels that may be similar enough, in buckets too full to pair everyone.
 
-    A shingle is rare here if at most RARE of the texts have it. Two texts share a rare shingle, and then meet at it, or
-    all that they share is common; then 100 * shared >= percent * (n + m - shared) bounds the sum of their sizes by what
-    each has of common shingles. So a copy with many edits of its own is not paired with the whole crowd, and no link is lost.
+    A shingle is rare here if at most RARE of the texts have it. A stray (a text outside the main label of one of its
+    buckets) shares a rare shingle with another text, and then meets it there, or all that they share is common; then
+    100 * shared >= percent * (n + m - shared) bounds the sum of their sizes by what the stray has of common shingles. So
+    a copy with many edits of its own is not paired with the whole crowd, and no link is lost, for every pair has a stray.
+    Only the strays' shingles that another text has too are looked up; other texts are bounded by their own size.
     """
-    shingles = materialize(shingle_rows(texts.join(rows.select("node").distinct(), "node", "left_semi"), size))
-    holders = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"))
-    known = materialize(shingles.join(holders, "shingle"))
-    most = F.expr(f"floor({100 + percent} * count_if(holders > {RARE}) / {percent})").cast("bigint")
-    reach = materialize(known.groupBy("node").agg(F.count(F.lit(1)).alias("n"), most.alias("most")))
-    labels = rows.groupBy("node").agg(F.min("label").alias("label"), F.max(F.expr("label <> main.label")).alias("stray"))
-    meeting = known.where(f"holders BETWEEN 2 AND {RARE}").select("shingle", "node").join(labels, "node")
-    other = meeting.select("shingle", F.col("node").alias("drawn"), F.col("label").alias("other_label"))
-    met = meeting.where("stray").join(other, "shingle").where("label <> other_label").select("node", "drawn")
+    labels = rows.groupBy("node").agg(F.min("label").alias("label"), F.bool_or(F.expr("label <> main.label")).alias("stray"))
+    shingles = materialize(shingle_rows(texts.join(labels, "node"), size))
+    shared = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"), F.bool_or("stray").alias("sought")).where("holders > 1 AND sought")
+    known = materialize(shingles.where("stray").join(shared.drop("sought"), "shingle"))
+    common = known.where(f"holders > {RARE}").groupBy("node").agg(F.count(F.lit(1)).alias("common"))
+    most = F.expr(f"floor({100 + percent} * IF(stray, coalesce(common, 0), n) / {percent})").cast("bigint")
+    sizes = shingles.groupBy("node", "stray").agg(F.count(F.lit(1)).alias("n"))
+    reach = materialize(sizes.join(common, "node", "left").select("node", "n", most.alias("most")))
+    other = shingles.select("shingle", F.col("node").alias("drawn"), F.col("label").alias("other_label"))
+    met = known.where(f"holders <= {RARE}").join(other, "shingle").where("label <> other_label").select("node", "drawn")
     return met.union(pairs_in_buckets(rows, reach))
 
 

@@ -38,7 +38,7 @@ def edited(words, n, draw):
     return " ".join(out)
 
 
-@pytest.mark.parametrize("rounds, crowd", [(0, 64), (1, 4)])
+@pytest.mark.parametrize("rounds, crowd", [(0, 64), (0, 4), (1, 4)])
 def test_groups_of_edited_copies_match_brute_force(spark, monkeypatch, rounds, crowd):
     monkeypatch.setattr(near_dedup, "CROWD", crowd)
     monkeypatch.setattr(near_dedup, "RARE", 3)
