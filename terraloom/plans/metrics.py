@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from terraloom.functions.hashing import hash_unit, md5_int
@@ -12,7 +13,15 @@ from terraloom.operators.ordering import exact_quantiles, mid_ranks, ranked_rows
 from terraloom.plans.registry import R, query, r, with_ctes
 from terraloom.sources.tables import SEEDS, scored, scored_sql, sql_md5, table
 
-PRED, REF = F.col("p") >= 0.5, F.col("y") == 1
+
+def is_positive() -> Column:
+    return F.col("p") >= 0.5
+
+
+def is_true() -> Column:
+    return F.col("y") == 1
+
+
 COUNTS = """CAST(sum(CASE WHEN {p} AND {t} THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN {p} AND NOT {t} THEN 1 ELSE 0 END) AS BIGINT) AS fp,
  CAST(sum(CASE WHEN NOT {p} AND {t} THEN 1 ELSE 0 END) AS BIGINT) AS fn, CAST(sum(CASE WHEN NOT {p} AND NOT {t} THEN 1 ELSE 0 END) AS BIGINT) AS tn"""
 
@@ -48,31 +57,31 @@ BINS8 = " + ".join(f"CASE WHEN p >= {i / 8!r}e0 THEN 1 ELSE 0 END" for i in rang
 
 @query("b07_threshold_prediction", ONE + "SELECT seed, sample_id, CAST(p >= 0.5e0 AS BIGINT) AS pred FROM scored")
 def _(spark, d):
-    return scored(spark, d).select("seed", "sample_id", PRED.cast("bigint").alias("pred"))
+    return scored(spark, d).select("seed", "sample_id", is_positive().cast("bigint").alias("pred"))
 
 
 @query("d09_confusion_counts", ONE + f"SELECT seed, {counts_sql()} FROM scored WHERE block <> 7 GROUP BY seed")
 def _(spark, d):
-    return M.confusion_counts(scored(spark, d), ["seed"], PRED, REF, F.col("block") != 7)
+    return M.confusion_counts(scored(spark, d), ["seed"], is_positive(), is_true(), F.col("block") != 7)
 
 
 @query("d10_block_confusion", TWO + f"SELECT rep, seed, block, {counts_sql()} FROM scored GROUP BY rep, seed, block")
 def _(spark, d):
-    return M.confusion_counts(scored(spark, d, ("a", "b")), ["rep", "seed", "block"], PRED, REF)
+    return M.confusion_counts(scored(spark, d, ("a", "b")), ["rep", "seed", "block"], is_positive(), is_true())
 
 
 @query("d11_metrics_undefined_null", ONE + f"""SELECT seed, grp, {metric_list()} FROM
   (SELECT seed, floor(p * 10e0) AS grp, {counts_sql()} FROM scored GROUP BY ALL)""")
 def _(spark, d):
     grouped = scored(spark, d).withColumn("grp", F.floor(F.col("p") * 10.0).cast("double"))
-    return M.confusion_counts(grouped, ["seed", "grp"], PRED, REF).select("seed", "grp", *metric_cols())
+    return M.confusion_counts(grouped, ["seed", "grp"], is_positive(), is_true()).select("seed", "grp", *metric_cols())
 
 
 @query("d11_metrics_undefined_zero", ONE + f"""SELECT seed, grp, {metric_list('zero')} FROM
   (SELECT seed, floor(p * 10e0) AS grp, {counts_sql()} FROM scored GROUP BY ALL)""")
 def _(spark, d):
     grouped = scored(spark, d).withColumn("grp", F.floor(F.col("p") * 10.0).cast("double"))
-    return M.confusion_counts(grouped, ["seed", "grp"], PRED, REF).select("seed", "grp", *metric_cols("zero"))
+    return M.confusion_counts(grouped, ["seed", "grp"], is_positive(), is_true()).select("seed", "grp", *metric_cols("zero"))
 
 
 @query("d12_calibration_error", ONE + f"""SELECT seed, {R('sum(n * abs(f - m)) / sum(n)')} AS ece FROM
@@ -138,7 +147,7 @@ def _(spark, d):
 def _(spark, d):
     binned = M.quantile_bins(scored(spark, d), ["seed"], "risk", 5)
     return binned.groupBy("seed", (F.col("bin") + 1).alias("quintile")).agg(
-        F.count(F.lit(1)).alias("n"), r(F.avg("risk")).alias("mean_score"), r(F.avg((PRED != REF).cast("double"))).alias("error_rate"),
+        F.count(F.lit(1)).alias("n"), r(F.avg("risk")).alias("mean_score"), r(F.avg((is_positive() != is_true()).cast("double"))).alias("error_rate"),
         r(F.avg("p")).alias("mean_probability"))
 
 
@@ -201,7 +210,7 @@ def _(spark, d):
     limits = F.explode(F.array(*[
         F.struct(F.lit(c).alias("coverage"), (F.col(f"c{i}") if c < 1 else F.lit(float("inf"))).alias("cutoff")) for i, c in enumerate(COVERAGES)]))
     cuts = cuts.select("seed", limits.alias("l")).select("seed", "l.*")
-    kept, wrong = F.col("risk") <= F.col("cutoff"), (PRED != REF).cast("double")
+    kept, wrong = F.col("risk") <= F.col("cutoff"), (is_positive() != is_true()).cast("double")
     return rows.where("block >= 18").join(cuts, "seed").groupBy("seed", "coverage").agg(
         F.sum(F.when(kept, 1).otherwise(0)).cast("bigint").alias("n"), r(F.avg(kept.cast("double"))).alias("actual_coverage"),
         r(F.avg(F.when(kept, wrong))).alias("risk"))
@@ -227,7 +236,7 @@ BASE42 = "base AS (SELECT sample_id, block, y, p, risk FROM scored WHERE seed =
 
 @query("e07_tune_held_thresholds", with_ctes(scored_sql(), BASE42, HALVES, "rows_ AS (SELECT h.seed, h.role, b.* FROM base b JOIN halves h USING (block))") + ", " + frozen_sql("risk"))
 def _(spark, d):
-    base = scored(spark, d, seeds=(42,)).drop("seed").withColumn("error", (PRED != REF).cast("double"))
+    base = scored(spark, d, seeds=(42,)).drop("seed").withColumn("error", (is_positive() != is_true()).cast("double"))
     out = M.frozen_thresholds(base, M.block_halves(base, "block", [1, 2]), "block", "risk", "error", FROZEN_COV)
     return out.select("seed", "target_coverage", r("threshold").alias("threshold"), "n", *[r(c).alias(c) for c in ("actual_coverage", "error_rate", "held_full_error")])
 
@@ -236,7 +245,7 @@ def _(spark, d):
        "st AS (SELECT seed, avg(conf) AS mc, stddev_samp(conf) AS sc, avg(risk) AS mr, stddev_samp(risk) AS sr FROM raw_ WHERE role = 'tune' GROUP BY seed)",
        "rows_ AS (SELECT raw_.*, round((conf - mc) / sc + (risk - mr) / sr, 9) AS combined FROM raw_ JOIN st USING (seed))") + ", " + frozen_sql("combined"))
 def _(spark, d):
-    base = scored(spark, d, seeds=(42,)).drop("seed").withColumn("error", (PRED != REF).cast("double"))
+    base = scored(spark, d, seeds=(42,)).drop("seed").withColumn("error", (is_positive() != is_true()).cast("double"))
     halves = M.block_halves(base, "block", [1, 2])
     rows = base.withColumn("conf", 1 - F.abs(2 * F.col("p") - 1)).join(halves, "block")
     combined = M.zscore_sum(rows, rows.where("role = 'tune'"), ["seed"], ["conf", "risk"], "combined").withColumn("combined", F.round("combined", 9))
@@ -255,7 +264,7 @@ RUN_F1 = f"f AS (SELECT rep, seed, {metric_sql('zero')['f1']} AS f1 FROM (SELECT
 
 
 def run_f1(spark, d, reps=("a", "b")):
-    return M.confusion_counts(scored(spark, d, reps), ["rep", "seed"], PRED, REF).select("rep", "seed", M.count_metrics("zero")["f1"].alias("f1"))
+    return M.confusion_counts(scored(spark, d, reps), ["rep", "seed"], is_positive(), is_true()).select("rep", "seed", M.count_metrics("zero")["f1"].alias("f1"))
 
 
 @query("d28_seed_summary", with_ctes(scored_sql(("a", "b")), RUN_F1) + f"""SELECT rep, {R('avg(f1)')} AS mean, {R('stddev_samp(f1)')} AS sd, count(DISTINCT seed) AS n_seeds,
@@ -277,7 +286,7 @@ draws AS (SELECT rep_, block, count(*) AS w FROM slots JOIN idx USING (i) GROUP
 @query("d29_bootstrap_mean", with_ctes(scored_sql(), BASE42, draws_sql(7), """tot AS (SELECT block, CAST(sum(CASE WHEN (p >= 0.5e0) <> (y = 1) THEN 1 ELSE 0 END) AS DOUBLE) AS s, count(*) AS c FROM base GROUP BY block)""",
        "est AS (SELECT rep_, sum(w * s) / sum(w * c) AS e FROM draws JOIN tot USING (block) GROUP BY rep_)") + f"SELECT {R('quantile_cont(e, 0.025)')} AS ci_low, {R('quantile_cont(e, 0.975)')} AS ci_high, count(e) AS valid_reps FROM est")
 def _(spark, d):
-    base = scored(spark, d, seeds=(42,)).withColumn("error", (PRED != REF).cast("int"))
+    base = scored(spark, d, seeds=(42,)).withColumn("error", (is_positive() != is_true()).cast("int"))
     out = B.bootstrap_mean(base, "block", "error", REPS, 7)
     return out.select(r("ci_low").alias("ci_low"), r("ci_high").alias("ci_high"), "valid_reps")
 
@@ -287,7 +296,7 @@ def _(spark, d):
        "run AS (SELECT rep_, pos * (sum(neg) OVER (PARTITION BY rep_ ORDER BY risk) - neg / 2) AS win, pos, neg FROM cells)",
        "est AS (SELECT rep_, sum(win) / nullif(sum(pos) * sum(neg), 0) AS e FROM run GROUP BY rep_)") + f"SELECT {R('quantile_cont(e, 0.025)')} AS ci_low, {R('quantile_cont(e, 0.975)')} AS ci_high, count(e) AS valid_reps FROM est")
 def _(spark, d):
-    base = scored(spark, d, seeds=(42,)).withColumn("error", (PRED != REF).cast("int"))
+    base = scored(spark, d, seeds=(42,)).withColumn("error", (is_positive() != is_true()).cast("int"))
     out = B.bootstrap_auroc(base, "block", "error", "risk", REPS, 8)
     return out.select(r("ci_low").alias("ci_low"), r("ci_high").alias("ci_high"), "valid_reps")
 
@@ -302,7 +311,7 @@ F1_SUMS = "coalesce(2e0 * sum(w * tp) / nullif(sum(w * (2 * tp + fp + fn)), 0),
   SELECT {R('quantile_cont(e, 0.025)')} AS ci_low, {R('quantile_cont(e, 0.975)')} AS ci_high, count(e) AS valid_reps,
   (SELECT {R("avg(f1) FILTER (rep = 'b') - avg(f1) FILTER (rep = 'a')")} FROM pt) AS delta_f1, (SELECT count(DISTINCT block) FROM base) AS n_blocks FROM est""")
 def _(spark, d):
-    out = B.paired_f1(scored(spark, d, ("a", "b")), ["seed"], "block", "rep", "a", "b", PRED, REF, REPS, 9)
+    out = B.paired_f1(scored(spark, d, ("a", "b")), ["seed"], "block", "rep", "a", "b", is_positive(), is_true(), REPS, 9)
     return out.select(r("ci_low").alias("ci_low"), r("ci_high").alias("ci_high"), "valid_reps", r("delta_f1").alias("delta_f1"), "n_blocks")
 
 
@@ -317,7 +326,7 @@ def _(spark, d):
 @query("d32_spearman_block_means", ONE + f"""SELECT seed, {R('corr(ra, rb)')} AS spearman FROM (SELECT seed, {MIDRANK.format(k='seed', v='s')} AS ra, {MIDRANK.format(k='seed', v='e')} AS rb FROM (
   SELECT seed, block, round(avg(risk), 9) AS s, round(avg(CASE WHEN (p >= 0.5e0) <> (y = 1) THEN 1e0 ELSE 0e0 END), 9) AS e FROM scored GROUP BY ALL)) GROUP BY seed""")
 def _(spark, d):
-    blocks = scored(spark, d).groupBy("seed", "block").agg(F.round(F.avg("risk"), 9).alias("s"), F.round(F.avg((PRED != REF).cast("double")), 9).alias("e"))
+    blocks = scored(spark, d).groupBy("seed", "block").agg(F.round(F.avg("risk"), 9).alias("s"), F.round(F.avg((is_positive() != is_true()).cast("double")), 9).alias("e"))
     return M.spearman(blocks, ["seed"], "s", "e").select("seed", r("spearman").alias("spearman"))
 
 
@@ -329,7 +338,7 @@ grp AS (SELECT *, CASE WHEN ca AND cb THEN 'both_correct' WHEN ca THEN 'a_only_c
 def error_pairs(spark, d):
     rows = scored(spark, d, ("a", "b"), (42,))
     wide = rows.groupBy("sample_id", "block", "y", "risk").agg(F.max(F.when(F.col("rep") == "a", F.col("p"))).alias("pa"), F.max(F.when(F.col("rep") == "b", F.col("p"))).alias("pb"))
-    right_a, right_b = (F.col("pa") >= 0.5) == REF, (F.col("pb") >= 0.5) == REF
+    right_a, right_b = (F.col("pa") >= 0.5) == is_true(), (F.col("pb") >= 0.5) == is_true()
     return wide.withColumn("error_group", F.when(right_a & right_b, "both_correct").when(right_a, "a_only_correct").when(right_b, "b_only_correct").otherwise("both_wrong"))
 
 
@@ -342,7 +351,7 @@ def _(spark, d):
   {R('avg(CASE WHEN ((pa + pb) / 2 >= 0.5e0) = (y = 1) THEN 1e0 ELSE 0e0 END)')} AS mean_accuracy, {R('count(*) / (SELECT count(*)::DOUBLE FROM grp)')} AS share FROM grp GROUP BY error_group""")
 def _(spark, d):
     rows = error_pairs(spark, d)
-    fused = ((F.col("pa") + F.col("pb")) / 2 >= 0.5) == REF
+    fused = ((F.col("pa") + F.col("pb")) / 2 >= 0.5) == is_true()
     summary = rows.groupBy("error_group").agg(F.count(F.lit(1)).alias("n"), r(F.avg("risk")).alias("mean_distance"), r(F.avg(fused.cast("double"))).alias("mean_accuracy"))
     return attach(summary, summary.agg(F.sum("n").alias("_all")), []).withColumn("share", r(F.col("n") / F.col("_all"))).drop("_all")
 
@@ -372,8 +381,8 @@ def _(spark, d):
 def _(spark, d):
     rows = M.distance_bands(scored(spark, d), ["seed"], "risk")
     names = F.array_compact(F.array(F.lit("all"), F.when(F.col("block") % 4 != 0, F.lit("interior")), F.col("band")))
-    rows = rows.withColumn("subset", F.explode(names)).withColumn("error", (PRED != REF).cast("int"))
-    counts = M.confusion_counts(rows, ["seed", "subset"], PRED, REF).select("seed", "subset", *metric_cols("zero"))
+    rows = rows.withColumn("subset", F.explode(names)).withColumn("error", (is_positive() != is_true()).cast("int"))
+    counts = M.confusion_counts(rows, ["seed", "subset"], is_positive(), is_true()).select("seed", "subset", *metric_cols("zero"))
     auc = M.rank_metrics(rows, ["seed", "subset"], "error", "risk").select("seed", "subset", r("auroc").alias("error_auroc"))
     return counts.join(auc, ["seed", "subset"])
 
@@ -381,7 +390,7 @@ def _(spark, d):
 @query("d48_metrics_by_representation", with_ctes(scored_sql(("a", "b")), f"m AS (SELECT rep, seed, CASE WHEN block < 12 THEN 'val' ELSE 'test' END AS split, {counts_sql()} FROM scored GROUP BY ALL)") + f"SELECT rep, seed, split, {metric_list('zero')} FROM m")
 def _(spark, d):
     rows = scored(spark, d, ("a", "b")).withColumn("split", F.when(F.col("block") < 12, "val").otherwise("test"))
-    return M.confusion_counts(rows, ["rep", "seed", "split"], PRED, REF).select("rep", "seed", "split", *metric_cols("zero"))
+    return M.confusion_counts(rows, ["rep", "seed", "split"], is_positive(), is_true()).select("rep", "seed", "split", *metric_cols("zero"))
 
 
 @query("d42_transfer_table", with_ctes(scored_sql(("a", "b")), f"m AS (SELECT rep, seed, block < 12 AS src, {metric_sql('zero')['f1']} AS f1 FROM (SELECT rep, seed, block, {counts_sql()} FROM (SELECT rep, seed, CASE WHEN block < 12 THEN 0 ELSE 99 END AS block, y, p FROM scored) GROUP BY ALL))",
@@ -390,7 +399,7 @@ def _(spark, d):
   {R("tm - (SELECT tm FROM t WHERE rep = 'a')")} AS gain_over_baseline FROM t""")
 def _(spark, d):
     rows = scored(spark, d, ("a", "b")).withColumn("src", F.col("block") < 12)
-    runs = M.confusion_counts(rows, ["rep", "seed", "src"], PRED, REF).select("rep", "seed", "src", M.count_metrics("zero")["f1"].alias("f1"))
+    runs = M.confusion_counts(rows, ["rep", "seed", "src"], is_positive(), is_true()).select("rep", "seed", "src", M.count_metrics("zero")["f1"].alias("f1"))
     src, tgt = F.when(F.col("src"), F.col("f1")), F.when(~F.col("src"), F.col("f1"))
     t = runs.groupBy("rep").agg(F.avg(src).alias("sm"), F.stddev_samp(src).alias("ss"), F.avg(tgt).alias("tm"), F.stddev_samp(tgt).alias("ts"), F.countDistinct("seed").alias("n_seeds"))
     return attach(t, t.where("rep = 'a'").select(F.col("tm").alias("base")), []).select(
@@ -401,7 +410,7 @@ def _(spark, d):
 @query("b21_lowest_budget_reaching", with_ctes(scored_sql(("a", "b")), f"m AS (SELECT rep, budget, {metric_sql('zero')['f1']} AS f1 FROM (SELECT rep, 50 * (1 + sample_id % 10) AS budget, {counts_sql()} FROM scored GROUP BY ALL))") + "SELECT rep, th AS threshold, CAST(min(budget) AS BIGINT) AS min_budget FROM m, (VALUES (0.3e0), (0.4e0), (0.45e0)) AS v(th) WHERE f1 >= th GROUP BY ALL")
 def _(spark, d):
     rows = scored(spark, d, ("a", "b")).withColumn("budget", 50 * (1 + F.col("sample_id") % 10))
-    runs = M.confusion_counts(rows, ["rep", "budget"], PRED, REF).withColumn("f1", M.count_metrics("zero")["f1"])
+    runs = M.confusion_counts(rows, ["rep", "budget"], is_positive(), is_true()).withColumn("f1", M.count_metrics("zero")["f1"])
     runs = runs.withColumn("threshold", F.explode(F.array(F.lit(0.3), F.lit(0.4), F.lit(0.45))))
     return runs.where(F.col("f1") >= F.col("threshold")).groupBy("rep", "threshold").agg(F.min("budget").alias("min_budget"))
 
@@ -413,7 +422,7 @@ def _(spark, d):
 
 @query("d44_held_risk_summary", with_ctes(scored_sql(), BASE42, HALVES, "rows_ AS (SELECT h.seed, h.role, b.* FROM base b JOIN halves h USING (block))") + ", " + "fz AS (WITH " + frozen_sql("risk") + f") SELECT target_coverage, {R('avg(actual_coverage)', 5)} AS actual_coverage, {R('avg(error_rate)', 5)} AS error_rate, {R('avg(held_full_error)', 5)} AS held_full_error FROM fz GROUP BY target_coverage")
 def _(spark, d):
-    base = scored(spark, d, seeds=(42,)).drop("seed").withColumn("error", (PRED != REF).cast("double"))
+    base = scored(spark, d, seeds=(42,)).drop("seed").withColumn("error", (is_positive() != is_true()).cast("double"))
     out = M.frozen_thresholds(base, M.block_halves(base, "block", [1, 2]), "block", "risk", "error", FROZEN_COV)
     names = ("actual_coverage", "error_rate", "held_full_error")
     return out.groupBy("target_coverage").agg(*[r(F.avg(r(c)), 5).alias(c) for c in names])
@@ -422,7 +431,7 @@ def _(spark, d):
 @query("d45_block_scores", with_ctes(scored_sql(), f"m AS (SELECT seed, block, min(y) AS lo, max(y) AS hi, {counts_sql()} FROM (SELECT * FROM scored WHERE block <> 3 OR y = 1) GROUP BY ALL)") + f"SELECT seed, block, {metric_list('zero')} FROM m WHERE lo < hi")
 def _(spark, d):
     rows = scored(spark, d).where("block <> 3 OR y = 1")
-    grouped = rows.groupBy("seed", "block").agg(F.min("y").alias("lo"), F.max("y").alias("hi"), *M.confusion_columns(PRED, REF))
+    grouped = rows.groupBy("seed", "block").agg(F.min("y").alias("lo"), F.max("y").alias("hi"), *M.confusion_columns(is_positive(), is_true()))
     return grouped.where("lo < hi").select("seed", "block", *metric_cols("zero"))
 
 
@@ -433,7 +442,7 @@ def _(spark, d):
   SELECT 'blocks', 'n_blocks', {R('count(DISTINCT block)')} FROM scored""")
 def _(spark, d):
     rows = scored(spark, d)
-    wide = rows.agg(F.avg("p").alias("mp"), F.avg("y").alias("pv"), F.avg(F.when(F.col("risk") <= 0.5, (PRED != REF).cast("double"))).alias("er"),
+    wide = rows.agg(F.avg("p").alias("mp"), F.avg("y").alias("pv"), F.avg(F.when(F.col("risk") <= 0.5, (is_positive() != is_true()).cast("double"))).alias("er"),
                     F.countDistinct("block").cast("double").alias("nb"))
     names = [("source", "mean_probability", "mp"), ("source", "prevalence", "pv"), ("selective", "error_rate", "er"), ("blocks", "n_blocks", "nb")]
     rows = F.explode(F.array(*[F.struct(F.lit(a).alias("finding"), F.lit(b).alias("metric"), r(c).alias("value")) for a, b, c in names]))
@@ -456,7 +465,7 @@ def _(spark, d):
   SELECT {R('(SELECT sum(total) * 0.04e0 FROM st WHERE cls = 1)')} AS naive_area, {R('(SELECT sum(total * rate) * 0.04e0 FROM st JOIN sn USING (cls))')} AS adjusted_area,
   {R('quantile_cont(share, 0.025) * max(area)')} AS area_low, {R('quantile_cont(share, 0.975) * max(area)')} AS area_high, {R('stddev_samp(share) * max(area)')} AS area_se FROM bo, al""")
 def _(spark, d):
-    mapped = scored(spark, d, seeds=(42,)).select("sample_id", PRED.cast("bigint").alias("cls"), "y")
+    mapped = scored(spark, d, seeds=(42,)).select("sample_id", is_positive().cast("bigint").alias("cls"), "y")
     sample = ranked_rows(mapped, ["cls"], md5_int(11, F.col("sample_id")), F.col("sample_id"), "slot").where("slot <= 300")
     strata = mapped.groupBy("cls").agg(F.count(F.lit(1)).alias("total"))
     out = B.stratified_area(strata, sample, "cls", "y", "slot", 0.04, REPS, 12)
@@ -467,7 +476,7 @@ def _(spark, d):
        f"smp AS (SELECT *, count(*) OVER (PARTITION BY cls) AS total FROM (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY {sql_md5('concat_ws(chr(58), 11, sample_id)')}, sample_id) AS slot FROM map_))") + f"""
   SELECT cls, sample_id, {R('least(300, total) / total::DOUBLE')} AS inclusion_probability, {R('total / least(300, total)::DOUBLE')} AS sample_weight, 'map_class_' || cls AS stratum FROM smp WHERE slot <= 300""")
 def _(spark, d):
-    mapped = scored(spark, d, seeds=(42,)).select("sample_id", PRED.cast("bigint").alias("cls"))
+    mapped = scored(spark, d, seeds=(42,)).select("sample_id", is_positive().cast("bigint").alias("cls"))
     drawn = top_rows(mapped, ["cls"], md5_int(11, F.col("sample_id")), F.col("sample_id"), 300)
     rows = attach(drawn, mapped.groupBy("cls").agg(F.count(F.lit(1)).alias("total")), ["cls"])
     n = F.least(F.lit(300), F.col("total"))
@@ -478,5 +487,5 @@ def _(spark, d):
 @query("d32_spearman_deciles", with_ctes(scored_sql(), qbin_sql("risk", 10, "scored")) + f"""SELECT seed, {R('corr(ra, rb)')} AS spearman FROM (SELECT seed, {MIDRANK.format(k='seed', v='bin')} AS ra, {MIDRANK.format(k='seed', v='e')} AS rb FROM (
   SELECT seed, bin, round(avg(CASE WHEN (p >= 0.5e0) <> (y = 1) THEN 1e0 ELSE 0e0 END), 9) AS e FROM binned GROUP BY ALL)) GROUP BY seed""")
 def _(spark, d):
-    deciles = M.quantile_bins(scored(spark, d), ["seed"], "risk", 10).groupBy("seed", "bin").agg(F.round(F.avg((PRED != REF).cast("double")), 9).alias("e"))
+    deciles = M.quantile_bins(scored(spark, d), ["seed"], "risk", 10).groupBy("seed", "bin").agg(F.round(F.avg((is_positive() != is_true()).cast("double")), 9).alias("e"))
     return M.spearman(deciles, ["seed"], "bin", "e").select("seed", r("spearman").alias("spearman"))
