@@ -7,7 +7,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraloom.llm.tables import parallelism
@@ -18,8 +18,12 @@ from terraloom.session import materialize, ship_package
 WINDOW = 2048
 #: Tokens a source saves up before it is served; its deficit, never more than this, is carried to the next window.
 GRANULE = 128
-#: Sources beyond this number share queues by hash.
+#: Largest sources that always have a queue of their own, and queues that the smaller ones without a weight share by hash.
 QUEUES = 512
+#: What a document counts in bytes besides its text when sources are compared by size: about its end token.
+END_BYTES = 4
+#: Rounds times queues that are laid out at once.
+BLOCK = 1 << 20
 #: Weights are scaled to about this total, so that the window arithmetic stays within 64 bits for 2^36 windows.
 WEIGHT_TOTAL = 1 << 26
 
@@ -56,10 +60,13 @@ class Schedule:
         """Places and lengths of the runs in which tokens start..start+n of queue k are sent."""
         first, last = start // self.granule, (start + n - 1) // self.granule
         rounds = np.unique(self.round_of(np.arange(first, last + 1), k))
-        done, then = self.sent(rounds), self.sent(rounds + 1)
-        lo, hi = np.maximum(done[:, k], start), np.minimum(then[:, k], start + n)
-        place = done.sum(axis=1) + (then - done)[:, :k].sum(axis=1) + lo - done[:, k]
-        return place, hi - lo
+        step, out = max(1, BLOCK // len(self.totals)), []
+        for s in range(0, len(rounds), step):
+            done, then = self.sent(rounds[s:s + step]), self.sent(rounds[s:s + step] + 1)
+            lo, hi = np.maximum(done[:, k], start), np.minimum(then[:, k], start + n)
+            out.append((done.sum(axis=1) + (then - done)[:, :k].sum(axis=1) + lo - done[:, k], hi - lo))
+        place, length = zip(*out)
+        return np.concatenate(place), np.concatenate(length)
 
 
 def cut(place: np.ndarray, length: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,8 +84,33 @@ def cut(place: np.ndarray, length: np.ndarray, bounds: np.ndarray, window: int)
     return at, place[which] + at - along[which]
 
 
-def tokenized(docs: DataFrame, path: str, end_id: int, seed: int) -> DataFrame:
-    """(range_id, doc_id, queue, before, n_tokens, ids): documents in seeded order within their queue; `before` counts the
+def queued(docs: DataFrame, seed: int, weighted: list[str]) -> tuple[DataFrame, list[str]]:
+    """(doc_id, queue, text, _order ...) and the columns that order documents within the queues.
+
+    '=' and its name is the queue of a source, '' that of the null source, '#' and a number a shared one. The `weighted`
+    sources and the QUEUES largest by bytes have their own, so that each of the others has less than 1 in QUEUES of all
+    bytes. A shared queue takes its sources side by side: each spreads its documents, in seeded order, evenly over it.
+    """
+    source, text = F.col("source").cast("string"), F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), source.alias("_source"))
+    rows = rows.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", "text"))
+    own, order = F.coalesce(F.concat(F.lit("="), F.col("_source")), F.lit("")), ["queue", "_order", "doc_id"]
+    if rows.select("_source").distinct().limit(QUEUES + 1).count() <= QUEUES:
+        return rows.withColumn("queue", own).drop("_source"), order
+    rows = rows.withColumn("_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint") + END_BYTES)
+    largest = rows.where("_source IS NOT NULL").groupBy("_source").agg(F.sum("_bytes").alias("n")).orderBy(F.desc("n"), "_source").limit(QUEUES).collect()
+    alone = F.col("_source").isNull() | F.col("_source").isin(sorted({r[0] for r in largest} | set(weighted)))
+    small = rows.where(~alone).withColumn("queue", F.concat(F.lit("#"), F.pmod(F.xxhash64("_source"), F.lit(QUEUES)).cast("string")))
+    every = Window.partitionBy("_source")  # less than 1 in QUEUES of all bytes
+    earlier = F.sum("_bytes").over(every.orderBy("_order", "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1))
+    within = F.pmod(F.xxhash64("_order", "_source"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    at = (F.coalesce(earlier, F.lit(0)) + within * F.col("_bytes")) / F.sum("_bytes").over(every)
+    rows = rows.where(alone).withColumn("queue", own).withColumn("_at", F.lit(0.0)).unionByName(small.withColumn("_at", at))
+    return rows.drop("_source", "_bytes"), ["queue", "_at", "_order", "doc_id"]
+
+
+def tokenized(docs: DataFrame, path: str, end_id: int, seed: int, weighted: list[str]) -> DataFrame:
+    """(range_id, doc_id, queue, before, n_tokens, ids): documents in order within their queue; `before` counts the
     queue's earlier tokens of the same range."""
     ship_package(docs.sparkSession)
 
@@ -95,31 +127,31 @@ def tokenized(docs: DataFrame, path: str, end_id: int, seed: int) -> DataFrame:
                     *(batch.column(k).slice(s, e - s) for k in range(3)), pa.array(before, pa.int64()), pa.array([len(x) for x in ids], pa.int64()),
                     pa.array([x.astype(encoder.width).tobytes() for x in ids], pa.binary())], ["range_id", "doc_id", "queue", "before", "n_tokens", "ids"])
 
-    few = docs.select("source").distinct().limit(QUEUES + 1).count() <= QUEUES
-    source = F.col("source").cast("string")
-    queue = F.coalesce(F.concat(F.lit("="), source), F.lit("")) if few else F.pmod(F.xxhash64(source), F.lit(QUEUES)).cast("string")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), queue.alias("queue"), F.col("text").cast("string").alias("text"))
-    order = ["queue", "_order", "doc_id"]
-    rows = rows.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", "text")).repartitionByRange(parallelism(docs), *order).sortWithinPartitions(*order)
+    rows, order = queued(docs, seed, weighted)
+    rows = rows.repartitionByRange(parallelism(docs), *order).sortWithinPartitions(*order)
     return rows.select(F.spark_partition_id().alias("range_id"), "doc_id", "queue", "text").mapInArrow(
         run, "range_id int, doc_id bigint, queue string, before bigint, n_tokens bigint, ids binary")
 
 
-def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, window: int = WINDOW, granule: int = GRANULE, weights: dict[str, float] | None = None,
+def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, window: int = WINDOW, granule: int = GRANULE, weights: dict[str | None, float] | None = None,
          seed: int = 7) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of all documents in gapless windows.
 
-    `weights` maps sources to target shares (others and the default: their share of all tokens, so that every queue lasts
-    to the last window). Each window takes from each source its share to within one granule; a queue that runs dry leaves
-    its share to the others. All windows are full but the last, so at most window - 1 places of the whole output are
-    padding. Every token lies in exactly one piece. One row of totals per range and queue goes to the driver: a number
-    set by the number of shuffle partitions and QUEUES, not by the data.
+    `weights` maps sources (None: the null source) to target shares (others and the default: their share of all tokens, so
+    that every queue lasts to the last window). Each window takes from each queue its share to within one granule; a queue
+    that runs dry leaves its share to the others. Every source has a queue of its own, except that beyond QUEUES distinct
+    sources those without a weight and smaller than the QUEUES largest share QUEUES queues: such a queue takes its share as
+    any other, and each of its sources is spread evenly over it, to within one of the source's documents. All windows are
+    full but the last, so at most window - 1 places of the whole output are padding. Every token lies in exactly one piece.
+    One row of totals per range and queue goes to the driver: a number set by the number of shuffle partitions, QUEUES and
+    the weights given, not by the data.
 
     Null text counts as empty (one end token); a null source is a queue of its own; null or repeated doc_id and repeated
     rows are packed like any row; an empty table gives an empty result; other columns are ignored.
     """
     path = path or tokenizer_path("word_bpe_49k.json")
-    coded = materialize(tokenized(docs, path, end_id, seed))
+    weights = weights or {}
+    coded = materialize(tokenized(docs, path, end_id, seed, [s for s in weights if s is not None]))
     sums = coded.groupBy("range_id", "queue").agg(F.sum("n_tokens").alias("n")).collect()
     totals: dict[str, int] = {}
     offsets: dict[tuple[int, str], int] = {}
@@ -127,7 +159,9 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, window: int
         offsets[range_id, queue] = totals.get(queue, 0)
         totals[queue] = offsets[range_id, queue] + n
     queues = sorted(totals)
-    shares = np.array([(weights or {}).get(q[1:], totals[q] / sum(totals.values())) for q in queues], float)
+    named = {f"={s}" if s is not None else "": w for s, w in weights.items()}
+    tokens = sum(totals.values())
+    shares = np.array([named.get(q, totals[q] / tokens) for q in queues], float)
     plan = Schedule(np.array([totals[q] for q in queues], np.int64), shares, window, granule)
     index = {q: i for i, q in enumerate(queues)}
     width = coder(path, False, end_id).width

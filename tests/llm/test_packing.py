@@ -70,3 +70,38 @@ def test_schedule_is_a_bijection(shares):
                 seen[p:p + m] += 1
             at += n
     assert (seen == 1).all()
+
+
+def test_weights_and_names_hold_beyond_512_sources(spark):
+    docs = [(i, "word " * 700, ("37", "hot", None)[i % 3]) for i in range(180)]
+    docs += [(1000 + i, "word " * 30, f"site{i % 600}") for i in range(1800)]
+    docs += [(5000 + i, "word", f"{i}") for i in range(512) if i != 37]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    weights = {"37": 0.5, "hot": 0.2, None: 0.1, "site599": 0.2}
+    rows = packing.pack(df, weights=weights, granule=16).collect()
+    check([(i, t) for i, t, _ in docs], rows)
+    sources, mix, sent = {i: s for i, _, s in docs}, defaultdict(lambda: defaultdict(int)), defaultdict(int)
+    for r in rows:
+        mix[r.sequence_id][sources[r.doc_id]] += r.length
+    for k in sorted(mix):
+        for s in weights:
+            sent[s] += mix[k][s]
+        if sent["37"] == 60 * 701:
+            break
+        three = sum(sent[s] for s in ("37", "hot", None))
+        for s in ("37", "hot", None):  # windows end inside rounds, which hold up to 1024 tokens of a source
+            assert abs(sent[s] - three * weights[s] / 0.8) <= 512
+    assert k > 20 and mix[0]["site599"] == 93
+
+
+def test_small_sources_are_spread_over_their_shared_queue(spark, monkeypatch):
+    monkeypatch.setattr(packing, "QUEUES", 4)
+    docs = [(i, "word " * 400, f"large{i % 4}") for i in range(80)] + [(1000 + i, "word " * 60, f"small{i % 16}") for i in range(16 * 16)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    rows = packing.pack(df, window=256, granule=16).collect()
+    check([(i, t) for i, t, _ in docs], rows, 256)
+    quarters = defaultdict(lambda: [0] * 4)
+    for r in rows:
+        if r.doc_id >= 1000:
+            quarters[r.doc_id % 16][4 * r.sequence_id // (max(x.sequence_id for x in rows) + 1)] += r.length
+    assert all(sum(q) == 16 * 61 and min(q) >= 2.5 * 61 and max(q) <= 5.5 * 61 for q in quarters.values()), dict(quarters)
