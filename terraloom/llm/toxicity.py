@@ -84,11 +84,15 @@ def scores(text: Column, lexicon: Lexicon) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-lexicon.intercept) - F.lit(lexicon.slope) * densities(text, lexicon)))
 
 
+def usable(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the labels outside the held-out third."""
+    return labels.where("doc_id IS NOT NULL AND toxic IN (0, 1) AND crc32(CAST(doc_id AS STRING)) % 3 <> 1").select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(text, toxic) of distinct labelled texts outside the held-out third; at most `sample` rows of each label, by hash of doc_id."""
-    usable = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1) AND crc32(CAST(doc_id AS STRING)) % 3 <> 1").select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    drawn = [usable.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for v in (0, 1)]
+    drawn = [usable(labels).where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for v in (0, 1)]
     chosen = F.broadcast(drawn[0].union(drawn[1]))  # at most 2 * sample rows of two numbers
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
     return rows.where("text IS NOT NULL").select("text", "toxic").distinct()
@@ -131,9 +135,11 @@ def chosen_terms(weights: dict[str, float]) -> dict[str, float]:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = LEXICON) -> Lexicon:
     """Lexicon with log-ratio weights and a logistic line, from at most 2 * `sample` labelled rows outside the held-out third.
 
-    Without rows of both labels the lexicon is empty and every text scores 0.
+    In the line a sampled row counts for all rows of its label that it was drawn from, so that scores do not depend on
+    how far each label is beyond `sample`. Without rows of both labels the lexicon is empty and every text scores 0.
     """
     ship_package(docs.sparkSession)
+    labelled = {r.toxic: r["count"] for r in usable(labels).groupBy("toxic").count().collect()}
     rows = training_rows(docs, labels, sample).persist()
     try:
         totals = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
@@ -147,6 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = LE
     finally:
         rows.unpersist()
     x, y, n = (np.array([p[k] for p in points], float) for k in range(3))
+    n *= np.array([labelled[p.toxic] / min(labelled[p.toxic], sample) for p in points])
     a = b = 0.0
     for _ in range(60):  # Newton steps of a logistic fit with a small ridge
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))

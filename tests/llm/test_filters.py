@@ -71,6 +71,25 @@ def test_toxicity_learns_words_stems_and_foldings(spark):
     assert toxicity.clean(df, marks).count() == 602
 
 
+def test_toxicity_scores_do_not_depend_on_the_sample_cap(spark):
+    draw = random.Random(4)
+    docs, labels = [], []
+    for i in range(4000):
+        toxic = i % 10 == 0
+        words = [f"{draw.choice('bcdfgh')}{draw.choice('aeiou')}{draw.choice('lmnr')}{draw.choice('aeiou')}" for _ in range(60)]
+        if draw.random() < (0.8 if toxic else 0.02):
+            words[draw.randrange(60)] = "skunkel"
+        docs.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    df, marks = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    line = {}
+    for cap in (200, 8000):  # about 270 toxic and 2400 clean rows are not held out
+        fitted = toxicity.fit(df, marks, sample=cap)
+        assert set(fitted.weights) == {" skunkel "}
+        line[cap] = [fitted.intercept, fitted.intercept + fitted.slope * fitted.weights[" skunkel "]]
+    assert all(abs(a - b) < 0.9 for a, b in zip(line[200], line[8000])), line  # log odds; the two draw rates differ by a factor of about 9
+
+
 def test_exception_phrases_and_folding():
     found = toxicity.automaton(toxicity.Lexicon({" trash ": 5.0}))
     assert toxicity.density("put it in the Trash can", found) == 0 and toxicity.density("you tr4$h!", found) > 0 and toxicity.density(None, found) == 0
