@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraloom.llm import decision_list, fingerprints, language_id, licenses, mixing, near_dedup, packing, token_files, toxicity, warc
+from terraloom.llm import decision_list, decontamination, fingerprints, language_id, licenses, mixing, near_dedup, packing, token_files, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +84,9 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of every document, of its edited text, and how like they are."""
     return fingerprints.fingerprints(table(spark, folder, "documents"))
+
+
+@query("op11_decontamination", decontamination.ORACLE)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that lie in ten-word windows of benchmark items, and the items."""
+    return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
