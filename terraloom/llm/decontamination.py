@@ -76,8 +76,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shingle:
     windows = pairs.groupBy("window", "n").agg(owner.alias("owner"))
     windows = materialize(windows.select("window", "n", F.xxhash64("owner.c", "owner.a", "owner.b").alias("owner")))
     lengths = [r[0] for r in windows.select(F.least("n", F.lit(shingle))).distinct().collect()]  # at most `shingle` values
-    several = lambda w: F.array_compact(F.flatten(F.array(*[
-        F.transform(shingles(w, k), lambda h, i: F.struct(i.alias("at"), h.alias("shingle"))) for k in sorted(lengths)])))
     own = lambda w: F.coalesce(*[F.when(F.least(F.size(w), F.lit(shingle)) == k, shingles(w, k)) for k in sorted(lengths)])
 
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).select(
@@ -88,8 +86,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shingle:
     terms = materialize(windows.select("window", "n", "owner", own(F.split("window", " ")).alias("all"))
                         .select("window", "n", "owner", F.size("all").alias("terms"), F.posexplode("all").alias("at", "shingle")))
     known = materialize(terms.select("shingle").distinct())
-    spread = keyed.select("_id", "text_hash", F.size("w").alias("m"), F.explode(several(F.col("w"))).alias("e"))
-    hits = materialize(spread.select("_id", "text_hash", "m", "e.at", "e.shingle").join(known, "shingle").withColumnRenamed("at", "place"))
+    every = F.concat(*[shingles(F.col("w"), k) for k in sorted(lengths)])  # lists of the lengths in turn, each from the first word on
+    place, before = F.col("at"), F.lit(0)
+    for k in sorted(lengths)[:-1]:
+        before = before + F.greatest(F.lit(0), F.col("m") - k + 1)
+        place = F.when(F.col("at") >= before, F.col("at") - before).otherwise(place)
+    spread = keyed.select("_id", "text_hash", F.size("w").alias("m"), F.posexplode(every).alias("at", "shingle"))
+    hits = materialize(spread.select("_id", "text_hash", "m", place.alias("place"), "shingle").join(known, "shingle"))
     fits = lambda x: (F.col("place") >= x["at"]) & (F.col("place") - x["at"] + x["n"] <= F.col("m"))
     starts = F.transform(F.filter("list", fits), lambda x: F.struct((F.col("place") - x["at"]).alias("first"), x["n"].alias("n"), x["window"].alias("window"), x["owner"].alias("owner")))
     met = hits.join(materialize(rarest(terms, hits)), "shingle").select("_id", "text_hash", starts.alias("starts")).where("size(starts) > 0")
