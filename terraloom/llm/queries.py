@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraloom.llm import decision_list, decontamination, fingerprints, language_id, licenses, mixing, near_dedup, packing, token_files, toxicity, warc
+from terraloom.llm import decision_list, decontamination, fingerprints, language_id, licenses, mixing, near_dedup, packing, prefix_trie, token_files, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +90,9 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document that lie in ten-word windows of benchmark items, and the items."""
     return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op13_prefix_trie", prefix_trie.ORACLE)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes of the trie of all rebuilt conversations."""
+    return prefix_trie.trie(table(spark, folder, "conversations"))
