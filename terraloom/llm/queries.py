@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraloom.llm import decision_list, decontamination, fingerprints, language_id, licenses, mixing, near_dedup, packing, prefix_trie, token_files, toxicity, warc
+from terraloom.llm import decision_list, decontamination, fingerprints, hard_negatives, language_id, licenses, mixing, near_dedup, packing, prefix_trie, token_files, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,9 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     """Nodes of the trie of all rebuilt conversations."""
     return prefix_trie.trie(table(spark, folder, "conversations"))
+
+
+@query("op12_hard_negatives", hard_negatives.ORACLE)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector and its positives, searched among all vectors."""
+    return hard_negatives.hard_negatives(table(spark, folder, "embeddings"))
