@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import string
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraloom.llm.tables import let
+from terraloom.operators.attach import attach
 from terraloom.session import materialize
 
 #: Consecutive words of an item that must occur; a shorter item is one window.
@@ -56,59 +59,83 @@ def rarest(terms: DataFrame, hits: DataFrame) -> DataFrame:
     return chosen.join(lists, "shingle").groupBy("shingle", chunk).agg(F.collect_list("entry").alias("list")).select("shingle", "list")
 
 
+def bitmap(known: DataFrame) -> tuple[DataFrame, int]:
+    """One row with a bit array in which two bits of every known shingle are set, and its number of bits: 64 a shingle, at most 2 MB."""
+    bits = 1 << max(10, min(24, (64 * known.count() - 1).bit_length()))
+    at = known.select(F.explode(F.array(*probes(F.col("shingle"), bits))).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits"))
+    dense = known.sparkSession.range(bits // 64).join(words, "id", "left").select("id", F.coalesce("bits", F.lit(0)).cast("bigint").alias("bits"))
+    return dense.agg(F.sort_array(F.collect_list(F.struct("id", "bits"))).alias("all")).select(F.col("all.bits").alias("bits")), bits
+
+
+def probes(shingle: Column, bits: int) -> list[Column]:
+    return [shingle.bitwiseAND(F.lit(bits - 1).cast("bigint")), F.shiftrightunsigned(shingle, 32).bitwiseAND(F.lit(bits - 1).cast("bigint"))]
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, text_hash, n_words, spans, items) of every row of `docs`: where benchmark windows occur and of which items.
 
     `spans` are (first word, word after the last) of every occurrence, `items` the item_ids as sorted strings. Shingles of
-    the windows are looked up in all documents once; what is found tells how rare each is, the rarest one of a window
-    proposes places, the position and the length of the text bound them, and the words at each place are compared.
+    the windows are looked up in all documents once (a bit array of bounded size leaves out nearly all others) and taken
+    along with the words around them. What is found tells how rare each shingle is; the rarest one of a window proposes
+    places, the position and the length of the text bound them, and the words at each place are compared.
 
     Null or wordless text: no words, no spans. Null doc_id: judged like any other. Repeated rows: each returns, with the
     same answer. An item without words or without id cannot occur; items that share a window are all named. A very long
     text is one row and costs time in proportion to its words. Empty tables: no documents, or nothing found in any.
     Other columns are ignored.
     """
-    pairs = item_windows(benchmark, size)
-    # windows with the same items share an owner: three sums that no two item sets have in common but by chance of 2^-64
+    pairs = materialize(item_windows(benchmark, size))
+    # windows with the same items share an owner: sums that two item sets have in common only by a chance of 2^-64
     owner = F.struct(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("item_id").cast("decimal(20,0)")).alias("a"),
                      F.sum(F.xxhash64(F.lit(7), "item_id").cast("decimal(20,0)")).alias("b"))
-    pairs = materialize(pairs)
     windows = pairs.groupBy("window", "n").agg(owner.alias("owner"))
     windows = materialize(windows.select("window", "n", F.xxhash64("owner.c", "owner.a", "owner.b").alias("owner")))
-    lengths = [r[0] for r in windows.select(F.least("n", F.lit(shingle))).distinct().collect()]  # at most `shingle` values
-    own = lambda w: F.coalesce(*[F.when(F.least(F.size(w), F.lit(shingle)) == k, shingles(w, k)) for k in sorted(lengths)])
+    lengths = sorted(r[0] for r in windows.select(F.least("n", F.lit(shingle))).distinct().collect())  # at most `shingle` values
 
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).select(
         "doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), words(F.col("text")).alias("w"))
+    counted = keyed.select("doc_id", "text_hash", "_id", F.size("w").cast("bigint").alias("n_words"))
+    no_spans, no_items = F.array().cast("array<struct<first:int,after:int>>"), F.array().cast("array<string>")
     if not lengths:
-        return keyed.select("doc_id", "text_hash", F.size("w").cast("bigint").alias("n_words"),
-                            F.array().cast("array<struct<first:int,after:int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
+        return counted.select("doc_id", "text_hash", "n_words", no_spans.alias("spans"), no_items.alias("items"))
+    own = lambda w: F.coalesce(*[F.when(F.least(F.size(w), F.lit(shingle)) == k, shingles(w, k)) for k in lengths])
     terms = materialize(windows.select("window", "n", "owner", own(F.split("window", " ")).alias("all"))
                         .select("window", "n", "owner", F.size("all").alias("terms"), F.posexplode("all").alias("at", "shingle")))
     known = materialize(terms.select("shingle").distinct())
-    every = F.concat(*[shingles(F.col("w"), k) for k in sorted(lengths)])  # lists of the lengths in turn, each from the first word on
-    place, before = F.col("at"), F.lit(0)
-    for k in sorted(lengths)[:-1]:
-        before = before + F.greatest(F.lit(0), F.col("m") - k + 1)
-        place = F.when(F.col("at") >= before, F.col("at") - before).otherwise(place)
-    spread = keyed.select("_id", "text_hash", F.size("w").alias("m"), F.posexplode(every).alias("at", "shingle"))
-    hits = materialize(spread.select("_id", "text_hash", "m", place.alias("place"), "shingle").join(known, "shingle"))
-    fits = lambda x: (F.col("place") >= x["at"]) & (F.col("place") - x["at"] + x["n"] <= F.col("m"))
-    starts = F.transform(F.filter("list", fits), lambda x: F.struct((F.col("place") - x["at"]).alias("first"), x["n"].alias("n"), x["window"].alias("window"), x["owner"].alias("owner")))
-    met = hits.join(materialize(rarest(terms, hits)), "shingle").select("_id", "text_hash", starts.alias("starts")).where("size(starts) > 0")
-    per_doc = materialize(met.groupBy("_id", "text_hash").agg(F.collect_set("starts").alias("starts")).select("_id", "text_hash", F.flatten("starts").alias("starts")))
-    same = F.filter(F.coalesce("starts", F.array()), lambda x: F.array_join(F.slice("w", x["first"] + 1, x["n"]), " ") == x["window"])
-    scored = keyed.join(per_doc, ["_id", "text_hash"], "left").select("doc_id", "_id", "text_hash", F.size("w").cast("bigint").alias("n_words"), let(same, lambda z: F.struct(
-        F.array_distinct(F.transform(z, lambda x: F.struct(x["first"].alias("first"), (x["first"] + x["n"]).alias("after")))).alias("spans"),
-        F.array_distinct(F.transform(z, lambda x: x["owner"])).alias("owners"))).alias("z"))
-    scored = materialize(scored.select("doc_id", "_id", "text_hash", "n_words", "z.spans", "z.owners"))
+    mask, bits = bitmap(known)
+
+    def places(k: int) -> Column:
+        """(place, shingle, from, near) of the shingles of k words that may be known, with the words a window around could have."""
+        may_know = lambda h: reduce(and_, [F.getbit(F.get(F.col("mask"), F.shiftright(b, 6).cast("int")), b.bitwiseAND(F.lit(63)).cast("int")) == 1 for b in probes(h, bits)])
+        near = lambda i: F.slice("w", F.greatest(i - (size - k), F.lit(0)) + 1, F.lit(2 * size - k))
+        hashed = shingles(F.col("w"), k)
+        found = lambda hs: F.transform(
+            F.filter(F.sequence(F.lit(0), F.size(hs) - 1), lambda i: may_know(F.get(hs, i))),
+            lambda i: F.struct(i.alias("place"), F.get(hs, i).alias("shingle"), F.greatest(i - (size - k), F.lit(0)).alias("from"), F.array_join(near(i), " ").alias("near")))
+        none = F.array().cast("array<struct<place:int,shingle:bigint,from:int,near:string>>")
+        return F.when(F.size("w") < k, none).otherwise(let(hashed, found))
+
+    spread = attach(keyed, mask.withColumnRenamed("bits", "mask"), []).select("_id", "text_hash", F.explode(F.concat(*[places(k) for k in lengths])).alias("e"))
+    hits = materialize(spread.select("_id", "text_hash", "e.*").join(known, "shingle"))
+    met = hits.join(materialize(rarest(terms, hits)), "shingle")
+    start = lambda x: F.col("place") - x["at"]
+    bounded = F.filter("list", lambda x: (start(x) >= 0) & (start(x) - F.col("from") + x["n"] <= F.size(F.split("near", " "))))
+    same = F.filter(bounded, lambda x: F.array_join(F.slice(F.split("near", " "), start(x) - F.col("from") + 1, x["n"]), " ") == x["window"])
+    spans = F.transform(same, lambda x: F.struct(start(x).alias("first"), (start(x) + x["n"]).alias("after"), x["owner"].alias("owner")))
+    met = met.select("_id", "text_hash", spans.alias("spans")).where("size(spans) > 0")
+    scored = met.groupBy("_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("z")).select(
+        "_id", "text_hash", F.array_distinct(F.transform("z", lambda x: F.struct(x["first"].alias("first"), x["after"].alias("after")))).alias("spans"),
+        F.array_distinct("z.owner").alias("owners"))
+    scored = materialize(scored)
 
     shown = windows.groupBy("owner").agg(F.min_by("window", F.xxhash64("window")).alias("window"))  # any window stands for its owner's items
     named = shown.join(pairs.select("window", "item_id"), "window").select("owner", "item_id")
-    items = scored.where("size(owners) > 0").select("_id", "text_hash", F.explode("owners").alias("owner")).join(named, "owner")
+    items = scored.select("_id", "text_hash", F.explode("owners").alias("owner")).join(named, "owner")
     items = items.groupBy("_id", "text_hash").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    return scored.join(items, ["_id", "text_hash"], "left").select(
-        "doc_id", "text_hash", "n_words", "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    found = materialize(scored.select("_id", "text_hash", "spans").join(items, ["_id", "text_hash"]))
+    return counted.join(found, ["_id", "text_hash"], "left").select(
+        "doc_id", "text_hash", "n_words", F.coalesce("spans", no_spans).alias("spans"), F.coalesce("items", no_items).alias("items"))
 
 
 def covered(spans: Column) -> Column:
