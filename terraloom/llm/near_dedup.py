@@ -9,7 +9,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraloom.llm.components import components
@@ -168,18 +168,23 @@ def pairs_in_crowds(rows: DataFrame, texts: DataFrame, percent: int, size: int)
     buckets) shares a rare shingle with another text, and then meets it there, or all that they share is common; then
     100 * shared >= percent * (n + m - shared) bounds the sum of their sizes by what the stray has of common shingles. So
     a copy with many edits of its own is not paired with the whole crowd, and no link is lost, for every pair has a stray.
-    Only the strays' shingles that another text has too are looked up; other texts are bounded by their own size.
+    Of each shingle RARE + 1 holders are gathered at most, which tells rare from common; what is not rare is common. Texts
+    that are no strays are bounded by their own size.
     """
     labels = rows.groupBy("node").agg(F.min("label").alias("label"), F.bool_or(F.expr("label <> main.label")).alias("stray"))
     shingles = materialize(shingle_rows(texts.join(labels, "node"), size))
-    shared = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"), F.bool_or("stray").alias("sought")).where("holders > 1 AND sought")
-    known = materialize(shingles.where("stray").join(shared.drop("sought"), "shingle"))
-    common = known.where(f"holders > {RARE}").groupBy("node").agg(F.count(F.lit(1)).alias("common"))
-    most = F.expr(f"floor({100 + percent} * IF(stray, coalesce(common, 0), n) / {percent})").cast("bigint")
+    first = shingles.withColumn("nth", F.row_number().over(Window.partitionBy("shingle").orderBy("node"))).where(f"nth <= {RARE + 1}")
+    groups = first.groupBy("shingle").agg(F.collect_list(F.struct("node", "label", "stray")).alias("holders"))
+    groups = materialize(groups.where(f"size(holders) <= {RARE} AND exists(holders, h -> h.stray)").select("holders"))
+    several = groups.where("size(holders) > 1")
+    strays = F.explode(F.expr("transform(filter(holders, h -> h.stray), h -> h.node)")).alias("node")
+    rare = groups.where("size(holders) = 1").select(F.expr("holders[0].node").alias("node")).unionByName(several.select(strays))
+    rare = rare.groupBy("node").agg(F.count(F.lit(1)).alias("rare"))
+    most = F.expr(f"floor({100 + percent} * IF(stray, n - coalesce(rare, 0), n) / {percent})").cast("bigint")
     sizes = shingles.groupBy("node", "stray").agg(F.count(F.lit(1)).alias("n"))
-    reach = materialize(sizes.join(common, "node", "left").select("node", "n", most.alias("most")))
-    other = shingles.select("shingle", F.col("node").alias("drawn"), F.col("label").alias("other_label"))
-    met = known.where(f"holders <= {RARE}").join(other, "shingle").where("label <> other_label").select("node", "drawn")
+    reach = materialize(sizes.join(rare, "node", "left").select("node", "n", most.alias("most")))
+    pairs = F.expr("flatten(transform(filter(holders, h -> h.stray), h -> transform(filter(holders, o -> o.label <> h.label), o -> struct(h.node AS node, o.node AS drawn))))")
+    met = several.select(F.explode(pairs).alias("p")).select("p.*").distinct()
     return met.union(pairs_in_buckets(rows, reach))
 
 
@@ -201,9 +206,9 @@ def links_between_classes(classes: DataFrame, docs: DataFrame, percent: int, ban
     hubs = members.join(company, "node").groupBy("bucket").agg(F.max_by("node", F.struct("company", F.expr("-node"))).alias("hub"))
     nodes = members.select("node").distinct()
     sigs = materialize(classes.join(nodes, "node", "left_semi").select("node", "sig"))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    wanted = classes.join(nodes, "node", "left_semi").select("node", "text_hash")
-    texts = materialize(texts.join(wanted.hint("merge"), ["node", "text_hash"]).dropDuplicates(["node"]).select("node", "text"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    wanted = classes.join(nodes, "node", "left_semi").select("node", "doc_id", "text_hash")
+    texts = materialize(texts.join(wanted.hint("merge"), ["doc_id", "text_hash"]).dropDuplicates(["node"]).select("node", "text"))
 
     def test(pairs: DataFrame) -> DataFrame:
         return materialize(confirmed(unpruned(pairs, sigs, percent, miss), texts, percent, size))
@@ -237,6 +242,22 @@ def links_between_classes(classes: DataFrame, docs: DataFrame, percent: int, ban
     return links
 
 
+def classified(docs: DataFrame, percent: int, size: int, bands: int, rows: int, miss: float, rounds: int) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component, component_id) of every row; component is null for rows that take no part."""
+    seen = materialize(signatures(docs, bands * rows, size))
+    named = seen.where("doc_id IS NOT NULL AND class_id IS NOT NULL")
+    first = F.min_by(F.struct("doc_id", "text_hash", "sig"), F.struct("doc_id", "text_hash"))
+    classes = named.groupBy("class_id").agg(first.alias("first")).select(F.monotonically_increasing_id().alias("node"), "class_id", "first.*")
+    classes = materialize(classes)  # from here on a class keeps its number
+    labels = components(links_between_classes(classes, docs, percent, bands, rows, miss, size, rounds))
+    label_of = materialize(classes.join(labels, "node", "left").select("class_id", "doc_id", F.coalesce("label", "node").alias("component")))
+    smallest = label_of.groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    label_of = label_of.join(smallest, "component").select("class_id", "component", "smallest")
+    found = seen.drop("sig").join(label_of, "class_id", "left")
+    component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("smallest", "doc_id"))
+    return found.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component"), component_id.alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, bands: int = BANDS, rows: int = ROWS, miss: float = MISS,
                     rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id, kept) of every row of `docs` (doc_id, text; other columns are ignored).
@@ -247,25 +268,24 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, bands: in
 
     Null or blank text: n_shingles 0, its own component. Null doc_id: the row is named by nobody, so it takes no part in
     linking; its component_id is null and kept is true. Repeated rows: each returns, with the same answer. Rows that repeat
-    a doc_id with another text count as texts of one document. Empty table: empty result.
+    a doc_id with another text are linked by their own text alone. Very long texts are hashed in blocks. Empty table: empty
+    result.
     """
-    seen = materialize(signatures(docs, bands * rows, size))
-    named = seen.where("doc_id IS NOT NULL AND class_id IS NOT NULL")
-    first = F.min_by(F.struct("text_hash", "sig"), F.struct("doc_id", "text_hash"))
-    classes = named.groupBy("class_id").agg(F.min("doc_id").alias("node"), first.alias("first"))
-    classes = materialize(classes.groupBy("node").agg(F.min_by("first", "class_id").alias("first"), F.collect_set("class_id").alias("classes"))
-                          .select("node", "classes", "first.text_hash", "first.sig"))
-    labels = components(links_between_classes(classes, docs, percent, bands, rows, miss, size, rounds))
-    label_of = classes.join(labels, "node", "left").select(F.explode("classes").alias("class_id"), F.coalesce("label", "node").alias("label"))
-    rows_out = seen.drop("sig").join(label_of, "class_id", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
-    kept = F.coalesce(component == F.col("doc_id"), F.lit(True))
-    return rows_out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), kept.alias("kept"))
-
-
-def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """`docs` with one row of each near-duplicate component, all columns kept; of repeated rows one stays."""
-    found = near_duplicates(docs, **settings).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("_hash"), F.col("doc_id").cast("bigint").alias("_id"))
-    joined = rows.join(found, ["_id", "_hash"], "left_semi")
-    return joined.dropDuplicates(["_id"]).select("row.*").unionByName(docs.where("CAST(doc_id AS BIGINT) IS NULL"))
+    kept = F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))
+    found = classified(docs, percent, size, bands, rows, miss, rounds)
+    return found.select("doc_id", "text_hash", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def keep_one(docs: DataFrame, percent: int = 75, size: int = 5, bands: int = BANDS, rows: int = ROWS, miss: float = MISS, rounds: int = ROUNDS) -> DataFrame:
+    """`docs` with one row of each near-duplicate component, all columns kept: the smallest doc_id's, then the least text hash.
+
+    Of repeated rows one stays, also of those without words; rows without doc_id all stay. A doc_id that repeats with
+    other texts keeps each text that duplicates no other. An empty table stays empty.
+    """
+    found = classified(docs, percent, size, bands, rows, miss, rounds).where("doc_id IS NOT NULL")
+    alone = found.where("component IS NULL").select("doc_id", "text_hash").distinct()
+    found = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("f")).select("f.*").union(alone)
+    found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    given = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("_hash"), F.col("doc_id").cast("bigint").alias("_id"))
+    joined = given.join(found, ["_id", "_hash"], "left_semi")
+    return joined.dropDuplicates(["_id", "_hash"]).select("row.*").unionByName(docs.where("CAST(doc_id AS BIGINT) IS NULL"))

@@ -67,6 +67,15 @@ def test_nulls_repeats_and_clashing_columns(spark):
     assert near_dedup.keep_one(df.where("doc_id > 99")).count() == 0
 
 
+def test_each_text_of_a_repeated_doc_id_is_judged_by_itself(spark):
+    a, b, c = "a b c d e f g h", "p q r s t u v w", "k l m n o x y z"
+    rows = [(1, a), (1, b), (1, b), (2, c), (3, b), (0, a), (4, None), (4, ""), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect()))
+    assert got == sorted([(1, 0, False), (1, 1, True), (1, 1, True), (2, 2, True), (3, 1, False), (0, 0, True), (4, 4, True), (4, 4, True), (4, 4, True)])
+    assert sorted((r.doc_id, r.text or "") for r in near_dedup.keep_one(df).collect()) == [(0, a), (1, b), (2, c), (4, ""), (4, "")]
+
+
 def test_posterior_bound_keeps_similar_pairs():
     assert near_dedup.fewest_matches(128, 75, 1e-7) < 96 and near_dedup.fewest_matches(128, 75, 1e-7) > 60
     assert near_dedup.fewest_matches(16, 75, 1e-7) >= 1
