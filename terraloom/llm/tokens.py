@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from functools import lru_cache
 from itertools import islice
@@ -41,7 +42,8 @@ class Coder:
 
     `joined` tells whether a blank belongs to the piece after it (byte-level files) or is dropped (word files). Both kinds of
     tokenizer cut at a blank between two other characters before any merge, so the pieces of a regular text encode
-    independently; texts with other white space around blanks are encoded whole.
+    independently; texts with other white space around blanks, or with a string that the file adds as one token
+    (end-of-text marks and the like), are encoded whole.
     """
 
     def __init__(self, path: str, joined: bool, end_id: int):
@@ -49,7 +51,8 @@ class Coder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.irregular = "|".join([IRREGULAR, *([f"(?i:{'|'.join(added)})"] if added else [])])
         self.joined, self.end_id = joined, end_id
         self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
         self.seen: dict[str, bytes] = {}
@@ -101,7 +104,7 @@ class Coder:
     def encode(self, column: pa.Array) -> list[np.ndarray]:
         """Ids of every text with the end id appended; null encodes as empty."""
         texts = pc.fill_null(column, "").cast(pa.large_string())
-        odd = pc.match_substring_regex(texts, IRREGULAR).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, self.irregular).to_numpy(zero_copy_only=False)
         split = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()

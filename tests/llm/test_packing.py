@@ -11,7 +11,6 @@ from terraloom.llm.tokens import tokenizer_path
 
 def check(docs, rows, window=2048):
     coder = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
-    coder.encode_special_tokens = True
     left = defaultdict(list)
     for doc_id, text in docs:
         left[doc_id].append(np.array(coder.encode(text or "", add_special_tokens=False).ids + [1], "<u4"))
@@ -40,6 +39,11 @@ def test_every_token_once_and_windows_full(spark, odd_docs):
     assert packing.pack(odd_docs.where("false")).count() == 0
 
 
+def test_end_of_text_marks_inside_texts_are_one_token(spark):
+    docs = [(1, "a <|endoftext|> b"), (2, "x <|startoftext|> y"), (3, "plain"), (4, "A<|ENDOFTEXT|>b <|endoftext|>")]
+    check(docs, packing.pack(spark.createDataFrame([(*d, "s") for d in docs], "doc_id bigint, text string, source string")).collect())
+
+
 def test_windows_follow_the_weights(spark):
     docs = [(i, "word " * 700, f"s{i % 3}") for i in range(90)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")

@@ -16,10 +16,12 @@ from terraloom.sources.files import scratch
 @pytest.mark.parametrize("name, joined", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_pieces_encode_as_the_whole_text(name, joined):
     draw, alphabet = random.Random(5), "ab Z'sßéΣİ\n\t  .,;  é中  \x1c\x85́ <|endoftext|> 's 12 |"
-    texts = ["".join(draw.choice(alphabet) for _ in range(draw.randrange(30))) for _ in range(3000)] + ["<|endoftext|>", "a <|endoftext|> b", "", " ", "a  b", "x\n y", None]
-    coder = Coder(tokenizer_path(name), joined, 2)
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "a", " ", "b.", "\n", "é"]
+    texts = ["".join(draw.choice(alphabet) for _ in range(draw.randrange(30))) for _ in range(3000)] + ["<|endoftext|>", "a <|endoftext|> b", "x <|startoftext|> y", "", " ", "a  b", "x\n y", None]
+    texts += ["".join(draw.choice(marks) for _ in range(draw.randrange(8))) for _ in range(1000)]
+    coder, plain = Coder(tokenizer_path(name), joined, 2), Tokenizer.from_file(tokenizer_path(name))
     for text, ids in zip(texts, coder.encode(pa.array(texts))):
-        assert ids.tolist() == coder.tokenizer.encode(text or "", add_special_tokens=False).ids + [2], text
+        assert ids.tolist() == plain.encode(text or "", add_special_tokens=False).ids + [2], text
 
 
 def test_index_matches_the_documents_in_order(spark, odd_docs):
