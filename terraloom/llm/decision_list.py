@@ -173,9 +173,11 @@ def quality(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
-    """Rows of `docs` that the list keeps, all columns kept."""
-    known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(
-        labels.where("quality IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    rules = learn(labelled_counts(counted(known).select("doc_id", "_counts.*"), labels), **settings)
-    rows = counted(docs.select(F.struct("*").alias("row"), "text")).select("row", "_counts.*")
+    """Rows of `docs` that the list keeps, all columns kept; each text is counted once.
+
+    Null and empty texts fail the base rule and go; rows with a null doc_id are judged like any other; of repeated rows
+    each is judged; columns of any name pass through; very long texts are counted whole; an empty table stays empty.
+    """
+    rows = materialize(counted(docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")).select("row", "doc_id", "_counts.*"))
+    rules = learn(labelled_counts(rows.drop("row"), labels), **settings)
     return rows.where(verdict(rules)).select("row.*")
