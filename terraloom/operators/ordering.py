@@ -132,17 +132,13 @@ def ranked_summary(
     return (_plain_ranks if plain else ranked_rows)(df, keys, lead, tie, rank, size)
 
 
-def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], buckets: int | None = None, weight: str | None = None
-) -> DataFrame:
-    """Interpolated quantiles per key, one output column per entry of `probs`; nulls are ignored.
+def _plain_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], weight: str | None) -> DataFrame:
+    ends = F.percentile(value, F.array(*[F.lit(float(q)) for q in probs.values()]), *([F.col(weight)] if weight else []))
+    grouped = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(ends.alias("_e"))
+    return grouped.select(*keys, *[F.col("_e")[i].alias(name) for i, name in enumerate(probs)])
 
-    With `weight` each row stands for that many equal values (a stored histogram).
-    """
-    if fits_one_task(df):
-        ends = F.percentile(value, F.array(*[F.lit(float(q)) for q in probs.values()]), *([F.col(weight)] if weight else []))
-        grouped = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(ends.alias("_e"))
-        return grouped.select(*keys, *[F.col("_e")[i].alias(name) for i, name in enumerate(probs)])
+
+def _ranged_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], buckets: int | None, weight: str | None) -> DataFrame:
     size = F.sum(weight) if weight else F.count(F.lit(1))
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(size.alias("_n"))
     run = running_totals(counts, keys, value, ["_n"], buckets)
@@ -154,13 +150,39 @@ def exact_quantiles(
         picks += [
             F.max(F.when((first <= low) & (low < after), F.col(value))).alias(f"_lo{i}"),
             F.max(F.when((first <= high) & (high < after), F.col(value))).alias(f"_hi{i}"),
-            F.max(spot - low).alias(f"_f{i}"),
+            F.max(spot - low).alias(f"_f{i}"), F.max(high - spot).alias(f"_g{i}"),
         ]
     agg = run.groupBy(*keys).agg(*picks)
-    # the built-in percentile's own interpolation, so that both plans agree to the last bit
-    mixed = lambda i: (1 - F.col(f"_f{i}")) * F.col(f"_lo{i}").cast("double") + F.col(f"_f{i}") * F.col(f"_hi{i}").cast("double")
-    value_of = [F.when(F.col(f"_f{i}") == 0, F.col(f"_lo{i}").cast("double")).otherwise(mixed(i)).alias(name) for i, name in enumerate(probs)]
-    return agg.select(*keys, *value_of)
+
+    def mixed(i: int) -> Column:
+        """The built-in percentile's own steps, so that both plans agree to the last bit: equal ends are not mixed at all."""
+        low, high = F.col(f"_lo{i}").cast("double"), F.col(f"_hi{i}").cast("double")
+        return F.when(low == high, low).otherwise(F.col(f"_g{i}") * low + F.col(f"_f{i}") * high)
+
+    return agg.select(*keys, *[mixed(i).alias(name) for i, name in enumerate(probs)])
+
+
+def exact_quantiles(
+    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], buckets: int | None = None, weight: str | None = None
+) -> DataFrame:
+    """Interpolated quantiles per key, one output column per entry of `probs`; nulls are ignored.
+
+    With `weight` each row stands for that many equal values (a stored histogram). Small inputs, and keys of a large input
+    with at most PLAIN_WINDOW_ROWS rows, take the built-in percentile; only keys counted above that are cut into ranges.
+    """
+    if fits_one_task(df):
+        return _plain_quantiles(df, keys, value, probs, weight)
+    if not keys:
+        return _ranged_quantiles(df, keys, value, probs, buckets, weight)
+    stored = materialize(df.select(*keys, value, *([weight] if weight else [])))
+    heavy = stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > PLAIN_WINDOW_ROWS).drop("_rows")
+    heavy = materialize(heavy)  # at most rows / PLAIN_WINDOW_ROWS keys
+    if heavy.isEmpty():
+        return _plain_quantiles(stored, keys, value, probs, weight)
+    marked = heavy.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)])
+    same = [F.col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(keys)]
+    many, few = (stored.join(marked, same, how) for how in ("left_semi", "left_anti"))
+    return _plain_quantiles(few, keys, value, probs, weight).unionByName(_ranged_quantiles(many, keys, value, probs, buckets, weight))
 
 
 def summary_quantiles(df: DataFrame, value: str, probs: dict[str, float]) -> DataFrame:

@@ -246,25 +246,78 @@ def reason_counts(parcels: DataFrame, reasons: str) -> DataFrame:
     return parcels.where(F.col(reasons) != "").select(F.explode(F.split(reasons, ";")).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def deduplicate_instances(cells: DataFrame, confidence: DataFrame, iou: float = 0.60, containment: float = 0.80) -> DataFrame:
-    """(parcel_id, kept): greedy suppression by falling confidence, in parallel rounds.
+def _order(confidence: DataFrame) -> DataFrame:
+    """(id, k): the place of each instance in the sequential order, by falling confidence, then id."""
+    return confidence.select(F.col("parcel_id").alias("id"), F.struct((-F.col("confidence")).alias("c"), F.col("parcel_id").alias("i")).alias("k"))
 
-    A still undecided instance is kept once no undecided rival beats it; rivals of kept instances join the most
-    confident kept one. The result equals the sequential order on the same pair graph.
+
+def _rivals(cells: DataFrame, order: DataFrame) -> DataFrame:
+    """(a, ka, b, kb, shared, b_area) in both directions: instances that share cells."""
+    pairs = overlap_pairs(cells.withColumn("tile", F.lit("")), cross_tile=False)
+    sizes = cells.groupBy("parcel_id").agg(F.count(F.lit(1)).alias("area"))
+    both = pairs.select("a", "b", "shared").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
+    named = order.join(sizes.withColumnRenamed("parcel_id", "id"), "id")
+    one, two = (named.select(F.col("id").alias(x), F.col("k").alias(f"k{x}"), F.col("area").alias(f"{x}_area")) for x in "ab")
+    return materialize(both.join(one, "a").join(two, "b"))
+
+
+def merge_instances(cells: DataFrame, confidence: DataFrame, iou: float = 0.60, containment: float = 0.80) -> tuple[DataFrame, DataFrame]:
+    """(parcel_id, kept) of every instance and (kept, row, col), the support of every kept one: greedy merging by falling confidence.
+
+    An instance joins the most confident kept instance whose support, grown by all that joined it before, it meets at `iou`
+    or at `containment` of the smaller of the two; otherwise it is kept. Rounds take every instance whose turn cannot be
+    changed by an undecided one: all its rivals before it are decided, and none undecided that comes before it touches the
+    supports it touches. An instance whose shared cells cannot reach either limit is kept at once. So the result equals the
+    sequential order, whatever number of rounds runs in parallel over the map.
+    """
+    order = materialize(_order(confidence))
+    cells = materialize(cells.select("parcel_id", "row", "col").distinct())
+    rivals = _rivals(cells, order)
+    before = rivals.where("kb < ka").groupBy("a").agg(F.sum("shared").alias("most"), F.first("a_area").alias("area"), F.min("b_area").alias("least"))
+    may_join = before.where((F.col("most") >= iou * F.col("area")) | (F.col("most") >= containment * F.least("area", "least"))).select(F.col("a").alias("id"), F.lit(True).alias("open"))
+    state = materialize(order.join(may_join, "id", "left").select("id", "k", F.when(F.col("open").isNull(), F.col("id")).alias("kept")))
+    support = materialize(cells.join(state.where("kept IS NOT NULL").select(F.col("id").alias("parcel_id"), "kept"), "parcel_id").select("kept", "row", "col"))
+    while not state.where("kept IS NULL").isEmpty():
+        open_ = state.where("kept IS NULL").select(F.col("id").alias("a"))
+        links = materialize(rivals.join(open_, "a", "left_semi").join(state.select(F.col("id").alias("b"), "kept"), "b").select("a", "ka", "kb", "kept"))
+        touched = links.where("kept IS NOT NULL").select("a", "ka", "kept").distinct()
+        first = touched.groupBy("kept").agg(F.min("ka").alias("first"))
+        waits = links.where("kept IS NULL AND kb < ka").select("a").union(touched.join(first, "kept").where("ka > first").select("a")).distinct()
+        ready = materialize(open_.join(waits, "a", "left_anti"))
+        own = cells.join(ready.withColumnRenamed("a", "parcel_id"), "parcel_id", "left_semi")
+        shared = own.join(support, ["row", "col"]).groupBy("parcel_id", "kept").agg(F.count(F.lit(1)).alias("shared"))
+        areas = support.groupBy("kept").agg(F.count(F.lit(1)).alias("kept_area"))
+        sized = shared.join(own.groupBy("parcel_id").agg(F.count(F.lit(1)).alias("area")), "parcel_id").join(areas, "kept")
+        fits = (F.col("shared") >= iou * (F.col("area") + F.col("kept_area") - F.col("shared"))) | (F.col("shared") >= containment * F.least("area", "kept_area"))
+        keys = order.select(F.col("id").alias("kept"), F.col("k").alias("kk"))
+        joins = sized.where(fits).join(keys, "kept").groupBy("parcel_id").agg(F.min("kk").alias("kk")).select(F.col("parcel_id").alias("a"), F.col("kk.i").alias("into"))
+        decided = materialize(ready.join(joins, "a", "left").select(F.col("a").alias("id"), F.coalesce("into", "a").alias("now")))
+        grown = own.join(decided.withColumnRenamed("id", "parcel_id"), "parcel_id").select(F.col("now").alias("kept"), "row", "col")
+        support = materialize(support.union(grown).distinct())
+        state = materialize(state.join(decided, "id", "left").select("id", "k", F.coalesce("kept", "now").alias("kept")))
+    return state.select(F.col("id").alias("parcel_id"), "kept"), support
+
+
+def resolve_conflicts(cells: DataFrame, confidence: DataFrame, large_enough: Column, steps: list[tuple[int, int]] | None = None) -> DataFrame:
+    """(parcel_id, row, col, comp, size): parts that instances keep when each takes, by falling confidence, the cells still free.
+
+    Free cells of an instance fall into connected parts; parts that are not `large_enough` (a condition on `size`) are
+    dropped and their cells stay free for the next. Rounds take every instance whose rivals before it are all decided;
+    these share no cell, so a round is one labelling of all their free cells, and the result equals the sequential order.
     """
-    pairs = overlap_pairs(cells, cross_tile=False).where((F.col("iou") >= iou) | (F.col("ratio") >= containment)).select("a", "b")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    key = lambda p: F.struct((-F.col(f"{p}conf")).alias("c"), F.col(f"{p}id").alias("i"))
-    conf = confidence.select(F.col("parcel_id").alias("id"), F.col("confidence").alias("conf"))
-    edges = materialize(both.join(conf.select(F.col("id").alias("a"), F.col("conf").alias("_ac")), "a").join(conf.select(F.col("id").alias("b"), F.col("conf").alias("_bc")), "b").select(
-        "a", "b", F.struct((-F.col("_ac")).alias("c"), F.col("a").alias("i")).alias("ka"), F.struct((-F.col("_bc")).alias("c"), F.col("b").alias("i")).alias("kb")))
-    state = materialize(conf.select("id", key("").alias("k"), F.lit(None).cast("string").alias("kept")))
-    while state.where("kept IS NULL").limit(1).count():
-        open_ = state.where("kept IS NULL").select("id")
-        rivals = edges.join(open_.withColumnRenamed("id", "b"), "b", "left_semi").where("kb < ka").select(F.col("a").alias("id")).distinct()
-        new = open_.join(rivals, "id", "left_anti").select("id", F.col("id").alias("won"))
-        state2 = state.join(new, "id", "left").select("id", "k", F.coalesce("kept", "won").alias("kept"))
-        heads = state2.where("kept = id").select(F.col("id").alias("b"))
-        absorbed = edges.where("kb < ka").join(heads, "b", "left_semi").groupBy("a").agg(F.min("kb").alias("_k")).select(F.col("a").alias("id"), F.col("_k.i").alias("into"))
-        state = materialize(state2.join(absorbed, "id", "left").select("id", "k", F.coalesce("kept", "into").alias("kept")))
-    return state.select(F.col("id").alias("parcel_id"), "kept")
+    from terraloom.operators.graph import cell_components
+
+    order = materialize(_order(confidence))
+    cells = materialize(cells.select("parcel_id", "row", "col").distinct())
+    rivals = _rivals(cells, order).where("kb < ka").select("a", "b")
+    waiting, taken = order.select("id"), None
+    while not waiting.isEmpty():
+        blocked = rivals.join(waiting.withColumnRenamed("id", "b"), "b", "left_semi").select(F.col("a").alias("id")).distinct()
+        ready = materialize(waiting.join(blocked, "id", "left_anti"))
+        free = cells.join(ready.withColumnRenamed("id", "parcel_id"), "parcel_id", "left_semi")
+        if taken is not None:
+            free = free.join(taken.select("row", "col"), ["row", "col"], "left_anti")
+        parts = materialize(cell_components(free, ["parcel_id"], steps).where(large_enough))
+        taken = parts if taken is None else materialize(taken.unionByName(parts))
+        waiting = materialize(waiting.join(ready, "id", "left_anti"))
+    return taken if taken is not None else cell_components(cells, ["parcel_id"], steps)

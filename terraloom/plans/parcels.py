@@ -296,21 +296,19 @@ cmp AS (SELECT id, min(o) AS comp, count(*) AS size FROM rch GROUP BY id)"""
 def comp_cell():
     """Component id as the row-major index of its first cell."""
     parts = F.split("comp", ":")
-    return (parts[0].cast("bigint") * 150 + parts[1].cast("bigint"))
+    return F.element_at(parts, -2).cast("bigint") * 150 + F.element_at(parts, -1).cast("bigint")
 
 
 @query("g07_connected_components", REC + ",\n".join([GRID20, ccl_sql("ref = 1")]) + " SELECT row, col, comp, size FROM cel JOIN cmp USING (id)")
 def _(spark, d):
     out = cell_components(grid20(spark, d).where("ref = 1"))
-    first = out.groupBy("comp").agg(F.min(F.col("row") * 150 + F.col("col")).alias("first"))
-    return out.join(first, "comp").select("row", "col", F.col("first").alias("comp"), "size")
+    return out.select("row", "col", comp_cell().alias("comp"), "size")
 
 
 @query("g15_mask_instances", REC + ",\n".join([GRID20, ccl_sql("lc = 4")]) + " SELECT row, col, comp FROM cel JOIN cmp USING (id) WHERE size * 400 >= 1200")
 def _(spark, d):
     out = cell_components(grid20(spark, d).where("lc = 4")).where("size * 400 >= 1200")
-    first = out.groupBy("comp").agg(F.min(F.col("row") * 150 + F.col("col")).alias("first"))
-    return out.join(first, "comp").select("row", "col", F.col("first").alias("comp"))
+    return out.select("row", "col", comp_cell().alias("comp"))
 
 
 @query("b22_interior_large_patch", REC + ",\n".join([GRID20, ccl_sql("ref = 1"), "m AS (SELECT row, col, ref = 1 AS s FROM grid20)",
@@ -332,23 +330,41 @@ def confidences(spark, d):
     return parcel_cells(spark, d).select("parcel_id").distinct().withColumn("confidence", hash_unit("conf", F.col("parcel_id")))
 
 
-@query("g11_instance_deduplication", REC + ",\n".join([*CELLS, SIZES, PAIRS.replace(" AND a.tile <> b.tile", ""),
-       f"cf AS (SELECT parcel_id AS id, row_number() OVER (ORDER BY {sql_md5(chr(39) + 'conf:' + chr(39) + ' || parcel_id')} DESC, parcel_id) AS k FROM sz)",
-       "rv AS (SELECT a AS id, b AS rival FROM pairs WHERE iou >= 0.15e0 OR ratio >= 0.3e0 UNION SELECT b, a FROM pairs WHERE iou >= 0.15e0 OR ratio >= 0.3e0)",
-       "ls AS (SELECT cf.id, cf.k, coalesce(list(rival) FILTER (rival IS NOT NULL), []) AS rivals FROM cf LEFT JOIN rv USING (id) GROUP BY ALL)",
-       "st(i, kept) AS (SELECT 0::BIGINT, []::VARCHAR[] UNION ALL SELECT i + 1, CASE WHEN len(list_intersect(kept, rivals)) > 0 THEN kept ELSE list_append(kept, id) END FROM st JOIN ls ON k = i + 1)",
-       "fin AS (SELECT unnest(kept) AS id FROM st WHERE i = (SELECT max(k) FROM cf))"]) + """
-  SELECT parcel_id, kept FROM (SELECT id AS parcel_id, id AS kept FROM fin UNION ALL SELECT id, arg_min(rival, r.k) FROM rv JOIN fin ON fin.id = rv.rival JOIN (SELECT id AS rid, k FROM cf) r ON rid = rival WHERE rv.id NOT IN (SELECT id FROM fin) GROUP BY rv.id)""".replace("SELECT id, arg_min(rival, r.k) FROM rv", "SELECT rv.id, arg_min(rival, r.k) FROM rv"))
+#: Instances in falling confidence with their cells, for the SQL that follows the sequential order step by step.
+IN_ORDER = f"""it AS (SELECT parcel_id, row_number() OVER (ORDER BY any_value(conf) DESC, parcel_id) AS k, list(row * 150 + col ORDER BY row, col) AS cells
+  FROM parcel_cells JOIN (SELECT parcel_id, {sql_md5(chr(39) + 'conf:' + chr(39) + ' || parcel_id')} / 4294967296e0 AS conf FROM (SELECT DISTINCT parcel_id FROM parcel_cells)) USING (parcel_id) GROUP BY parcel_id)"""
+
+
+@query("g11_instance_deduplication", REC + ",\n".join([*CELLS, IN_ORDER,
+       """st(i, kept, seen) AS (
+    SELECT 0::BIGINT, []::STRUCT(id VARCHAR, cells BIGINT[], n BIGINT)[], []::STRUCT(id VARCHAR, kept VARCHAR)[]
+    UNION ALL SELECT i + 1,
+        CASE WHEN hit IS NULL THEN list_append(kept, {'id': parcel_id, 'cells': cells, 'n': 1::BIGINT})
+             ELSE list_transform(kept, lambda x: CASE WHEN x.id = hit THEN {'id': x.id, 'cells': list_distinct(list_concat(x.cells, cells)), 'n': x.n + 1} ELSE x END) END,
+        list_append(seen, {'id': parcel_id, 'kept': coalesce(hit, parcel_id)})
+    FROM (SELECT i, kept, seen, parcel_id, cells, list_filter(kept, lambda x: len(list_intersect(x.cells, cells)) >= 0.15e0 * (len(x.cells) + len(cells) - len(list_intersect(x.cells, cells)))
+                     AND len(list_intersect(x.cells, cells)) > 0 OR len(list_intersect(x.cells, cells)) >= 0.3e0 * least(len(x.cells), len(cells)))[1].id AS hit
+          FROM st JOIN it ON k = i + 1)),
+fin AS (SELECT kept, seen FROM st WHERE i = (SELECT max(k) FROM it)),
+sup AS (SELECT x.id, len(x.cells) AS support, x.n FROM (SELECT unnest(kept) AS x FROM fin))"""]) + """
+  SELECT x.id AS parcel_id, x.kept AS kept, sup.support AS support_cells, sup.n AS n_merged FROM (SELECT unnest(seen) AS x FROM fin) JOIN sup ON sup.id = x.kept""")
 def _(spark, d):
-    return P.deduplicate_instances(parcel_cells(spark, d), confidences(spark, d), 0.15, 0.30)
-
-
-@query("g12_conflict_resolution", REC + ",\n".join([*CELLS, f"cf AS (SELECT parcel_id, {sql_md5(chr(39) + 'conf:' + chr(39) + ' || parcel_id')} / 4294967296e0 AS conf FROM (SELECT DISTINCT parcel_id FROM parcel_cells))",
-       "wn AS (SELECT row, col, row * 150 + col AS id, arg_max(parcel_id, conf) AS parcel_id FROM parcel_cells JOIN cf USING (parcel_id) GROUP BY ALL)",
-       "adj AS (SELECT a.id AS a, b.id AS b FROM (SELECT * FROM wn, (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) AS o(dr, dc)) a JOIN wn b ON b.row = a.row + a.dr AND b.col = a.col + a.dc AND a.parcel_id = b.parcel_id)",
-       "rch(id, o) AS (SELECT id, id FROM wn UNION SELECT r.id, j.b FROM rch r JOIN adj j ON j.a = r.o)", "cmp AS (SELECT id, min(o) AS part, count(*) AS size FROM rch GROUP BY id)"]) + " SELECT DISTINCT parcel_id, part, size FROM wn JOIN cmp USING (id) WHERE size * 400 >= 2500")
+    found, support = P.merge_instances(parcel_cells(spark, d), confidences(spark, d), 0.15, 0.30)
+    grown = support.groupBy("kept").agg(F.count(F.lit(1)).alias("support_cells"))
+    merged = found.groupBy("kept").agg(F.count(F.lit(1)).alias("n_merged"))
+    return found.join(grown, "kept").join(merged, "kept").select("parcel_id", "kept", "support_cells", "n_merged")
+
+
+@query("g12_conflict_resolution", REC + ",\n".join([*CELLS, IN_ORDER,
+       """st(i, taken, parts) AS (
+    SELECT 0::BIGINT, []::BIGINT[], []::STRUCT(id VARCHAR, part BIGINT, size BIGINT)[]
+    UNION ALL SELECT i + 1, list_concat(taken, list_transform(good, lambda x: x.c)), list_concat(parts, list_distinct(list_transform(good, lambda x: {'id': parcel_id, 'part': x.l, 'size': x.n})))
+    FROM (SELECT i, taken, parts, parcel_id, list_filter(list_transform(ls, lambda x: {'c': x.c, 'l': x.l, 'n': len(list_filter(ls, lambda y: y.l = x.l))}), lambda x: x.n * 400 >= 2500) AS good
+        FROM (SELECT i, taken, parts, parcel_id, list_reduce(list_prepend(list_transform(free, lambda c: {'c': c, 'l': c}), list_transform(free, lambda c: []::STRUCT(c BIGINT, l BIGINT)[])),
+                lambda a, b: list_transform(a, lambda x: {'c': x.c, 'l': list_min(list_transform(list_filter(a, lambda y: y.c IN (x.c, x.c - 1, x.c + 1, x.c - 150, x.c + 150)), lambda y: y.l))})) AS ls
+            FROM (SELECT i, taken, parts, parcel_id, list_filter(cells, lambda c: NOT list_contains(taken, c)) AS free FROM st JOIN it ON k = i + 1))))"""])
+       + " SELECT x.id AS parcel_id, x.part AS part, x.size AS size FROM (SELECT unnest(parts) AS x FROM st WHERE i = (SELECT max(k) FROM it))")
 def _(spark, d):
     from terraloom.operators.raster import CROSS
-    won = P.burn_last(parcel_cells(spark, d).withColumn("owner", F.col("parcel_id")), confidences(spark, d).withColumn("owner2", F.col("parcel_id")), "confidence", "owner2")
-    parts = cell_components(won.withColumnRenamed("owner2", "parcel_id"), ["parcel_id"], CROSS).where("size * 400 >= 2500")
-    return parts.groupBy("parcel_id", "comp").agg(F.min(F.col("row") * 150 + F.col("col")).alias("part"), F.max("size").alias("size")).drop("comp")
+    parts = P.resolve_conflicts(parcel_cells(spark, d), confidences(spark, d), F.col("size") * 400 >= 2500, CROSS)
+    return parts.groupBy("parcel_id", "comp").agg(F.max("size").alias("size")).select("parcel_id", comp_cell().alias("part"), "size")
