@@ -72,24 +72,6 @@ def test_cell_components_by_connectivity_and_group(spark):
     assert four[("g", 0, 0)] == 2 and four[("g", 1, 2)] == 1
 
 
-def test_suppression_equals_the_sequential_rule(spark):
-    rng = np.random.default_rng(3)
-    cells, conf = {}, {}
-    for i in range(40):
-        r0, c0 = rng.integers(0, 20, 2)
-        cells[f"p{i:02d}"] = {(r, c) for r in range(r0, r0 + 5) for c in range(c0, c0 + 5)}
-        conf[f"p{i:02d}"] = float(rng.random())
-    rows = [(k, f"t{k}", r, c) for k, s in cells.items() for r, c in s]
-    got = P.deduplicate_instances(spark.createDataFrame(rows, "parcel_id string, tile string, row int, col int"),
-                                  spark.createDataFrame(list(conf.items()), "parcel_id string, confidence double"), 0.3, 0.5)
-    kept = []
-    for k in sorted(conf, key=lambda k: -conf[k]):
-        rivals = lambda a, b: len(a & b) / len(a | b) >= 0.3 or len(a & b) / min(len(a), len(b)) >= 0.5
-        if not any(rivals(cells[k], cells[o]) for o in kept):
-            kept.append(k)
-    assert {r.parcel_id for r in got.collect() if r.parcel_id == r.kept} == set(kept)
-
-
 def test_points_in_ring(spark):
     ring = spark.createDataFrame([(1, [(0.0, 0.0), (40.0, 0.0), (40.0, 20.0), (0.0, 20.0), (0.0, 0.0)])], "ring_id int, ring array<struct<x: double, y: double>>")
     points = spark.createDataFrame(pd.DataFrame({"x": [1.0, 39.5, 41.0, 20.0], "y": [1.0, 19.0, 5.0, 20.5]}))
