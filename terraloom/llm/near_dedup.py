@@ -94,8 +94,9 @@ def band_rows(classes: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataF
     return classes.select("node", "sig").mapInArrow(run, "bucket bigint, node bigint, band int")
 
 
-def unpruned(pairs: DataFrame, sigs: DataFrame, percent: int, miss: float = MISS, batch_size: int = BATCH) -> DataFrame:
-    """Pairs whose posterior keeps a similarity of percent / 100 possible after every batch of signature values."""
+def unpruned(pairs: DataFrame, percent: int, miss: float = MISS, batch_size: int = BATCH) -> DataFrame:
+    """Pairs (a, b) of `pairs` (a, b, sig_a, sig_b) whose posterior keeps a similarity of percent / 100 possible after every
+    batch of signature values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,8 +109,12 @@ def unpruned(pairs: DataFrame, sigs: DataFrame, percent: int, miss: float = MISS
                 alive = alive[matches[alive] >= fewest_matches(min(at + batch_size, x.shape[1]), percent, miss)]
             yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(alive)) for k in (0, 1)], ["a", "b"])
 
+    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a bigint, b bigint")
+
+
+def with_signatures(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     left, right = (sigs.select(F.col("node").alias(k), F.col("sig").alias(f"sig_{k}")) for k in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(left, "a").join(right, "b")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, size: int = 5) -> DataFrame:
@@ -146,23 +151,27 @@ def shingle_rows(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("node", "label", "stray", "text").mapInArrow(run, "shingle bigint, node bigint, label bigint, stray boolean")
 
 
-def pairs_in_buckets(rows: DataFrame, reach: DataFrame | None = None) -> DataFrame:
-    """Pairs of different labels in each bucket of `rows` (bucket, node, band, label, main), one of them outside the bucket's
-    main label, each in the first bucket that it shares; with `reach` (node, n, most) only pairs with n + m <= both `most`."""
+def pairs_in_buckets(rows: DataFrame, sigs: DataFrame, reach: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b, sig_a, sig_b) of different labels in each bucket of `rows` (bucket, node, band, label, main, hub), one of them
+    outside the bucket's main label, each in the first bucket that it shares, and not with the hub, which all have met; with
+    `reach` (node, n, most) only pairs with n + m <= both `most`. Signatures come along, so pairs are pruned where they meet."""
     keys = rows.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("band", "bucket"))).alias("keys"))
-    keyed, fits = rows.join(keys, "node"), "true"
+    keyed, fits = rows.where("node <> hub").join(keys.join(sigs, "node"), "node"), "true"
     if reach is not None:
         keyed, fits = keyed.join(reach, "node"), "n + other_n <= least(most, other_most)"
         least = rows.select("bucket", "node").join(reach, "node").groupBy("bucket").agg(F.min("n").alias("least_n"))
         keyed = keyed.join(least, "bucket").where("n + least_n <= most")
-    other = keyed.select("bucket", F.col("node").alias("drawn"), F.col("label").alias("other_label"), F.col("keys").alias("other_keys"),
+    other = keyed.select("bucket", F.col("node").alias("drawn"), F.col("label").alias("other_label"), F.col("keys").alias("other_keys"), F.col("sig").alias("other_sig"),
                          *([F.col("n").alias("other_n"), F.col("most").alias("other_most")] if reach is not None else []))
-    new = F.expr(f"label <> other_label AND {fits} AND NOT exists(map_keys(keys), k -> k < band AND keys[k] <=> other_keys[k])")
-    return keyed.where("label <> main.label").join(other, "bucket").where(new).select("node", "drawn")
+    new = F.expr(f"label <> other_label AND {fits} AND NOT exists(map_keys(keys), k -> k < band AND keys[k] <=> other_keys[k])"
+                 " AND (other_label = main.label OR node < drawn)")  # two strays meet from both sides
+    return keyed.where("label <> main.label").join(other, "bucket").where(new).select(
+        F.col("node").alias("a"), F.col("drawn").alias("b"), F.col("sig").alias("sig_a"), F.col("other_sig").alias("sig_b"))
 
 
-def pairs_in_crowds(rows: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """Pairs of different labels that may be similar enough, in buckets too full to pair everyone.
+def pairs_in_crowds(rows: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of different labels that may be similar enough, in buckets too full to pair everyone: (a, b) met at rare shingles,
+    and (a, b, sig_a, sig_b) met in buckets.
 
     A shingle is rare here if at most RARE of the texts have it. A stray (a text outside the main label of one of its
     buckets) shares a rare shingle with another text, and then meets it there, or all that they share is common; then
@@ -184,8 +193,8 @@ def pairs_in_crowds(rows: DataFrame, texts: DataFrame, percent: int, size: int)
     sizes = shingles.groupBy("node", "stray").agg(F.count(F.lit(1)).alias("n"))
     reach = materialize(sizes.join(rare, "node", "left").select("node", "n", most.alias("most")))
     pairs = F.expr("flatten(transform(filter(holders, h -> h.stray), h -> transform(filter(holders, o -> o.label <> h.label), o -> struct(h.node AS node, o.node AS drawn))))")
-    met = several.select(F.explode(pairs).alias("p")).select("p.*").distinct()
-    return met.union(pairs_in_buckets(rows, reach))
+    met = several.select(F.explode(pairs).alias("p")).select("p.*")
+    return _ordered(met, "node", "drawn"), pairs_in_buckets(rows, sigs, reach)
 
 
 def links_between_classes(classes: DataFrame, docs: DataFrame, percent: int, bands: int, rows: int, miss: float, size: int, rounds: int) -> DataFrame:
@@ -210,10 +219,13 @@ def links_between_classes(classes: DataFrame, docs: DataFrame, percent: int, ban
     wanted = classes.join(nodes, "node", "left_semi").select("node", "doc_id", "text_hash")
     texts = materialize(texts.join(wanted.hint("merge"), ["doc_id", "text_hash"]).dropDuplicates(["node"]).select("node", "text"))
 
+    def left(pairs: DataFrame) -> DataFrame:
+        return unpruned(with_signatures(pairs, sigs), percent, miss)
+
     def test(pairs: DataFrame) -> DataFrame:
-        return materialize(confirmed(unpruned(pairs, sigs, percent, miss), texts, percent, size))
+        return materialize(confirmed(pairs, texts, percent, size))
 
-    links = test(_ordered(members.join(hubs, "bucket"), "node", "hub"))
+    links = test(left(_ordered(members.join(hubs, "bucket"), "node", "hub")))
     for turn in range(rounds + 1):
         labels = components(links)
         labelled = materialize(members.drop("n").join(labels, "node", "left").select("bucket", "node", "band", F.coalesce("label", "node").alias("label")))
@@ -221,7 +233,7 @@ def links_between_classes(classes: DataFrame, docs: DataFrame, percent: int, ban
             F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("drawn"))
         mixed = sizes.groupBy("bucket").agg(F.max_by(F.struct("label", "drawn", "n"), F.struct("n", F.xxhash64("label"))).alias("main"),
                                             F.sum("n").alias("n")).where("n > main.n")
-        mixed = materialize(mixed)
+        mixed = materialize(mixed.join(hubs, "bucket"))
         cost = mixed.agg(F.sum("n"), F.sum(F.expr("n * (n - main.n)"))).first()
         if not cost[0]:
             break
@@ -230,13 +242,15 @@ def links_between_classes(classes: DataFrame, docs: DataFrame, percent: int, ban
         last = turn == rounds or cost[1] <= 8 * cost[0]
         if last:
             open_rows = materialize(open_rows)
-            pairs = pairs_in_buckets(open_rows.where(f"n <= {CROWD}").drop("n"))
+            pairs = unpruned(pairs_in_buckets(open_rows.where(f"n > 2 AND n <= {CROWD}").drop("n"), sigs), percent, miss)
             crowds = open_rows.where(f"n > {CROWD}").drop("n")
             if not crowds.isEmpty():
-                pairs = pairs.union(pairs_in_crowds(crowds, texts, percent, size))
+                met, banded_pairs = pairs_in_crowds(crowds, sigs, texts, percent, size)
+                pairs = pairs.union(unpruned(banded_pairs, percent, miss)).union(left(met))
+            pairs = _ordered(pairs, "a", "b")
         else:
-            pairs = strays.select("node", F.col("main.drawn").alias("drawn"))
-        links = links.union(test(_ordered(pairs, "node", "drawn")))
+            pairs = left(_ordered(strays.select("node", F.col("main.drawn").alias("drawn")), "node", "drawn"))
+        links = links.union(test(pairs))
         if last:
             break
     return links
