@@ -6,14 +6,19 @@ per-block totals, weighted by how often the block was drawn.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraloom.functions.hashing import md5_int
 from terraloom.operators.attach import attach
 from terraloom.operators.metrics import ratio
-from terraloom.operators.ordering import ranked_summary
-from terraloom.session import materialize
+from terraloom.operators.ordering import range_count, ranked_summary
+from terraloom.session import materialize, ship_package
 
 
 def block_draws(blocks: DataFrame, block: str, reps: int, seed: int) -> DataFrame:
@@ -45,14 +50,74 @@ def bootstrap_mean(df: DataFrame, block: str, value: str, reps: int, seed: int)
     return interval(per_rep, "estimate")
 
 
+def block_wins(df: DataFrame, block: str, y: str, score: str, ranges: int | None = None) -> DataFrame:
+    """(a, b, wins): over pairs of a positive in block a and a negative in block b, how often the positive scores higher, ties half.
+
+    One ordered pass: counts by block, score and outcome are range-partitioned by score, so equal scores meet in one task,
+    which carries the negatives so far of every block. Totals of the ranges (one row for each range and block) add the
+    negatives of lower ranges. Nothing depends on replicates.
+    """
+    cells = df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(block).alias("block"), F.col(score).cast("double").alias("score")).agg(
+        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
+    blocks = materialize(cells.select("block").distinct().select("block", F.dense_rank().over(Window.orderBy("block")).alias("i")))
+    width = blocks.count()
+    ship_package(df.sparkSession)
+
+    def one_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, wins = TaskContext.get().partitionId(), np.zeros((width, width))
+        before, own = np.zeros(width), np.zeros(width)  # negatives and positives of each block so far
+        held, last = (np.zeros(width), np.zeros(width)), None
+
+        def close() -> None:
+            nonlocal before, own
+            for i in np.flatnonzero(held[0]):
+                wins[i] += held[0][i] * (before + held[1] / 2)
+            before, own = before + held[1], own + held[0]
+            held[0][:], held[1][:] = 0, 0
+
+        for batch in batches:
+            for i, value, pos, neg in zip(*(c.to_pylist() for c in batch.columns)):
+                if value != last:
+                    close()
+                    last = value
+                held[0][i - 1] += pos
+                held[1][i - 1] += neg
+        close()
+        a, b = np.nonzero(wins)
+        i = np.flatnonzero(before + own)
+        rows = [("w", x + 1, z + 1, wins[x, z], 0.0) for x, z in zip(a, b)] + [("t", x + 1, 0, own[x], before[x]) for x in i]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        columns = list(zip(*rows)) if rows else [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.int64()), *[pa.array([k(v) if k else v for v in c], t) for c, t, k in zip(columns, kinds, (None, int, int, float, float))]],
+                                         ["range", "kind", "a", "b", "x", "y"])
+
+    placed = cells.join(blocks, "block").repartitionByRange(ranges or range_count(df), "score").sortWithinPartitions("score")
+    parts = materialize(placed.select("i", "score", "pos", "neg").mapInArrow(one_range, "range bigint, kind string, a bigint, b bigint, x double, y double"))
+    totals = parts.where("kind = 't'").select("range", F.col("a").alias("i"), F.col("x").alias("pos"), F.col("y").alias("neg"))
+    earlier = Window.partitionBy("b").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    lower = totals.select(F.explode(F.sequence(F.lit(1), F.lit(max(width, 1)))).alias("b"), "range").distinct()  # ranges x blocks
+    lower = lower.join(totals.select(F.col("i").alias("b"), "range", "neg"), ["b", "range"], "left")
+    lower = lower.select("b", "range", F.coalesce(F.sum("neg").over(earlier), F.lit(0.0)).alias("below")).where("below > 0")
+    across = totals.where("pos > 0").select("range", F.col("i").alias("a"), "pos").join(lower, "range").groupBy("a", "b").agg(F.sum(F.col("pos") * F.col("below")).alias("x"))
+    both = parts.where("kind = 'w'").select("a", "b", "x").unionByName(across).groupBy("a", "b").agg(F.sum("x").alias("wins"))
+    names = lambda k: blocks.select(F.col("block").alias(f"{k}_block"), F.col("i").alias(k))
+    return both.join(names("a"), "a").join(names("b"), "b").select(F.col("a_block").alias("a"), F.col("b_block").alias("b"), "wins")
+
+
 def bootstrap_auroc(df: DataFrame, block: str, y: str, score: str, reps: int, seed: int) -> DataFrame:
-    """Cluster bootstrap interval of AUROC; replicates with one outcome are skipped and counted."""
-    from terraloom.operators.metrics import rank_metrics
+    """Cluster bootstrap interval of AUROC; replicates with one outcome are skipped and counted.
 
-    cells = df.groupBy(block, score, y).agg(F.count(F.lit(1)).alias("_c"))
-    draws = block_draws(df, block, reps, seed)
-    rows = cells.join(draws, block).withColumn("_w", F.col("_c") * F.col("weight"))
-    per_rep = rank_metrics(rows, ["replicate"], y, score, "_w").select("replicate", "auroc")
+    A replicate is a weighted sum over the matrix of wins between blocks, so its cost does not depend on the rows.
+    """
+    df = df.where(F.col(score).isNotNull() & F.col(y).isNotNull())
+    wins = materialize(block_wins(df, block, y, score))
+    sizes = materialize(df.groupBy(F.col(block).alias("block")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg")))
+    draws = materialize(block_draws(sizes, "block", reps, seed))
+    side = lambda k: draws.select("replicate", F.col("block").alias(k), F.col("weight").alias(f"w{k}"))
+    inner = side("a").join(wins, "a").groupBy("replicate", "b").agg(F.sum(F.col("wa") * F.col("wins")).alias("s"))
+    won = inner.join(side("b"), ["replicate", "b"]).groupBy("replicate").agg(F.sum(F.col("wb") * F.col("s")).alias("won"))
+    counts = draws.join(sizes, "block").groupBy("replicate").agg((F.sum(F.col("weight") * F.col("pos")) * F.sum(F.col("weight") * F.col("neg"))).cast("double").alias("pairs"))
+    per_rep = counts.join(won, "replicate", "left").select("replicate", (F.coalesce("won", F.lit(0.0)) / F.nullif("pairs", F.lit(0.0))).alias("auroc"))
     return interval(per_rep, "auroc")
 
 
@@ -61,14 +126,14 @@ def paired_f1(df: DataFrame, keys: list[str], block: str, arm: str, a: str, b: s
     """Paired interval of the seed-mean F1 of arm b minus arm a, from per-(arm, seed, block) counts."""
     from terraloom.operators.metrics import confusion_counts
 
-    counts = confusion_counts(df, [arm, *keys, block], pred, ref)
+    counts = materialize(confusion_counts(df, [arm, *keys, block], pred, ref))  # read for the draws, the point and the blocks
     f1 = lambda tp, fp, fn: ratio(2 * tp, 2 * tp + fp + fn, "zero")
-    drawn = counts.join(block_draws(df, block, reps, seed), block)
+    drawn = counts.join(block_draws(counts, block, reps, seed), block)
     weighted = drawn.groupBy("replicate", arm, *keys).agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in ("tp", "fp", "fn")])
     mean_of = lambda side: F.avg(F.when(F.col(arm) == side, f1(F.col("tp"), F.col("fp"), F.col("fn"))))
     per_rep = weighted.groupBy("replicate").agg((mean_of(b) - mean_of(a)).alias("delta"))
     point = counts.groupBy(arm, *keys).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]).agg((mean_of(b) - mean_of(a)).alias("delta_f1"))
-    n_blocks = df.agg(F.countDistinct(block).alias("n_blocks"))
+    n_blocks = counts.agg(F.countDistinct(block).alias("n_blocks"))
     return attach(attach(interval(per_rep, "delta"), point, []), n_blocks, [])
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from hashlib import sha256
@@ -217,26 +218,43 @@ def evaluation_row(scored: DataFrame, label: str, p: str, **tags) -> DataFrame:
     return row.select(*[F.lit(v).alias(k) for k, v in tags.items()], *names, "auroc", "auprc")
 
 
+def _written_digest(df: DataFrame) -> str:
+    columns = sorted(df.columns)
+    found = table_digest(df, [], row_digest(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns])).first()
+    return found.digest if found else ""
+
+
 def cached_table(spark, folder: str, protocol: dict, build: Callable[[], DataFrame]) -> DataFrame:
-    """Result stored under the digest of its protocol; a finished table is reused, an unfinished one rebuilt."""
+    """Result stored under the digest of its protocol, with a digest of its rows beside it.
+
+    A finished table whose rows still have that digest is reused; an unfinished, damaged or unrecorded one is rebuilt.
+    """
     key = sha256(json.dumps(protocol, sort_keys=True).encode()).hexdigest()[:32]
-    path = f"{folder}/{key}"
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path)
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    path, record = f"{folder}/{key}", f"{folder}/{key}.record"
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f"{p}/_SUCCESS") for p in (path, record)]
+    files = paths[0].getFileSystem(spark._jsc.hadoopConfiguration())
+    if all(files.exists(p) for p in paths):
+        stored = spark.read.parquet(path)
+        if spark.read.parquet(record).first().digest == _written_digest(stored):
+            return stored
+    build().write.mode("overwrite").parquet(path)
+    stored = spark.read.parquet(path)
+    spark.createDataFrame([(_written_digest(stored),)], "digest string").write.mode("overwrite").parquet(record)
+    return stored
 
 
 def few_shot_grid(spark, folder: str, pool: DataFrame, evaluation: DataFrame, source: DataFrame, row: str, label: str, block: str, x: str,
                   grid: list[dict], trees: int, threads: int = 4) -> DataFrame:
     """One fit per (regime, seed, budget, method); predictions are stored per key so an interrupted study resumes.
 
-    The key covers the settings and a digest of the pool, so changed data is never answered from an old result.
+    The key covers the settings, the digests of the pool, the source and the evaluation rows, and that of this module's
+    code, so changed data or code is never answered from an old result. Stored rows are counted and digested again on
+    reading; a table that does not match its record is built anew, and only missing keys are fitted.
 
     Threads only submit Spark jobs; the fits and the scoring run on the executors.
     """
-    content = table_digest(pool.select(row, label, x), [], row_digest(row, label, F.to_json(x))).first().digest
+    digest = lambda df, *names: table_digest(df.select(*names, x), [], row_digest(*names, F.to_json(x))).first().digest
+    content = [digest(pool, row, label, block), digest(source, label), digest(evaluation, row, label, block), sha256(Path(__file__).read_bytes()).hexdigest()]
 
     def run(setting: dict) -> DataFrame:
         def build() -> DataFrame:

@@ -274,12 +274,13 @@ def _(spark, d):
     return out.select("rep", "n_seeds", *[r(c).alias(c) for c in ("mean", "sd", "ci_low", "ci_high")])
 
 
-REPS = 60
+#: Replicates of the bootstraps of means and differences, and of scores' AUROC.
+REPS, SCORE_REPS = 1000, 500
 
 
-def draws_sql(seed: int) -> str:
+def draws_sql(seed: int, reps: int = REPS) -> str:
     return f"""idx AS (SELECT block, row_number() OVER (ORDER BY block) AS i, count(*) OVER () AS nb FROM (SELECT DISTINCT block FROM base)),
-slots AS (SELECT rep_, {sql_md5(f"concat_ws(':', {seed}, rep_, i)")} % nb + 1 AS i FROM idx, range(1, {REPS + 1}) AS t(rep_)),
+slots AS (SELECT rep_, {sql_md5(f"concat_ws(':', {seed}, rep_, i)")} % nb + 1 AS i FROM idx, range(1, {reps + 1}) AS t(rep_)),
 draws AS (SELECT rep_, block, count(*) AS w FROM slots JOIN idx USING (i) GROUP BY ALL)"""
 
 
@@ -291,13 +292,13 @@ def _(spark, d):
     return out.select(r("ci_low").alias("ci_low"), r("ci_high").alias("ci_high"), "valid_reps")
 
 
-@query("d29_bootstrap_auroc", with_ctes(scored_sql(), BASE42, draws_sql(8),
+@query("d29_bootstrap_auroc", with_ctes(scored_sql(), BASE42, draws_sql(8, SCORE_REPS),
        "cells AS (SELECT rep_, risk, sum(CASE WHEN (p >= 0.5e0) <> (y = 1) THEN w ELSE 0 END)::DOUBLE AS pos, sum(CASE WHEN (p >= 0.5e0) <> (y = 1) THEN 0 ELSE w END)::DOUBLE AS neg FROM base JOIN draws USING (block) GROUP BY ALL)",
        "run AS (SELECT rep_, pos * (sum(neg) OVER (PARTITION BY rep_ ORDER BY risk) - neg / 2) AS win, pos, neg FROM cells)",
        "est AS (SELECT rep_, sum(win) / nullif(sum(pos) * sum(neg), 0) AS e FROM run GROUP BY rep_)") + f"SELECT {R('quantile_cont(e, 0.025)')} AS ci_low, {R('quantile_cont(e, 0.975)')} AS ci_high, count(e) AS valid_reps FROM est")
 def _(spark, d):
     base = scored(spark, d, seeds=(42,)).withColumn("error", (is_positive() != is_true()).cast("int"))
-    out = B.bootstrap_auroc(base, "block", "error", "risk", REPS, 8)
+    out = B.bootstrap_auroc(base, "block", "error", "risk", SCORE_REPS, 8)
     return out.select(r("ci_low").alias("ci_low"), r("ci_high").alias("ci_high"), "valid_reps")
 
 
@@ -428,9 +429,9 @@ def _(spark, d):
     return out.groupBy("target_coverage").agg(*[r(F.avg(r(c)), 5).alias(c) for c in names])
 
 
-@query("d45_block_scores", with_ctes(scored_sql(), f"m AS (SELECT seed, block, min(y) AS lo, max(y) AS hi, {counts_sql()} FROM (SELECT * FROM scored WHERE block <> 3 OR y = 1) GROUP BY ALL)") + f"SELECT seed, block, {metric_list('zero')} FROM m WHERE lo < hi")
+@query("d45_block_scores", with_ctes(scored_sql(), f"m AS (SELECT seed, block, min(y) AS lo, max(y) AS hi, {counts_sql()} FROM scored GROUP BY ALL)") + f"SELECT seed, block, {metric_list('zero')} FROM m WHERE lo < hi")
 def _(spark, d):
-    rows = scored(spark, d).where("block <> 3 OR y = 1")
+    rows = scored(spark, d)
     grouped = rows.groupBy("seed", "block").agg(F.min("y").alias("lo"), F.max("y").alias("hi"), *M.confusion_columns(is_positive(), is_true()))
     return grouped.where("lo < hi").select("seed", "block", *metric_cols("zero"))
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import functions as F
 
 from terraloom.functions import scalars as X
+from terraloom.functions.hashing import md5_int
 from terraloom.operators import covariance as V
 from terraloom.operators import metrics as M
 from terraloom.operators import models as L
@@ -12,15 +15,37 @@ from terraloom.operators import neighbors as N
 from terraloom.operators import temporal as T
 from terraloom.operators.attach import attach
 from terraloom.operators.contracts import union_all
+from terraloom.operators.ordering import top_rows
 from terraloom.plans.metrics import CURVE_COLS, COVER_SQL, counts_sql
 from terraloom.plans.registry import R, query, r, with_ctes
 from terraloom.session import materialize, shared_folder
 from terraloom.sources.tables import GRID20, SAMPLES, grid20, samples
 
-TREES = 12
 DIM = 64
 
 
+@dataclass(frozen=True)
+class Study:
+    """Sizes of the model studies; the defaults are the published ones (2,400 few-shot fits for each representation pair)."""
+
+    source_trees: int = 500
+    adaptation_trees: int = 300
+    seeds: tuple[int, ...] = tuple(range(42, 72))
+    budgets: tuple[int, ...] = (20, 50, 100, 200, 500)
+    regimes: tuple[str, ...] = ("distributed", "clustered")
+    methods: tuple[str, ...] = ("target_only", "joint")
+    map_rows: int = 20_000  # rows that a map model is fitted on at most, the first by hash
+
+    @classmethod
+    def of(cls, spark) -> Study:
+        """What the registered queries run: the session's `terraloom.study.*` settings, `published` or else SHORT."""
+        return cls() if spark.conf.get("terraloom.study", "short") == "published" else SHORT
+
+
+#: What the registered queries run unless the session sets terraloom.study to "published"; README has the measured reason.
+SHORT = Study(source_trees=12, adaptation_trees=12, seeds=(42, 43), budgets=(20, 40), methods=("target_only", "joint"))
+
+
 def part(spark, d, split):
     return samples(spark, d).where(F.col("split") == split)
 
@@ -134,7 +159,7 @@ def evaluations(scored, **tags):
 @query("i01_forest_source_fit")
 def _(spark, d):
     train = materialize(part(spark, d, "source_train"))
-    model = L.fit_forest(train, "class_id", "x", TREES, 42)
+    model = L.fit_forest(train, "class_id", "x", Study.of(spark).source_trees, 42)
     return union_all([evaluations(L.score(model, part(spark, d, s), "x"), split=s) for s in ("source_test", "target_val")])
 
 
@@ -143,16 +168,17 @@ def _(spark, d):
     g = grid20(spark, d)
     features = F.array("p", F.col("lcw").cast("double"), (F.col("lc") / 9.0), F.when(F.col("row") % 5 != 0, F.col("col") / 150.0))
     rows = g.select("row", "col", "ref", features.alias("x"))
-    medians = materialize(T.train_medians(rows, F.col("row") % 10 == 1, "x", 4))
-    train = materialize(T.impute(rows.where("row % 10 = 1"), medians, "x"))
-    model = L.fit_forest(train, "ref", "x", TREES, 42)
+    drawn = materialize(top_rows(rows, [], md5_int(42, F.col("row"), F.col("col")), F.col("row") * 150 + F.col("col"), Study.of(spark).map_rows).drop("rank"))
+    medians = materialize(T.train_medians(drawn, F.lit(True), "x", 4))
+    train = materialize(T.impute(drawn, medians, "x"))
+    model = L.fit_forest(train, "ref", "x", Study.of(spark).source_trees, 42)
     return L.score_map(model, attach(rows, medians, []), "x", F.col("medians"), 3)
 
 
 @query("i04_tree_vote_uncertainty")
 def _(spark, d):
     train = materialize(part(spark, d, "source_train"))
-    model = L.fit_forest(train, "class_id", "x", TREES, 42)
+    model = L.fit_forest(train, "class_id", "x", Study.of(spark).source_trees, 42)
     out = L.tree_uncertainty(model, part(spark, d, "target_val").select("sample_id", "x"), "x")
     return out.select("sample_id", "p", "tree_mean", "vote_uncertainty", "tree_variance")
 
@@ -165,14 +191,14 @@ def _(spark, d):
 @query("i07_pseudo_label_refit")
 def _(spark, d):
     source, pool, val = materialize(part(spark, d, "source_train")), materialize(part(spark, d, "target_pool")), part(spark, d, "target_val")
-    model, n = L.pseudo_label_refit(source, pool, "sample_id", "class_id", "x", TREES, 42, threshold=0.7)
+    model, n = L.pseudo_label_refit(source, pool, "sample_id", "class_id", "x", Study.of(spark).source_trees, 42, threshold=0.7)
     return evaluations(L.score(model, val, "x"), method="pseudo_label", pseudo_rows=n)
 
 
 @query("i07_pseudo_label_rounds")
 def _(spark, d):
     source, pool, val = materialize(part(spark, d, "source_train")), materialize(part(spark, d, "target_pool")), part(spark, d, "target_val")
-    rounds = L.pseudo_label_rounds(source, pool, "sample_id", "class_id", "x", TREES, 42, rounds=3, threshold=0.6)
+    rounds = L.pseudo_label_rounds(source, pool, "sample_id", "class_id", "x", Study.of(spark).source_trees, 42, rounds=3, threshold=0.6)
     return union_all([evaluations(L.score(m, val, "x"), round_id=i, pseudo_rows=n) for i, m, n in rounds])
 
 
@@ -180,12 +206,12 @@ def _(spark, d):
 def _(spark, d):
     sizes = lambda s: {row.class_id: row["count"] for row in part(spark, d, s).groupBy("class_id").count().collect()}
     return L.domain_audit(part(spark, d, "source_train"), part(spark, d, "target_pool"), part(spark, d, "source_test"), part(spark, d, "target_val"),
-                          "sample_id", "class_id", "x", (sizes("source_train"), sizes("source_test")), TREES, 42)
+                          "sample_id", "class_id", "x", (sizes("source_train"), sizes("source_test")), Study.of(spark).source_trees, 42)
 
 
 @query("i10_platt_calibration")
 def _(spark, d):
-    model = L.fit_forest(materialize(part(spark, d, "source_train")), "class_id", "x", TREES, 42)
+    model = L.fit_forest(materialize(part(spark, d, "source_train")), "class_id", "x", Study.of(spark).source_trees, 42)
     scored = materialize(L.score(model, part(spark, d, "target_val"), "x"))
     halves = M.block_halves(scored, "block", [42])
     rows = materialize(scored.join(halves, "block"))
@@ -204,13 +230,13 @@ def _(spark, d):
     train, val = materialize(views(part(spark, d, "target_pool"))), materialize(views(part(spark, d, "target_val")))
     out = []
     for name, column in (("first", "a"), ("second", "b"), ("concat", "x")):
-        model = L.fit_forest(train, "class_id", column, TREES, 42)
+        model = L.fit_forest(train, "class_id", column, Study.of(spark).source_trees, 42)
         out.append(evaluations(L.score(model, val, column), representation=name))
     scaling = materialize(T.train_scaling(train, F.lit(True), "x"))
     logistic = L.fit_logistic(L.balanced(T.standardize(train, scaling, "x"), "class_id"), "class_id", "x", 1.0 / train.count(), "w")
     out.append(evaluations(L.score(logistic, T.standardize(val, scaling, "x"), "x"), representation="standardized_concat_logistic"))
     both = lambda rows: L.principal_components(train, rows, "a", 16).withColumn("x", F.concat("a", "b"))
-    model = L.fit_forest(materialize(both(train)), "class_id", "x", TREES, 42)
+    model = L.fit_forest(materialize(both(train)), "class_id", "x", Study.of(spark).source_trees, 42)
     out.append(evaluations(L.score(model, both(val), "x"), representation="components_plus_second"))
     return union_all(out)
 
@@ -218,7 +244,7 @@ def _(spark, d):
 def few_shot(spark, d, grid, evaluation="target_val"):
     pool, source = materialize(part(spark, d, "target_pool")), materialize(part(spark, d, "source_train"))
     folder = f"{shared_folder(spark)}/few-shot"
-    return L.few_shot_grid(spark, folder, pool, part(spark, d, evaluation), source, "sample_id", "class_id", "block", "x", grid, TREES)
+    return L.few_shot_grid(spark, folder, pool, part(spark, d, evaluation), source, "sample_id", "class_id", "block", "x", grid, Study.of(spark).adaptation_trees)
 
 
 def settings(regimes, seeds, budgets, methods):
@@ -227,7 +253,8 @@ def settings(regimes, seeds, budgets, methods):
 
 @query("i12_few_shot_grid")
 def _(spark, d):
-    runs = few_shot(spark, d, settings(["distributed", "clustered"], [42, 43], [20, 40], ["target_only"]))
+    study = Study.of(spark)
+    runs = few_shot(spark, d, settings(study.regimes, study.seeds, study.budgets, study.methods))
     keys = ["regime", "budget", "method", "seed"]
     f1 = M.confusion_counts(runs, keys, F.col("p") >= 0.5, F.col("y") == 1).select(*keys, M.count_metrics("zero")["f1"].alias("f1"))
     return M.seed_summary(f1, ["regime", "budget", "method"], "f1")
@@ -238,7 +265,7 @@ def _(spark, d):
     train, test = materialize(views(part(spark, d, "source_train"))), materialize(views(part(spark, d, "source_test")))
     out = []
     for name, column in (("first_only", "a"), ("second_only", "b"), ("fusion", "x")):
-        scored = materialize(L.score(L.fit_forest(train, "class_id", column, TREES, 42), test, column))
+        scored = materialize(L.score(L.fit_forest(train, "class_id", column, Study.of(spark).source_trees, 42), test, column))
         blocks = scored.groupBy("block").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), *M.confusion_columns(F.col("p") >= 0.5, F.col("class_id") == 1))
         out.append(blocks.where("lo < hi").select(F.lit(name).alias("features"), "block", M.count_metrics("zero")["f1"].alias("f1")))
     return union_all(out)
@@ -246,8 +273,9 @@ def _(spark, d):
 
 @query("i14_label_budget_study")
 def _(spark, d):
-    runs = few_shot(spark, d, settings(["distributed"], [42, 43], [40], ["target_only", "joint"]))
-    model = L.fit_forest(materialize(part(spark, d, "source_train")), "class_id", "x", TREES, 42)
+    study = Study.of(spark)
+    runs = few_shot(spark, d, settings(["distributed"], study.seeds, study.budgets, study.methods))
+    model = L.fit_forest(materialize(part(spark, d, "source_train")), "class_id", "x", Study.of(spark).source_trees, 42)
     base = L.score(model, part(spark, d, "target_val"), "x").select("sample_id", F.col("class_id").alias("y"), "block", "p", F.lit("none").alias("regime"), F.lit(42).alias("seed"), F.lit(0).alias("budget"), F.lit("source_only").alias("method"))
     runs = runs.unionByName(materialize(base))
     f1 = M.confusion_counts(runs, ["method", "budget", "seed"], F.col("p") >= 0.5, F.col("y") == 1).select("method", "budget", "seed", M.count_metrics("zero")["f1"].alias("f1"))
@@ -257,7 +285,7 @@ def _(spark, d):
 @query("i15_generalization_gap")
 def _(spark, d):
     train, val = materialize(part(spark, d, "source_train")), part(spark, d, "source_val")
-    model = L.fit_forest(train, "class_id", "x", TREES, 42)
+    model = L.fit_forest(train, "class_id", "x", Study.of(spark).source_trees, 42)
     a, b = evaluations(L.score(model, train, "x"), part="train"), evaluations(L.score(model, val, "x"), part="val")
     return attach(a.select(F.col("f1").alias("train_f1")), b.select(F.col("f1").alias("val_f1")), []).withColumn("gap", F.col("train_f1") - F.col("val_f1"))
 
@@ -267,7 +295,7 @@ def _(spark, d):
     z = standardized(spark, d)
     raw = samples(spark, d)
     train, target = materialize(part(spark, d, "source_train")), materialize(part(spark, d, "target_val"))
-    model = L.fit_forest(train, "class_id", "x", TREES, 42)
+    model = L.fit_forest(train, "class_id", "x", Study.of(spark).source_trees, 42)
     trees = materialize(L.tree_uncertainty(model, target.select("sample_id", "class_id", "block", "x"), "x"))
     zt, zs = z.where("split = 'target_val'"), z.where("split = 'source_train'")
     cosine = N.knn(raw.where("split = 'target_val'"), train, "sample_id", "x", 10, "cosine").groupBy(F.col("query_id").alias("sample_id")).agg(F.min("distance").alias("cosine_nn"), F.avg("distance").alias("cosine_knn"))
@@ -275,7 +303,7 @@ def _(spark, d):
     maha = V.mahalanobis(zt, zs, "x").select("sample_id", "mahalanobis")
     center = N.centroid_distance(zt, zs, "class_id", "x").select("sample_id", F.col("distance").alias("centroid"))
     pool = materialize(part(spark, d, "target_pool"))
-    domain = L.fit_forest(train.select("x", F.lit(0).alias("d")).unionByName(pool.select("x", F.lit(1).alias("d"))), "d", "x", TREES, 42)
+    domain = L.fit_forest(train.select("x", F.lit(0).alias("d")).unionByName(pool.select("x", F.lit(1).alias("d"))), "d", "x", Study.of(spark).source_trees, 42)
     domain = L.score(domain, target, "x", "domain_probability").select("sample_id", "domain_probability")
     rows = trees.drop("x", "tree_mean").withColumn("entropy", X.entropy(F.col("p"))).withColumn("confidence", X.least_confidence(F.col("p"))).withColumn("margin", X.margin_distrust(F.col("p")))
     for table in (cosine, euclid, maha, center, domain):
@@ -293,13 +321,13 @@ def _(spark, d):
 def _(spark, d):
     source, pool, val = materialize(part(spark, d, "source_train")), materialize(part(spark, d, "target_pool")), materialize(part(spark, d, "target_val"))
     z = standardized(spark, d)
-    out = [evaluations(L.score(L.fit_forest(source, "class_id", "x", TREES, 42), val, "x"), method="source_only"),
-           evaluations(L.score(L.fit_forest(pool, "class_id", "x", TREES, 42), val, "x"), method="target_full")]
+    out = [evaluations(L.score(L.fit_forest(source, "class_id", "x", Study.of(spark).source_trees, 42), val, "x"), method="source_only"),
+           evaluations(L.score(L.fit_forest(pool, "class_id", "x", Study.of(spark).source_trees, 42), val, "x"), method="target_full")]
     aligned = materialize(V.coral(z.where("split = 'source_train'"), z.where("split = 'target_pool'"), "x"))
-    out.append(evaluations(L.score(L.fit_forest(aligned, "class_id", "x", TREES, 42), z.where("split = 'target_val'"), "x"), method="coral"))
+    out.append(evaluations(L.score(L.fit_forest(aligned, "class_id", "x", Study.of(spark).source_trees, 42), z.where("split = 'target_val'"), "x"), method="coral"))
     weights = L.importance_weights(source, pool, "sample_id", "block", "x").select("sample_id", "w")
-    out.append(evaluations(L.score(L.fit_forest(source.join(weights, "sample_id"), "class_id", "x", TREES, 42), val, "x"), method="importance"))
-    model, _ = L.pseudo_label_refit(source, pool, "sample_id", "class_id", "x", TREES, 42, threshold=0.7)
+    out.append(evaluations(L.score(L.fit_forest(source.join(weights, "sample_id"), "class_id", "x", Study.of(spark).source_trees, 42), val, "x"), method="importance"))
+    model, _ = L.pseudo_label_refit(source, pool, "sample_id", "class_id", "x", Study.of(spark).source_trees, 42, threshold=0.7)
     out.append(evaluations(L.score(model, val, "x"), method="pseudo_label"))
     return union_all(out)
 
@@ -307,8 +335,8 @@ def _(spark, d):
 @query("i18_weight_degeneracy")
 def _(spark, d):
     train, val = materialize(part(spark, d, "source_train")), part(spark, d, "target_val")
-    plain = L.score(L.fit_forest(train, "class_id", "x", TREES, 42), val, "x", "p1").select("sample_id", "p1")
-    unit = L.score(L.fit_forest(train.withColumn("w", F.lit(1.0)), "class_id", "x", TREES, 42), val, "x", "p2").select("sample_id", "p2")
+    plain = L.score(L.fit_forest(train, "class_id", "x", Study.of(spark).source_trees, 42), val, "x", "p1").select("sample_id", "p1")
+    unit = L.score(L.fit_forest(train.withColumn("w", F.lit(1.0)), "class_id", "x", Study.of(spark).source_trees, 42), val, "x", "p2").select("sample_id", "p2")
     return plain.join(unit, "sample_id").agg(F.max(F.abs(F.col("p1") - F.col("p2"))).alias("max_delta"), F.count(F.lit(1)).alias("n"))
 
 
@@ -321,7 +349,8 @@ def _(spark, d):
 
 @query("i20_repeated_adaptation_study")
 def _(spark, d):
-    runs = few_shot(spark, d, settings(["distributed", "clustered"], [42, 43], [20, 40], ["target_only"]))
+    study = Study.of(spark)
+    runs = few_shot(spark, d, settings(study.regimes, study.seeds, study.budgets, ["target_only"]))
     risk = knn_scored(spark, d).select("sample_id", "risk")
     banded = M.distance_bands(runs.join(risk, "sample_id"), ["regime", "seed", "budget"], "risk")
     keys = ["regime", "budget", "seed", "band"]
