@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraloom.operators.attach import attach
-from terraloom.session import ship_package
+from terraloom.session import materialize, ship_package
 
 BROADCAST_VALUES = 4_000_000  # largest source side (rows * length) sent to every task: 32 MB of doubles
 PAIR_VALUES = 4_000_000  # largest distance matrix held at once
@@ -61,10 +61,10 @@ def _rows(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, s: np.ndarray,
 def knn(queries: DataFrame, source: DataFrame, row: str, vector: str, k: int, metric: str) -> DataFrame:
     """(query_id, rank, neighbor_id, distance) of the k nearest source rows, ties by id.
 
-    The source is counted first. A small one goes to every task once and each batch of queries is one matrix
-    product that leaves k rows per query. A larger one is hashed into chunks that meet every chunk of queries in
-    its own group; each group keeps k candidates and the final top k is taken across them, so the answer is the
-    same and no task ever holds more than one chunk pair.
+    The source is counted first. A small one goes to every task once and each batch of queries is one matrix product that
+    leaves k rows per query. A larger one is cut into cells around pivots: both sides are assigned to their nearest pivot,
+    and by the triangle inequality cells that are too far from a cell of queries to hold one of its k nearest are not met
+    at all. Large cells are split by hash, so no task holds more than one pair of chunks; the final top k is taken across.
     """
     ship_package(source.sparkSession)
     size = source.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("d")).first()
@@ -86,13 +86,63 @@ def knn(queries: DataFrame, source: DataFrame, row: str, vector: str, k: int, me
     return found.withColumn("rank", F.row_number().over(nearest).cast("bigint")).where(F.col("rank") <= k)
 
 
+def _placed(rows: DataFrame, row: str, vector: str, pivots: np.ndarray, metric: str) -> DataFrame:
+    """(row, vector, _p, _d): nearest pivot of each row and the distance to it; pivot -1 is for rows without direction (cosine of zero)."""
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x = np.array(batch[vector].tolist(), dtype=float)
+                x = _unit(x) if metric == "cosine" else x
+                near, far = np.zeros(len(x), int), np.full(len(x), np.inf)
+                for i, p in enumerate(pivots):
+                    d = np.sqrt(((x - p) ** 2).sum(1))
+                    near, far = np.where(d < far, i, near), np.minimum(d, far)
+                if metric == "cosine":
+                    near = np.where((x == 0).all(1), -1, near)
+                yield batch.assign(_p=near.astype("int64"), _d=far)
+
+    kinds = dict(rows.dtypes)
+    return materialize(rows.select(row, vector).mapInPandas(place, f"`{row}` {kinds[row]}, `{vector}` {kinds[vector]}, _p bigint, _d double"))
+
+
+def near_cells(pivots: np.ndarray, queries: dict[int, tuple[int, float]], source: dict[int, tuple[int, float]], k: int) -> list[tuple[int, int]]:
+    """Pairs (query cell, source cell) that may hold one of the k nearest; cells are pivot -> (rows, radius).
+
+    Whole source cells within reach of a query cell bound its k-th distance from above; a cell whose nearest possible row
+    lies beyond that is left out. Cell -1 has no place and is always met. A margin covers rounding and ties.
+    """
+    pairs = []
+    cells = sorted(c for c in source if c >= 0)
+    for q, (_, rq) in sorted(queries.items()):
+        if -1 in source:
+            pairs.append((q, -1))
+        if q < 0:
+            pairs += [(q, c) for c in cells]
+            continue
+        apart = np.sqrt(((pivots[cells] - pivots[q]) ** 2).sum(1)) if cells else np.empty(0)
+        reach = np.array([source[c][1] for c in cells])
+        far, held = apart + rq + reach, np.array([source[c][0] for c in cells])
+        order = np.argsort(far)
+        enough = np.flatnonzero(np.cumsum(held[order]) >= k)
+        limit = far[order][enough[0]] if len(enough) else np.inf
+        margin = 1e-6 * (1 + limit) if np.isfinite(limit) else 0.0
+        pairs += [(q, c) for c, low in zip(cells, apart - rq - reach) if low <= limit + margin]
+    return pairs
+
+
 def _blocked(queries: DataFrame, source: DataFrame, row: str, vector: str, k: int, metric: str, n_source: int, schema: str) -> DataFrame:
-    parts_s = -(-n_source // CHUNK_ROWS)
-    parts_q = max(1, -(-queries.count() // CHUNK_ROWS))
-    chunk = lambda n: F.pmod(F.xxhash64(row), F.lit(n))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select(row, vector).withColumn("_q", chunk(parts_q)).withColumn("_s", each(parts_s).cast("int") if parts_s < 1 else each(parts_s))
-    right = source.select(row, vector).withColumn("_s", chunk(parts_s)).withColumn("_q", each(parts_q))
+    spark = source.sparkSession
+    wanted = max(16, min(1024, 4 * -(-n_source // CHUNK_ROWS)))
+    drawn = source.select(vector).orderBy(F.xxhash64(row)).limit(wanted).toPandas()[vector]  # at most 1024 vectors
+    pivots = np.unique(np.array(drawn.tolist(), dtype=float), axis=0)
+    if metric == "cosine":
+        pivots = np.unique(_unit(pivots), axis=0)
+    placed = {"q": _placed(queries, row, vector, pivots, metric), "s": _placed(source, row, vector, pivots, metric)}
+    cells = {side: {r._p: (r.n, r.d) for r in df.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.max("_d").alias("d")).collect()} for side, df in placed.items()}
+    pairs = near_cells(pivots, cells["q"], cells["s"], k)
+    chunks = {side: {p: -(-n // CHUNK_ROWS) for p, (n, _) in c.items()} for side, c in cells.items()}
+    met = spark.createDataFrame([(q, s, chunks["q"][q], chunks["s"][s]) for q, s in pairs], "_pq bigint, _ps bigint, _nq bigint, _ns bigint")
 
     def meet(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "neighbor_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
@@ -102,9 +152,14 @@ def _blocked(queries: DataFrame, source: DataFrame, row: str, vector: str, k: in
         return pd.concat(list(_rows(q[row].to_numpy(), np.array(q[vector].tolist(), dtype=float), s[row].to_numpy(),
                                     np.array(s[vector].tolist(), dtype=float), k, metric)))
 
-    a = left.withColumn("_s", F.col("_s").cast("bigint")).withColumn("_q", F.col("_q").cast("bigint"))
-    b = right.withColumn("_s", F.col("_s").cast("bigint")).withColumn("_q", F.col("_q").cast("bigint"))
-    return a.groupBy("_q", "_s").cogroup(b.groupBy("_q", "_s")).applyInPandas(meet, schema)
+    def side(own: str, other: str) -> DataFrame:
+        """Rows of one side, once for each chunk of the other side that their cell meets."""
+        mine = placed[own].select(row, vector, F.col("_p").alias(f"_p{own}")).join(met, f"_p{own}")
+        return mine.select(row, vector, "_pq", "_ps", F.pmod(F.xxhash64(row), F.col(f"_n{own}")).alias(f"_c{own}"),
+                           F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"_n{other}") - 1)).alias(f"_c{other}"))
+
+    keys = ["_pq", "_ps", "_cq", "_cs"]
+    return side("q", "s").groupBy(*keys).cogroup(side("s", "q").groupBy(*keys)).applyInPandas(meet, schema)
 
 
 def mean_distance(neighbors: DataFrame, name: str) -> DataFrame:

@@ -86,3 +86,25 @@ def test_reason_strings_are_ordered_and_unique(spark):
     assert row.geometry_risk == "extreme_area;cross_tile_overlap;deployment_edge;high_tile_disagreement"
     assert row.cover_risk == "water_dominant;tree_dominant;tidal_flat_like" and row.s == "excluded"
     assert F is not None
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_distant_cells_are_not_met(spark, monkeypatch, metric):
+    monkeypatch.setattr(N, "BROADCAST_VALUES", 0)
+    monkeypatch.setattr(N, "CHUNK_ROWS", 25)
+    counts, near = [], N.near_cells
+    monkeypatch.setattr(N, "near_cells", lambda p, q, s, k: counts.append((len(near(p, q, s, k)), len(q) * len(s))) or near(p, q, s, k))
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(6, 5)) * 8
+    q, s = (np.concatenate([c + rng.normal(size=(n, 5)) * 0.2 for c in centers]) for n in (10, 60))
+    s[5], q[3], s[9] = s[4], 0, 0
+    got = N.knn(vectors(spark, q), vectors(spark, s, 1000), "id", "x", 4, metric).orderBy("query_id", "rank").toPandas()
+    if metric == "cosine":
+        unit = lambda x: np.divide(x, np.linalg.norm(x, axis=1, keepdims=True), out=np.zeros_like(x), where=np.linalg.norm(x, axis=1, keepdims=True) > 0)
+        dist = 1 - unit(q) @ unit(s).T
+    else:
+        dist = np.sqrt(((q[:, None] - s[None]) ** 2).sum(2))
+    order = np.array([np.lexsort((np.arange(len(s)), np.round(row, 12)))[:4] for row in dist])
+    assert (got["neighbor_id"].to_numpy().reshape(-1, 4) == order + 1000).all()
+    met, possible = counts[0]
+    assert met < possible / 2
