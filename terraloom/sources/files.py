@@ -58,11 +58,11 @@ def read_features(spark: SparkSession, path: str, properties: T.StructType, x: s
     return f.select("properties.*", F.col("geometry.coordinates")[0].alias(x), F.col("geometry.coordinates")[1].alias(y))
 
 
-def write_chunks(df: DataFrame, path: str, row: str, size: int) -> None:
+def write_chunks(df: DataFrame, path: str, row: str, size: int, mode: str = "overwrite") -> None:
     """CSV chunks of `size` consecutive rows, one folder chunk=cNNN each."""
     token = F.format_string("c%03d", F.floor(F.col(row) / size))
     keyed = df.withColumn("chunk", token)
-    keyed.repartitionByRange("chunk").sortWithinPartitions("chunk", row).write.mode("overwrite").option("header", True).partitionBy("chunk").csv(path)
+    keyed.repartitionByRange("chunk").sortWithinPartitions("chunk", row).write.mode(mode).option("header", True).partitionBy("chunk").csv(path)
 
 
 def read_chunks(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -142,11 +142,15 @@ def single_match(candidates: DataFrame) -> DataFrame:
 
 
 def asset_states(registry: DataFrame, files: DataFrame) -> DataFrame:
-    """MISSING / OK / REBUILT / PRESENT per registered path, comparing digests case-insensitively."""
-    joined = registry.join(files.select("path", "digest"), "path", "left")
+    """(path, state, length, digest) of every registered path and every file: MISSING / OK / REBUILT / PRESENT / FOREIGN.
+
+    `registry` has (path, expected), where a null digest asks for presence only; `files` has (path, length, digest).
+    Digests are compared case-insensitively. A file that nobody registered is FOREIGN.
+    """
+    joined = registry.withColumn("_known", F.lit(True)).join(files.select("path", "length", "digest"), "path", "full_outer")
     same = F.lower("expected") == F.lower("digest")
-    state = F.when(F.col("digest").isNull(), "MISSING").when(F.col("expected").isNull(), "PRESENT").when(same, "OK").otherwise("REBUILT")
-    return joined.select("path", state.alias("state"))
+    state = F.when(F.col("_known").isNull(), "FOREIGN").when(F.col("digest").isNull(), "MISSING").when(F.col("expected").isNull(), "PRESENT").when(same, "OK").otherwise("REBUILT")
+    return joined.select("path", state.alias("state"), "length", "digest")
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:

@@ -1,9 +1,10 @@
 import pytest
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from terraloom.operators import contracts as K
 from terraloom.sources import files as IO
-from terraloom.streaming.ingest import ingest_chunks
+from terraloom.streaming.ingest import incremental_composite, ingest_chunks
 
 
 @pytest.fixture(scope="module")
@@ -61,7 +62,41 @@ def test_restarted_ingest_adds_nothing(spark, manifest):
     incoming, out = IO.scratch(spark, "in"), IO.scratch(spark, "out")
     IO.write_chunks(manifest, incoming, "row", 30)
     for _ in range(2):
-        ingest_chunks(spark, incoming, manifest.schema, "row", 30, out, files_per_batch=1)
+        ingest_chunks(spark, incoming, manifest.schema, "row", 30, out, manifest, files_per_batch=1)
     assert spark.read.parquet(f"{out}/rows").count() == 100
     ledger = spark.read.parquet(f"{out}/ledger").groupBy("chunk").agg(F.sum("rows").alias("n"), F.count("*").alias("times")).collect()
     assert len(ledger) == 4 and all(r.times == 1 for r in ledger)
+
+
+def test_a_chunk_split_over_batches_and_runs_is_ledgered_when_whole(spark, manifest):
+    incoming, out = IO.scratch(spark, "in"), IO.scratch(spark, "out")
+    ledger = lambda: {r.chunk: (r.rows, r.accepted) for r in spark.read.parquet(f"{out}/ledger").collect()}
+    run = lambda where, damage=None: (
+        IO.write_chunks((damage or (lambda x: x))(manifest.where(where)).coalesce(1), incoming, "row", 30, mode="append"),
+        ingest_chunks(spark, incoming, manifest.schema, "row", 30, out, manifest, files_per_batch=1))
+    run("row % 2 = 0")
+    assert ledger() == {}
+    run("row % 2 = 1 AND row < 90 AND row <> 41")
+    assert ledger() == {"c000": (30, True), "c002": (30, True)}
+    run("row = 41 OR row = 5 OR row >= 90 AND row % 2 = 1", lambda df: df.withColumn("region", F.when(F.col("row") == 93, "elsewhere").otherwise(F.col("region"))))
+    assert ledger() == {"c000": (30, True), "c001": (30, True), "c002": (30, True), "c003": (10, False)}
+    assert spark.read.parquet(f"{out}/rows").count() == 90
+    assert [r.row for r in spark.read.parquet(f"{out}/late").collect()] == [5]
+
+
+def test_the_end_of_input_closes_the_last_windows_and_late_rows_stay_out(spark):
+    incoming, out = IO.scratch(spark, "in"), IO.scratch(spark, "out")
+    schema = "u long, t timestamp, v double"
+    put = lambda *rows: spark.createDataFrame([(u, t, v) for u, t, v in rows], "u long, t string, v double").withColumn("t", F.col("t").cast("timestamp")).coalesce(1).write.mode("append").parquet(incoming)
+    run = lambda: {(str(r.window_start)[8:10], r.u): (r.median, r.n_obs) for r in incremental_composite(
+        spark, incoming, T._parse_datatype_string(schema), "u", "t", "v", "1 day", "1 day", "1 day", out).collect()}
+    put((1, "2024-01-01 10:00:00", 1.0), (1, "2024-01-05 10:00:00", 5.0), (1, "2024-01-05 11:00:00", 7.0))
+    assert run() == {("01", 1): (1.0, 1), ("05", 1): (6.0, 2)}
+    put((1, "2024-01-01 12:00:00", 99.0), (1, "2024-01-05 12:00:00", 9.0), (2, "2024-01-06 00:00:00", 2.0))
+    assert run() == {("01", 1): (1.0, 1), ("05", 1): (7.0, 3), ("06", 2): (2.0, 1)}
+
+
+def test_registry_states(spark):
+    registry = spark.createDataFrame([("a", "AB"), ("b", "cd"), ("c", None), ("d", "ef"), ("e", None)], "path string, expected string")
+    files = spark.createDataFrame([("a", 1, "ab"), ("b", 2, "xx"), ("c", 3, "yy"), ("z", 4, "zz")], "path string, length long, digest string")
+    assert {r.path: r.state for r in IO.asset_states(registry, files).collect()} == {"a": "OK", "b": "REBUILT", "c": "PRESENT", "d": "MISSING", "e": "MISSING", "z": "FOREIGN"}
