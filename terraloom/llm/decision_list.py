@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import log2
+from math import inf, log2, nextafter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,63 +87,84 @@ def _gain(p: int, n: int, p0: int, n0: int) -> float:
     return p * (log2(p / (p + n)) - log2(p0 / (p0 + n0))) if p else 0.0
 
 
+def _edges(rows: DataFrame, cuts: int) -> dict[str, list[float]]:
+    """Cut points for each feature: quantiles of all rows, and the values at and just below quantiles of the bad ones, ends included."""
+    marks = ", ".join(f"{(k + 1) / (cuts + 1)}D" for k in range(cuts))
+    ends = ", ".join(f"{k / (cuts + 1)}D" for k in range(cuts + 2))
+    found = rows.agg(*[F.expr(f"percentile_approx({e}, array({m}), 10000){w}").alias(f"{f}{i}") for f, e in FEATURES.items()
+                       for i, (m, w) in enumerate(((marks, ""), (ends, " FILTER (WHERE bad = 1)")))]).first()
+    bad = {f: found[f"{f}1"] or [] for f in FEATURES}
+    return {f: sorted({*(found[f"{f}0"] or []), *bad[f], *(nextafter(v, -inf) for v in bad[f])}) for f in FEATURES}
+
+
+def _histogram(rows: DataFrame, edges: dict[str, list[float]]) -> dict[str, list[tuple[int, int]]]:
+    """(bad, good) rows by feature and bin; what reaches the driver has one row for each."""
+    bins = ", ".join(f"'{f}', size(filter(array({', '.join(f'{t!r}D' for t in edges[f])}), t -> {FEATURES[f]} > t))" for f in FEATURES)
+    table = rows.selectExpr("bad", f"stack({len(FEATURES)}, {bins}) AS (feature, bin)").groupBy("feature", "bin").agg(
+        F.count_if(F.expr("bad = 1")), F.count_if(F.expr("bad = 0"))).collect()
+    out = {f: [(0, 0)] * (len(edges[f]) + 1) for f in FEATURES}
+    for feature, k, p, n in table:
+        out[feature][k] = (p, n)
+    return out
+
+
+def _best(table: dict[str, list[tuple[int, int]]], edges: dict[str, list[float]], barred: set[tuple[str, bool]]) -> Condition | None:
+    """Condition of most information gain; of equal gains on a feature the first cut."""
+    p0, n0 = (sum(x[i] for x in table["n_words"]) for i in (0, 1))
+    if not p0 or not n0:
+        return None
+    best, gain = None, 0.0
+    for f in FEATURES:
+        p, n = p0, n0
+        for (bad, good), t in zip(table[f], edges[f]):
+            p, n = p - bad, n - good
+            for above, a, b in ((True, p, n), (False, p0 - p, n0 - n)):
+                if (f, above) not in barred and (g := _gain(a, b, p0, n0)) > gain:
+                    best, gain = Condition(f, above, t), g
+    return best
+
+
 def learn(labelled: DataFrame, precision: float = 0.95, support: int = 10, longest: int = 3, cuts: int = 31) -> list[list[Condition]]:
     """Sequential covering from `labelled` (the base counts, `bad` 0 or 1, `doc_id`): conjunctions that mark bad rows.
 
     Two thirds of the rows, by hash of doc_id, grow a rule condition by condition for information gain; the other third
-    prunes its tail. A rule is taken while it holds for at least `support` bad pruning rows at `precision`; then the rows
-    it covers leave and the next is grown. Each step is one aggregation of all labelled rows to counts by feature and
-    quantile bin, so what reaches the driver has features x (cuts + 1) rows whatever the input. Without labels, without
-    bad rows or without a rule that is good enough the list is empty.
+    prunes its tail. Cut points are taken anew in each step, over the rows still inside the rule and over its bad ones, so a
+    defect of few rows has cuts of its own. A rule is taken if it holds for at least `support` bad pruning rows at
+    `precision`; then the rows it covers leave and the next is grown. A rule that fails bars its first feature and
+    direction until another one is taken, and the covering ends when all are barred. Each step is one aggregation of the
+    labelled rows, so what reaches the driver has features x (3 x cuts) rows at most whatever the input. Without labels,
+    without bad rows or without a rule that is good enough the list is empty.
     """
     values = materialize(labelled.select(F.col("bad").cast("int").alias("bad"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) > 0).alias("grow"), *COUNTS))
-    marks = [f"{(k + 1) / (cuts + 1)}D" for k in range(cuts)]
-    found = values.agg(*[F.expr(f"percentile_approx({e}, array({', '.join(marks)}), 10000)").alias(f) for f, e in FEATURES.items()]).first()
-    edges = {f: sorted(set(found[f] or [])) for f in FEATURES}
-    bins = {f: " + ".join(["0"] + [f"int({FEATURES[f]} > {t!r}D)" for t in edges[f]]) for f in FEATURES}
-    values = materialize(values.select("*", *[F.expr(e).alias(f"bin_{f}") for f, e in bins.items()]))
-    stacked = f"stack({len(FEATURES)}, " + ", ".join(f"'{f}', bin_{f}" for f in FEATURES) + ") AS (feature, bin)"
-
-    def histogram(rows: DataFrame) -> dict[str, list[tuple[int, int]]]:
-        table = rows.selectExpr("bad", stacked).groupBy("feature", "bin").agg(F.count_if(F.expr("bad = 1")), F.count_if(F.expr("bad = 0"))).collect()
-        out = {f: [(0, 0)] * (len(edges[f]) + 1) for f in FEATURES}
-        for feature, k, p, n in table:
-            out[feature][k] = (p, n)
-        return out
-
     rules: list[list[Condition]] = []
+    barred: set[tuple[str, bool]] = set()
     while True:
         rest = values.where(" AND ".join(["true"] + [f"NOT {conjunction(r)}" for r in rules]))
         rule: list[Condition] = []
         while len(rule) < longest:
             inside = rest.where("grow").where(conjunction(rule)) if rule else rest.where("grow")
-            table = histogram(inside)
-            p0, n0 = (sum(x[i] for x in table["n_words"]) for i in (0, 1))
-            if not p0 or not n0:
+            edges = _edges(inside, cuts)
+            if not all(edges.values()):
                 break
-            gains: dict[tuple[str, bool], list[tuple[float, float]]] = {}
-            for f in FEATURES:
-                for k, t in enumerate(edges[f]):
-                    p, n = (sum(x[i] for x in table[f][k + 1:]) for i in (0, 1))
-                    gains.setdefault((f, True), []).append((_gain(p, n, p0, n0), t))
-                    gains.setdefault((f, False), []).append((_gain(p0 - p, n0 - n, p0, n0), t))
-            (f, above), found_gains = max(gains.items(), key=lambda x: max(x[1]), default=((None, None), [(0.0, 0.0)]))
-            top = max(found_gains)[0]
-            if top <= 0:
+            found = _best(_histogram(inside, edges), edges, set() if rule else barred)
+            if found is None:
                 break
-            rule.append(Condition(f, above, next(t for g, t in found_gains if g == top)))
+            rule.append(found)
         if not rule:
             return rules
-        sides = values.agg(*[F.expr(f"{agg}({FEATURES[c.feature]}) FILTER (WHERE {FEATURES[c.feature]} {sign} {c.threshold!r}D)")
-                             for c in rule for agg, sign in (("max", "<="), ("min", ">"))]).first()
-        rule = [Condition(c.feature, c.above, (sides[2 * k] + sides[2 * k + 1]) / 2) for k, c in enumerate(rule)]  # widest margin
+        sides = rest.where("grow").agg(*[F.expr(f"{agg}({FEATURES[c.feature]}) FILTER (WHERE {conjunction(rule[:k]) if k else 'true'} AND {FEATURES[c.feature]} {sign} {c.threshold!r}D)")
+                                         for k, c in enumerate(rule) for agg, sign in (("max", "<="), ("min", ">"))]).first()
+        ends = [(sides[2 * k], sides[2 * k + 1]) for k in range(len(rule))]
+        rule = [Condition(c.feature, c.above, c.threshold if None in e else sum(e) / 2) for c, e in zip(rule, ends)]  # widest margin
         tails = [rule[:k + 1] for k in range(len(rule))]
         sums = rest.where("NOT grow").agg(*[F.count_if(F.expr(f"bad = {v} AND {conjunction(r)}")) for r in tails for v in (1, 0)]).first()
         scores = [((sums[2 * k] - sums[2 * k + 1]) / max(1, sums[2 * k] + sums[2 * k + 1]), k) for k in range(len(tails))]
         k = max(scores, key=lambda x: (x[0], -x[1]))[1]
         if sums[2 * k] < support or sums[2 * k] < precision * (sums[2 * k] + sums[2 * k + 1]):
-            return rules
-        rules.append(tails[k])
+            barred.add((rule[0].feature, rule[0].above))
+        else:
+            rules.append(tails[k])
+            barred = set()
 
 
 def verdict(rules: list[list[Condition]]) -> Column:

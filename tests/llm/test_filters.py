@@ -45,6 +45,33 @@ def test_learned_list_rejects_the_bad_and_keeps_the_clean(spark):
     assert {r.doc_id for r in decision_list.accepted(docs, labels).collect()} == {i for i in range(1500) if i % 5}
 
 
+def test_a_defect_of_one_percent_is_learned_after_a_rule_that_fails(spark):
+    draw = random.Random(12)
+    rows = []
+    for i in range(6000):
+        bad = i % 100 == 0
+        noise = draw.random() < 0.02  # bad without a mark in the counts
+        n = draw.randrange(60, 400)
+        rows.append((i, int(bad or noise), n, n * (40 if bad else draw.randrange(3, 9)), draw.randrange(5), draw.randrange(3), draw.randrange(20)))
+    df = spark.createDataFrame(rows, "doc_id bigint, bad int, " + ", ".join(f"{c} bigint" for c in decision_list.COUNTS))
+    rules = decision_list.learn(df)
+    caught = {r.doc_id for r in df.where(~decision_list.verdict(rules)).collect()}
+    assert {i for i in range(0, 6000, 100)} <= caught and len(caught) < 75
+
+
+def test_verdicts_follow_the_rules_in_order(spark):
+    docs, labels = labelled(spark)
+    rules = decision_list.learn(decision_list.labelled_counts(decision_list.quality(docs, labels), labels))
+    value = lambda c, r: {"n_words": r.n_words, "chars_per_word": r.word_chars / max(r.n_words, 1), "symbols_per_char": r.n_symbols / max(r.word_chars, 1),
+                          "dup_lines": r.n_dup_lines, "repeat_share": r.n_repeat_words / max(r.n_words, 1)}[c.feature]
+    rows = decision_list.quality(docs, labels).collect()
+    assert rules and {r.kept for r in rows} == {True, False}
+    for r in rows:
+        base = r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words
+        met = any(all((value(c, r) > c.threshold) == c.above for c in rule) for rule in rules)
+        assert (r.base_failed, r.kept) == (base, not base and not met)
+
+
 def test_quality_edges(spark, odd_docs, odd_labels):
     rows = decision_list.quality(odd_docs, odd_labels).collect()
     assert len(rows) == odd_docs.count() and all(r.kept is not None and r.base_failed is not None for r in rows)
