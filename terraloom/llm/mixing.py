@@ -94,15 +94,31 @@ def mixture(docs: DataFrame, budget: int | None = None, weights: dict[str, dict[
     return out.select("doc_id", "text_hash", *LEVELS, "epoch", "n_tokens", F.when(F.col("epoch") < F.col("whole"), F.col("n_tokens")).otherwise(F.col("_cut")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """Rows of `docs` as the mixture takes them, all columns kept: once per epoch, the document that a budget cuts whole."""
-    taken = mixture(docs, **settings).groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("_rows"))
-    sums = docs.groupBy(F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64("text").alias("_hash")).agg(F.count(F.lit(1)).alias("_copies"))
-    times = sums.join(taken, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash"))).select(
-        "_id", "_hash", F.expr("CAST(ceil(_rows / _copies) AS INT)").alias("_times"))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("hash"))
-    joined = rows.join(times, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")))
-    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("row.*")
+def mixed_documents(docs: DataFrame, domain: Column | None = None, **settings) -> DataFrame:
+    """Rows of `docs` as the mixture takes them, all columns kept: once per epoch, the document that a budget cuts whole.
+
+    Of rows equal in doc_id, text, domain, lang and source exactly as many come out as the mixture takes: each as often as
+    all of them are, and the first few of a numbering once more. Null doc_ids, texts, langs and sources are names of their
+    own; texts without words come with every whole epoch; columns of any name pass through; very long texts are never
+    gathered by group; an empty table stays empty.
+    """
+    keys = ["_id", "_hash", *[f"_{c}" for c in LEVELS]]
+    taken = mixture(docs, domain=domain, **settings).groupBy("doc_id", "text_hash", *LEVELS).agg(F.count(F.lit(1)).alias("_rows"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64("text").alias("_hash"),
+                       (domain if domain is not None else default_domain()).alias("_domain"), F.coalesce("lang", F.lit("")).alias("_lang"), F.coalesce("source", F.lit("")).alias("_source"))
+    copies = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"))
+    same = [F.col(k).eqNullSafe(F.col(c)) for k, c in zip(keys, ["doc_id", "text_hash", *LEVELS])]
+    times = copies.join(taken, same).select(*[F.col(k).alias(f"t{k}") for k in keys], F.expr("_rows div _copies").alias("_each"), F.expr("_rows % _copies").alias("_more"))
+    times = materialize(times)
+    joined = rows.join(times, [F.col(k).eqNullSafe(F.col(f"t{k}")) for k in keys]).select("row", *keys, "_each", "_more")
+    repeat = lambda df: df.where("_each > 0").select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_each")))).select("row.*")
+    if times.where("_more > 0").isEmpty():
+        return repeat(joined)
+    uneven = materialize(joined.where("_more > 0").withColumn("_number", F.monotonically_increasing_id()))
+    narrow = uneven.select(*[F.coalesce(F.col(k), F.lit(-(2**63))).alias(k) if k == "_id" else F.col(k) for k in keys], "_number", F.lit(1).alias("_one"))
+    place = running_totals(narrow, keys, ["_number"], "_one", "_before").select("_number", "_before")
+    more = uneven.join(place, "_number").withColumn("_each", F.col("_each") + (F.col("_before") < F.col("_more")).cast("bigint"))
+    return repeat(joined.where("_more = 0").unionByName(more.select("row", *keys, "_each", "_more")))
 
 
 ORACLE = r"""

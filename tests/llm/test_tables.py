@@ -129,3 +129,16 @@ def test_licences_by_canonical_text(spark, odd_docs):
     got = {r.doc_id: (r.license, r.notices) for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {1: ("MIT", ""), 2: (None, ""), 3: (None, "MIT"), 4: (None, "")}
     assert licenses.scan(odd_docs).count() == 10 and licenses.scan(odd_docs.where("false")).count() == 0
+
+
+def test_of_equal_rows_exactly_the_taken_number_comes_out(spark):
+    rows = [(1, "one two three four five six seven eight nine ten", "en", "s2", 5)] * 100 + [(2, "a b", "en", "s2", 5), (None, "c d e", "en", "s2", 5), (None, "c d e", "en", "s2", 5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars int")
+    for budget in (10, 995, 1008, 1700):
+        taken = {}
+        for r in mixing.mixture(df, budget=budget).collect():
+            taken[r.doc_id] = taken.get(r.doc_id, 0) + 1
+        got = {}
+        for r in mixing.mixed_documents(df, budget=budget).collect():
+            got[r.doc_id] = got.get(r.doc_id, 0) + 1
+        assert got == taken
