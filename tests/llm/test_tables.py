@@ -127,7 +127,7 @@ def test_licences_by_canonical_text(spark, odd_docs):
     mit = "Copyright (c) 2020 Some One\n\n" + licenses.MIT.upper().replace(",", " ,")
     rows = [(1, mit), (2, licenses.MIT + " extra"), (3, "Some text.\nreleased under the MIT Licence\nend"), (4, None)]
     got = {r.doc_id: (r.license, r.notices) for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert got == {1: ("MIT", ""), 2: (None, ""), 3: (None, "MIT"), 4: (None, "")}
+    assert got == {1: ("MIT", "MIT"), 2: (None, ""), 3: (None, "MIT"), 4: (None, "")}
     assert licenses.scan(odd_docs).count() == 10 and licenses.scan(odd_docs.where("false")).count() == 0
 
 
@@ -142,3 +142,15 @@ def test_of_equal_rows_exactly_the_taken_number_comes_out(spark):
         for r in mixing.mixed_documents(df, budget=budget).collect():
             got[r.doc_id] = got.get(r.doc_id, 0) + 1
         assert got == taken
+
+
+def test_whole_licences_and_notices_of_several_lines(spark):
+    wrapped = "code\n\n# Copyright 2021 Someone\n" + licenses.APACHE_NOTICE.replace("\n", "\n\n").upper() + "\nmore code"
+    rows = [(1, "Copyright (c) 2001, Some One\n" + licenses.BSD3), (2, licenses.ZLIB.lower()), (3, wrapped), (4, licenses.UNLICENSE), (5, licenses.ZERO_BSD),
+            (6, licenses.APACHE_NOTICE.split("\n")[0]), (7, "x\n" + licenses.BSD2 + "\ny"), (8, "A licence of our own.\nSecond line."), (9, None), (10, "")]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id bigint, text string, license string")
+    got = {r.doc_id: (r.license, r.notices) for r in licenses.scan(df).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: "BSD-3-Clause", 2: "Zlib", 3: None, 4: "Unlicense", 5: "0BSD", 6: None, 7: None, 8: None, 9: None, 10: None}
+    assert {k: v[1] for k, v in got.items() if k in (3, 6, 7, 8)} == {3: "Apache-2.0", 6: "", 7: "BSD-2-Clause", 8: ""}
+    own = spark.createDataFrame([("Own-1.0", "a LICENSE of our own; second line"), (None, "x"), ("Y", None)], "license string, text string")
+    assert {r.doc_id: r.license for r in licenses.scan(df, own).collect() if r.license} == {8: "Own-1.0"}
