@@ -8,7 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraloom.llm.text import parts, raw
@@ -25,8 +25,8 @@ FAMILIES = {
     **dict.fromkeys(("tr", "az", "kk", "uz", "ky"), "turkic"),
     **dict.fromkeys(("ar", "he", "am", "mt"), "afro-asiatic"),
 }
-#: Buckets of hashed byte n-grams (lengths 1 to 3), and the bound of labelled documents learned from, per language.
-BUCKETS, SAMPLE = 1 << 13, 1500
+#: Buckets of hashed byte n-grams (lengths 1 to 3), and the bounds of labelled documents learned from, per language and in all.
+BUCKETS, SAMPLE, TOTAL = 1 << 13, 1500, 12_000
 #: ASCII upper to lower case; digits, signs and white space to a blank, so that only letters and their bytes count.
 LETTERS = np.full(256, 32, np.uint8)
 LETTERS[97:123] = LETTERS[65:91] = np.arange(97, 123)
@@ -53,29 +53,51 @@ def grams(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hashed.reshape(-1), 3 * before[np.append(starts - 1, len(x) if not len(ends) else ends[-1] + 1).clip(0, len(x))]
 
 
-def frequencies(column: pa.Array) -> np.ndarray:
-    """Rows of n-gram shares, one per document."""
-    hashed, at = grams(*raw(column))
-    out = np.zeros((len(column), BUCKETS), np.float32)
-    for i in range(len(column)):
-        part = hashed[at[i]:at[i + 1]]
-        if len(part):
-            out[i] = np.bincount(part, minlength=BUCKETS) / len(part)
-    return out
-
-
-def train(x: np.ndarray, y: np.ndarray, cost: float = 1.0, passes: int = 30) -> np.ndarray:
-    """Linear SVM by dual coordinate descent (hinge loss), classes weighted to equal totals; y is 1 or -1."""
+@dataclass
+class Rows:
+    """Sparse rows: bucket and value of the entries of row i from ends[i] to ends[i + 1]."""
+
+    ends: np.ndarray
+    buckets: np.ndarray
+    values: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def norms(self) -> np.ndarray:
+        sums = np.concatenate(([0.0], np.cumsum(self.values.astype(np.float64) ** 2)))
+        return sums[self.ends[1:]] - sums[self.ends[:-1]]
+
+
+def frequencies(columns: list[pa.Array]) -> Rows:
+    """N-gram shares of each document; a document takes a few bytes for each n-gram that it has."""
+    ends, buckets, values = [0], [], []
+    for column in columns:
+        for s, e in parts(column, 2_000_000):
+            hashed, at = grams(*raw(column.slice(s, e - s)))
+            for i in range(e - s):
+                found, counts = np.unique(hashed[at[i]:at[i + 1]], return_counts=True)
+                buckets.append(found.astype(np.uint16))
+                values.append((counts / max(1, counts.sum())).astype(np.float32))
+                ends.append(ends[-1] + len(found))
+    whole = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
+    return Rows(np.array(ends), whole(buckets, np.uint16), whole(values, np.float32))
+
+
+def train(rows: Rows, use: np.ndarray, y: np.ndarray, cost: float = 1.0, passes: int = 30) -> np.ndarray:
+    """Linear SVM by dual coordinate descent (hinge loss) on the rows `use`, classes weighted to equal totals; y is 1 or -1."""
     limit = cost * np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
-    alpha, w, norm = np.zeros(len(y)), np.zeros(x.shape[1]), (x.astype(np.float64) ** 2).sum(axis=1) + 1e-12
+    alpha, w, norm = np.zeros(len(y)), np.zeros(BUCKETS), rows.norms()[use] + 1e-12
     draw = np.random.default_rng(5)
     for _ in range(passes):
         moved = 0.0
         for i in draw.permutation(len(y)):
-            gradient = y[i] * (x[i] @ w) - 1
+            s, e = rows.ends[use[i]], rows.ends[use[i] + 1]
+            at, x = rows.buckets[s:e], rows.values[s:e]
+            gradient = y[i] * (x @ w[at]) - 1
             new = min(max(alpha[i] - gradient / norm[i], 0.0), limit[i])
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                w[at] += (new - alpha[i]) * y[i] * x
                 moved = max(moved, abs(new - alpha[i]) / limit[i])
                 alpha[i] = new
         if moved < 1e-3:
@@ -95,36 +117,39 @@ class Model:
     scale: np.ndarray
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from at most `sample` documents of each language with crc32(doc_id) mod 4 other than 2, by hash of doc_id.
+def fit(docs: DataFrame, sample: int = SAMPLE, total: int = TOTAL) -> Model:
+    """Learn from at most `sample` documents of each language, `total` in all, with crc32(doc_id) mod 4 other than 2.
 
-    The number of languages is that of the codes in use, and so bounded; only (language, count) and the sample are gathered.
+    The number of languages is that of the codes in use, and so bounded. One scan counts their texts; one keeps those
+    whose hash lies under a bound of about twice the sample of their language, of which the first by hash are gathered.
+    Rows equal in doc_id, lang and text count once, so a doc_id that repeats brings no more than its texts.
     """
     usable = docs.where("lang IS NOT NULL AND text IS NOT NULL AND coalesce(crc32(CAST(doc_id AS STRING)) % 4 <> 2, false)").select(
-        F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("_order"), "doc_id", F.col("text").cast("string").alias("text"))
-    counts = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}
-    taken = []
-    for lang in sorted(counts):  # one bounded top-k of ids per language; their texts follow by a join with the few ids
-        taken.append(usable.where(F.col("lang") == lang).select("doc_id", "_order").orderBy("_order", "doc_id").limit(sample))
-    if not taken:
+        F.col("lang").cast("string").alias("lang"), F.col("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("_order"))
+    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.approx_count_distinct("_order").alias("n")).collect()}
+    if not counts:
         return Model([], {}, [], np.zeros((BUCKETS, 0)), np.ones(BUCKETS))
-    ids = taken[0]
-    for more in taken[1:]:
-        ids = ids.union(more)
-    rows = usable.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id").select("lang", "text").toArrow()
+    sample = max(1, min(sample, total // len(counts)))
+    shares = {lang: min(1.0, (2 * sample + 20) / max(n, 1)) for lang, n in counts.items()}
+    bound = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in sorted(shares.items()) for v in kv]), F.col("lang")), F.lit(0.0))
+    drawn = usable.where(F.pmod("_order", F.lit(1 << 40)) < bound * (1 << 40)).dropDuplicates(["lang", "doc_id", "_order"])
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("_order", "doc_id"))
+    rows = drawn.withColumn("_nth", nth).where(F.col("_nth") <= sample).select("lang", "text", "_order").orderBy("lang", "_order").drop("_order").toArrow()
     langs = np.array(rows["lang"].to_pylist(), dtype=object)
-    x = np.concatenate([frequencies(c) for c in rows["text"].chunks]) if rows.num_rows else np.zeros((0, BUCKETS), np.float32)
-    scale = 1 / np.sqrt(x.mean(axis=0) + 1e-6)
-    x = x * scale
-    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    x = frequencies(rows["text"].chunks)
+    mean = np.bincount(x.buckets, weights=x.values, minlength=BUCKETS) / max(1, len(x))
+    scale = 1 / np.sqrt(mean + 1e-6)
+    x.values = (x.values * scale[x.buckets]).astype(np.float32)
+    x.values /= np.repeat(np.maximum(np.sqrt(x.norms()), 1e-9), np.diff(x.ends)).astype(np.float32)
     family = np.array([FAMILIES.get(v, "other") for v in langs], dtype=object)
     families = sorted(set(family))
     members = {f: sorted(set(langs[family == f])) for f in families}
     pairs = [p for f in families for p in combinations(members[f], 2)]
-    columns = [train(x, np.where(family == f, 1, -1)) for f in families] if len(families) > 1 else [np.zeros(BUCKETS)] * len(families)
+    every = np.arange(len(x))
+    columns = [train(x, every, np.where(family == f, 1, -1)) for f in families] if len(families) > 1 else [np.zeros(BUCKETS)] * len(families)
     for a, b in pairs:
-        use = (langs == a) | (langs == b)
-        columns.append(train(x[use], np.where(langs[use] == a, 1, -1)))
+        use = np.flatnonzero((langs == a) | (langs == b))
+        columns.append(train(x, use, np.where(langs[use] == a, 1, -1)))
     return Model(families, members, pairs, np.stack(columns, axis=1) * scale[:, None], scale)
 
 
@@ -182,8 +207,8 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row of `docs`.
 
     Null text and text without a letter: `und` with score 0. A null doc_id is predicted, not held out and not learned
-    from; without any labelled row everything is `und`. Repeated rows return each; other columns are ignored; an empty
-    table gives an empty result.
+    from; without any labelled row everything is `und`. Repeated rows return each, and count once in learning; very long
+    texts are read in blocks of whole texts; other columns are ignored; an empty table gives an empty result.
     """
     ship_package(docs.sparkSession)
     model = fit(docs, sample)

@@ -138,3 +138,18 @@ def test_language_accuracy_on_held_out_rows(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     held = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
     assert held.where("lang_pred = lang").count() >= 0.98 * held.count()
+
+
+def test_sixty_languages_and_a_hot_doc_id_stay_within_the_sample(spark):
+    draw = random.Random(7)
+    known = sorted(language_id.FAMILIES)[:50] + [f"q{c}" for c in "abcdefghij"]
+    letters = {lang: [chr(97 + (i * 7 + k * k) % 26) + chr(0x430 + (i + 3 * k) % 32) for k in range(5)] for i, lang in enumerate(known)}
+    rows = [(i, " ".join("".join(draw.choice(letters[lang]) for _ in range(3)) for _ in range(40)), lang) for i, lang in enumerate(known * 12)]
+    hot = rows[1]
+    df = spark.createDataFrame(rows + [hot] * 500, "doc_id bigint, text string, lang string")
+    model = language_id.fit(df, total=240)
+    assert sum(map(len, model.members.values())) == 60 and len(model.pairs) == sum(len(m) * (len(m) - 1) // 2 for m in model.members.values())
+    got = language_id.identify(df).collect()
+    assert len(got) == len(rows) + 500
+    held = [(r.lang_pred, rows[r.doc_id][2]) for r in got if r.held_out]
+    assert held and sum(a == b for a, b in held) / len(held) > 0.9
