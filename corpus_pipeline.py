@@ -1,4 +1,11 @@
-"""Corpus pipeline: quality rules, toxicity, near-dedup, source mixing and packing over `documents`."""
+"""Corpus pipeline: quality rules, toxicity, near-dedup, source mixing and packing over `documents`.
+
+Every stage takes all rows that the one before kept and returns whole rows with all their columns, whatever their names;
+the last returns pieces. Null or empty texts fail the base rule of the first stage and go. A null doc_id is judged like any
+other and is no duplicate. Of repeated rows the third stage keeps one; two texts under one doc_id are judged each by itself.
+Ties go by hash of doc_id or text, so a run repeats exactly. Very long texts are whole in every stage. Empty tables pass
+through all stages. Without labels the first stage keeps what its base rule keeps and the second keeps everything.
+"""
 
 from __future__ import annotations
 

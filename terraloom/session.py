@@ -40,7 +40,8 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def _materialized_root(spark: SparkSession) -> str:
+def application_folder(spark: SparkSession) -> str:
+    """Folder in shared storage that holds this application's tables and scratch files."""
     return f"{shared_folder(spark)}/materialized-{spark.sparkContext.applicationId}"
 
 
@@ -51,14 +52,14 @@ def materialize(df: DataFrame) -> DataFrame:
     and it is read column by column. Executors can be lost without repeating what came before.
     """
     spark = df.sparkSession
-    path = f"{_materialized_root(spark)}/{uuid4().hex}"
+    path = f"{application_folder(spark)}/{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear_materialized(spark: SparkSession) -> None:
-    """Delete the tables this application has materialized, once no result depends on them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_materialized_root(spark))
+    """Delete the tables and scratch folders of this application, once no result depends on them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(application_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

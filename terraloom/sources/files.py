@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terraloom.functions.hashing import row_digest, table_digest
-from terraloom.session import shared_folder
+from terraloom.session import application_folder
 
 MANIFEST_SCHEMA = T.StructType([
     T.StructField("sample_id", T.StringType()), T.StructField("region", T.StringType()), T.StructField("class_id", T.LongType()),
@@ -19,8 +19,8 @@ MANIFEST_SCHEMA = T.StructType([
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+    """A fresh path in the application's shared folder, which `clear_materialized` deletes."""
+    return f"{application_folder(spark)}/{name}-{uuid4().hex}"
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from terraloom.operators import ordering  # noqa: E402
-from terraloom.session import build_session  # noqa: E402
+from terraloom.session import build_session, clear_materialized  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -15,6 +15,7 @@ def spark():
                             spark__ui__showConsoleProgress="false")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_materialized(session)
     session.stop()
 
 
