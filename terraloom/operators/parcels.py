@@ -74,7 +74,8 @@ def representative_cells(cells: DataFrame) -> DataFrame:
 
 
 def ownership(cells: DataFrame, shape: DataFrame, core_rows: int, core_cols: int, halo: int) -> DataFrame:
-    """Per parcel: does its tile's core hold the representative cell, and how far is that cell from the halo edge."""
+    """Per parcel: does its tile's core hold the representative cell, how far is that cell from the halo edge, and which edges
+    its cells touch: the deployment's, the halo's, the core's (from inside or across)."""
     reps = attach(representative_cells(cells), shape, [])
     tr, tc = F.split_part("tile", F.lit("_"), F.lit(1)).cast("bigint"), F.split_part("tile", F.lit("_"), F.lit(2)).cast("bigint")
     r0, c0 = F.greatest(tr * core_rows - halo, F.lit(0)), F.greatest(tc * core_cols - halo, F.lit(0))
@@ -83,8 +84,10 @@ def ownership(cells: DataFrame, shape: DataFrame, core_rows: int, core_cols: int
     owned = (F.floor(F.col("rep_row") / core_rows) == tr) & (F.floor(F.col("rep_col") / core_cols) == tc)
     edge = (F.col("min_row") == 0) | (F.col("min_col") == 0) | (F.col("max_row") == F.col("n_rows") - 1) | (F.col("max_col") == F.col("n_cols") - 1)
     core = (F.col("min_row") < tr * core_rows) | (F.col("max_row") >= (tr + 1) * core_rows) | (F.col("min_col") < tc * core_cols) | (F.col("max_col") >= (tc + 1) * core_cols)
-    return reps.select("parcel_id", "tile", "n_cells", "rep_row", "rep_col", owned.alias("owned"),
-                       F.least(y - r0, r1 - y, x - c0, c1 - x).alias("halo_distance"), edge.alias("deployment_edge"), core.alias("core_crossing"))
+    halo_edge = (F.col("min_row") == r0) | (F.col("max_row") == r1 - 1) | (F.col("min_col") == c0) | (F.col("max_col") == c1 - 1)
+    core_edge = (F.col("min_row") <= tr * core_rows) | (F.col("max_row") >= (tr + 1) * core_rows - 1) | (F.col("min_col") <= tc * core_cols) | (F.col("max_col") >= (tc + 1) * core_cols - 1)
+    return reps.select("parcel_id", "tile", "n_cells", "rep_row", "rep_col", owned.alias("owned"), F.least(y - r0, r1 - y, x - c0, c1 - x).alias("halo_distance"),
+                       edge.alias("deployment_edge"), core.alias("core_crossing"), halo_edge.alias("halo_edge"), core_edge.alias("core_edge"))
 
 
 def duplicate_components(pairs: DataFrame) -> DataFrame:
@@ -99,18 +102,26 @@ def component_winners(members: DataFrame) -> DataFrame:
     return members.groupBy("comp").agg(best).select("comp", F.col("_b.w").alias("kept"))
 
 
-def reconcile(cells: DataFrame, owned: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(parcels kept with flag and removed versions, audit of dropped versions), over the parcels that their own tile's core owns."""
+def reconcile(cells: DataFrame, owned: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(parcels kept with flag and removed versions, audit of dropped versions, audit of overlaps that stay), over the parcels
+    that their own tile's core owns.
+
+    A kept parcel is flagged if it won over duplicates, crosses its core, touches the halo's edge or still shares cells
+    with a kept parcel of another tile; the last are listed as (a, b, shared, ratio).
+    """
     owned = owned.where("owned")
     cells = cells.join(owned.select("parcel_id"), "parcel_id", "left_semi")
-    pairs = overlap_pairs(cells).where(F.col("ratio") >= threshold)
-    members = duplicate_components(pairs).join(owned, "parcel_id")
+    pairs = materialize(overlap_pairs(cells).select("a", "b", "shared", "ratio"))
+    members = duplicate_components(pairs.where(F.col("ratio") >= threshold)).join(owned, "parcel_id")
     winners = component_winners(members)
-    audit = members.join(winners, "comp").where("parcel_id <> kept").select("kept", F.col("parcel_id").alias("dropped"))
+    audit = materialize(members.join(winners, "comp").where("parcel_id <> kept").select("kept", F.col("parcel_id").alias("dropped")))
+    gone = lambda c: audit.select(F.col("dropped").alias(c))
+    residual = materialize(pairs.join(gone("a"), "a", "left_anti").join(gone("b"), "b", "left_anti").select("a", "b", "shared", "ratio"))
     versions = audit.groupBy("kept").agg(F.count(F.lit(1)).alias("removed")).withColumnRenamed("kept", "parcel_id")
-    kept = owned.join(audit.select(F.col("dropped").alias("parcel_id")), "parcel_id", "left_anti").join(versions, "parcel_id", "left")
-    kept = kept.withColumn("removed", F.coalesce("removed", F.lit(0)).cast("bigint"))
-    return kept.withColumn("reconciled", (F.col("removed") > 0) | F.col("core_crossing")), audit
+    overlapping = residual.select(F.explode(F.array("a", "b")).alias("parcel_id")).distinct().withColumn("residual_overlap", F.lit(True))
+    kept = owned.join(gone("parcel_id"), "parcel_id", "left_anti").join(versions, "parcel_id", "left").join(overlapping, "parcel_id", "left")
+    kept = kept.withColumn("removed", F.coalesce("removed", F.lit(0)).cast("bigint")).withColumn("residual_overlap", F.coalesce("residual_overlap", F.lit(False)))
+    return kept.withColumn("reconciled", (F.col("removed") > 0) | F.col("core_crossing") | F.col("halo_edge") | F.col("residual_overlap")), audit, residual
 
 
 def repair_overlaps(cells: DataFrame, owned: DataFrame) -> DataFrame:

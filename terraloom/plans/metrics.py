@@ -9,7 +9,7 @@ from terraloom.functions.hashing import hash_unit, md5_int
 from terraloom.operators import bootstrap as B
 from terraloom.operators import metrics as M
 from terraloom.operators.attach import attach
-from terraloom.operators.ordering import exact_quantiles, mid_ranks, ranked_rows, top_rows
+from terraloom.operators.ordering import exact_quantiles, mid_ranks, top_rows
 from terraloom.plans.registry import R, query, r, with_ctes
 from terraloom.sources.tables import SEEDS, scored, scored_sql, sql_md5, table
 
@@ -467,7 +467,7 @@ def _(spark, d):
   {R('quantile_cont(share, 0.025) * max(area)')} AS area_low, {R('quantile_cont(share, 0.975) * max(area)')} AS area_high, {R('stddev_samp(share) * max(area)')} AS area_se FROM bo, al""")
 def _(spark, d):
     mapped = scored(spark, d, seeds=(42,)).select("sample_id", is_positive().cast("bigint").alias("cls"), "y")
-    sample = ranked_rows(mapped, ["cls"], md5_int(11, F.col("sample_id")), F.col("sample_id"), "slot").where("slot <= 300")
+    sample = top_rows(mapped, ["cls"], md5_int(11, F.col("sample_id")), F.col("sample_id"), 300, "slot")  # trimmed to 300 a class in every map task
     strata = mapped.groupBy("cls").agg(F.count(F.lit(1)).alias("total"))
     out = B.stratified_area(strata, sample, "cls", "y", "slot", 0.04, REPS, 12)
     return out.select(*[r(c).alias(c) for c in out.columns])

@@ -63,7 +63,9 @@ ext AS (SELECT parcel_id, tile, avg(row) AS cr, avg(col) AS cc, count(*) AS n_ce
 rep AS (SELECT * FROM (SELECT e.*, c.row AS rep_row, c.col AS rep_col, row_number() OVER (PARTITION BY parcel_id, tile ORDER BY round(pow(c.row - cr, 2) + pow(c.col - cc, 2), 6), c.row, c.col) AS k FROM ext e JOIN parcel_cells c USING (parcel_id, tile)) WHERE k = 1),
 own AS (SELECT parcel_id, tile, n_cells, rep_row, rep_col, rep_row // 25 = tr AND rep_col // 50 = tc AS owned,
   least(rep_row + 0.5e0 - greatest(tr * 25 - 3, 0), least((tr + 1) * 25 + 3, nr) - rep_row - 0.5e0, rep_col + 0.5e0 - greatest(tc * 50 - 3, 0), least((tc + 1) * 50 + 3, nc) - rep_col - 0.5e0) AS halo_distance,
-  r0 = 0 OR c0 = 0 OR r1 = nr - 1 OR c1 = nc - 1 AS deployment_edge, r0 < tr * 25 OR r1 >= (tr + 1) * 25 OR c0 < tc * 50 OR c1 >= (tc + 1) * 50 AS core_crossing FROM rep, shp)"""
+  r0 = 0 OR c0 = 0 OR r1 = nr - 1 OR c1 = nc - 1 AS deployment_edge, r0 < tr * 25 OR r1 >= (tr + 1) * 25 OR c0 < tc * 50 OR c1 >= (tc + 1) * 50 AS core_crossing,
+  r0 = greatest(tr * 25 - 3, 0) OR r1 = least((tr + 1) * 25 + 3, nr) - 1 OR c0 = greatest(tc * 50 - 3, 0) OR c1 = least((tc + 1) * 50 + 3, nc) - 1 AS halo_edge,
+  r0 <= tr * 25 OR r1 >= (tr + 1) * 25 - 1 OR c0 <= tc * 50 OR c1 >= (tc + 1) * 50 - 1 AS core_edge FROM rep, shp)"""
 
 
 def owned(spark, d):
@@ -76,9 +78,9 @@ def _(spark, d):
     return owned(spark, d).select("parcel_id", "tile", "rep_row", "rep_col", "owned", "halo_distance")
 
 
-@query("g16_edge_flags", with_ctes(*CELLS, OWN) + "SELECT parcel_id, deployment_edge, core_crossing FROM own")
+@query("g16_edge_flags", with_ctes(*CELLS, OWN) + "SELECT parcel_id, deployment_edge, core_crossing, halo_edge, core_edge FROM own")
 def _(spark, d):
-    return owned(spark, d).select("parcel_id", "deployment_edge", "core_crossing")
+    return owned(spark, d).select("parcel_id", "deployment_edge", "core_crossing", "halo_edge", "core_edge")
 
 
 def comp_sql(threshold: float, rows: str = "pairs") -> str:
@@ -109,10 +111,22 @@ def _(spark, d):
     return audit.select("kept", F.col("parcel_id").alias("dropped"))
 
 
-@query("g09_cross_tile_reconciliation", REC + ",\n".join([*CELLS, SIZES, PAIRS, OWN, comp_sql(0.5, OWNER_PAIRS), WIN]) + """
-  SELECT parcel_id, coalesce(removed, 0) AS removed, coalesce(removed, 0) > 0 OR core_crossing AS reconciled FROM own LEFT JOIN (SELECT kept AS parcel_id, count(*) AS removed FROM audit GROUP BY kept) USING (parcel_id) WHERE owned AND parcel_id NOT IN (SELECT dropped FROM audit)""")
+RESIDUAL = f"resid AS (SELECT a, b, shared, ratio FROM {OWNER_PAIRS} WHERE a NOT IN (SELECT dropped FROM audit) AND b NOT IN (SELECT dropped FROM audit))"
+
+
+@query("g09_cross_tile_reconciliation", REC + ",\n".join([*CELLS, SIZES, PAIRS, OWN, comp_sql(0.5, OWNER_PAIRS), WIN, RESIDUAL, "part AS (SELECT a AS parcel_id FROM resid UNION SELECT b FROM resid)"]) + """
+  SELECT parcel_id, coalesce(removed, 0) AS removed, parcel_id IN (SELECT parcel_id FROM part) AS residual_overlap,
+    coalesce(removed, 0) > 0 OR core_crossing OR halo_edge OR parcel_id IN (SELECT parcel_id FROM part) AS reconciled
+  FROM own LEFT JOIN (SELECT kept AS parcel_id, count(*) AS removed FROM audit GROUP BY kept) USING (parcel_id) WHERE owned AND parcel_id NOT IN (SELECT dropped FROM audit)""")
+def _(spark, d):
+    return P.reconcile(parcel_cells(spark, d), owned(spark, d), 0.5)[0].select("parcel_id", "removed", "residual_overlap", "reconciled")
+
+
+@query("g09_residual_overlaps", REC + ",\n".join([*CELLS, SIZES, PAIRS, OWN, comp_sql(0.5), WIN, RESIDUAL.replace(OWNER_PAIRS, "pairs")]) + f" SELECT a, b, shared * {AREA}e0 AS overlap_area, {R('ratio')} AS overlap_vs_smaller FROM resid")
 def _(spark, d):
-    return P.reconcile(parcel_cells(spark, d), owned(spark, d), 0.5)[0].select("parcel_id", "removed", "reconciled")
+    """Over the parcels of both versions, owned or not: here no two owned ones share cells."""
+    found = P.reconcile(parcel_cells(spark, d), owned(spark, d).withColumn("owned", F.lit(True)), 0.5)[2]
+    return found.select("a", "b", (F.col("shared") * float(AREA)).alias("overlap_area"), r("ratio").alias("overlap_vs_smaller"))
 
 
 REP = "fix AS (SELECT row, col, parcel_id, claims FROM (SELECT c.row, c.col, c.parcel_id, row_number() OVER (PARTITION BY c.row, c.col ORDER BY halo_distance DESC, n_cells DESC, c.parcel_id) AS k, count(*) OVER (PARTITION BY c.row, c.col) AS claims FROM parcel_cells c JOIN own o USING (parcel_id)) WHERE k = 1)"
