@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct pieces, and distinct strings that merges see, whose ids a worker remembers between batches.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Texts where a blank touches other white space, or a separator other than the line feed, are encoded in one go.
 IRREGULAR = r"^[\s\v\x1c-\x1f\x85\p{Z}]|[\s\v\x1c-\x1f\x85\p{Z}]$|[\s\v\x1c-\x1f\x85\p{Z}] | [\s\v\x1c-\x1f\x85\p{Z}]"
 #: Marks that end a word, and the first code point past the Latin letters whose class every Unicode version agrees on.
