@@ -99,6 +99,15 @@ def rank_metrics(df: DataFrame, keys: list[str], y: str, score: str, weight: str
         F.when(F.col("_n") > 0, F.col("_steps") / F.nullif(F.col("_p"), F.lit(0.0))).alias("auprc"))
 
 
+
+def evaluation_bundle(df: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
+    """n, Brier score, log loss, error rate, calibration error, AUROC and average precision per key; rank metrics are null with one class."""
+    from terraloom.session import materialize
+
+    rows = materialize(df.select(*keys, y, p))  # read once for each family of metrics
+    return probability_metrics(rows, keys, y, p).join(calibration_error(rows, keys, y, p), keys).join(rank_metrics(rows, keys, y, p), keys)
+
+
 def quantile_bins(df: DataFrame, keys: list[str], value: str, bins: int, name: str = "bin") -> DataFrame:
     """Right-closed quantile bins with duplicate edges dropped, so equal values always share a bin."""
     probs = {f"_q{i}": i / bins for i in range(bins + 1)}

@@ -90,12 +90,21 @@ def _(spark, d):
     return M.calibration_error(scored(spark, d), ["seed"], "y", "p").select("seed", r("ece").alias("ece"))
 
 
-@query("d13_probability_metrics", ONE + f"""SELECT seed, count(*) AS n, {R('avg((p - y) * (p - y))')} AS brier,
+def bundle_sql(keys: str, rows: str = "scored") -> list[str]:
+    """CTEs pb, ec and au with the probability metrics, the calibration error and the AUROC of each key."""
+    return [f"""pb AS (SELECT {keys}, count(*) AS n, {R('avg((p - y) * (p - y))', 9)} AS brier,
   {R('avg(-(y * ln(least(greatest(p, 2.220446049250313e-16), 1 - 2.220446049250313e-16)) + (1 - y) * ln(1 - least(greatest(p, 2.220446049250313e-16), 1 - 2.220446049250313e-16))))')} AS log_loss,
-  {R('avg(CASE WHEN (p >= 0.5e0) <> (y = 1) THEN 1e0 ELSE 0e0 END)')} AS error_rate FROM scored GROUP BY seed""")
+  {R('avg(CASE WHEN (p >= 0.5e0) <> (y = 1) THEN 1e0 ELSE 0e0 END)')} AS error_rate FROM {rows} GROUP BY {keys})""",
+            f"ec AS (SELECT {keys}, {R('sum(n * abs(f - m)) / sum(n)', 9)} AS ece FROM (SELECT {keys}, {BINS10} AS b, count(*) AS n, avg(y) AS f, avg(p) AS m FROM {rows} GROUP BY ALL) GROUP BY {keys})",
+            f"""au AS (SELECT {keys}, {R("(sum(CASE WHEN y = 1 THEN mr ELSE 0 END) - np * (np + 1) / 2e0) / nullif(np * nn, 0)")} AS auroc FROM (
+  SELECT {keys}, y, rank() OVER (PARTITION BY {keys} ORDER BY p) + (count(*) OVER (PARTITION BY {keys}, p) - 1) / 2e0 AS mr,
+    CAST(sum(y) OVER (PARTITION BY {keys}) AS DOUBLE) AS np, CAST(sum(1 - y) OVER (PARTITION BY {keys}) AS DOUBLE) AS nn FROM {rows}) GROUP BY {keys}, np, nn)"""]
+
+
+@query("d13_probability_metrics", with_ctes(scored_sql(), *bundle_sql("seed")) + "SELECT seed, n, brier, log_loss, error_rate, ece, auroc FROM pb JOIN ec USING (seed) JOIN au USING (seed)")
 def _(spark, d):
-    out = M.probability_metrics(scored(spark, d), ["seed"], "y", "p")
-    return out.select("seed", "n", *[r(c).alias(c) for c in ("brier", "log_loss", "error_rate")])
+    out = M.evaluation_bundle(scored(spark, d), ["seed"], "y", "p")
+    return out.select("seed", "n", *[r(c, 9 if c in ("brier", "ece") else 6).alias(c) for c in ("brier", "log_loss", "error_rate", "ece", "auroc")])
 
 
 RANK_SQL = f"""SELECT seed, {R("(sum(CASE WHEN y = 1 THEN mr ELSE 0 END) - np * (np + 1) / 2e0) / nullif(np * nn, 0)")} AS auroc FROM (
@@ -388,10 +397,16 @@ def _(spark, d):
     return counts.join(auc, ["seed", "subset"])
 
 
-@query("d48_metrics_by_representation", with_ctes(scored_sql(("a", "b")), f"m AS (SELECT rep, seed, CASE WHEN block < 12 THEN 'val' ELSE 'test' END AS split, {counts_sql()} FROM scored GROUP BY ALL)") + f"SELECT rep, seed, split, {metric_list('zero')} FROM m")
+@query("d48_metrics_by_representation", with_ctes(scored_sql(("a", "b")), "sp AS (SELECT *, CASE WHEN block < 12 THEN 'val' ELSE 'test' END AS split FROM scored)",
+       f"m AS (SELECT rep, seed, split, {counts_sql()} FROM sp GROUP BY ALL)", *bundle_sql("rep, seed, split", "sp"))
+       + f"SELECT rep, seed, split, {metric_list('zero')}, brier, log_loss, ece, auroc FROM m JOIN pb USING (rep, seed, split) JOIN ec USING (rep, seed, split) JOIN au USING (rep, seed, split)")
 def _(spark, d):
+    keys = ["rep", "seed", "split"]
     rows = scored(spark, d, ("a", "b")).withColumn("split", F.when(F.col("block") < 12, "val").otherwise("test"))
-    return M.confusion_counts(rows, ["rep", "seed", "split"], is_positive(), is_true()).select("rep", "seed", "split", *metric_cols("zero"))
+    counts = M.confusion_counts(rows, keys, is_positive(), is_true()).select(*keys, *metric_cols("zero"))
+    more = M.evaluation_bundle(rows, keys, "y", "p").select(*keys, *[r(c, 9 if c in ("brier", "ece") else 6).alias(c) for c in ("brier", "log_loss", "ece", "auroc")])
+    return counts.join(more, keys)
+
 
 
 @query("d42_transfer_table", with_ctes(scored_sql(("a", "b")), f"m AS (SELECT rep, seed, block < 12 AS src, {metric_sql('zero')['f1']} AS f1 FROM (SELECT rep, seed, block, {counts_sql()} FROM (SELECT rep, seed, CASE WHEN block < 12 THEN 0 ELSE 99 END AS block, y, p FROM scored) GROUP BY ALL))",
@@ -429,11 +444,14 @@ def _(spark, d):
     return out.groupBy("target_coverage").agg(*[r(F.avg(r(c)), 5).alias(c) for c in names])
 
 
-@query("d45_block_scores", with_ctes(scored_sql(), f"m AS (SELECT seed, block, min(y) AS lo, max(y) AS hi, {counts_sql()} FROM scored GROUP BY ALL)") + f"SELECT seed, block, {metric_list('zero')} FROM m WHERE lo < hi")
+@query("d45_block_scores", with_ctes(scored_sql(), f"m AS (SELECT seed, block, min(y) AS lo, max(y) AS hi, {counts_sql()} FROM scored GROUP BY ALL)", *bundle_sql("seed, block"))
+       + f"SELECT seed, block, {metric_list('zero')}, brier, log_loss, ece, auroc FROM m JOIN pb USING (seed, block) JOIN ec USING (seed, block) JOIN au USING (seed, block) WHERE lo < hi")
 def _(spark, d):
     rows = scored(spark, d)
     grouped = rows.groupBy("seed", "block").agg(F.min("y").alias("lo"), F.max("y").alias("hi"), *M.confusion_columns(is_positive(), is_true()))
-    return grouped.where("lo < hi").select("seed", "block", *metric_cols("zero"))
+    counts = grouped.where("lo < hi").select("seed", "block", *metric_cols("zero"))
+    more = M.evaluation_bundle(rows, ["seed", "block"], "y", "p").select("seed", "block", *[r(c, 9 if c in ("brier", "ece") else 6).alias(c) for c in ("brier", "log_loss", "ece", "auroc")])
+    return counts.join(more, ["seed", "block"])
 
 
 @query("d46_finding_summary", with_ctes(scored_sql()) + f"""
