@@ -90,12 +90,17 @@ def _(spark, d):
     return M.calibration_error(scored(spark, d), ["seed"], "y", "p").select("seed", r("ece").alias("ece"))
 
 
+def off_ties(name: str):
+    """Rounded metric; small blocks give exact decimals, so shares are nudged off the middle between two roundings, as in the SQL."""
+    return r(F.col(name) + (1e-10 if name in ("brier", "ece") else 0.0))
+
+
 def bundle_sql(keys: str, rows: str = "scored") -> list[str]:
     """CTEs pb, ec and au with the probability metrics, the calibration error and the AUROC of each key."""
-    return [f"""pb AS (SELECT {keys}, count(*) AS n, {R('avg((p - y) * (p - y))', 9)} AS brier,
+    return [f"""pb AS (SELECT {keys}, count(*) AS n, {R('avg((p - y) * (p - y)) + 1e-10')} AS brier,
   {R('avg(-(y * ln(least(greatest(p, 2.220446049250313e-16), 1 - 2.220446049250313e-16)) + (1 - y) * ln(1 - least(greatest(p, 2.220446049250313e-16), 1 - 2.220446049250313e-16))))')} AS log_loss,
   {R('avg(CASE WHEN (p >= 0.5e0) <> (y = 1) THEN 1e0 ELSE 0e0 END)')} AS error_rate FROM {rows} GROUP BY {keys})""",
-            f"ec AS (SELECT {keys}, {R('sum(n * abs(f - m)) / sum(n)', 9)} AS ece FROM (SELECT {keys}, {BINS10} AS b, count(*) AS n, avg(y) AS f, avg(p) AS m FROM {rows} GROUP BY ALL) GROUP BY {keys})",
+            f"ec AS (SELECT {keys}, {R('sum(n * abs(f - m)) / sum(n) + 1e-10')} AS ece FROM (SELECT {keys}, {BINS10} AS b, count(*) AS n, avg(y) AS f, avg(p) AS m FROM {rows} GROUP BY ALL) GROUP BY {keys})",
             f"""au AS (SELECT {keys}, {R("(sum(CASE WHEN y = 1 THEN mr ELSE 0 END) - np * (np + 1) / 2e0) / nullif(np * nn, 0)")} AS auroc FROM (
   SELECT {keys}, y, rank() OVER (PARTITION BY {keys} ORDER BY p) + (count(*) OVER (PARTITION BY {keys}, p) - 1) / 2e0 AS mr,
     CAST(sum(y) OVER (PARTITION BY {keys}) AS DOUBLE) AS np, CAST(sum(1 - y) OVER (PARTITION BY {keys}) AS DOUBLE) AS nn FROM {rows}) GROUP BY {keys}, np, nn)"""]
@@ -104,7 +109,7 @@ def bundle_sql(keys: str, rows: str = "scored") -> list[str]:
 @query("d13_probability_metrics", with_ctes(scored_sql(), *bundle_sql("seed")) + "SELECT seed, n, brier, log_loss, error_rate, ece, auroc FROM pb JOIN ec USING (seed) JOIN au USING (seed)")
 def _(spark, d):
     out = M.evaluation_bundle(scored(spark, d), ["seed"], "y", "p")
-    return out.select("seed", "n", *[r(c, 9 if c in ("brier", "ece") else 6).alias(c) for c in ("brier", "log_loss", "error_rate", "ece", "auroc")])
+    return out.select("seed", "n", *[off_ties(c).alias(c) for c in ("brier", "log_loss", "error_rate", "ece", "auroc")])
 
 
 RANK_SQL = f"""SELECT seed, {R("(sum(CASE WHEN y = 1 THEN mr ELSE 0 END) - np * (np + 1) / 2e0) / nullif(np * nn, 0)")} AS auroc FROM (
@@ -404,7 +409,7 @@ def _(spark, d):
     keys = ["rep", "seed", "split"]
     rows = scored(spark, d, ("a", "b")).withColumn("split", F.when(F.col("block") < 12, "val").otherwise("test"))
     counts = M.confusion_counts(rows, keys, is_positive(), is_true()).select(*keys, *metric_cols("zero"))
-    more = M.evaluation_bundle(rows, keys, "y", "p").select(*keys, *[r(c, 9 if c in ("brier", "ece") else 6).alias(c) for c in ("brier", "log_loss", "ece", "auroc")])
+    more = M.evaluation_bundle(rows, keys, "y", "p").select(*keys, *[off_ties(c).alias(c) for c in ("brier", "log_loss", "ece", "auroc")])
     return counts.join(more, keys)
 
 
@@ -450,7 +455,7 @@ def _(spark, d):
     rows = scored(spark, d)
     grouped = rows.groupBy("seed", "block").agg(F.min("y").alias("lo"), F.max("y").alias("hi"), *M.confusion_columns(is_positive(), is_true()))
     counts = grouped.where("lo < hi").select("seed", "block", *metric_cols("zero"))
-    more = M.evaluation_bundle(rows, ["seed", "block"], "y", "p").select("seed", "block", *[r(c, 9 if c in ("brier", "ece") else 6).alias(c) for c in ("brier", "log_loss", "ece", "auroc")])
+    more = M.evaluation_bundle(rows, ["seed", "block"], "y", "p").select("seed", "block", *[off_ties(c).alias(c) for c in ("brier", "log_loss", "ece", "auroc")])
     return counts.join(more, ["seed", "block"])
 
 
