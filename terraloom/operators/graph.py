@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraloom.operators.raster import SQUARE, offsets
@@ -103,6 +103,17 @@ def tile_labels(cells: DataFrame, group: list[str], reach: int, tile: int = TILE
     return tiled.groupBy("_tr", "_tc").applyInArrow(label, schema)
 
 
+def reach_of(steps: list[tuple[int, int]] | None) -> int:
+    """1 if the steps (8-connected by default) go to cells that touch by a corner, else 0."""
+    return 1 if any(dr and dc for dr, dc in steps or SQUARE) else 0
+
+
+def component_name(group: list[str], row: str = "first_row", col: str = "first_col") -> Column:
+    """Name of a component: its group and its first cell in row-major order."""
+    named = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in group]
+    return F.concat_ws(":", *named, F.format_string("%012d:%012d", row, col))
+
+
 def cell_components(cells: DataFrame, group: list[str] | None = None, steps: list[tuple[int, int]] | None = None, tile: int = TILE) -> DataFrame:
     """Components of a cell set (optionally inside each group), 8-connected by default; adds `comp` and `size`.
 
@@ -111,10 +122,8 @@ def cell_components(cells: DataFrame, group: list[str] | None = None, steps: lis
     never by component. Rows with a null row or col are no cells.
     """
     group = group or []
-    steps = steps or SQUARE
-    reach = 1 if any(dr and dc for dr, dc in steps) else 0
-    named = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in group]
-    name = F.concat_ws(":", *named, F.format_string("%012d:%012d", "_first_row", "_first_col"))
+    reach = reach_of(steps)
+    name = component_name(group, "_first_row", "_first_col")
     local = materialize(tile_labels(cells.where("row IS NOT NULL AND col IS NOT NULL"), group, reach, tile))
     edge = local.where(f"pmod(row, {tile}) IN (0, {tile - 1}) OR pmod(col, {tile}) IN (0, {tile - 1})").select(*group, "row", "col", "_tr", "_tc", name.alias("_id"), "_n")
     ahead = [(1, dc) for dc in range(-reach, reach + 1)] + [(0, 1)]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraloom.operators.attach import attach
-from terraloom.operators.graph import components
+from terraloom.operators.blocks import OPEN, SUPPORT, free_parts, grow_supports
+from terraloom.operators.contracts import union_all
+from terraloom.operators.graph import TILE, cell_components, component_name, components, reach_of
 from terraloom.operators.ordering import exact_quantiles, summary_quantiles
 from terraloom.session import materialize
 
@@ -263,64 +266,83 @@ def _order(confidence: DataFrame) -> DataFrame:
 
 
 def _rivals(cells: DataFrame, order: DataFrame) -> DataFrame:
-    """(a, ka, b, kb, shared, b_area) in both directions: instances that share cells."""
-    pairs = overlap_pairs(cells.withColumn("tile", F.lit("")), cross_tile=False)
-    sizes = cells.groupBy("parcel_id").agg(F.count(F.lit(1)).alias("area"))
-    both = pairs.select("a", "b", "shared").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
-    named = order.join(sizes.withColumnRenamed("parcel_id", "id"), "id")
-    one, two = (named.select(F.col("id").alias(x), F.col("k").alias(f"k{x}"), F.col("area").alias(f"{x}_area")) for x in "ab")
-    return materialize(both.join(one, "a").join(two, "b"))
+    """(a, b): instances that share cells, b before a in the sequential order."""
+    named = cells.join(order, F.col("parcel_id") == F.col("id")).select("id", "k", "row", "col")
+    one, two = (named.select(F.col("id").alias(x), F.col("k").alias(f"k{x}"), "row", "col") for x in "ab")
+    return materialize(one.join(two, ["row", "col"]).where("kb < ka").select("a", "b").distinct())
 
 
-def merge_instances(cells: DataFrame, confidence: DataFrame, iou: float = 0.60, containment: float = 0.80) -> tuple[DataFrame, DataFrame]:
+def merge_instances(cells: DataFrame, confidence: DataFrame, iou: float = 0.60, containment: float = 0.80, block: int = TILE) -> tuple[DataFrame, DataFrame]:
     """(parcel_id, kept) of every instance and (kept, row, col), the support of every kept one: greedy merging by falling confidence.
 
     An instance joins the most confident kept instance whose support, grown by all that joined it before, it meets at `iou`
-    or at `containment` of the smaller of the two; otherwise it is kept. Rounds take every instance whose turn cannot be
-    changed by an undecided one: all its rivals before it are decided, and none undecided that comes before it touches the
-    supports it touches. An instance whose shared cells cannot reach either limit is kept at once. So the result equals the
-    sequential order, whatever number of rounds runs in parallel over the map.
+    or at `containment` of the smaller of the two; otherwise it is kept. `grow_supports` follows that order inside blocks of
+    the map. What no block can hold goes on in rounds, which take every instance whose turn cannot be changed by an undecided
+    one: all its rivals before it are decided, and none undecided that comes before it touches the supports it touches. So
+    the result equals the sequential order.
     """
-    order = materialize(_order(confidence))
     cells = materialize(cells.select("parcel_id", "row", "col").distinct())
+    decided, support, left = grow_supports(cells, confidence, iou, containment, block)
+    empty = confidence.join(cells.select("parcel_id").distinct(), "parcel_id", "left_anti").select(F.col("parcel_id").cast("string").alias("id"))
+    state = decided.union(empty.select("id", F.col("id").alias("kept")))
+    if not left.isEmpty():
+        more, grown = _merge_rounds(left, iou, containment)
+        state, support = state.union(more), support.union(grown)
+    return state.select(F.col("id").alias("parcel_id"), "kept"), support
+
+
+def _merge_rounds(left: DataFrame, iou: float, containment: float) -> tuple[DataFrame, DataFrame]:
+    """(id, kept) of the open instances among the rows `left` by `grow_supports`, and (kept, row, col) of all its supports."""
+    named = left.withColumnRenamed("id", "parcel_id")
+    order = materialize(_order(left.select(F.col("id").alias("parcel_id"), "confidence").distinct()))
+    cells = named.where(F.col("kind") == OPEN).select("parcel_id", "row", "col")
+    support = named.where(F.col("kind") == SUPPORT).select(F.col("parcel_id").alias("kept"), "row", "col").distinct()
     rivals = _rivals(cells, order)
-    before = rivals.where("kb < ka").groupBy("a").agg(F.sum("shared").alias("most"), F.first("a_area").alias("area"), F.min("b_area").alias("least"))
-    may_join = before.where((F.col("most") >= iou * F.col("area")) | (F.col("most") >= containment * F.least("area", "least"))).select(F.col("a").alias("id"), F.lit(True).alias("open"))
-    state = materialize(order.join(may_join, "id", "left").select("id", "k", F.when(F.col("open").isNull(), F.col("id")).alias("kept")))
-    support = materialize(cells.join(state.where("kept IS NOT NULL").select(F.col("id").alias("parcel_id"), "kept"), "parcel_id").select("kept", "row", "col"))
-    while not state.where("kept IS NULL").isEmpty():
-        open_ = state.where("kept IS NULL").select(F.col("id").alias("a"))
-        links = materialize(rivals.join(open_, "a", "left_semi").join(state.select(F.col("id").alias("b"), "kept"), "b").select("a", "ka", "kb", "kept"))
-        touched = links.where("kept IS NOT NULL").select("a", "ka", "kept").distinct()
+    area = materialize(cells.groupBy(F.col("parcel_id").alias("a")).agg(F.count(F.lit(1)).alias("area")))
+    waiting, states = materialize(area.select("a").join(order.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a")), []
+    while not waiting.isEmpty():
+        own = cells.join(waiting.select(F.col("a").alias("parcel_id")), "parcel_id", "left_semi")
+        shared = own.join(support, ["row", "col"]).groupBy(F.col("parcel_id").alias("a"), "kept").agg(F.count(F.lit(1)).alias("shared"))
+        touched = materialize(shared.join(waiting, "a"))
         first = touched.groupBy("kept").agg(F.min("ka").alias("first"))
-        waits = links.where("kept IS NULL AND kb < ka").select("a").union(touched.join(first, "kept").where("ka > first").select("a")).distinct()
-        ready = materialize(open_.join(waits, "a", "left_anti"))
-        own = cells.join(ready.withColumnRenamed("a", "parcel_id"), "parcel_id", "left_semi")
-        shared = own.join(support, ["row", "col"]).groupBy("parcel_id", "kept").agg(F.count(F.lit(1)).alias("shared"))
+        earlier = rivals.join(waiting.select(F.col("a").alias("b")), "b", "left_semi").select("a")
+        waits = earlier.union(touched.join(first, "kept").where("ka > first").select("a")).distinct()
+        ready = materialize(waiting.join(waits, "a", "left_anti").select("a"))
         areas = support.groupBy("kept").agg(F.count(F.lit(1)).alias("kept_area"))
-        sized = shared.join(own.groupBy("parcel_id").agg(F.count(F.lit(1)).alias("area")), "parcel_id").join(areas, "kept")
+        sized = touched.join(ready, "a", "left_semi").join(area, "a").join(areas, "kept")
         fits = (F.col("shared") >= iou * (F.col("area") + F.col("kept_area") - F.col("shared"))) | (F.col("shared") >= containment * F.least("area", "kept_area"))
         keys = order.select(F.col("id").alias("kept"), F.col("k").alias("kk"))
-        joins = sized.where(fits).join(keys, "kept").groupBy("parcel_id").agg(F.min("kk").alias("kk")).select(F.col("parcel_id").alias("a"), F.col("kk.i").alias("into"))
-        decided = materialize(ready.join(joins, "a", "left").select(F.col("a").alias("id"), F.coalesce("into", "a").alias("now")))
-        grown = own.join(decided.withColumnRenamed("id", "parcel_id"), "parcel_id").select(F.col("now").alias("kept"), "row", "col")
+        joins = sized.where(fits).join(keys, "kept").groupBy("a").agg(F.min("kk").alias("kk")).select("a", F.col("kk.i").alias("into"))
+        decided = materialize(ready.join(joins, "a", "left").select(F.col("a").alias("id"), F.coalesce("into", "a").alias("kept")))
+        states.append(decided)
+        grown = own.join(decided.withColumnRenamed("id", "parcel_id"), "parcel_id").select("kept", "row", "col")
         support = materialize(support.union(grown).distinct())
-        state = materialize(state.join(decided, "id", "left").select("id", "k", F.coalesce("kept", "now").alias("kept")))
-    return state.select(F.col("id").alias("parcel_id"), "kept"), support
+        waiting = materialize(waiting.join(ready, "a", "left_anti"))
+    return union_all(states), support
 
 
-def resolve_conflicts(cells: DataFrame, confidence: DataFrame, large_enough: Column, steps: list[tuple[int, int]] | None = None) -> DataFrame:
+def resolve_conflicts(cells: DataFrame, confidence: DataFrame, large_enough: Column, steps: list[tuple[int, int]] | None = None, block: int = TILE) -> DataFrame:
     """(parcel_id, row, col, comp, size): parts that instances keep when each takes, by falling confidence, the cells still free.
 
     Free cells of an instance fall into connected parts; parts that are not `large_enough` (a condition on `size`) are
-    dropped and their cells stay free for the next. Rounds take every instance whose rivals before it are all decided;
-    these share no cell, so a round is one labelling of all their free cells, and the result equals the sequential order.
+    dropped and their cells stay free for the next. `free_parts` follows that order inside blocks of the map. What no block
+    can hold goes on in rounds of all instances whose rivals before them are decided; these share no cell, so a round is one
+    labelling of all their free cells. So the result equals the sequential order.
     """
-    from terraloom.operators.graph import cell_components
-
-    order = materialize(_order(confidence))
     cells = materialize(cells.select("parcel_id", "row", "col").distinct())
-    rivals = _rivals(cells, order).where("kb < ka").select("a", "b")
+    sizes = cells.sparkSession.range(1, block * block + 1).select(F.col("id").alias("size")).where(large_enough)
+    allowed = np.zeros(block * block + 1, bool)
+    allowed[[r[0] for r in sizes.collect()]] = True  # at most the cells of a block
+    found, left = free_parts(cells, confidence, allowed, reach_of(steps), block)
+    parts = found.select(F.col("id").alias("parcel_id"), "row", "col", component_name(["id"]).alias("comp"), "size")
+    return parts if left.isEmpty() else parts.unionByName(_conflict_rounds(left, large_enough, steps))
+
+
+def _conflict_rounds(left: DataFrame, large_enough: Column, steps: list[tuple[int, int]] | None) -> DataFrame:
+    """The parts that the open instances among the rows `left` by `free_parts` keep."""
+    order = materialize(_order(left.select(F.col("id").alias("parcel_id"), "confidence").distinct()))
+    cells = left.select(F.col("id").alias("parcel_id"), "row", "col")
+    rivals = _rivals(cells, order)
     waiting, taken = order.select("id"), None
     while not waiting.isEmpty():
         blocked = rivals.join(waiting.withColumnRenamed("id", "b"), "b", "left_semi").select(F.col("a").alias("id")).distinct()
@@ -331,4 +353,4 @@ def resolve_conflicts(cells: DataFrame, confidence: DataFrame, large_enough: Col
         parts = materialize(cell_components(free, ["parcel_id"], steps).where(large_enough))
         taken = parts if taken is None else materialize(taken.unionByName(parts))
         waiting = materialize(waiting.join(ready, "id", "left_anti"))
-    return taken if taken is not None else cell_components(cells, ["parcel_id"], steps)
+    return taken

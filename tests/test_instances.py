@@ -91,6 +91,40 @@ def test_freed_cells_go_to_the_next_claimant(spark, instances):
     assert {n: sorted(map(sorted, p.values())) for n, p in got.items()} == {n: sorted(p) for n, p in want.items()}
 
 
+def test_blocks_smaller_than_the_map_give_the_same_instances(spark, instances, block=9):
+    cells, confidence = frames(spark, instances)
+    extra = spark.createDataFrame([("none", 0.4)], "parcel_id string, confidence double")
+    found, support = merge_instances(cells, confidence.union(extra), 0.4, 0.6, block)
+    want, grown = merge_instances(cells, confidence.union(extra), 0.4, 0.6)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, support.collect())) == sorted(map(tuple, grown.collect()))
+    parts_of = lambda df: sorted(map(tuple, df.select("parcel_id", "row", "col", "comp", "size").collect()))
+    assert parts_of(resolve_conflicts(cells, confidence, F.col("size") >= 6, CROSS, block)) == parts_of(resolve_conflicts(cells, confidence, F.col("size") >= 6, CROSS))
+
+
+@pytest.mark.parametrize("rule", ["merge", "resolve"])
+def test_a_long_chain_of_instances_takes_few_stored_tables(spark, monkeypatch, rule):
+    """Each of 30 instances waits for the one before it: one pass over a block, not one round each."""
+    from terraloom.operators import blocks, graph, parcels
+
+    stored = []
+
+    def counted(df, kept=parcels.materialize):
+        stored.append(1)
+        return kept(df)
+
+    for module in (blocks, graph, parcels):
+        if hasattr(module, "materialize"):
+            monkeypatch.setattr(module, "materialize", counted)
+    chain = {f"p{i:02d}": (1.0 - i / 100, {(r, 2 * i + c) for r in range(3) for c in range(3)}) for i in range(30)}
+    cells, confidence = frames(spark, chain)
+    if rule == "merge":
+        assert merge_instances(cells, confidence, 0.9, 0.9)[0].where("parcel_id <> kept").count() == 0
+    else:
+        assert resolve_conflicts(cells, confidence, F.col("size") >= 6, CROSS).select("parcel_id").distinct().count() == 30
+    assert len(stored) < 10
+
+
 def test_quantiles_of_ties_agree_on_both_plans(spark, monkeypatch):
     draw = random.Random(1)
     rows = [("const", 0.1 + 0.2) for _ in range(143)] + [("ties", draw.choice([0.1, 0.1, 0.7, 1 / 3])) for _ in range(100)] + [(None, draw.random()) for _ in range(60)]
