@@ -6,7 +6,9 @@ import pytest
 
 from pyspark.sql import functions as F
 from terraloom.operators import bootstrap as B
+from terraloom.operators import contracts as K
 from terraloom.operators import metrics as M
+from terraloom.operators import ordering
 
 
 def frame(spark, **columns):
@@ -102,3 +104,24 @@ def test_perfect_map_gives_exact_share(spark):
     sample = spark.createDataFrame([(c, c, s) for c in (0, 1) for s in range(1, 101)], "cls long, ref long, slot long")
     out = B.stratified_area(strata, sample, "cls", "ref", "slot", 1.0, 20, 3).first()
     assert (out.naive_area, out.adjusted_area, out.area_low, out.area_high) == (100.0, 100.0, 100.0, 100.0)
+
+
+def test_positions_of_a_large_curve_are_written_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "ONE_TASK_BYTES", -1)
+    monkeypatch.setattr(M, "CURVE_STEP", 10)
+    df = spark.range(1000).select((F.col("id") % 2).alias("y"), (F.col("id") / 1000).alias("p"), (F.col("id") % 3).cast("double").alias("score"))
+    curve = M.selective_curve(df, [], "y", "p", "score")
+    assert curve.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(r.k for r in curve.collect()) == list(range(1, 1001))
+
+
+def test_curve_grid_is_checked_position_by_position(spark):
+    """Repeats, gaps, late starts and nulls, also across the ends of words of 64 positions."""
+    grids = {"whole": list(range(1, 131)), "repeat": [*range(1, 129), 130, 130], "gap": [1, 2, 4], "sums": [1, 1, 4, 4, 5, 6], "late": [2, 3], "null": [1, 2, None]}
+    df = spark.createDataFrame([(g, k, 0.5, 0.25) for g, ks in grids.items() for k in ks], "g string, k bigint, coverage double, risk double")
+    got = {r.g: r for r in K.curve_invariants(df, ["g"]).collect()}
+    for g, ks in grids.items():
+        seen = [k for k in ks if k is not None]
+        assert got[g].points == len(ks) and got[g].starts_at_one == (min(seen) == 1) and got[g].grid_complete == (max(seen) == len(ks) == len(set(seen)))
+    plan = K.curve_invariants(df, ["g"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "distinct" not in plan and "_word" in plan
