@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from terraloom.operators.attach import attach
 from terraloom.operators.metrics import confusion_columns, count_metrics
+from terraloom.operators.ordering import fits_one_task, range_count
 
 CROSS = [(-1, 0), (1, 0), (0, -1), (0, 1)]
 SQUARE = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if (dr, dc) != (0, 0)]
@@ -72,12 +73,18 @@ def neighbor_disagreement(df: DataFrame, value: str, keys: list[str] | None = No
 
 
 def focal_count(df: DataFrame, mask: Column, steps: list[tuple[int, int]]) -> DataFrame:
-    """(row, col, self, around): whether the pixel itself is set and how many of its neighbours are."""
+    """(row, col, self, around): whether the pixel itself is set and how many of its neighbours are.
+
+    Contributions of a large grid meet in a given number of partitions: pixels compress so well that adaptive execution,
+    which goes by bytes, would leave millions of groups to each task.
+    """
     here = df.select("row", "col", F.lit(True).alias("_here"), mask.cast("int").alias("_self"))
     set_ = here.where("_self = 1").withColumn("_o", offsets([(0, 0), *steps]))
     shifted = set_.select((F.col("row") + F.col("_o.dr")).alias("row"), (F.col("col") + F.col("_o.dc")).alias("col"), F.lit(False).alias("_here"),
                           F.when((F.col("_o.dr") == 0) & (F.col("_o.dc") == 0), 1).otherwise(0).alias("_own"))
     both = here.select("row", "col", "_here", F.lit(0).alias("_own"), F.lit(0).alias("_n")).unionByName(shifted.withColumn("_n", 1 - F.col("_own")))
+    if not fits_one_task(df):
+        both = both.repartition(range_count(df), "row", "col")
     out = both.groupBy("row", "col").agg(F.max("_here").alias("_here"), F.max("_own").alias("self"), F.sum("_n").alias("around"))
     return out.where("_here").select("row", "col", F.col("self").cast("bigint").alias("self"), F.col("around").cast("bigint").alias("around"))
 

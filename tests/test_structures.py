@@ -108,3 +108,14 @@ def test_distant_cells_are_not_met(spark, monkeypatch, metric):
     assert (got["neighbor_id"].to_numpy().reshape(-1, 4) == order + 1000).all()
     met, possible = counts[0]
     assert met < possible / 2
+
+
+def test_focal_counts_of_a_large_grid_keep_their_partitions(spark, monkeypatch):
+    from terraloom.operators import ordering, raster
+
+    grid = spark.range(600).select(F.floor(F.col("id") / 30).alias("row"), (F.col("id") % 30).alias("col"))
+    count = lambda: raster.focal_count(grid, (F.col("row") + F.col("col")) % 3 == 0, raster.CROSS)
+    want = sorted(map(tuple, count().collect()))
+    monkeypatch.setattr(ordering, "ONE_TASK_BYTES", -1)
+    assert sorted(map(tuple, count().collect())) == want
+    assert count().rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
