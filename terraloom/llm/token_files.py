@@ -25,6 +25,21 @@ FORMAT = {
 }
 
 
+#: Bytes of text that a worker encodes at once; its copies, word tables and ids, and the batch that the JVM holds, go with it.
+ENCODED_AT_ONCE = 4_000_000
+
+
+def token_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n_tokens, tokens) of batches (doc_id, text), in their order."""
+    encoder = coder(path, True, end_id)
+    for batch in batches:
+        for s, e in parts(batch.column(1), ENCODED_AT_ONCE):
+            ids = encoder.encode(batch.column(1).slice(s, e - s))
+            sizes = np.array([len(x) for x in ids], np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.concatenate(ids)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array(sizes), lists], ["doc_id", "n_tokens", "tokens"])
+
+
 def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 2, options: dict[str, str] | None = None) -> None:
     """Encode every text and write (doc_id, n_tokens, tokens) in ascending doc_id order over numbered files.
 
@@ -34,18 +49,9 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
     ship_package(docs.sparkSession)
     path = path or tokenizer_path("byte_bpe_50k.json")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = coder(path, True, end_id)
-        for batch in batches:
-            for s, e in parts(batch.column(1), 16_000_000):
-                ids = encoder.encode(batch.column(1).slice(s, e - s))
-                sizes = np.array([len(x) for x in ids], np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array(sizes), lists], ["doc_id", "n_tokens", "tokens"])
-
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("_order", F.xxhash64("text")).repartitionByRange(parallelism(docs), "doc_id", "_order").sortWithinPartitions("doc_id", "_order")
-    coded = rows.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, tokens array<int>")
+    coded = rows.select("doc_id", "text").mapInArrow(lambda batches: token_batches(batches, path, end_id), "doc_id bigint, n_tokens bigint, tokens array<int>")
     coded.write.options(**{**FORMAT, **(options or {})}).parquet(folder)
 
 

@@ -52,3 +52,11 @@ def test_selective_reads_reach_the_scan_and_encodings_are_set(spark):
     kinds = {group.column(i).path_in_schema: group.column(i) for i in range(group.num_columns)}
     assert "DELTA_BINARY_PACKED" in kinds["doc_id"].encodings and kinds["doc_id"].has_offset_index and kinds["doc_id"].has_column_index
     assert any("DICTIONARY" in e for e in kinds["tokens.list.element"].encodings)
+
+
+def test_a_batch_of_ids_stands_for_a_few_megabytes_of_text():
+    texts = [f"word{i % 97} and some more text " * 4000 for i in range(120)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(120), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    out = list(token_files.token_batches(iter([batch]), tokenizer_path("byte_bpe_50k.json"), 2))
+    assert [i for b in out for i in b.column(0).to_pylist()] == list(range(120))
+    assert max(sum(len(texts[i]) for i in b.column(0).to_pylist()) for b in out) <= 5_000_000
