@@ -33,12 +33,16 @@ def ingest_chunks(spark: SparkSession, incoming: str, schema: T.StructType, row:
     wanted = manifest.select(F.col(row).cast("double").alias("_k"), F.lower(F.col(region)).alias("_region")).withColumn("chunk", F.format_string("c%03d", F.floor(F.col("_k") / size)))
 
     def land(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").partitionBy("chunk").parquet(f"{out}/staged/batch={number}")
-        mine = spark.read.schema(staged).parquet(f"{out}/staged").where(F.col("batch") == number)
-        touched = [r[0] for r in mine.select("chunk").distinct().collect()]  # at most the files of a batch
+        batch = batch.persist()
+        touched = [r[0] for r in batch.where("chunk <> ''").select("chunk").distinct().collect()]  # at most the files of a batch
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk", "batch").parquet(f"{out}/staged")
+        batch.unpersist()
+        # only the folders of these chunks are listed: a listing of all would grow with every batch
+        rows = spark.read.schema(staged).option("basePath", f"{out}/staged").parquet(*[f"{out}/staged/chunk={c}" for c in touched]) if touched else spark.createDataFrame([], staged)
+        mine = rows.where(F.col("batch") == number)
         done = [r[0] for r in _ledger(spark, out, ledgered).where(F.col("chunk").isin(touched) & (F.col("batch") < number)).select("chunk").distinct().collect()]
         mine.where(F.col("chunk").isin(done)).drop("batch").write.mode("overwrite").parquet(f"{out}/late/batch={number}")
-        held = spark.read.schema(staged).parquet(f"{out}/staged").where((F.col("batch") <= number) & F.col("chunk").isin([c for c in touched if c not in done]))
+        held = rows.where((F.col("batch") <= number) & F.col("chunk").isin([c for c in touched if c not in done]))
         finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
         bad = ~reduce(and_, [finite(c) for c in numbers], F.lit(True))
         keys = held.groupBy("chunk", F.col(row).cast("double").alias("_k")).agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad"), F.min(F.lower(F.col(region))).alias("lo"), F.max(F.lower(F.col(region))).alias("hi"))

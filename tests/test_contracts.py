@@ -100,3 +100,14 @@ def test_registry_states(spark):
     registry = spark.createDataFrame([("a", "AB"), ("b", "cd"), ("c", None), ("d", "ef"), ("e", None)], "path string, expected string")
     files = spark.createDataFrame([("a", 1, "ab"), ("b", 2, "xx"), ("c", 3, "yy"), ("z", 4, "zz")], "path string, length long, digest string")
     assert {r.path: r.state for r in IO.asset_states(registry, files).collect()} == {"a": "OK", "b": "REBUILT", "c": "PRESENT", "d": "MISSING", "e": "MISSING", "z": "FOREIGN"}
+
+
+def test_rows_are_staged_by_chunk_so_that_a_batch_lists_its_own_chunks_only(spark, tmp_path):
+    manifest = spark.createDataFrame([(i, "source", 0.5) for i in range(60)], "row long, region string, value double")
+    incoming, out = str(tmp_path / "incoming"), str(tmp_path / "out")
+    IO.write_chunks(manifest, incoming, "row", 30)
+    ingest_chunks(spark, incoming, manifest.schema, "row", 30, out, manifest, files_per_batch=1)
+    staged = tmp_path / "out" / "staged"
+    assert sorted(p.name for p in staged.iterdir() if p.is_dir()) == ["chunk=c000", "chunk=c001"]
+    assert [spark.read.parquet(str(p)).count() for p in sorted(staged.glob("chunk=*"))] == [30, 30]
+    assert spark.read.parquet(f"{out}/rows").count() == 60
