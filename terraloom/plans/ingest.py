@@ -286,7 +286,7 @@ def _(spark, d):
         if part_ is not None:
             part_ = part_.unionByName(part_.where((place == 499)))
             keyed = part_.withColumn("chunk", F.format_string("c%03d", F.floor(F.col("manifest_row") / 500)))
-            keyed.write.mode("append").option("header", True).partitionBy("chunk").csv(incoming)
+            keyed.repartition(spark.sparkContext.defaultParallelism, "chunk").write.mode("append").option("header", True).partitionBy("chunk").csv(incoming)
         stream.ingest_chunks(spark, incoming, CHUNK_SCHEMA, "manifest_row", 500, out, rows)
     ledger = spark.read.parquet(f"{out}/ledger")
     times = ledger.groupBy("chunk").agg(F.max("rows").alias("all_rows"), F.min("accepted").alias("accepted"), F.count(F.lit(1)).alias("times_ledgered"), F.max("duplicate").alias("again"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from operator import and_
 
@@ -12,17 +14,21 @@ from pyspark.sql import types as T
 from terraloom.functions.hashing import row_digest, table_digest
 from terraloom.operators.ordering import exact_quantiles
 from terraloom.session import materialize
+from terraloom.sources.files import scratch
+
+SLICE_CHUNKS = 64  # chunks whose manifest rows lie in one folder
 
 
 def ingest_chunks(spark: SparkSession, incoming: str, schema: T.StructType, row: str, size: int, out: str, manifest: DataFrame, region: str = "region",
-                  files_per_batch: int = 64) -> None:
+                  files_per_batch: int = 4_096) -> None:
     """Process every chunk file not seen before, once, and stop; a chunk enters the ledger when it is whole.
 
     A chunk's files may come in any number of batches and runs: rows are staged by chunk until every key that `manifest`
     (row, region) has for it is there. Then the chunk contract is run on it, its verdict and digest are ledgered, once, and
     its rows land if it is accepted. Rows that come for a chunk already in the ledger are set aside under `late`. The
     checkpoint remembers finished files; a batch writes under its own number with overwrite and looks only at batches
-    before it, so a batch repeated after a failure replaces itself. A batch reads the staged rows of the chunks it touches.
+    before it, so a batch repeated after a failure replaces itself. A batch reads the staged rows of the chunks it touches,
+    each chunk one file a batch, and the manifest's slices of them; how many files a batch takes changes no result.
     """
     stream = spark.readStream.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").option("recursiveFileLookup", True).option(
         "maxFilesPerTrigger", files_per_batch).csv(incoming)
@@ -30,23 +36,35 @@ def ingest_chunks(spark: SparkSession, incoming: str, schema: T.StructType, row:
     numbers = [f.name for f in schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and f.name != row]
     staged = T.StructType([*schema.fields, T.StructField("batch", T.LongType()), T.StructField("chunk", T.StringType())])
     ledgered = "chunk string, rows bigint, missing bigint, foreign bigint, duplicate bigint, fractional bigint, wrong_region bigint, not_finite bigint, digest string, accepted boolean, batch bigint"
-    wanted = manifest.select(F.col(row).cast("double").alias("_k"), F.lower(F.col(region)).alias("_region")).withColumn("chunk", F.format_string("c%03d", F.floor(F.col("_k") / size)))
+    tasks = spark.sparkContext.defaultParallelism  # of the writes of one small file a chunk, which adaptive execution would leave to one task
+    slice_of = lambda n: F.floor(n / SLICE_CHUNKS).cast("bigint")
+    slices: list[str] = []  # folder of the manifest by slice, written by the first batch of a run
+
+    def wanted(of: list[str]) -> DataFrame:
+        place = F.floor(F.col(row).cast("double") / size)
+        if not slices:
+            path = scratch(spark, "manifest")
+            cut = manifest.select(F.col(row).cast("double").alias("_k"), F.lower(F.col(region)).alias("_region"), F.format_string("c%03d", place).alias("chunk"), slice_of(place).alias("slice"))
+            cut.repartition(tasks, "slice").write.partitionBy("slice").parquet(path)
+            slices.append(path)
+        numbers = sorted({int(c[1:]) // SLICE_CHUNKS for c in of})
+        return spark.read.schema("_k double, _region string, chunk string, slice bigint").parquet(slices[0]).where(F.col("slice").isin(numbers)).drop("slice")
 
     def land(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         touched = [r[0] for r in batch.where("chunk <> ''").select("chunk").distinct().collect()]  # at most the files of a batch
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk", "batch").parquet(f"{out}/staged")
+        names = spark.createDataFrame([(c,) for c in touched], "chunk string")
+        batch.withColumn("batch", F.lit(number)).repartition(tasks, "chunk").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk", "batch").parquet(f"{out}/staged")
         batch.unpersist()
         # only the folders of these chunks are listed: a listing of all would grow with every batch
         rows = spark.read.schema(staged).option("basePath", f"{out}/staged").parquet(*[f"{out}/staged/chunk={c}" for c in touched]) if touched else spark.createDataFrame([], staged)
-        mine = rows.where(F.col("batch") == number)
-        done = [r[0] for r in _ledger(spark, out, ledgered).where(F.col("chunk").isin(touched) & (F.col("batch") < number)).select("chunk").distinct().collect()]
-        mine.where(F.col("chunk").isin(done)).drop("batch").write.mode("overwrite").parquet(f"{out}/late/batch={number}")
-        held = rows.where((F.col("batch") <= number) & F.col("chunk").isin([c for c in touched if c not in done]))
+        done = _ledger(spark, out, ledgered).where(F.col("batch") < number).select("chunk").distinct()
+        rows.where(F.col("batch") == number).join(done, "chunk", "left_semi").select(*schema.names, "chunk").write.mode("overwrite").parquet(f"{out}/late/batch={number}")
+        held = rows.where(F.col("batch") <= number).join(done, "chunk", "left_anti").repartition(tasks, "chunk").persist()
         finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
         bad = ~reduce(and_, [finite(c) for c in numbers], F.lit(True))
         keys = held.groupBy("chunk", F.col(row).cast("double").alias("_k")).agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad"), F.min(F.lower(F.col(region))).alias("lo"), F.max(F.lower(F.col(region))).alias("hi"))
-        met = keys.join(wanted.where(F.col("chunk").isin(touched)).withColumn("_known", F.lit(True)), ["chunk", "_k"], "full_outer")
+        met = keys.join(wanted(touched).join(names, "chunk", "left_semi").withColumn("_known", F.lit(True)), ["chunk", "_k"], "full_outer")
         known = F.coalesce("_known", F.lit(False))
         stats = met.groupBy("chunk").agg(
             F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count_if(F.col("n").isNull()).alias("missing"), F.count_if(~known).alias("foreign"), F.count_if(F.col("n") > 1).alias("duplicate"),
@@ -58,8 +76,22 @@ def ingest_chunks(spark: SparkSession, incoming: str, schema: T.StructType, row:
         ledger.write.mode("overwrite").parquet(f"{out}/ledger/batch={number}")
         accepted = _ledger(spark, out, ledgered).where((F.col("batch") == number) & F.col("accepted")).select("chunk")
         held.drop("batch").join(accepted, "chunk", "left_semi").write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
-
-    tagged.writeStream.foreachBatch(land).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        held.unpersist()
+
+    with _listing_tasks(spark, 4 * tasks):
+        tagged.writeStream.foreachBatch(land).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+@contextmanager
+def _listing_tasks(spark: SparkSession, n: int) -> Iterator[None]:
+    """Lists folders in at most `n` tasks meanwhile; as set, each of many small folders gets a task of its own."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, n)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def _ledger(spark: SparkSession, out: str, schema: str) -> DataFrame:

@@ -111,3 +111,14 @@ def test_rows_are_staged_by_chunk_so_that_a_batch_lists_its_own_chunks_only(spar
     assert sorted(p.name for p in staged.iterdir() if p.is_dir()) == ["chunk=c000", "chunk=c001"]
     assert [spark.read.parquet(str(p)).count() for p in sorted(staged.glob("chunk=*"))] == [30, 30]
     assert spark.read.parquet(f"{out}/rows").count() == 60
+
+
+def test_by_default_a_backlog_of_many_small_files_is_few_batches(spark, tmp_path):
+    manifest = spark.createDataFrame([(i, "source", 0.5) for i in range(210)], "row long, region string, value double")
+    incoming, out = str(tmp_path / "incoming"), str(tmp_path / "out")
+    IO.write_chunks(manifest, incoming, "row", 3)
+    assert len(list((tmp_path / "incoming").rglob("*.csv"))) >= 70
+    ingest_chunks(spark, incoming, manifest.schema, "row", 3, out, manifest)
+    assert [p.name for p in (tmp_path / "out" / "ledger").iterdir() if p.is_dir()] == ["batch=0"]
+    ledger = spark.read.parquet(f"{out}/ledger").collect()
+    assert len(ledger) == 70 and all(r.rows == 3 and r.accepted for r in ledger) and spark.read.parquet(f"{out}/rows").count() == 210
