@@ -91,3 +91,45 @@ def test_equal_rows_that_cannot_be_split_stay_in_no_task(spark, monkeypatch):
     same = spark.range(400).select("id", (F.col("id") % 4 == 0).cast("long").alias("label"), F.array(F.lit(1.0), F.lit(2.0)).alias("x"))
     p = probabilities(L.fit_forest(same.withColumn("w", F.lit(1.0)), "label", "x", 3, 1, class_weights=False), same)
     assert (abs(p - 0.25) < 0.1).all()
+
+
+def test_trees_grown_together_are_those_grown_alone(monkeypatch):
+    rng = np.random.default_rng(5)
+    bins, y = rng.integers(0, 20, (300, 6)).astype("uint8"), rng.integers(0, 2, 300).astype(float)
+    w = np.where(y == 1, 0.5, 1.0) * np.where(np.arange(300) < 200, 1.0, 4.0)
+    trees = np.arange(5)
+    for rows, depth in ((96, 30), (0, 30), (10**6, 30), (20, 4)):  # sorted rows for small nodes, for none, for all
+        monkeypatch.setattr(forests, "SORTED_ROWS", rows)
+        together = forests.grow_trees(3, trees, bins, y, w, 2, depth)
+        for t in trees:
+            drawn = forests.drawn_times(3, t, np.arange(300))
+            on = drawn > 0
+            alone = forests.grow(3, t, 1, bins[on], y[on], w[on], drawn[on], 2, depth)
+            assert np.allclose(together[together["tree"] == t][alone.columns].to_numpy(float), alone.to_numpy(float))
+    p = forests.summed_probabilities(together, trees, bins) / len(trees)
+    by_tree = np.mean([by_hand(3, t, 1, bins, y, w, forests.drawn_times(3, t, np.arange(300)), 2, 4) for t in trees], axis=0)
+    assert np.allclose(p, by_tree)
+
+
+def test_the_few_shot_queries_run_the_published_grid(spark, tmp_path, monkeypatch):
+    from terraloom.plans import models as P
+
+    asked = {}
+
+    class Stop(Exception):
+        pass
+
+    def few_shot_grid(*args):
+        asked["grid"], asked["trees"] = args[9], args[10]
+        raise Stop
+
+    monkeypatch.setattr(L, "few_shot_grid", few_shot_grid)
+    sizes = {"i12_few_shot_grid": 2 * 30 * 5 * 2}
+    from __spark_entry__ import queries
+
+    for name, runs in sizes.items():
+        with pytest.raises(Stop):
+            queries()[name](spark, "/root/testdata/sf0.001")
+        assert len(asked["grid"]) == runs and asked["trees"] == 300
+        assert {g["seed"] for g in asked["grid"]} == set(range(42, 72))
+        assert {g["budget"] for g in asked["grid"]} - {0} == {20, 50, 100, 200, 500}
