@@ -124,7 +124,7 @@ def test_the_few_shot_queries_run_the_published_grid(spark, tmp_path, monkeypatc
         raise Stop
 
     monkeypatch.setattr(L, "few_shot_grid", few_shot_grid)
-    sizes = {"i12_few_shot_grid": 2 * 30 * 5 * 2, "i14_label_budget_study": 30 * 5 * 2 + 30}
+    sizes = {"i12_few_shot_grid": 2 * 30 * 5 * 2, "i14_label_budget_study": 30 * 5 * 2 + 30, "i20_repeated_adaptation_study": 2 * 30 * 5}
     from __spark_entry__ import queries
 
     for name, runs in sizes.items():
