@@ -133,3 +133,38 @@ def test_the_few_shot_queries_run_the_published_grid(spark, tmp_path, monkeypatc
         assert len(asked["grid"]) == runs and asked["trees"] == 300
         assert {g["seed"] for g in asked["grid"]} == set(range(42, 72))
         assert {g["budget"] for g in asked["grid"]} - {0} == {20, 50, 100, 200, 500}
+
+
+@pytest.fixture(scope="module")
+def study(spark):
+    draw = np.random.default_rng(8)
+    table = lambda first, n, shift: spark.createDataFrame([(first + i, int(i % 2), i % 8, [float(v) for v in draw.normal(shift * (i % 2), 1, 3)]) for i in range(n)],
+                                                         "id long, y int, block int, x array<double>").cache()
+    return table(0, 160, 1), table(1000, 120, 1), table(2000, 40, 1)
+
+
+def test_a_run_gets_the_rows_that_its_sampler_draws(spark, study):
+    from terraloom.operators.sampling import SAMPLERS
+
+    pool = study[0]
+    grid = [{"regime": g, "seed": s, "budget": b, "method": "joint"} for g in SAMPLERS for s in (42, 43) for b in (20, 50)]
+    found = L.drawn_runs(spark, pool, "id", "y", "block", "x", grid, 3).join(pool.select("id", F.to_json("x").alias("k")), F.to_json("x") == F.col("k")).select("run", "id").collect()
+    for i, g in enumerate(grid):
+        alone = SAMPLERS[g["regime"]](pool, ["y"], "block", "id", g["budget"] // 2, g["seed"])
+        assert sorted(r.id for r in found if r.run == i) == sorted(r.id for r in alone.select("id").collect()) and len([r for r in found if r.run == i]) == g["budget"]
+
+
+def test_a_grid_too_large_for_one_task_is_as_whole(spark, study, tmp_path, monkeypatch):
+    pool, source, rows = study
+    grid = [{"regime": "distributed", "seed": 42, "budget": b, "method": m} for m in ("target_only", "joint") for b in (20, 50)]
+    grid += [{"regime": "none", "seed": s, "budget": 0, "method": "source_only", "trees": 5} for s in (42, 43)]
+    run = lambda folder: L.few_shot_grid(spark, str(tmp_path / folder), pool, rows, source, "id", "y", "block", "x", grid, 15).toPandas()
+    together = run("a")
+    monkeypatch.setattr(forests, "RUN_VALUES", 0)
+    monkeypatch.setattr(forests, "fit_runs", lambda *a: pytest.fail("a large table went to one task"))
+    alone = run("b")
+    keys = ["regime", "seed", "budget", "method"]
+    for out in (together, alone):
+        assert len(out) == 6 * 40 and (out.groupby(keys).size() == 40).all() and out["p"].between(0, 1).all()
+    hits = lambda out: ((out["p"] >= 0.5) == (out["y"] == 1)).groupby([out[k] for k in keys]).mean()
+    assert (abs(hits(together) - hits(alone)) < 0.25).all() and hits(together).mean() > 0.6
