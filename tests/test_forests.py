@@ -106,6 +106,8 @@ def test_trees_grown_together_are_those_grown_alone(monkeypatch):
             on = drawn > 0
             alone = forests.grow(3, t, 1, bins[on], y[on], w[on], drawn[on], 2, depth)
             assert np.allclose(together[together["tree"] == t][alone.columns].to_numpy(float), alone.to_numpy(float))
+    monkeypatch.setattr(forests, "SORTED_PLACES", 512)  # few nodes at once
+    assert forests.grow_trees(3, trees, bins, y, w, 2, depth).equals(together)
     p = forests.summed_probabilities(together, trees, bins) / len(trees)
     by_tree = np.mean([by_hand(3, t, 1, bins, y, w, forests.drawn_times(3, t, np.arange(300)), 2, 4) for t in trees], axis=0)
     assert np.allclose(p, by_tree)
